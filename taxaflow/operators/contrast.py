@@ -68,7 +68,19 @@ def contrast(
     return contrast_time(pred, ref, var_col, cat_col, keys, ref_centred)
 
 
-def test_years(recent: int | Iterable[int], ref: int) -> dict[str, int]:
+def contrast_draws(contrasted: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """One row per draw with ``pred, ref, diff, diff_prop``; without a reference the last three are null."""
+    others = ("ref", "diff", "diff_prop")
+    rows = F.transform(
+        "pred",
+        lambda x, i: F.struct(x.alias("pred"), *[F.try_element_at(F.col(c), i + 1).alias(c) for c in others]),
+    )
+    named = contrasted.select(*names(keys), F.posexplode(rows).alias("draw", "__s"))
+    named = named.select(*names(keys), "draw", *[F.col(f"__s.{c}").alias(c) for c in ("pred", *others)])
+    return named.where(F.col("pred").isNotNull())
+
+
+def years_to_test(recent: int | Iterable[int], ref: int) -> dict[str, int]:
     """The pair of times a lag contrast compares, from the recent year or years."""
     latest = recent if isinstance(recent, int) else max(recent)
     return {"reference": latest + ref, "recent": latest}

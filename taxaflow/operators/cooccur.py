@@ -77,7 +77,7 @@ def shared_sites(pres: DataFrame, taxa: DataFrame, by: Iterable[str] = ()) -> Da
         + [T.StructField("rank_a", T.IntegerType()), T.StructField("rank_b", T.IntegerType()), T.StructField("part", T.LongType())]
     )
 
-    def multiply(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         low, high = key[-2], key[-1]
         a, b, count = block_product(
             pd.factorize(rows["site"], use_na_sentinel=False)[0], rows["rank"].to_numpy(), rows["block"].to_numpy(), low, high

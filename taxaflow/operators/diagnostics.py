@@ -69,8 +69,8 @@ def rhat_and_size(chains) -> tuple[float, float]:
     return float(np.sqrt(pooled / within)), float(m * n / tau)
 
 
-@F.pandas_udf("struct<Rhat: double, n_eff: double>")
-def _chain_stats(chains: pd.Series) -> pd.DataFrame:
+def chain_stats(chains: pd.Series) -> pd.DataFrame:
+    """``rhat_and_size`` for a batch of parameters."""
     return pd.DataFrame([rhat_and_size(c) for c in chains], columns=["Rhat", "n_eff"])
 
 
@@ -84,7 +84,8 @@ def parameter_summary(draws: DataFrame, by: Iterable[str] = (), probs: Sequence[
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("draw", "value"))), lambda s: s["value"])
     chains = draws.groupBy(*by, "parameter", "chain").agg(in_order.alias("__x"))
     whole = chains.groupBy(*by, "parameter").agg(F.collect_list("__x").alias("__chains"))
-    base = whole.withColumns({"__all": D.ordered(F.flatten("__chains")), "__s": _chain_stats("__chains")})
+    stats = F.pandas_udf(chain_stats, "struct<Rhat: double, n_eff: double>")
+    base = whole.withColumns({"__all": D.ordered(F.flatten("__chains")), "__s": stats("__chains")})
     every = F.col("__all")
     centre = D.mean(every)
     squares = F.aggregate(every, F.lit(0.0), lambda acc, x: acc + F.pow(x - F.col("mean"), 2))

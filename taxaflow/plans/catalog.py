@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from taxaflow.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -18,7 +20,11 @@ def query(name: str, sql: str | None = None):
     """Register a query under ``name`` with its SQL, if SQL can express it."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, folder: rounded(fn(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return rounded(fn(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -52,5 +58,5 @@ listed AS (SELECT occ.*, list_length FROM occ LEFT JOIN lengths USING (list))"""
 
 DRAWS = """draws AS (
   SELECT 'model ' || (user_id % 3) AS type, 'taxon ' || (user_id % 4) AS taxa, event_type AS geo,
-         CAST(day(ts) AS INTEGER) AS year, CAST(event_id % 20 AS INTEGER) AS draw, avg(value) AS pred
+         CAST(day(ts) AS INTEGER) AS year, CAST(event_id % 20 AS INTEGER) AS draw, ln(1 + avg(value)) AS pred
   FROM events GROUP BY ALL)"""

@@ -1 +1,124 @@
-"""Queries."""
+"""Queries that fit trend models to the occurrence records."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from taxaflow.functions import draws as D
+from taxaflow.models.predict import residuals
+from taxaflow.operators import summary as S
+from taxaflow.operators.contrast import year_diff_draws
+from taxaflow.operators.diagnostics import coefficient_counts
+from taxaflow.operators.explore import residual_stats
+from taxaflow.plans.catalog import OCC, query, r
+from taxaflow.plans.record_queries import listed, occurrences
+from taxaflow.plans.trends import change_since, list_length_model, model_results, occupancy_model, reporting_rate_model
+
+DRAWS = 200
+
+# A binary time makes the logistic model saturated, so its coefficients have a closed form.
+_SATURATED = f"""{OCC}, x AS (SELECT taxa, region, CAST(quantity > 25 AS INTEGER) AS late, success FROM occ),
+med AS (SELECT taxa, quantile_cont(late, 0.5) AS m FROM x GROUP BY taxa),
+p AS (SELECT taxa, region, ln(sum(success) FILTER (WHERE late = 0) / (count(*) FILTER (WHERE late = 0) - sum(success) FILTER (WHERE late = 0))) AS l0,
+             ln(sum(success) FILTER (WHERE late = 1) / (count(*) FILTER (WHERE late = 1) - sum(success) FILTER (WHERE late = 1))) AS l1
+      FROM x GROUP BY ALL),
+own AS (SELECT taxa, region, l0 + (l1 - l0) * m AS a, l1 - l0 AS b, row_number() OVER (PARTITION BY taxa ORDER BY region) AS i FROM p JOIN med USING (taxa)),
+ref AS (SELECT taxa, a AS a0, b AS b0 FROM own WHERE i = 1)"""
+
+
+def saturated(spark, folder):
+    data = occurrences(spark, folder).withColumn("late", (F.col("quantity") > 25).cast("int"))
+    return list_length_model(data, "taxa", "success", var_col="late", cat_col="region", cov_col=None, prior_scale=None, n_draws=10)
+
+
+@query(
+    "fit_glm",
+    f"""WITH {_SATURATED} SELECT taxa, '(Intercept)' AS term, {r('a0')} AS estimate FROM ref
+        UNION ALL SELECT taxa, 'var', {r('b0')} FROM ref
+        UNION ALL SELECT taxa, 'cat' || region, {r('a - a0')} FROM own JOIN ref USING (taxa) WHERE i > 1
+        UNION ALL SELECT taxa, 'var:cat' || region, {r('b - b0')} FROM own JOIN ref USING (taxa) WHERE i > 1""",
+)
+def _(spark, folder):
+    return saturated(spark, folder)[1].coef.drop("sd")
+
+
+@query(
+    "fit_gaussian",
+    f"""WITH {OCC}, med AS (SELECT taxa, quantile_cont(year, 0.5) AS m FROM occ GROUP BY taxa),
+        f AS (SELECT taxa, regr_slope(ln(price), year - m) AS b, regr_intercept(ln(price), year - m) AS a FROM occ JOIN med USING (taxa) GROUP BY taxa)
+        SELECT taxa, '(Intercept)' AS term, {r('a')} AS estimate FROM f UNION ALL SELECT taxa, 'var', {r('b')} FROM f""",
+)
+def _(spark, folder):
+    data = occurrences(spark, folder).withColumn("log_price", F.ln("price"))
+    fit = list_length_model(data, "taxa", "log_price", family="gaussian", cov_col=None, prior_scale=None, n_draws=10)[1]
+    return fit.coef.drop("sd")
+
+
+def list_length_fit(spark, folder, **options):
+    data = listed(spark, folder).where("list_length is not null")
+    return list_length_model(data, "taxa", "success", cat_col="region", n_draws=DRAWS, **options)
+
+
+@query("fit_list_length")
+def _(spark, folder):
+    return list_length_fit(spark, folder)[1].coef
+
+
+@query("model_status")
+def _(spark, folder):
+    return coefficient_counts(list_length_fit(spark, folder)[1].spec).select(
+        "taxa", "n_data", "n_cov", "n_cat", "n_fixed_coefs", "n_random_coefs", "status", "converged", "message"
+    )
+
+
+@query("fit_spline")
+def _(spark, folder):
+    fit = list_length_fit(spark, folder, mod_type="gam")[1]
+    return fit.spec.select("taxa", "weight_all", "weight_own", "iterations", "converged", "status")
+
+
+@query("fit_random")
+def _(spark, folder):
+    fit = list_length_fit(spark, folder, random_col="site", rand_slope=False, max_iter=4)[1]
+    return fit.coef
+
+
+@query("model_results")
+def _(spark, folder):
+    frame, fit = list_length_fit(spark, folder)
+    return model_results(frame, fit, ref=-3, n_draws=DRAWS)["res"]
+
+
+@query("residuals_of_fit")
+def _(spark, folder):
+    frame, fit = list_length_fit(spark, folder)
+    return residual_stats(residuals(fit, frame), ["taxa"])
+
+
+@query("rr_trend")
+def _(spark, folder):
+    counts = occurrences(spark, folder).groupBy("taxa", "year", "region", "nation").agg(
+        F.sum("success").alias("success"), F.count("success").alias("trials")
+    )
+    frame, fit = reporting_rate_model(counts, "taxa", ["region"], "nation", n_draws=DRAWS, max_iter=5)
+    return S.change_summary(change_since(frame, fit, 1996, 2000, "region"), ["taxa", "region"])
+
+
+@query("occ_trend")
+def _(spark, folder):
+    _, frame, fit = occupancy_model(occurrences(spark, folder), "kind", ["region"], "site", rounds=100, n_draws=DRAWS)
+    return S.change_summary(change_since(frame, fit, 1996, 2000, "region"), ["kind", "region"])
+
+
+@query("overall_of_models")
+def _(spark, folder):
+    """Reporting-rate and occupancy models of the same taxa, stacked and judged together."""
+    occ = occurrences(spark, folder)
+    counts = occ.groupBy("kind", "year", "region").agg(F.sum("success").alias("success"), F.count("success").alias("trials"))
+    rate_frame, rate = reporting_rate_model(counts, "kind", ["region"], None, n_draws=DRAWS)
+    _, cell_frame, cell = occupancy_model(occ, "kind", ["region"], "site", rounds=100, n_draws=DRAWS)
+    models = {
+        name: year_diff_draws(change_since(frame, fit, 1996, 2000, "region")).select("kind", "region", "draw", "diff")
+        for name, frame, fit in (("reporting rate", rate_frame, rate), ("occupancy", cell_frame, cell))
+    }
+    return S.overall_change(S.stack_models(models), ["kind"])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +35,22 @@ def build_session(app: str = "taxaflow", master: str | None = None, **conf: str)
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there.
+    """Write ``df`` to the shared checkpoint folder as a table and read it back.
+
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    A table has true sizes, which tells Spark what is small enough to broadcast,
+    and carries none of the plan's accumulated constraints into the next round.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
     local session without that setting gets a temporary folder of its own.
     """
     spark = df.sparkSession
+    path = f"{_checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,4 +59,18 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="taxaflow-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    base = str(Path(tempfile.mkdtemp(prefix="taxaflow-zip-")) / root.name)
+    context.addPyFile(shutil.make_archive(base, "zip", root.parent, root.name))
+    _shipped.add(context)
+
+
+_shipped: set = set()

@@ -70,7 +70,7 @@ def read_event_draws(spark: SparkSession, folder: str, n_draws: int = 20) -> Dat
     """Draws built from a folder's event table: ``(type, geo, taxa, year, draw, pred)``.
 
     A day of the month stands for a year, an event type for a geography or
-    category; values that share all keys are averaged, so keys are unique.
+    category; values that share all keys are averaged, so keys are unique, and put on a log scale.
     """
     events = spark.read.parquet(f"{folder}/events.parquet")
     named = events.select(
@@ -82,4 +82,4 @@ def read_event_draws(spark: SparkSession, folder: str, n_draws: int = 20) -> Dat
         F.col("value").alias("pred"),
     )
     keys = ("type", "taxa", "geo", "year", "draw")
-    return named.groupBy(*keys).agg(F.avg("pred").alias("pred"))
+    return named.groupBy(*keys).agg(F.log1p(F.avg("pred")).alias("pred"))
