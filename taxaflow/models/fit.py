@@ -18,7 +18,7 @@ from taxaflow.session import durable
 
 LINKS = {"binomial": "logit", "gaussian": "identity", "beta": "logit"}
 #: Rounds after which the penalty weights stay as they are.
-SETTLE = 5
+SETTLE = 3
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,11 @@ def _schema(df: DataFrame, by: str, rest: str) -> T.StructType:
     return T.StructType([df.schema[by], *T.StructType.fromDDL(rest).fields])
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Few bytes but much arithmetic per row: keep all shuffle partitions instead of merging small ones."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _dot(u: Column, beta: Column, q: int) -> Column:
     total = u[0] * beta[0]
     for i in range(1, q):
@@ -113,7 +118,7 @@ def _eliminate(stats: DataFrame, sigma: DataFrame, by: str, q: int, t: int) -> D
     meets in one task.
     """
     per_level = stats.groupBy(by, "rand").agg(F.collect_list(F.struct("cat", "h", "g", "pearson")).alias("parts"))
-    rows = join_same(per_level, sigma, [by], "inner").select(by, "parts", "precision")
+    rows = _spread(join_same(per_level, sigma, [by], "inner").select(by, "rand", "parts", "precision"), by, "rand")
     names = [f"h{i}" for i in range(q * q)] + [f"g{i}" for i in range(q)]
     key = stats.schema[by]
     schema = T.StructType(
@@ -172,7 +177,7 @@ def _solve_models(equations: DataFrame, design: DataFrame, state: DataFrame | No
         out.insert(0, by, pdf[by].iloc[0])
         return out
 
-    return rows.groupBy(by).applyInPandas(solve, schema)
+    return _spread(rows, by).groupBy(by).applyInPandas(solve, schema)
 
 
 def solve_group(pdf: pd.DataFrame, cats: list[str], q: int, k: int | None, family: str, prior_scale, settled: bool) -> dict:
@@ -190,7 +195,7 @@ def solve_group(pdf: pd.DataFrame, cats: list[str], q: int, k: int | None, famil
                 out["weights"] = (float(pdf["weight_all"].iloc[0]), float(pdf["weight_own"].iloc[0]))
             else:
                 out["weights"] = choose_weights(inner, right, shape, k, knots, prior_scale)
-        theta, factor, _ = penalised_fit(inner, right, prior(shape, k, knots, out["weights"], prior_scale))
+        theta, factor = penalised_fit(inner, right, prior(shape, k, knots, out["weights"], prior_scale))
         out.update(theta=theta, factor=factor, shape=shape, beta=(shape.spread @ theta).reshape(len(cats), q))
         if family != "binomial":
             n = float(pdf["n_data"].iloc[0])
@@ -269,20 +274,22 @@ def fit_trend(
     uses its mean and variance only (quasi-likelihood).  Draws are Laplace draws
     around the fit; random effects are integrated out of the coefficients.
 
-    Rounds stop when no coefficient moves by more than ``tol`` (relative), 1e-8
-    or, with random effects whose variances settle slowly, 1e-4.
+    Rounds stop when no coefficient moves by more than ``tol`` (relative): 1e-8,
+    or 1e-5 with an estimated dispersion and 1e-4 with random effects, whose
+    variances settle slowly.
 
-    Each round is one aggregate over the patterns, written to checkpoint storage
-    with the small state, so a lost executor repeats at most that round.
+    Each round is one aggregate over the stored patterns, and its small result is
+    stored too, so a lost executor repeats at most that round.
     """
     if family not in LINKS:
         raise ValueError(f"unknown family {family!r}")
     q = width(k)
     patterns = patterns if "cat" in patterns.columns else patterns.withColumn("cat", F.lit(NO_CAT))
     t = 0 if "rand" not in patterns.columns else 2 if rand_slope and k is None else 1
-    tol = tol if tol is not None else 1e-4 if t else 1e-8
+    tol = tol if tol is not None else 1e-4 if t else 1e-8 if family == "binomial" else 1e-5
     needed = [c for c in ("var", "use_cov", "cat", "rand", "y", "y_total") if c in patterns.columns]
-    patterns = patterns.dropna("any", subset=needed).withColumn("cat", F.col("cat").cast("string"))
+    # The source is read once; every later pass starts from the compressed patterns.
+    patterns = durable(patterns.dropna("any", subset=needed).withColumn("cat", F.col("cat").cast("string")))
     variance = (F.col("__y_sq") - F.col("__y") * F.col("__y") / F.col("n_data")) / F.col("n_data")
     phi0 = {"binomial": F.lit(1.0), "beta": F.lit(0.1), "gaussian": F.greatest(variance, F.lit(1e-12))}[family]
     design = durable(build_design(patterns, by, k).withColumn("__phi0", phi0))
@@ -348,7 +355,7 @@ def _posterior(equations, design, coef, by, q, k, family, prior_scale, n_draws,
         out.insert(0, by, model)
         return out
 
-    return rows.groupBy(by).applyInPandas(finish, schema)
+    return _spread(rows, by).groupBy(by).applyInPandas(finish, schema)
 
 
 def natural_scale(names: list[str], theta: np.ndarray, factor: np.ndarray, info: pd.Series, k: int | None):
@@ -384,6 +391,7 @@ def _tables(final, coef, design, levels, sigma, by, family, k, t, rounds, tol) -
         {
             "family": F.lit(family),
             "link": F.lit(LINKS[family]),
+            "n_level_effects": F.col("n_rand") * t,
             "iterations": F.lit(rounds),
             "converged": F.coalesce((F.col("delta") <= max(10 * tol, 1e-6)) & message.isNull(), F.lit(False)),
             "status": F.when(message.isNull(), "ok").otherwise("error"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 
@@ -96,24 +95,33 @@ def prior(shape: Layout, k: int | None, knots, weights: tuple[float, float], pri
 
 
 def penalised_fit(h: np.ndarray, g: np.ndarray, precision: np.ndarray):
-    """Solution, Cholesky factor and the penalised quadratic gain."""
+    """Solution and Cholesky factor."""
     full = h + precision
     factor = np.linalg.cholesky(full)
-    half = np.linalg.solve(factor, g)
-    return np.linalg.solve(factor.T, half), factor, float(half @ half)
+    return np.linalg.solve(factor.T, np.linalg.solve(factor, g)), factor
 
 
 def choose_weights(h, g, shape: Layout, k: int, knots, prior_scale) -> tuple[float, float]:
-    """Penalty weights with the best restricted likelihood of the working model."""
+    """Penalty weights with the best restricted likelihood of the working model.
+
+    All weights of the category curves are tried at once for each weight of the shared curve.
+    """
     sizes = {kind: len(where) for kind, where in shape.blocks if kind.startswith("smooth")}
     own = sum(size for kind, size in sizes.items() if kind != "smooth")
+    powers = np.array(PENALTIES if own else (0,), float)
+    fixed = prior(shape, k, knots, (0.0, 0.0), prior_scale)
+    shared = prior(shape, k, knots, (1.0, 0.0), prior_scale) - fixed
+    separate = prior(shape, k, knots, (0.0, 1.0), prior_scale) - fixed
     best, chosen = -np.inf, (1.0, 1.0)
-    for a, b in product(PENALTIES, PENALTIES if own else (0,)):
-        weights = (10.0**a, 10.0**b)
-        _, factor, gain = penalised_fit(h, g, prior(shape, k, knots, weights, prior_scale))
-        score = gain / 2 - np.log(np.diag(factor)).sum() + (sizes["smooth"] * np.log(weights[0]) + own * np.log(weights[1])) / 2
-        if score > best:
-            best, chosen = score, weights
+    for power in PENALTIES:
+        full = (h + fixed + 10.0**power * shared)[None] + (10.0**powers)[:, None, None] * separate[None]
+        factor = np.linalg.cholesky(full)
+        gain = np.linalg.solve(full, np.broadcast_to(g[:, None], (len(powers), len(g), 1)))[:, :, 0] @ g
+        volume = np.log(np.diagonal(factor, axis1=1, axis2=2)).sum(axis=1)
+        score = gain / 2 - volume + np.log(10) * (sizes["smooth"] * power + own * powers) / 2
+        i = int(np.argmax(score))
+        if score[i] > best:
+            best, chosen = score[i], (10.0**power, 10.0 ** powers[i])
     return chosen
 
 

@@ -97,13 +97,18 @@ def parameter_summary(draws: DataFrame, by: Iterable[str] = (), probs: Sequence[
 
 
 def coefficient_counts(spec: DataFrame) -> DataFrame:
-    """Fixed and random coefficients, rows used and whether the covariate is in each model."""
-    require(spec, "coefficients", "terms", "n_data")
+    """Fixed and random coefficients, and whether the covariate is in each model.
+
+    Random coefficients are those named ``b[...]``, as samplers export them, or
+    the level effects that our own fit keeps apart.
+    """
+    require(spec, "coefficients")
     is_random = lambda c: c.startswith("b[")
+    apart = F.coalesce("n_level_effects", F.lit(0)) if "n_level_effects" in spec.columns else F.lit(0)
     return spec.withColumns(
         {
-            "n_fixed_coefs": F.size(F.filter("coefficients", lambda c: ~is_random(c))),
-            "n_random_coefs": F.size(F.filter("coefficients", is_random)),
-            "has_cov": F.array_contains("terms", "use_cov"),
+            "n_fixed_coefs": F.size(F.filter("coefficients", lambda c: ~is_random(c))).cast("long"),
+            "n_random_coefs": F.size(F.filter("coefficients", is_random)) + apart.cast("long"),
+            "has_cov": F.array_contains("coefficients", "use_cov"),
         }
     ).drop("coefficients")

@@ -67,7 +67,7 @@ def _(spark, folder):
 @query("model_status")
 def _(spark, folder):
     return coefficient_counts(list_length_fit(spark, folder)[1].spec).select(
-        "taxa", "n_data", "n_cov", "n_cat", "n_fixed_coefs", "n_random_coefs", "status", "converged", "message"
+        "taxa", "n_data", "n_cov", "n_cat", "n_fixed_coefs", "n_random_coefs", "has_cov", "status", "converged", "message"
     )
 
 
@@ -106,7 +106,7 @@ def _(spark, folder):
 
 @query("occ_trend")
 def _(spark, folder):
-    _, frame, fit = occupancy_model(occurrences(spark, folder), "kind", ["region"], "site", rounds=100, n_draws=DRAWS)
+    _, frame, fit = occupancy_model(occurrences(spark, folder), "kind", ["region"], "site", rounds=100, n_draws=DRAWS, max_iter=8)
     return S.change_summary(change_since(frame, fit, 1996, 2000, "region"), ["kind", "region"])
 
 
@@ -116,7 +116,7 @@ def _(spark, folder):
     occ = occurrences(spark, folder)
     counts = occ.groupBy("kind", "year", "region").agg(F.sum("success").alias("success"), F.count("success").alias("trials"))
     rate_frame, rate = reporting_rate_model(counts, "kind", ["region"], None, n_draws=DRAWS)
-    _, cell_frame, cell = occupancy_model(occ, "kind", ["region"], "site", rounds=100, n_draws=DRAWS)
+    _, cell_frame, cell = occupancy_model(occ, "kind", ["region"], "site", rounds=100, n_draws=DRAWS, max_iter=8)
     models = {
         name: year_diff_draws(change_since(frame, fit, 1996, 2000, "region")).select("kind", "region", "draw", "diff")
         for name, frame, fit in (("reporting rate", rate_frame, rate), ("occupancy", cell_frame, cell))

@@ -16,6 +16,7 @@ from taxaflow.operators.frame import compress_patterns, model_frame
 from taxaflow.operators.grid import cov_quantiles, observed_contexts, prediction_grid
 from taxaflow.operators.occupancy import occupancy_fit
 from taxaflow.operators.summary import RES_Q, posterior_summary
+from taxaflow.session import durable
 
 # Spline knots of the list-length, reporting-rate and occupancy models.
 K_LIST_LENGTH = 6
@@ -96,7 +97,7 @@ def occupancy_model(
 ) -> tuple[DataFrame, DataFrame, TrendFit]:
     """Occupancy per year and geography, then a Beta-response spline of time by geography."""
     geo_cols = names(geo_cols)
-    cells = occupancy_fit(df, geo_cols, [site_col], [taxa_col], time_col, success_col, rounds)
+    cells = durable(occupancy_fit(df, geo_cols, [site_col], [taxa_col], time_col, success_col, rounds))
     usable = cells.where(F.col("occ").isNotNull()).withColumn("occ", clamp_proportion(F.col("occ"), OCCUPANCY_MARGIN))
     frame = model_frame(usable, taxa_col, "occ", None, time_col, geo_cols[-1], None, None)
     fit = fit_trend(compress_patterns(frame, taxa_col), taxa_col, "beta", K_OTHER, False, **fit_options)
