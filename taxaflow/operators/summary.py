@@ -214,7 +214,7 @@ def sample_draws(draws: DataFrame, n: int, by: Iterable[str] = (), draw_col: str
     """
     by = names(by)
     numbers = draws.select(*by, draw_col).distinct()
-    order = F.struct(F.xxhash64(F.lit(seed), F.col(draw_col).cast("long")).alias("h"), F.col(draw_col).alias("d"))
+    order = F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col(draw_col))).alias("h"), F.col(draw_col).alias("d"))
     chosen = numbers.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(order)), 1, n).alias("__s"))
     chosen = chosen.select(*by, F.explode("__s.d").alias(draw_col))
     return join_same(draws, chosen, [*by, draw_col], "left_semi")

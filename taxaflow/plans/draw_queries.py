@@ -303,7 +303,12 @@ def _(spark, folder):
     return C.spaghetti_table(arrays(spark, folder).withColumn("divergent", _FLAGS), KEYS, n=N, by=["taxa"])
 
 
-@query("sample_draws")
+@query(
+    "sample_draws",
+    f"""WITH {_D}, n AS (SELECT DISTINCT taxa, draw FROM d),
+        o AS (SELECT *, row_number() OVER (PARTITION BY taxa ORDER BY md5('1:' || draw)) AS i FROM n)
+        SELECT taxa, geo, year, draw, {r('pred')} AS pred FROM d JOIN o USING (taxa, draw) WHERE i <= 5""",
+)
 def _(spark, folder):
     return S.sample_draws(draws(spark, folder), 5, ["taxa"])
 
@@ -316,11 +321,13 @@ def _(spark, folder):
 
 
 def chain_rows(spark, folder):
-    """Event values as chains of parameter draws."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
-    return events.select(
-        F.col("event_type").alias("parameter"), F.pmod("user_id", F.lit(4)).alias("chain"), F.floor(F.col("event_id") / 8).alias("draw"), "value"
-    ).groupBy("parameter", "chain", "draw").agg(F.avg("value").alias("value"))
+    """Event values as draws of one parameter in chains of 1000, a model to every 4000 events."""
+    rows = spark.read.parquet(f"{folder}/events.parquet").withColumn("value", F.log1p("value"))
+    block = F.floor(F.col("event_id") / 1000)
+    return rows.select(
+        F.floor(block / 4).alias("model_id"), F.lit("value").alias("parameter"), F.pmod(block, F.lit(4)).cast("int").alias("chain"),
+        F.pmod("event_id", F.lit(1000)).alias("draw"), "value",
+    )
 
 
 _PARAMS = f"""p AS (SELECT event_type AS parameter, user_id % 10 AS m, avg(value) / 50 AS Rhat, count(*) / 2.0 AS n_eff FROM events GROUP BY ALL)"""
@@ -348,9 +355,25 @@ def _(spark, folder):
     return G.divergence_summary(rows, ["taxa"])
 
 
-@query("parameter_summary")
+_CHAINS = """x AS (SELECT event_id // 4000 AS model_id, event_id // 500 AS half, ln(1 + value) AS v FROM events),
+halves AS (SELECT model_id, half, avg(v) AS m, var_samp(v) AS s FROM x GROUP BY ALL),
+conv AS (SELECT model_id, avg(s) AS w, 500 * var_samp(m) AS b FROM halves GROUP BY model_id),
+stats AS (SELECT model_id, avg(v) AS mean, stddev_samp(v) AS sd, quantile_cont(v, 0.1) AS q10, quantile_cont(v, 0.5) AS q50,
+                 quantile_cont(v, 0.9) AS q90 FROM x GROUP BY model_id)"""
+
+
+@query(
+    "parameter_summary",
+    f"""WITH {_CHAINS} SELECT model_id, 'value' AS parameter, {r('mean')} AS mean, {r('sd')} AS sd, {r('q10')} AS q10, {r('q50')} AS q50,
+        {r('q90')} AS q90, {r('sqrt((499 * w / 500 + b / 500) / w)')} AS Rhat FROM stats JOIN conv USING (model_id)""",
+)
+def _(spark, folder):
+    return G.parameter_summary(chain_rows(spark, folder), ["model_id"]).drop("n_eff")
+
+
+@query("effective_size")
 def _(spark, folder):
-    return G.parameter_summary(chain_rows(spark, folder))
+    return G.parameter_summary(chain_rows(spark, folder), ["model_id"]).select("model_id", "parameter", "n_eff")
 
 
 @query(
