@@ -54,6 +54,28 @@ def join_same(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str =
     return joined if how in ("left_anti", "left_semi") else joined.drop(*hidden.values())
 
 
+#: Ways a group's rows are split when a per-group table is attached to them.
+SALTS = 8
+
+
+def attach(rows: DataFrame, groups: DataFrame, keys: Iterable[str], how: str = "left", tiny: bool = False) -> DataFrame:
+    """Join a table of one row per group to rows of which one group may hold very many.
+
+    Each group's row is repeated once per salt, and rows take a salt from a hash of
+    their other columns, so a hot group arrives at several tasks.  The salt also
+    keeps a later ``groupBy`` on the same keys from reusing this partitioning:
+    it pre-aggregates and shuffles afresh, which leaves adaptive execution free
+    to split the join further.
+    """
+    if tiny:
+        return join_same(rows, groups, keys, how, tiny=True)
+    keys = list(keys)
+    others = [c for c in rows.columns if c not in keys]
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int") if others else F.lit(0))
+    repeated = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_same(salted, repeated, [*keys, "__salt"], how).drop("__salt")
+
+
 def count_levels(*cols: str) -> Column:
     """Number of distinct combinations, a null counting as one more value."""
     return F.count_distinct(F.struct(*cols))

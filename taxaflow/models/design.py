@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.functions.keys import join_same
+from taxaflow.functions.keys import attach, join_same
 from taxaflow.operators.quantiles import group_quantiles
 
 #: Category of a model without categories.
@@ -70,7 +70,7 @@ def time_columns(k: int | None) -> list[Column]:
 
 def with_features(rows: DataFrame, design: DataFrame, by: str, k: int | None, name: str = "u") -> DataFrame:
     """Add the design row as an array; rows need ``var`` and, if modelled, ``use_cov``."""
-    joined = join_same(rows, design.select(by, "var_scale", "cov_centre", "cov_scale", "knots"), [by], "inner")
+    joined = attach(rows, design.select(by, "var_scale", "cov_centre", "cov_scale", "knots"), [by], "inner")
     cov = (F.col("use_cov") - F.col("cov_centre")) / F.col("cov_scale") if "use_cov" in rows.columns else F.lit(0.0)
     cov = F.when(F.col("cov_scale").isNull(), F.lit(0.0)).otherwise(cov)
     features = F.array(F.lit(1.0), *time_columns(k), cov)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxaflow.functions.keys import join_same
+from taxaflow.functions.keys import attach, join_same
 from taxaflow.functions.links import inverse_link
 from taxaflow.models.design import NO_CAT, build_design, width, with_features
 from taxaflow.models.solve import choose_weights, gather, layout, normals, penalised_fit, prior
@@ -95,10 +95,10 @@ def _pass_over(patterns: DataFrame, coef: DataFrame | None, levels: DataFrame |
     """Normal equations per model, category and, with random effects, level."""
     keys = [by, "cat", *(["rand"] if t else [])]
     if coef is None:
-        rows = join_same(patterns, start_phi, [by]).withColumn("__eta", _first_eta(family))
+        rows = attach(patterns, start_phi, [by]).withColumn("__eta", _first_eta(family))
     else:
         state = coef.select(by, "cat", "beta", F.col("phi").alias("__phi"))
-        rows = join_same(patterns, state, [by, "cat"], "inner").withColumn("__eta", _dot(F.col("u"), F.col("beta"), q))
+        rows = attach(patterns, state, [by, "cat"], "inner").withColumn("__eta", _dot(F.col("u"), F.col("beta"), q))
         if t:
             rows = join_same(rows, levels.select(by, "rand", "b"), [by, "rand"])
             extra = F.coalesce(F.col("b")[0], F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxaflow.functions import draws as D
-from taxaflow.functions.keys import join_same, names, require
+from taxaflow.functions.keys import attach, join_same, names, require
 
 
 def with_difference(pred: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def year_diff(
     tests = pred.where(F.col(time_col).isin(reference, recent))
     if limit_preds:
         eligible = eligible_contexts(data, geo_cols, time_col, reference, recent).select(*geo_cols)
-        tests = join_same(tests, eligible, geo_cols, "left_semi")
+        tests = attach(tests, eligible, geo_cols, "left_semi")
 
     def at(when: int):
         return F.first(F.when(F.col(time_col) == when, F.col("pred")), ignorenulls=True)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxaflow.functions.keys import join_same, names, require
+from taxaflow.functions.keys import attach, join_same, names, require
 from taxaflow.operators.lists import presences
 
 #: Taxa to a block: a task holds the counts of one pair of blocks.
@@ -69,7 +69,7 @@ def shared_sites(pres: DataFrame, taxa: DataFrame, by: Iterable[str] = ()) -> Da
     """
     by = names(by)
     ranks = taxa.select(*by, "taxon", "rank", "block", "blocks", F.ceil(F.col("rows") / TASK_ROWS).cast("int").alias("__buckets"))
-    placed = join_same(pres, ranks, [*by, "taxon"], "inner")
+    placed = attach(pres, ranks, [*by, "taxon"], "inner")
     bucket = F.pmod(F.xxhash64("site"), F.col("__buckets")).cast("int").alias("bucket")
     spread = placed.select(*by, "site", "rank", "block", bucket, F.inline(_block_pairs(F.col("block"), F.col("blocks"))))
     schema = T.StructType(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxaflow.functions.keys import join_same, names, require
+from taxaflow.functions.keys import attach, join_same, names, require
 from taxaflow.operators.quantiles import group_quantiles
 
 
@@ -58,12 +58,12 @@ def box_summary(df: DataFrame, resp: str, cols: Iterable[str], by: Iterable[str]
     keys = [*by, "variable", "level"]
     if max_levels is not None:
         few = level_counts(df, cols, by, max_levels).select(*by, "variable").distinct()
-        long = join_same(long, few, [*by, "variable"], "left_semi", tiny=not by)
+        long = attach(long, few, [*by, "variable"], "left_semi", tiny=not by)
     quartiles = group_quantiles(long, keys, "__r", [0.25, 0.5, 0.75], few_values=False)
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = F.col("__r").between(F.col("q25") - reach, F.col("q75") + reach)
     return (
-        join_same(long.where(F.col("__r").isNotNull()), quartiles, keys, "inner", tiny=not by and max_levels is not None)
+        attach(long.where(F.col("__r").isNotNull()), quartiles, keys, "inner", tiny=not by and max_levels is not None)
         .groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -91,7 +91,7 @@ def histogram(df: DataFrame, cols: Iterable[str], by: Iterable[str] = (), bins:
     """Counts in equal-width bins from the least to the greatest value of each variable."""
     keys = [*names(by), "variable"]
     long = long_numbers(df, cols, by).where(F.col("value").isNotNull())
-    placed = join_same(long, _ranges(long, keys), keys, tiny=not names(by)).withColumn("bin", _bin(bins))
+    placed = attach(long, _ranges(long, keys), keys, tiny=not names(by)).withColumn("bin", _bin(bins))
     width = (F.first("__high") - F.first("__low")) / bins
     return placed.groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).alias("n"),
@@ -105,7 +105,7 @@ def binned_mean(df: DataFrame, resp: str, cols: Iterable[str], by: Iterable[str]
     keys = [*names(by), "variable"]
     long = long_numbers(df.withColumn("__r", F.col(resp).cast("double")), cols, [*names(by), "__r"])
     long = long.where(F.col("value").isNotNull() & F.col("__r").isNotNull())
-    placed = join_same(long, _ranges(long, keys), keys, tiny=not names(by)).withColumn("bin", _bin(bins))
+    placed = attach(long, _ranges(long, keys), keys, tiny=not names(by)).withColumn("bin", _bin(bins))
     return placed.groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("value").alias("mean_value"),
@@ -137,7 +137,7 @@ def density_of(long: DataFrame, keys: Sequence[str], points: int = 128, bins: in
     narrow = F.when((iqr > 0) & (iqr < F.col("__sd")), iqr).otherwise(F.col("__sd"))
     stats = join_same(spread, quartiles, keys).where(F.col("__sd") > 0)
     stats = stats.withColumn("__bw", 0.9 * narrow * F.pow(F.col("__n"), F.lit(-0.2)))
-    placed = join_same(long, stats, keys, "inner", tiny=tiny).withColumn("__bin", _bin(bins))
+    placed = attach(long, stats, keys, "inner", tiny=tiny).withColumn("__bin", _bin(bins))
     counts = placed.groupBy(*keys, "__bin", "__low", "__high", "__bw", "__n").agg(F.count(F.lit(1)).alias("__c"))
     start, stop = F.col("__low") - 3 * F.col("__bw"), F.col("__high") + 3 * F.col("__bw")
     step = (stop - start) / (points - 1)

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.functions.keys import count_levels, join_same, names, nan_to_null, require
+from taxaflow.functions.keys import attach, count_levels, names, nan_to_null, require
 from taxaflow.functions.links import clamp_proportion
 from taxaflow.operators.quantiles import group_quantiles
 
@@ -34,7 +34,7 @@ def model_frame(
     require(df, *by, *[c for c in [*chosen.values(), var_col] if c])
     if var_col:
         centre = group_quantiles(df, by, var_col, [0.5], prefix="__centre_")
-        df = join_same(df, centre, by).withColumn("__var", F.col(var_col) - F.col("__centre_q50")).drop("__centre_q50")
+        df = attach(df, centre, by).withColumn("__var", F.col(var_col) - F.col("__centre_q50")).drop("__centre_q50")
     out = df.withColumns({name: F.col(col) for name, col in chosen.items() if col})
     if var_col:
         out = out.withColumn("var", F.col("__var")).drop("__var")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from taxaflow.functions.keys import is_integral, join_same, names, nan_to_null, require
+from taxaflow.functions.keys import attach, is_integral, join_same, names, nan_to_null, require
 from taxaflow.functions.text import quantile_name
 
 #: Distinct values a group keeps for choosing its bin bounds.
@@ -57,10 +57,10 @@ def _ranked_quantiles(df: DataFrame, by: list[str], value: str, probs: Sequence[
     # Reading __c keeps this branch's shuffle equal to the other ones, so Spark reuses it.
     sizes = counts.groupBy(*by).agg(F.sum((F.col("__c") > 0).cast("long")).alias("__distinct"))
     chance = F.lit(float(SAMPLE)) / F.col("__distinct")
-    sampled = join_same(counts, sizes, by, "inner").where(
+    sampled = attach(counts, sizes, by, "inner").where(
         F.pmod(F.xxhash64(value), F.lit(1 << 20)) < chance * (1 << 20)
     )
-    cuts = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    cuts = F.expr("array(" + ", ".join(f"{i / BINS}D" for i in range(1, BINS)) + ")")
     bounds = sampled.groupBy(*by).agg(F.percentile(value, cuts, F.col("__c")).alias("__bounds"))
     bounds = bounds.withColumn("__coarse", F.transform(F.sequence(F.lit(STEP), F.lit(BINS - 1), F.lit(STEP)), lambda i: F.col("__bounds")[i - 1]))
 
@@ -70,7 +70,7 @@ def _ranked_quantiles(df: DataFrame, by: list[str], value: str, probs: Sequence[
     coarse = F.coalesce(below(F.col("__coarse")), F.lit(0))
     fine = F.slice("__bounds", F.col("__part") * STEP + 1, F.lit(STEP - 1))
     binned = (
-        join_same(counts, bounds, by)
+        attach(counts, bounds, by)
         .withColumn("__part", coarse)
         .withColumn("__bin", F.col("__part") * STEP + F.coalesce(below(fine), F.lit(0)))
         .drop("__bounds", "__coarse", "__part")

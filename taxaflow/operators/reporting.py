@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.functions.keys import join_same, names, require
+from taxaflow.functions.keys import attach, names, require
 from taxaflow.functions.links import proportion
 
 
@@ -23,7 +23,7 @@ def reporting_rate(df: DataFrame, keys: Iterable[str], success_col: str = "succe
 def points_at(raw: DataFrame, shown: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Raw rows at the values that a result shows."""
     cols = names(cols)
-    return join_same(raw, shown.select(*cols).distinct(), cols, "left_semi")
+    return attach(raw, shown.select(*cols).distinct(), cols, "left_semi")
 
 
 def latest_time(df: DataFrame, by: Iterable[str], time_col: str, recent: float | None = None) -> DataFrame:
@@ -32,18 +32,18 @@ def latest_time(df: DataFrame, by: Iterable[str], time_col: str, recent: float |
         return df.where(F.col(time_col) == recent)
     by = names(by)
     last = df.groupBy(*by).agg(F.max(time_col).alias(time_col))
-    return join_same(df, last, [*by, time_col], "left_semi")
+    return attach(df, last, [*by, time_col], "left_semi")
 
 
 def edge_times(df: DataFrame, by: Iterable[str], time_col: str) -> DataFrame:
     """Rows at the group's first or last time, ties kept."""
     by = names(by)
     ends = df.groupBy(*by).agg(F.min(time_col).alias("min"), F.max(time_col).alias("max"))
-    marked = join_same(df, ends, by).where((F.col(time_col) == F.col("min")) | (F.col(time_col) == F.col("max")))
+    marked = attach(df, ends, by).where((F.col(time_col) == F.col("min")) | (F.col(time_col) == F.col("max")))
     return marked.withColumn("edge", F.when(F.col(time_col) == F.col("min"), "min").otherwise("max")).drop("min", "max")
 
 
 def attach_levels(df: DataFrame, by: Iterable[str], col: str, name: str = "levels") -> DataFrame:
     """Number of distinct values of ``col`` in the group, on every row."""
     by = names(by)
-    return join_same(df, df.select(*by, col).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(name)), by)
+    return attach(df, df.select(*by, col).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(name)), by)

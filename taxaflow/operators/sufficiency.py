@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from taxaflow.functions.keys import join_same, names, nan_to_null, require
+from taxaflow.functions.keys import attach, names, nan_to_null, require
 from taxaflow.operators.lists import presences
 
 #: One boolean column per rule, in report order.
@@ -94,4 +94,4 @@ def filter_list_df(df: DataFrame, var_cols: str | Iterable[str] = "taxa", **rule
     A taxon without a usable record is in no rule's set and stays.
     """
     gone = filter_reasons(df, var_cols, **rules).where("removed").select(*names(var_cols))
-    return join_same(df, gone, names(var_cols), "left_anti")
+    return attach(df, gone, names(var_cols), "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxaflow.functions import draws as D
-from taxaflow.functions.keys import join_same, names, require, share
+from taxaflow.functions.keys import attach, join_same, names, require, share
 from taxaflow.functions.likelihood import LIKELIHOOD, Scale, add_likelihood, likelihood
 from taxaflow.functions.text import declining_text, interval_text, lower_text, sentence_list
 from taxaflow.operators.quantiles import group_quantiles
@@ -151,7 +151,7 @@ def change_summary(
 def with_lower_share(long_draws: DataFrame, by: Iterable[str], diff_col: str = "diff") -> DataFrame:
     """Share of negative differences of the group, kept on every draw row."""
     by = names(by)
-    return join_same(long_draws, long_draws.groupBy(*by).agg(share(F.col(diff_col) < 0).alias("lower")), by)
+    return attach(long_draws, long_draws.groupBy(*by).agg(share(F.col(diff_col) < 0).alias("lower")), by)
 
 
 def overall_change(
@@ -217,6 +217,6 @@ def sample_draws(draws: DataFrame, n: int, by: Iterable[str] = (), draw_col: str
     order = F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col(draw_col))).alias("h"), F.col(draw_col).alias("d"))
     chosen = numbers.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(order)), 1, n).alias("__s"))
     chosen = chosen.select(*by, F.explode("__s.d").alias(draw_col))
-    return join_same(draws, chosen, [*by, draw_col], "left_semi")
+    return attach(draws, chosen, [*by, draw_col], "left_semi")
 
 

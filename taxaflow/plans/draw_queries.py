@@ -313,7 +313,22 @@ def _(spark, folder):
     return S.sample_draws(draws(spark, folder), 5, ["taxa"])
 
 
-@query("change_density")
+@query(
+    "change_density",
+    f"""WITH {_STATS}, mx AS (SELECT taxa, max(year) AS year FROM c WHERE diff IS NOT NULL GROUP BY taxa),
+        z AS (SELECT c.taxa, c.geo, {_word('neg')} AS likelihood, diff AS value
+              FROM c JOIN mx USING (taxa, year) JOIN v USING (taxa, geo, year) WHERE diff IS NOT NULL),
+        t AS (SELECT taxa, geo, likelihood, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi,
+              (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34e0 AS iqr FROM z GROUP BY ALL),
+        b AS (SELECT *, 0.9e0 * (CASE WHEN iqr > 0 AND iqr < sd THEN iqr ELSE sd END) * pow(n, -0.2e0) AS bw FROM t WHERE sd > 0),
+        k AS (SELECT taxa, geo, CAST(least(floor((value - lo) / (hi - lo) * 512), 511) AS INTEGER) + 1 AS bin, count(*) AS c
+              FROM z JOIN b USING (taxa, geo) GROUP BY ALL),
+        g AS (SELECT k.*, likelihood, lo, hi, bw, n, CAST(unnest(range(0, 128)) AS INTEGER) AS point FROM k JOIN b USING (taxa, geo)),
+        x AS (SELECT *, lo - 3 * bw + point * (hi - lo + 6 * bw) / 127 AS x, lo + (bin - 0.5e0) * (hi - lo) / 512 AS centre FROM g)
+        SELECT taxa, geo, likelihood, point, {r('max(x)')} AS x,
+               {r('sum(c * exp(-0.5e0 * pow((x - centre) / bw, 2)) / (2.5066282746310002e0 * bw * n))')} AS density
+        FROM x GROUP BY taxa, geo, likelihood, point""",
+)
 def _(spark, folder):
     pred = lagged(spark, folder)
     res = S.posterior_summary(pred, KEYS, N, ps_thresh=0.5)
@@ -386,3 +401,32 @@ def _(spark, folder):
     mean = rows.groupBy("taxa", "geo").agg(F.avg("pred").alias("mu"))
     both = join_same(rows, mean, ["taxa", "geo"]).withColumn("residual", F.col("pred") - F.col("mu"))
     return residual_stats(both, ["taxa"])
+
+
+_MEANS = f"{_D}, m AS (SELECT taxa, draw, geo, avg(pred) AS value FROM d GROUP BY ALL)"
+
+
+@query(
+    "parameter_rows",
+    f"""WITH {_MEANS} SELECT a.taxa, a.draw, a.draw % 7 = 0 AS divergent, b.geo AS parameter, {r('m.value')} AS value
+        FROM (SELECT DISTINCT taxa, draw FROM m) a JOIN (SELECT DISTINCT taxa, geo FROM m) b USING (taxa)
+        LEFT JOIN m ON m.taxa = a.taxa AND m.draw = a.draw AND m.geo = b.geo""",
+)
+def _(spark, folder):
+    means = draws(spark, folder).groupBy("taxa", "draw", "geo").agg(F.avg("pred").alias("value"))
+    terms = means.groupBy("taxa").agg(F.array_sort(F.collect_set("geo")).alias("coefficients"))
+    per_draw = means.groupBy("taxa", "draw").agg(F.map_from_entries(F.collect_list(F.struct("geo", "value"))).alias("m"))
+    beta = F.transform("coefficients", lambda g: F.try_element_at(F.col("m"), g)).alias("beta")
+    rows = join_same(per_draw, terms, ["taxa"]).select("taxa", "draw", (F.col("draw") % 7 == 0).alias("divergent"), beta)
+    return C.parameter_rows(rows, terms, "taxa")
+
+
+@query(
+    "divergence_flags",
+    f"""WITH {_D}, m AS (SELECT DISTINCT taxa, draw FROM d)
+        SELECT taxa, string_agg(CASE WHEN draw % 7 = 0 THEN '1' ELSE '0' END, '' ORDER BY draw) AS flags FROM m GROUP BY taxa""",
+)
+def _(spark, folder):
+    rows = draws(spark, folder).select("taxa", "draw").distinct().withColumn("divergent", F.col("draw") % 7 == 0)
+    flags = F.array_join(F.transform("divergent", lambda x: F.when(x, "1").otherwise("0")), "")
+    return G.divergence_flags(rows, ["taxa"]).select("taxa", flags.alias("flags"))
