@@ -75,3 +75,11 @@ def with_features(rows: DataFrame, design: DataFrame, by: str, k: int | None, na
     cov = F.when(F.col("cov_scale").isNull(), F.lit(0.0)).otherwise(cov)
     features = F.array(F.lit(1.0), *time_columns(k), cov)
     return joined.withColumn(name, features).drop("var_scale", "cov_centre", "cov_scale", "knots")
+
+
+def dot(u: Column, beta: Column, q: int) -> Column:
+    """Product of a design row and coefficients of length ``q``."""
+    total = u[0] * beta[0]
+    for i in range(1, q):
+        total = total + u[i] * beta[i]
+    return total

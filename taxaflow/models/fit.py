@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from taxaflow.functions.keys import attach, join_same
 from taxaflow.functions.links import inverse_link
-from taxaflow.models.design import NO_CAT, build_design, width, with_features
+from taxaflow.models.design import NO_CAT, build_design, dot, width, with_features
 from taxaflow.models.solve import choose_weights, gather, layout, normals, penalised_fit, prior
 from taxaflow.session import durable
 
@@ -50,13 +50,6 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def _dot(u: Column, beta: Column, q: int) -> Column:
-    total = u[0] * beta[0]
-    for i in range(1, q):
-        total = total + u[i] * beta[i]
-    return total
-
-
 def _working(family: str, eta: Column) -> tuple[Column, Column, Column]:
     """Weight, score residual and squared Pearson residual of a pattern, before dispersion."""
     n, y, y_sq = F.col("n_rows").cast("double"), F.col("y"), F.col("y_sq")
@@ -98,7 +91,7 @@ def _pass_over(patterns: DataFrame, coef: DataFrame | None, levels: DataFrame |
         rows = attach(patterns, start_phi, [by]).withColumn("__eta", _first_eta(family))
     else:
         state = coef.select(by, "cat", "beta", F.col("phi").alias("__phi"))
-        rows = attach(patterns, state, [by, "cat"], "inner").withColumn("__eta", _dot(F.col("u"), F.col("beta"), q))
+        rows = attach(patterns, state, [by, "cat"], "inner").withColumn("__eta", dot(F.col("u"), F.col("beta"), q))
         if t:
             rows = join_same(rows, levels.select(by, "rand", "b"), [by, "rand"])
             extra = F.coalesce(F.col("b")[0], F.lit(0.0))

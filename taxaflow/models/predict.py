@@ -8,17 +8,10 @@ from pyspark.sql import functions as F
 from taxaflow.functions import draws as D
 from taxaflow.functions.keys import join_same
 from taxaflow.functions.links import inverse_link
-from taxaflow.models.design import NO_CAT, width, with_features
+from taxaflow.models.design import NO_CAT, dot, width, with_features
 from taxaflow.models.fit import TrendFit
 
 
-def _dot(u: Column, beta: Column, q: int) -> Column:
-    total = u[0] * beta[0]
-    for i in range(1, q):
-        total = total + u[i] * beta[i]
-    return total
-
-
 def epred_draws(fit: TrendFit, grid: DataFrame, include_random: bool = False, cat_col: str = "cat", rand_col: str = "rand") -> DataFrame:
     """Add ``pred``: one expected value per draw for every grid row.
 
@@ -31,11 +24,11 @@ def epred_draws(fit: TrendFit, grid: DataFrame, include_random: bool = False, ca
     rows = rows.withColumn("__cat", F.col(cat_col).cast("string") if cat_col in grid.columns else F.lit(NO_CAT))
     draws = fit.draws.withColumnRenamed("cat", "__cat").withColumnRenamed("draws", "__draws")
     rows = join_same(rows, draws, [by, "__cat"], "inner")
-    eta = F.transform("__draws", lambda beta: _dot(F.col("__u"), beta, q))
+    eta = F.transform("__draws", lambda beta: dot(F.col("__u"), beta, q))
     if include_random and fit.levels is not None:
         levels = fit.levels.select(by, F.col("rand").alias(rand_col), F.col("b").alias("__b"), F.col("v").alias("__v"))
         rows = join_same(rows, levels, [by, rand_col])
-        eta = F.transform("__draws", lambda beta, i: _dot(F.col("__u"), beta, q) + _level_effect(F.col(rand_col), i))
+        eta = F.transform("__draws", lambda beta, i: dot(F.col("__u"), beta, q) + _level_effect(F.col(rand_col), i))
     pred = F.transform(eta, lambda x: inverse_link(x, fit.link))
     return rows.withColumn("pred", pred).drop("__u", "__cat", "__draws", "__b", "__v")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taxaflow.functions import draws as D
 from taxaflow.models.predict import residuals
 from taxaflow.operators import summary as S
 from taxaflow.operators.contrast import year_diff_draws

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.functions.keys import count_levels, join_same
+from taxaflow.functions.keys import count_levels
 from taxaflow.functions.likelihood import LIKELIHOOD, add_likelihood, count_classes
 from taxaflow.functions.links import geo_mean, inverse_link, link
 from taxaflow.operators.cooccur import cooccur_pairs, cooccur_test, presence_matrix
