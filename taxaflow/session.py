@@ -40,26 +40,37 @@ def durable(df: DataFrame) -> DataFrame:
     This cuts the lineage: a lost executor costs a re-read, not a recomputation.
     A table has true sizes, which tells Spark what is small enough to broadcast,
     and carries none of the plan's accumulated constraints into the next round.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a
-    local session without that setting gets a temporary folder of its own.
+    ``discard`` deletes it when nothing reads it any more.
     """
     spark = df.sparkSession
-    path = f"{_checkpoint_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_folder(spark)
+    df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.durable_folder = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of ``durable`` tables that are no longer read."""
+    for table in tables:
+        folder = getattr(table, "durable_folder", None)
+        if folder:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
+    """A name for a new folder where all executors can write.
+
+    It lies in the folder that the session names in ``spark.checkpoint.dir``; a
+    session without that setting, as in tests, gets one of its own.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="taxaflow-checkpoint-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="taxaflow-checkpoint-"))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
 def ship_package(spark: SparkSession) -> None:
