@@ -6,17 +6,54 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taxaflow.llm import bpe
+from taxaflow.llm import bpe, line_dedup, simhash, token_files
 from taxaflow.llm.common import documents
+from taxaflow.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What repeated lines leave of every document."""
+    lines = line_dedup.drop_lines(documents(spark, folder).select("doc_id", "text"))
+    return lines.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.text", 256).alias("kept_sha256"))
+
+
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token files of every document, written, and read back."""
+    files = new_folder(spark)
+    token_files.write_ids(documents(spark, folder), files, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return token_files.read_ids(spark, files)
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Byte-level BPE ids of every document and their decoding, as digests."""
     return bpe.token_digests(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {"op7_bpe": op7_bpe}
-SQL: dict[str, str] = {}
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(documents(spark, folder), width=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {
+    "op4_line_dedup": op4_line_dedup,
+    "op6_token_files": op6_token_files,
+    "op7_bpe": op7_bpe,
+    "op8_simhash": op8_simhash,
+}
+
+SQL: dict[str, str] = {
+    "op4_line_dedup": """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM split),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+hot AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT k.*, coalesce(k.doc_id < h.keeper, false) AS lost FROM keyed k LEFT JOIN hot h USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+}
