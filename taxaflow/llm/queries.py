@@ -8,13 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaflow.llm import bpe, line_dedup, simhash, token_files
+from taxaflow.llm import bpe, line_dedup, quality_rules, resampling, simhash, token_files
 from taxaflow.llm.common import documents
 from taxaflow.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures of every document and the verdict of the rules of its language and source."""
+    return quality_rules.judge(documents(spark, folder))
+
+
+def op5_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance weight of every document, and whether it is drawn."""
+    sampler, weights = resampling.fit(documents(spark, folder), documents(spark, folder, "labels"))
+    return weights.select("doc_id", "log_weight", "key", sampler.drawn(F.col("key")).alias("kept"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What repeated lines leave of every document."""
     lines = line_dedup.drop_lines(documents(spark, folder).select("doc_id", "text"))
@@ -40,6 +51,8 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_quality_rules": op2_quality_rules,
+    "op5_resampling": op5_resampling,
     "op4_line_dedup": op4_line_dedup,
     "op6_token_files": op6_token_files,
     "op7_bpe": op7_bpe,
