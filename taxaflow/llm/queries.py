@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaflow.llm import bpe, line_dedup, quality_rules, resampling, simhash, token_files
-from taxaflow.llm.common import documents
+from taxaflow.llm import bpe, crf, line_dedup, quality_rules, resampling, simhash, token_files
+from taxaflow.llm.common import documents, held_out
 from taxaflow.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,14 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document; one of four folds is held out."""
+    docs = documents(spark, folder).withColumn("held_out", held_out("doc_id", 4))
+    model = spark.sparkContext.broadcast(crf.train(docs.where("not held_out")))
+    predicted = docs.select("doc_id", "held_out", crf.predict(model, "text").alias("p"))
+    return predicted.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_resampling": op5_resampling,
@@ -57,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op6_token_files": op6_token_files,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
+    "op9_crf": op9_crf,
 }
 
 SQL: dict[str, str] = {
