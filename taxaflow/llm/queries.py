@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaflow.llm import bpe, crf, line_dedup, quality_rules, resampling, simhash, token_files
+from taxaflow.llm import bpe, crf, hmm, line_dedup, quality_rules, resampling, simhash, token_files
 from taxaflow.llm.common import documents, held_out
 from taxaflow.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_hmm(spark: SparkSession, folder: str) -> DataFrame:
+    """Base and model score of every document; one of seven folds is held out."""
+    return hmm.score_documents(documents(spark, folder).withColumn("held_out", held_out("doc_id", 7)))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures of every document and the verdict of the rules of its language and source."""
     return quality_rules.judge(documents(spark, folder))
@@ -59,6 +64,7 @@ def op9_crf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_hmm": op1_hmm,
     "op2_quality_rules": op2_quality_rules,
     "op5_resampling": op5_resampling,
     "op4_line_dedup": op4_line_dedup,
