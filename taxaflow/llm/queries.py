@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaflow.llm import bpe, crf, hmm, line_dedup, quality_rules, resampling, simhash, token_files
+from taxaflow.llm import bpe, crf, decontaminate, hmm, line_dedup, quality_rules, resampling, simhash, token_files
 from taxaflow.llm.common import documents, held_out
 from taxaflow.session import new_folder
 
@@ -31,6 +31,11 @@ def op5_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return weights.select("doc_id", "log_weight", "key", sampler.drawn(F.col("key")).alias("kept"))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontaminate.leaks(documents(spark, folder), documents(spark, folder, "benchmark"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What repeated lines leave of every document."""
     lines = line_dedup.drop_lines(documents(spark, folder).select("doc_id", "text"))
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op1_hmm": op1_hmm,
     "op2_quality_rules": op2_quality_rules,
     "op5_resampling": op5_resampling,
+    "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op6_token_files": op6_token_files,
     "op7_bpe": op7_bpe,
