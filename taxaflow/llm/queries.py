@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaflow.llm import bpe, crf, decontaminate, hmm, line_dedup, quality_rules, resampling, simhash, token_files
+from taxaflow.llm import bpe, chaining, crf, decontaminate, hmm, line_dedup, quality_rules, resampling, simhash, token_files
 from taxaflow.llm.common import documents, held_out
 from taxaflow.session import new_folder
 
@@ -68,6 +68,11 @@ def op9_crf(spark: SparkSession, folder: str) -> DataFrame:
     return predicted.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op10_chaining(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that share fuzzy passages with others."""
+    return chaining.repeated_passages(documents(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     "op1_hmm": op1_hmm,
     "op2_quality_rules": op2_quality_rules,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
     "op9_crf": op9_crf,
+    "op10_chaining": op10_chaining,
 }
 
 SQL: dict[str, str] = {
