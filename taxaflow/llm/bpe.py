@@ -267,11 +267,12 @@ def round_trip(text: str | Column, path: str, pattern: str) -> Column:
     return F.arrow_udf(both, "struct<ids:array<int>,decoded:string>")(text)
 
 
-def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: id, number of tokens, and digests of the ids and of the decoded bytes."""
+def token_digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Per document: id, number of tokens, and digests of the ids and of the decoded bytes; the ids too if wanted."""
     coded = docs.select("doc_id", round_trip("text", path, pattern).alias("coded"))
     return coded.select(
         "doc_id",
+        *([F.col("coded.ids").alias("ids")] if with_ids else []),
         F.size("coded.ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("coded.ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("coded.decoded"), 256).alias("decoded_sha256"),

@@ -21,6 +21,14 @@ def documents(spark, folder: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def utf8(texts: pa.Array) -> list[bytes]:
     """Texts of an Arrow array as bytes; null is empty."""
     return [b"" if x is None else x for x in texts.cast(pa.binary()).to_pylist()]

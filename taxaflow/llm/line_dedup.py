@@ -29,8 +29,8 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import BLANKS, utf8
-from taxaflow.session import discard, durable
+from taxaflow.llm.common import BLANKS, fresh, utf8
+from taxaflow.session import durable
 
 #: Bits of a filter for each line, and the most a filter has (32 MB): what bounds the broadcast.
 BITS_PER_LINE, MOST_BITS = 16, 1 << 28
@@ -184,12 +184,13 @@ def lost_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
 
 
-def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, most_bits: int = MOST_BITS) -> DataFrame:
-    """``docs`` and a struct ``lines`` (text, n_lines, n_dropped) of what is left.
+def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, most_bits: int = MOST_BITS, into: str = "lines") -> DataFrame:
+    """``docs`` and a struct ``into`` (text, n_lines, n_dropped) of what is left.
 
     Lines whose key has at least ``min_chars`` code points and occurs in at least
     ``min_docs`` documents stay only in the document with the largest id.
     """
-    lost = lost_lines(docs, doc_id, text, min_chars, min_docs, most_bits).select(F.col("doc_id").alias("__id"), F.col("lost").alias("__lost"))
-    joined = docs.join(lost, F.col(doc_id) == F.col("__id"), "left")
-    return joined.withColumn("lines", _rewrite(min_chars)(F.col(text), F.col("__lost"))).drop("__id", "__lost")
+    own, gone = fresh(docs, "lost_id"), fresh(docs, "lost")
+    lost = lost_lines(docs, doc_id, text, min_chars, min_docs, most_bits).select(F.col("doc_id").alias(own), F.col("lost").alias(gone))
+    joined = docs.join(lost, F.col(doc_id) == F.col(own), "left")
+    return joined.withColumn(into, _rewrite(min_chars)(F.col(text), F.col(gone))).drop(own, gone)

@@ -12,6 +12,16 @@ Lists too long to hold go another exact way: two fingerprints are at no more tha
 four bits if some fingerprint lies within two bits of both, so each member is joined
 to all fingerprints within two bits of it.
 
+``similar_documents`` finds documents whose shingle sets have a Jaccard similarity of
+0.8 or more.  Its fingerprints have 256 bits; similar ones share three or more of 32
+positional bytes and differ in at most ``WIDE_BITS`` bits.  The index holds pairs of
+positions at a distance of one and two (96 of 100 pairs of a similarity of just 0.8
+meet there, more at higher similarity); candidates are verified on the ``SKETCH``
+smallest shingle hashes, which is exact for sets of that size.  Lists of more than
+``SHORT`` members, as large groups of copies make, give a spanning forest of the
+closest ones instead of all pairs; a list too long to hold is split by each third
+position, of which two fingerprints must share one.
+
 Defined cases: no word gives fingerprint zero; null text has no word; fewer words
 than a shingle has are one shingle; null doc_ids belong to groups but name none (a
 group of nothing else has a null component); repeated rows link as any copies do.
@@ -34,6 +44,10 @@ from taxaflow.session import discard, durable
 
 #: Longest posting list that a task holds.
 LIST = 1 << 15
+#: 64-bit words of a wide fingerprint, the most bits and the least positional bytes of two similar ones.
+WIDE, WIDE_BITS, WIDE_SHARED = 4, 60, 3
+#: Most members of a list that gives all pairs, bits that link the members of longer ones, hashes of a sketch.
+SHORT, CLOSE_BITS, SKETCH = 64, 36, 256
 
 
 def triples() -> list[tuple[int, int, int]]:
@@ -46,19 +60,59 @@ def triples() -> list[tuple[int, int, int]]:
     return [t for t in combinations(range(8), 3) if len(set(c := inside(t))) == 1 or len(set(c)) == 2 and (next(x for x in c if c.count(x) == 1) - next(x for x in c if c.count(x) == 2)) % 3 == 1]
 
 
-def fingerprint_of(text: bytes, width: int) -> int:
-    """Bits that are set in over half of the hashes of the word shingles."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles of a text, repeats included."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, hash_of = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return hash_of(joined, 42)
+        return np.array([hash_of(joined, 42)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.r_[0, ends[:-1]][: len(words) - width + 1].tolist()
-    hashes = np.array([hash_of(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64)
-    set_bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_bits > len(hashes), bitorder="little").tobytes(), "little")
+    return np.array([hash_of(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Per column of hashes (n x words), the bits that over half of them have; zero for no hash."""
+    if not len(hashes):
+        return np.zeros(hashes.shape[1], np.uint64)
+    set_bits = np.zeros(64 * hashes.shape[1], np.int64)
+    for i in range(0, len(hashes), 4096):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[i : i + 4096]).view(np.uint8), axis=1, bitorder="little")
+        set_bits += bits.sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)
+
+
+def fingerprint_of(text: bytes, width: int) -> int:
+    """Bits that are set in over half of the hashes of the word shingles."""
+    return int(majority(shingle_hashes(text, width)[:, None])[0])
+
+
+def wide_of(hashes: np.ndarray) -> np.ndarray:
+    """The same over 256 bits, which each hash is spread to."""
+    spread = []
+    with np.errstate(over="ignore"):
+        for j in range(WIDE):
+            h = hashes + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & (1 << 64) - 1)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            spread.append(h ^ (h >> np.uint64(31)))
+    return majority(np.stack(spread, axis=1))
+
+
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """The smallest distinct hashes, at most ``SKETCH``."""
+    return np.unique((hashes >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sketched sets: exact if both are whole, else by the smallest hashes of their union."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    union = np.union1d(x, y)
+    if len(x) >= SKETCH or len(y) >= SKETCH:
+        union = union[:SKETCH]
+    return float((np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)).mean()) if len(union) else 1.0
 
 
 def fingerprint(text: str | Column, width: int = 5) -> Column:
@@ -70,68 +124,96 @@ def fingerprint(text: str | Column, width: int = 5) -> Column:
     return F.arrow_udf(of, "long")(text)
 
 
-def spanning(prints: np.ndarray, bits: int, shared: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Links of a spanning forest: a fingerprint and those that were first reached from it."""
-    rest = prints
-    while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            one = queue.pop()
-            differ = rest ^ one
-            tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near = np.flatnonzero(tally >= shared)
-            near = near[np.bitwise_count(differ[near]) <= bits]
-            if len(near):
-                found = rest[near]
-                yield one, found
-                queue.extend(found)
-                rest = np.delete(rest, near)
+def wide_fingerprint(text: str | Column, width: int = 5) -> Column:
+    """256-bit SimHash as longs ``f0`` to ``f3``, and ``sketch``, in a struct."""
+    names = [f"f{j}" for j in range(WIDE)]
+
+    def of(texts: pa.Array) -> pa.Array:
+        hashes = [shingle_hashes(x, width) for x in utf8(texts)]
+        rows = np.array([wide_of(x) for x in hashes], np.uint64).reshape(-1, WIDE).view(np.int64)
+        columns = [pa.array(np.ascontiguousarray(rows[:, j])) for j in range(WIDE)]
+        return pa.StructArray.from_arrays([*columns, pa.array([sketch_of(x) for x in hashes], pa.binary())], [*names, "sketch"])
+
+    return F.arrow_udf(of, f"struct<{','.join(f'{x}:long' for x in names)},sketch:binary>")(text)
 
 
-def _links(bits: int, shared: int, longest: int):
-    """Rows ordered by posting key to links (a, b), or (a, null) for members of a list that is too long."""
+def near(one: np.ndarray, others: np.ndarray, bits: int, shared: int) -> np.ndarray:
+    """Which rows of ``others`` share enough positional bytes with ``one`` and differ in few enough bits."""
+    differ = np.ascontiguousarray(others ^ one)
+    tally = (differ.view(np.uint8) == 0).sum(axis=1)
+    hits = np.flatnonzero(tally >= shared)
+    return hits[np.bitwise_count(differ[hits]).sum(axis=1) <= bits]
+
+
+def spanning(nodes: np.ndarray, prints: np.ndarray, bits: int, shared: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Links of a spanning forest: a node and those that were first reached from it."""
+    while len(nodes) > 1:
+        queue, nodes, prints = [(nodes[0], prints[0])], nodes[1:], prints[1:]
+        while queue and len(nodes):
+            node, one = queue.pop()
+            hits = near(one, prints, bits, shared)
+            if len(hits):
+                yield node, nodes[hits]
+                queue.extend(zip(nodes[hits], prints[hits]))
+                nodes, prints = np.delete(nodes, hits), np.delete(prints, hits, axis=0)
+
+
+def _links(bits: int, shared: int, longest: int | None, short: int = 9, close_bits: int | None = None):
+    """Rows (key, node, fingerprint words), ordered by key, to links (a, b), or (a, null, key) for members of a list that is too long.
+
+    With one word the node is the fingerprint.
+    """
+    names = ["a", "b", "key"]
 
     def batch(a: list, b: list) -> pa.RecordBatch:
-        a, b = (np.concatenate([np.atleast_1d(np.asarray(x, np.uint64)) for x in y]).view(np.int64) if y else np.zeros(0, np.int64) for y in (a, b))
-        return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+        a, b = (np.concatenate([np.asarray(x, np.int64) for x in y]) if y else np.zeros(0, np.int64) for y in (a, b))
+        return pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names)
 
-    def members(prints: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(prints.view(np.int64)), pa.nulls(len(prints), pa.int64())], ["a", "b"])
+    def members(key: int, nodes: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.array(np.full(len(nodes), key, np.int64))], names)
 
-    def links(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+    def links(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
-        two = starts[sizes == 2]
-        differ = prints[two] ^ prints[two + 1]
-        two = two[((differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= shared) & (np.bitwise_count(differ) <= bits)]
-        a, b = [prints[two]], [prints[two + 1]]
-        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            for one, found in spanning(prints[start : start + size], bits, shared):
+        a, b = [], []
+        size, end, at = np.repeat(sizes, sizes), np.repeat(starts + sizes, sizes), np.arange(len(keys))
+        for step in range(1, short):  # short lists all together: each member and the one ``step`` further
+            first = np.flatnonzero((size <= short) & (at + step < end))
+            if not len(first):
+                break
+            differ = np.ascontiguousarray(prints[first] ^ prints[first + step])
+            hits = np.flatnonzero((differ.view(np.uint8) == 0).sum(axis=1) >= shared)
+            first = first[hits[np.bitwise_count(differ[hits]).sum(axis=1) <= bits]]
+            a.append(nodes[first])
+            b.append(nodes[first + step])
+        for start, n in zip(starts[sizes > short].tolist(), sizes[sizes > short].tolist()):
+            for one, found in spanning(nodes[start : start + n], prints[start : start + n], close_bits or bits, shared):
                 a.append(np.full(len(found), one))
                 b.append(found)
         return batch(a, b)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held, long_key = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+        held, long_key = None, None
         for rows in batches:
-            keys, prints = rows.column(0).to_numpy(), rows.column(1).to_numpy().view(np.uint64)
+            columns = [c.to_numpy() for c in rows.columns]
+            new = columns[0], columns[1], np.stack(columns[2:] or columns[1:], axis=1).view(np.uint64)
             if long_key is not None:
-                over = keys == long_key
-                yield members(prints[over])
-                keys, prints = keys[~over], prints[~over]
-            held_keys, held = np.r_[held_keys, keys], np.r_[held, prints]
-            if not len(held):
+                over = new[0] == long_key
+                yield members(long_key, new[1][over])
+                new = tuple(x[~over] for x in new)
+            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
+            if not len(held[0]):
                 continue
-            last = int(np.searchsorted(held_keys, held_keys[-1], "left"))  # this list may go on
+            last = int(np.searchsorted(held[0], held[0][-1], "left"))  # this list may go on
             if last:
-                yield links(held_keys[:last], held[:last])
-                held_keys, held = held_keys[last:], held[last:]
-            if len(held) > longest:
-                long_key = held_keys[0]
-                yield members(held)
-                held_keys, held = held_keys[:0], held[:0]
-        if len(held):
-            yield links(held_keys, held)
+                yield links(*(x[:last] for x in held))
+                held = tuple(x[last:] for x in held)
+            if longest is not None and len(held[0]) > longest:
+                long_key = int(held[0][0])
+                yield members(long_key, held[1])
+                held = tuple(x[:0] for x in held)
+        if held is not None and len(held[0]):
+            yield links(*held)
 
     return stream
 
@@ -143,17 +225,17 @@ def links(prints: DataFrame, bits: int = 4, longest: int = LIST) -> DataFrame:
     byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
     keys = [F.shiftleft(F.lit(n).cast("long"), 24) + F.shiftleft(byte[x], 16) + F.shiftleft(byte[y], 8) + byte[z] for n, (x, y, z) in enumerate(triples())]
     posted = prints.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    found = durable(posted.mapInArrow(_links(bits, 8 - bits, longest), "a long, b long"))
+    found = durable(posted.mapInArrow(_links(bits, 8 - bits, longest), "a long, b long, key long"))
     masks = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))]
-    near = np.array([m for m in masks if m.bit_count() <= bits / 2], np.uint64).view(np.int64).tolist()
+    within = np.array([m for m in masks if m.bit_count() <= bits / 2], np.uint64).view(np.int64).tolist()
     hot = found.where("b is null").select("a").distinct()
     if bits == 4 or hot.isEmpty():
-        between = hot.select("a", F.explode(F.array(*map(F.lit, near))).alias("mask")).select("a", F.col("a").bitwiseXOR(F.col("mask")).alias("middle"))
+        between = hot.select("a", F.explode(F.array(*map(F.lit, within))).alias("mask")).select("a", F.col("a").bitwiseXOR(F.col("mask")).alias("middle"))
         met = between.groupBy("middle").agg(F.min("a").alias("b"), F.collect_set("a").alias("members")).where(F.size("members") > 1)
         across = met.select(F.explode("members").alias("a"), "b").where("a <> b")
     else:
         raise ValueError("a list is too long for this number of bits")
-    return found.where("b is not null").unionByName(across).distinct()
+    return found.where("b is not null").select("a", "b").unionByName(across).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 4, longest: int = LIST) -> DataFrame:
@@ -165,3 +247,57 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 4, longest: int
     groups = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     of = labelled.join(groups, "label").select("fp", "component_id")
     return own.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def _byte(place: int) -> Column:
+    return F.shiftrightunsigned(f"f{place // 8}", 8 * (place % 8)).bitwiseAND(F.lit(255))
+
+
+def _verify(least: float):
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            hits = [i for i in range(len(a)) if similarity(x[i], y[i]) >= least]
+            yield pa.record_batch([pa.array([a[i] for i in hits], pa.int64()), pa.array([b[i] for i in hits], pa.int64())], ["a", "b"])
+
+    return verified
+
+
+def wide_links(prints: DataFrame, least: float = 0.8, bits: int = WIDE_BITS, shared: int = WIDE_SHARED, longest: int = LIST) -> DataFrame:
+    """Verified links (a, b) between rows (node, f0 to f3, sketch) of distinct fingerprints with a similarity of ``least`` or more."""
+    places, words = 8 * WIDE, [f"f{j}" for j in range(WIDE)]
+    pairs = [(i, (i + step) % places) for step in (1, 2) for i in range(places)]
+    keys = [F.lit(n << 16).cast("long") + F.shiftleft(_byte(x), 8) + _byte(y) for n, (x, y) in enumerate(pairs)]
+    posted = prints.select(F.explode(F.array(*keys)).alias("key"), "node", *words)
+
+    def linked(rows: DataFrame, most: int | None) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_links(bits, shared, most, SHORT, CLOSE_BITS), "a long, b long, key long")
+
+    found = durable(linked(posted, longest))
+    # members of long lists must share a third byte with whom they are linked to
+    hot = found.where("b is null").select(F.col("a").alias("node"), "key").join(prints.drop("sketch"), "node")
+    thirds = [F.shiftleft("key", 13) + F.lit(p << 8) + _byte(p) for p in range(places)]
+    finer = hot.select(F.explode(F.array(*thirds)).alias("key"), "node", *words)
+    links = found.where("b is not null").select("a", "b").unionByName(linked(finer, None).select("a", "b"))
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = prints.select(F.col("node"), "sketch")  # both joins read one shuffle of it
+    with_a = links.join(sets, F.col("a") == F.col("node")).select("a", "b", F.col("sketch").alias("x"))
+    with_b = with_a.join(sets, F.col("b") == F.col("node")).select("a", "b", "x", F.col("sketch").alias("y"))
+    return with_b.mapInArrow(_verify(least), "a long, b long")
+
+
+def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id and ``component_id``, the smallest doc_id it reaches by similar documents."""
+    words = [f"f{j}" for j in range(WIDE)]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), wide_fingerprint("text", width).alias("fp")).select("doc_id", "fp.*")
+    # documents with the same shingles are one node
+    full = durable(own.withColumn("node", F.xxhash64(*words, "sketch")))
+    nodes = durable(full.dropDuplicates(["node"]).select("node", *words, "sketch"))
+    own = durable(full.select("doc_id", "node"))
+    discard(full)
+    labels = components(wide_links(nodes, least))
+    discard(nodes)
+    firsts = own.groupBy("node").agg(F.min("doc_id").alias("least"))
+    names = firsts.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    groups = names.groupBy("label").agg(F.min("least").alias("component_id"))
+    return own.join(names.join(groups, "label").select("node", "component_id"), "node").select("doc_id", "component_id")

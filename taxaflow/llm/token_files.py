@@ -14,7 +14,9 @@ follow each other in the order of their texts.  No documents give no file.
 
 from __future__ import annotations
 
+import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,34 +36,49 @@ HEAD = struct.Struct(">8sIIQQQBq")
 #: Ids in a block, unless one document alone has more.
 BLOCK_IDS = 1 << 21
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: ASCII punctuation but for the apostrophe, which starts contractions.
+CLOSING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins characters across ASCII white space.
+    """Ids of texts by a tokenizer that lower-cases, and never joins characters across white space or a letter and ASCII punctuation.
 
-    Words are encoded once and remembered; new ones of a batch go to the library together.
+    Words are encoded once and remembered, without their case and with their closing
+    punctuation apart; new ones of a batch go to the library together.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = REMEMBERED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian integers."""
-        split = [x.split() for x in texts]
-        new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+    def _learn(self, new: set[bytes]) -> None:
+        apart = {}
+        for word in new:
+            stem = word.rstrip(CLOSING)
+            if stem and len(stem) < len(word) and unicodedata.normalize("NFC", stem.decode()[-1]).lower()[-1].isalpha():
+                apart[word] = stem, word[len(stem) :]
+        own = list((new - apart.keys()).union(*apart.values()) - self.known.keys())
+        for i in range(0, len(own), 4096):
+            part = own[i : i + 4096]
             for word, coded in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
                 self.known[word] = np.array(coded.ids, self.kind).tobytes()
+        for word, (stem, closing) in apart.items():
+            self.known[word] = self.known[stem] + self.known[closing]
+
+    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
+        """Ids of each text and the end id, as little-endian integers."""
+        split = [x.lower().split() for x in texts]
+        own = set().union(*split)
+        new = own - self.known.keys()
+        if len(self.known) + len(new) > self.most:
+            self.known = {word: self.known[word] for word in own - new}  # the present words are the likeliest to come back
+        self._learn(new)
         last, known = np.array([end], self.kind).tobytes(), self.known.__getitem__
         return [b"".join([*map(known, words), last]) for words in split]
 
