@@ -63,6 +63,11 @@ def batches_of(sizes: np.ndarray, most: int) -> Iterator[slice]:
         start = stop
 
 
+def portions(texts: list[bytes], most: int = 4 << 20) -> Iterator[slice]:
+    """Consecutive texts of about ``most`` bytes together, so that their words fit in little memory."""
+    return batches_of(np.array([len(x) for x in texts], np.int64), most)
+
+
 class Memo(dict):
     """Remembers results for words; forgets all when it holds ``most``."""
 

@@ -9,7 +9,9 @@ replacement, with probabilities by weight, as the top k of ``log weight / TAU``
 Gumbel noise; k is the number of documents whose weight is above the cutoff that
 separates the labelled rows best.
 
-Counts cover all documents and all labels.  Defined cases: null or empty text has
+The raw model and the draw cover all documents; the target and the cutoff come from
+a sample of at most ``LABELS`` labelled documents, chosen by a hash, whose ids go to
+all tasks, so that no text is shuffled.  Defined cases: null or empty text has
 log weight 0; documents with several labels take the worst; null labels are not
 good; without labels every document is drawn; noise depends on the doc_id and text
 only, so repeated rows stay or go together; further columns are left as they are.
@@ -28,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import Memo, utf8
+from taxaflow.llm.common import Memo, portions, utf8
 from taxaflow.session import durable
 
 #: Buckets of words, of their beginnings of two lengths (in bytes), and of bigrams; four times one word is a feature of its own, whatever the word.
@@ -42,6 +44,8 @@ TAU = 0.1
 SEGMENT = 1 << 14
 #: Weight of a good document lost against a bad one kept, when the cutoff is set.
 CARE = 20.0
+#: Most labelled documents that are used.
+LABELS = 100_000
 #: Of so many labelled documents one sets the cutoff; the others are the target.
 FOLDS = 4
 
@@ -54,7 +58,7 @@ def _word(word: bytes) -> int:
     return own % WORDS | short % STEMS << 19 | long % STEMS << 36
 
 
-_words = Memo(_word, 600_000)
+_words = Memo(_word, 400_000)
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,19 +78,25 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate([text, text, text, text[1:][inside], text[runs]])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, target) to counts by segment."""
-    n = BUCKETS
-    raw, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for batch in batches:
-        bucket, text = grams(utf8(batch.column(0)))
-        good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        raw += np.bincount(bucket, minlength=n)
-        target += np.bincount(bucket[good[text]], minlength=n)
-    if raw.any():
-        starts = range(0, n, SEGMENT)
-        parts = [pa.array([x[i : i + SEGMENT].astype("<u4").tobytes() for i in starts], pa.binary()) for x in (raw, target)]
-        yield pa.record_batch([pa.array([i // SEGMENT for i in starts], pa.int32()), *parts], ["segment", "raw", "target"])
+def _count(targets: Broadcast):
+    """Rows (doc_id, text) to counts of all texts and of those whose ids are ``targets``, by segment."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, wanted = BUCKETS, targets.value
+        raw, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for batch in batches:
+            texts = utf8(batch.column(1))
+            good = np.array([x in wanted for x in batch.column(0).to_pylist()], bool)
+            for rows in portions(texts):
+                bucket, text = grams(texts[rows])
+                raw += np.bincount(bucket, minlength=n)
+                target += np.bincount(bucket[good[rows][text]], minlength=n)
+        if raw.any():
+            starts = range(0, n, SEGMENT)
+            parts = [pa.array([x[i : i + SEGMENT].astype("<u4").tobytes() for i in starts], pa.binary()) for x in (raw, target)]
+            yield pa.record_batch([pa.array([i // SEGMENT for i in starts], pa.int32()), *parts], ["segment", "raw", "target"])
+
+    return count
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +138,11 @@ class Sampler:
 
 def _log_weight(ratios: Broadcast, text: str | Column) -> Column:
     def weight(texts: pa.Array) -> pa.Array:
-        bucket, text = grams(utf8(texts))
-        return pa.array(np.bincount(text, ratios.value[bucket], len(texts)))
+        data, out = utf8(texts), np.zeros(len(texts))
+        for rows in portions(data):
+            bucket, text = grams(data[rows])
+            out[rows] = np.bincount(text, ratios.value[bucket], rows.stop - rows.start)
+        return pa.array(out)
 
     return F.arrow_udf(weight, "double")(text)
 
@@ -139,17 +152,19 @@ def _gumbel(doc_id: str | Column, text: str | Column) -> Column:
     return -F.ln(-F.ln(uniform))
 
 
-def good_labels(labels: DataFrame) -> DataFrame:
-    """(doc_id, good, target) for each labelled document; good ones that don't set the cutoff are the target."""
+def good_labels(labels: DataFrame, most: int = LABELS) -> DataFrame:
+    """(doc_id, good, target) for at most ``most`` labelled documents; good ones that don't set the cutoff are the target."""
     one = (F.col("quality") == 1) & (F.col("toxic") == 0)
     each = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.min(F.coalesce(one, F.lit(False))).alias("good"))
+    share = min(1.0, 0.98 * most / max(each.count(), 1))
+    each = each.where(F.pmod(F.xxhash64("__doc"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(most)
     return each.withColumn("target", F.col("good") & (F.crc32(F.col("__doc").cast("string")) % FOLDS != 0))
 
 
 def log_ratios(docs: DataFrame, good: DataFrame) -> np.ndarray:
     """Bounded log ratio of target and raw model for each bucket."""
-    marked = docs.join(good, F.col("doc_id") == F.col("__doc"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = marked.mapInArrow(_count, "segment int, raw binary, target binary")
+    targets = docs.sparkSession.sparkContext.broadcast({r[0] for r in good.where("target").select("__doc").collect()})
+    counts = docs.select("doc_id", "text").mapInArrow(_count(targets), "segment int, raw binary, target binary")
     rows = counts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_add, "segment int, sums binary").collect()
     sums = np.zeros((2, BUCKETS))
     for segment, part in rows:
@@ -197,7 +212,7 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Sampler, DataFrame]:
     """The sampler, and the durable table (doc_id, log_weight, key) of the documents it was made for."""
-    good = good_labels(labels)
+    good = durable(good_labels(labels))
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, good))
     weights = docs.select("doc_id", _log_weight(ratios, "text").alias("log_weight"), _gumbel("doc_id", "text").alias("noise"))
     weights = durable(weights.select("doc_id", "log_weight", (F.col("log_weight") / TAU + F.col("noise")).alias("key")))
