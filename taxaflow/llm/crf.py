@@ -28,29 +28,50 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import batches_of, utf8
+from taxaflow.llm.common import batches_of, portions, utf8
 
 #: Documents of each language in the sample, windows of each document, words of each window.
 DOCS_PER_LANG, WINDOWS, WINDOW = 400, 4, 32
 #: Hashed features; passes over the sample, sequences in a step, step size, weight decay.
 FEATURES, PASSES, STEP, RATE, DECAY = 1 << 17, 4, 64, 0.2, 1e-6
 #: Words whose scores a worker remembers, and words labelled at once.
-REMEMBERED, TOGETHER = 300_000, 1 << 19
+REMEMBERED, TOGETHER = 600_000, 1 << 19
 
+_AROUND = ".,;:!?\"'()[]{}#*$%&|<>-_"
 _letter = regex.compile(r"\p{L}").search
 
 
-def features(word: bytes) -> list[int]:
-    """Hashed features of a word: affixes, letter n-grams, and the word; none without a letter."""
-    text = word.decode().lower()
-    if not _letter(text):
-        return []
-    text = text.strip(".,;:!?\"'()[]{}#*$%&|<>-_")
-    size, padded = len(text), f"^{text}$"
-    names = [f"w{text}", *(f"p{text[:k]}" for k in (1, 2, 3, 4) if k <= size), *(f"s{text[-k:]}" for k in (1, 2, 3, 4) if k <= size)]
-    names += [f"n{padded[i : i + k]}" for k in (2, 3) for i in range(len(padded) - k + 1)]
-    hash_of = xxhash.xxh32_intdigest
-    return [hash_of(name) % FEATURES for name in names]
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words: word number and feature, for all words with a letter.
+
+    Features are the n-grams of two to four bytes of the word between marks of its
+    ends, which makes the outer ones its affixes, longer affixes, and the word itself.
+    """
+    own, numbers = [], []
+    for i, word in enumerate(words):
+        text = word.decode().lower().strip(_AROUND)
+        if _letter(text):
+            own.append(f"^{text}$".encode())
+            numbers.append(i)
+    if not own:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes, number = np.array([len(x) for x in own]), np.array(numbers)
+    letters = np.frombuffer(b"".join(own), np.uint8).astype(np.uint64)
+    begins, word = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(own)), sizes)
+    owner, found = [number], [np.array([xxhash.xxh32_intdigest(x) for x in own], np.uint64)]
+    for k in (2, 3, 4, 5):
+        if len(letters) < k:
+            break
+        n = len(letters) - k + 1
+        at = np.flatnonzero(word[:n] == word[k - 1 :])
+        if k == 5:  # only at the ends
+            at = at[(at == begins[word[at]]) | (at + k == (begins + sizes)[word[at]])]
+        code = np.full(len(at), k, np.uint64)
+        for j in range(k):
+            code = code << np.uint64(8) | letters[at + j]
+        owner.append(number[word[at]])
+        found.append(code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24))
+    return np.concatenate(owner), (np.concatenate(found) % np.uint64(FEATURES)).astype(np.int64)
 
 
 @dataclass
@@ -62,15 +83,8 @@ class Crf:
     transitions: np.ndarray
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
-        found = [features(x) for x in words]
-        sizes = np.array([len(x) for x in found], np.int64)
-        out = np.zeros((len(words), len(self.labels)), np.float32)
-        flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            starts = np.r_[0, np.cumsum(sizes[some])[:-1]]
-            out[some] = np.add.reduceat(self.weights[flat], starts, axis=0)
-        return out
+        owner, found = features(words)
+        return np.stack([np.bincount(owner, self.weights[found, c], len(words)) for c in range(len(self.labels))], axis=1).astype(np.float32).reshape(len(words), -1)
 
 
 def forward_backward(scores: np.ndarray, sizes: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -108,7 +122,9 @@ def fit(sequences: list[tuple[list[bytes], list[int]]], labels: list[str], seed:
     index: dict[bytes, int] = {}
     words = np.array([[index.setdefault(x, len(index)) for x in own] for own, _ in sequences])
     tags = np.array([own for _, own in sequences])
-    found = [features(x) for x in index]
+    owned, hashed = features(list(index))
+    order = np.argsort(owned, kind="stable")
+    hashed, firsts = hashed[order], np.searchsorted(owned[order], np.arange(len(index) + 1))
     squares, jumps = np.full_like(crf.weights, 1e-6), np.full((k, k), 1e-6, np.float32)
     length, one = words.shape[1], np.eye(k, dtype=np.float32)
     for _ in range(PASSES):
@@ -116,10 +132,9 @@ def fit(sequences: list[tuple[list[bytes], list[int]]], labels: list[str], seed:
         for start in range(0, len(order), STEP):
             rows = order[start : start + STEP]
             own, tag = words[rows], tags[rows]
-            flat = [found[w] for w in own.ravel()]
-            sizes = np.array([len(x) for x in flat])
-            ids = np.fromiter(chain.from_iterable(flat), np.int64, int(sizes.sum()))
+            first, sizes = firsts[own.ravel()], np.diff(firsts)[own.ravel()]
             owner = np.repeat(np.arange(own.size), sizes)
+            ids = hashed[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(owner))]
             scores = np.stack([np.bincount(owner, crf.weights[ids, c], own.size) for c in range(k)], axis=1).reshape(*own.shape, k)
             potential, step = np.exp(scores - scores.max(axis=2, keepdims=True)), np.exp(crf.transitions)
             ahead, behind = np.empty_like(potential), np.ones_like(potential)
@@ -182,10 +197,12 @@ class Labeller:
         self.crf, self.index, self.scores = crf, {}, np.zeros((0, len(crf.labels)), np.float32)
 
     def _ids(self, words: list[list[bytes]]) -> np.ndarray:
-        new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self.index]
-        if len(self.index) + len(new) > REMEMBERED:
-            self.index, self.scores = {}, self.scores[:0]
-            new = list(dict.fromkeys(chain.from_iterable(words)))
+        own = set().union(*words)
+        new = list(own - self.index.keys())
+        if len(self.index) + len(new) > REMEMBERED:  # the present words are the likeliest to come back
+            kept = list(own & self.index.keys())
+            self.scores = self.scores[[self.index[w] for w in kept]]
+            self.index = dict(zip(kept, range(len(kept))))
         if new:
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             self.scores = np.concatenate([self.scores, self.crf.emissions(new)])
@@ -240,7 +257,7 @@ def predict(model: Broadcast, text: str | Column) -> Column:
         labels = labeller.crf.labels
         if not labels:
             return pa.StructArray.from_arrays([pa.array(["und"] * len(data)), pa.array(np.zeros(len(data)))], ["lang", "score"])
-        means = labeller.mean_marginals(data)
+        means = np.concatenate([np.zeros((0, len(labels))), *(labeller.mean_marginals(data[rows]) for rows in portions(data, 16 << 20))])
         best = means.argmax(axis=1)
         some = np.array([bool(_letter(x.decode())) for x in data], bool)
         names = [labels[i] if s else "und" for i, s in zip(best, some)]
