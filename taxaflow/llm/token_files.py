@@ -20,6 +20,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import utf8
+from taxaflow.llm.common import portions, utf8
 from taxaflow.llm.elias_fano import EliasFano
 
 MAGIC = b"TOKBLK01"
@@ -105,7 +106,9 @@ def write_ids(docs: DataFrame, folder: str, path: str, end: int, block_ids: int
         width = np.dtype(coder.kind).itemsize
         ids, doc_ids, held = [], [], 0
         for batch in batches:
-            for doc_id, coded in zip(batch.column(0).to_pylist(), coder.encode(utf8(batch.column(1)), end)):
+            texts = utf8(batch.column(1))
+            every = chain.from_iterable(coder.encode(texts[rows], end) for rows in portions(texts))
+            for doc_id, coded in zip(batch.column(0).to_pylist(), every):
                 if held and held + len(coded) > block_ids * width:
                     yield pa.record_batch([pa.array([_block(part, number, ids, doc_ids, coder.kind)], pa.binary())], ["value"])
                     ids, doc_ids, held, number = [], [], 0, number + 1
