@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import BLANKS, batches_of, utf8
+from taxaflow.llm.common import BLANKS, batches_of, portions, utf8
 from taxaflow.session import durable
 
 SYMBOLS = b"#*$%&|<>"
@@ -64,6 +64,11 @@ def repeated_words(words: list[list[bytes]]) -> np.ndarray:
 
 def _measured(texts: pa.Array) -> pa.Array:
     data = utf8(texts)
+    parts = [_measures(data[rows]) for rows in portions(data)] or [_measures([])]
+    return pa.concat_arrays(parts)
+
+
+def _measures(data: list[bytes]) -> pa.Array:
     words = [x.split() for x in data]
     dup, lines = [], []
     for text in data:
@@ -124,10 +129,10 @@ def judge(docs: DataFrame, enough: int = ENOUGH) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     own = durable(own.withColumn("base_failed", failed))
     ratio = {
-        "mean_word": F.col("word_chars") / F.col("n_words"),
-        "symbols": F.col("n_symbols") / F.col("n_words"),
-        "dup_lines": F.col("n_dup_lines") / F.col("n_lines"),
-        "repeat_words": F.col("n_repeat_words") / F.col("n_words"),
+        "mean_word": F.try_divide(F.col("word_chars"), F.col("n_words")),
+        "symbols": F.try_divide(F.col("n_symbols"), F.col("n_words")),
+        "dup_lines": F.try_divide(F.col("n_dup_lines"), F.col("n_lines")),
+        "repeat_words": F.try_divide(F.col("n_repeat_words"), F.col("n_words")),
     }
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in ratio.items())))
     values = own.where("not base_failed").select("lang", "source", pairs.alias("x")).select("lang", "source", "x.*")

@@ -1,0 +1,211 @@
+import math
+import zlib
+from collections import Counter
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from taxaflow.llm import crf, decontaminate, hmm, quality_rules, queries, resampling
+
+
+def fold(doc_id, n):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % n == 2
+
+
+def test_op1_counts_and_base_score(spark, folder, rows, monkeypatch):
+    for dictionary in (hmm.DICTIONARY, 40):
+        own = hmm.score_documents(spark.read.parquet(f"{folder}/documents.parquet").withColumn("held_out", hmm_held(F.col("doc_id"))), rounds=2, dictionary=dictionary)
+        got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in own.collect())
+        tokens = [[*(t or "").encode().lower().split(), None] for _, t, *_ in rows]
+        counts = Counter(w for (i, *_), words in zip(rows, tokens) if not fold(i, 7) for w in words)
+        n, v = sum(counts.values()), len(counts)
+        want = Counter(
+            (r[0], fold(r[0], 7), len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6)) for r, w in zip(rows, tokens)
+        )
+        assert got == want
+
+
+def hmm_held(doc_id):
+    from taxaflow.llm.common import held_out
+
+    return held_out(doc_id, 7)
+
+
+def test_forward_equals_all_paths():
+    rng = np.random.default_rng(3)
+    share = lambda x: x / x.sum(axis=-1, keepdims=True)
+    emit = rng.random((5, 3))
+    model = hmm.Hmm(share(rng.random(3)), share(rng.random(3)), share(rng.random((3, 3))), emit / emit.sum(axis=0))
+    texts = [rng.integers(0, 5, n) for n in (1, 4, 6)]
+    for text, got in zip(texts, hmm.log_likelihood(model, texts)):
+        total = 0.0
+        for path in product(range(3), repeat=len(text)):
+            p = model.start[path[0]] * model.emit[text[0], path[0]]
+            for t in range(1, len(text)):
+                p *= model.move[path[t - 1], path[t]] * model.emit[text[t], path[t]]
+            total += p
+        assert math.isclose(got, math.log(total), rel_tol=1e-9)
+
+
+def test_baum_welch_counts_add_up_and_raise_the_likelihood():
+    rng = np.random.default_rng(4)
+    texts = [rng.choice([0, 1, 2] if i % 2 else [3, 4, 5], 150).astype(np.int64) for i in range(40)]
+    model = hmm.first_guess(np.full(6, 1 / 6), 2)
+    before = hmm.log_likelihood(model, texts).sum()
+    for _ in range(12):
+        counts = {"start": np.zeros(2), "inner": np.zeros(2), "move": np.zeros((2, 2)), "emit": np.zeros((6, 2))}
+        hmm.expected_counts(model, texts, counts)
+        assert math.isclose(counts["emit"].sum(), 6000, rel_tol=1e-4) and math.isclose(counts["start"].sum(), 40, rel_tol=1e-4)
+        share = lambda x: (x + 0.01) / (x + 0.01).sum(axis=-1, keepdims=True)
+        model = hmm.Hmm(share(counts["start"]), share(counts["inner"]), share(counts["move"]), (counts["emit"] + 0.01) / (counts["emit"] + 0.01).sum(axis=0))
+    assert hmm.log_likelihood(model, texts).sum() > before + 2000
+
+
+def test_model_without_training_text(spark, empty):
+    docs = spark.createDataFrame([(1, "a b", True), (2, None, True)], "doc_id long, text string, held_out boolean")
+    got = {r.doc_id: r for r in hmm.score_documents(docs).collect()}
+    assert got[1].n_known == 0 and got[1].base_score == 0 and got[2].n_tokens == 1
+    assert hmm.score_documents(empty.withColumn("held_out", F.lit(False))).collect() == []
+
+
+def brute_measures(text):
+    words = (text or "").encode().split()
+    windows = Counter(zip(words, words[1:], words[2:]))
+    marked = {i + d for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for d in range(3)}
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    return len(words), sum(len(w.decode()) for w in words), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(marked)
+
+
+def test_op2(spark, folder, rows, empty):
+    got = queries.op2_quality_rules(spark, folder).collect()
+    key = lambda x: str(x)
+    want = sorted([(r[0], *brute_measures(r[1])) for r in rows], key=key)
+    assert sorted([tuple(r)[:6] for r in got], key=key) == want
+    for r in got:
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert not (r.kept and r.base_failed)
+    assert quality_rules.judge(empty).collect() == []
+
+
+def test_fences_follow_the_group(spark):
+    def text(symbol, i):
+        return " ".join(f"w{i}x{j}{symbol}" for j in range(60))
+
+    rows = [(i, text("", i), "en", "a") for i in range(250)] + [(1000 + i, text("#%", i), "en", "b") for i in range(250)] + [(2000, text("#%", 1), "en", "a"), (2001, text("", 1), "xx", None)]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[0] and got[1000] and not got[2000] and got[2001]
+
+
+def test_sketch_quantiles_are_within_their_error(spark):
+    values = np.random.default_rng(5).lognormal(2, 1, 3000)
+    df = spark.createDataFrame([("en", "s", "m", float(v)) for v in values], "lang string, source string, measure string, value double")
+    row = quality_rules.quartiles(quality_rules.sketches(df), ["measure"]).first()
+    ordered = np.sort(values)
+    assert abs(row.q1 / ordered[int(2999 * 0.25)] - 1) <= 0.0101 and abs(row.q3 / ordered[int(2999 * 0.75)] - 1) <= 0.0101
+
+
+def test_resampling_rejects_what_the_target_never_holds(spark):
+    rng = np.random.default_rng(6)
+    plain = lambda: " ".join(f"w{x}" for x in rng.integers(0, 300, 60))
+    rows = [(i, plain() + (" awful nasty awful" if i % 5 == 0 else "")) for i in range(1000)] + [(5000, None), (5001, ""), (None, plain())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(0, 1000, 3)] + [(4, None, None)], "doc_id long, quality int, toxic int")
+    sampler, weights = resampling.fit(docs, labels)
+    kept = {r.doc_id for r in weights.where(sampler.drawn(F.col("key"))).collect()}
+    assert sum(i in kept for i in range(1000) if i % 5) == 800 and not any(i in kept for i in range(0, 1000, 5))
+    assert {5000, 5001, None} <= kept and len(kept) == sampler.k
+    again = docs.where(sampler.drawn(sampler.key("doc_id", "text", sampler.log_weight("text"))))
+    assert {r.doc_id for r in again.collect()} == kept
+    everything, rest = resampling.fit(docs, labels.limit(0))
+    assert rest.where(everything.drawn(F.col("key"))).count() == len(rows)
+
+
+def test_kth_largest(spark):
+    values = [float(x) for x in np.random.default_rng(7).normal(0, 50, 5000)] + [1.5] * 300
+    df = spark.createDataFrame([(v,) for v in values], "key double")
+    ordered = sorted(values, reverse=True)
+    for k in (1, 2, 17, 2500, 2600, 5299, 5300):
+        assert resampling.kth_largest(df, "key", k) == ordered[k - 1]
+
+
+def test_op5(spark, folder, rows):
+    got = queries.op5_resampling(spark, folder).collect()
+    assert len(got) == len(rows) and all(r.log_weight <= 0 for r in got)
+
+
+def test_forward_backward_equals_all_paths():
+    rng = np.random.default_rng(8)
+    sizes = np.array([5, 3, 3, 1])
+    scores, moves = rng.normal(size=(12, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32)
+    got, start = crf.forward_backward(scores, sizes, moves), 0
+    for n in sizes:
+        own, total = np.zeros((n, 3)), 0.0
+        for path in product(range(3), repeat=int(n)):
+            w = math.exp(sum(scores[start + t, path[t]] for t in range(n)) + sum(moves[path[t - 1], path[t]] for t in range(1, n)))
+            total += w
+            for t in range(n):
+                own[t, path[t]] += w
+        assert np.allclose(got[start : start + n], own / total, atol=1e-5)
+        start += n
+
+
+def test_op9(spark, folder, rows, empty):
+    got = queries.op9_crf(spark, folder).collect()
+    want = {r[0]: r for r in rows}
+    held = [r for r in got if r.held_out and r.doc_id not in (300, 301, 302, 303)]
+    assert held and all(r.lang_pred == want[r.doc_id][2] for r in held)
+    assert all(0 <= r.score <= 1 and r.held_out == fold(r.doc_id, 4) for r in got)
+    assert {r.doc_id: (r.lang_pred, r.score) for r in got if r.doc_id in (300, 301, 302, 303)} == {i: ("und", 0.0) for i in (300, 301, 302, 303)}
+    model = spark.sparkContext.broadcast(crf.train(empty))
+    assert spark.createDataFrame([("abc",)], "text string").select(crf.predict(model, "text").alias("p")).first().p.lang == "und"
+
+
+def test_code_switching_words_are_labelled_apart():
+    rng = np.random.default_rng(9)
+    word = {0: lambda: "".join(rng.choice(["th", "ing", "er"], 3)), 1: lambda: "".join(rng.choice(["sch", "keit", "ung"], 3))}
+    rows = [(name, [[word[c]() for _ in range(32)]]) for _ in range(120) for c, name in enumerate(("de", "en"))]
+    model = crf.fit(crf.switching(rows, ["de", "en"]), ["de", "en"])
+    words = [word[c]().encode() for c in (0, 0, 0, 1, 1, 1, 1, 0)]
+    marginal = crf.forward_backward(model.emissions(words), np.array([8]), model.transitions)
+    assert marginal.argmax(axis=1).tolist() == [0, 0, 0, 1, 1, 1, 1, 0]
+
+
+def longest(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(10)
+    for _ in range(200):
+        a, b = rng.integers(0, 6, rng.integers(1, 90)).tolist(), rng.integers(0, 6, rng.integers(0, 90)).tolist()
+        assert decontaminate.common_subsequence(a, b) == (longest(a, b), longest(a[-5:], b))
+
+
+def test_op3(spark, folder, rows, docs):
+    got = {(r.doc_id, r.item_id) for r in queries.op3_decontamination(spark, folder).collect()}
+    assert got == {(0, 1)}
+    assert decontaminate.leaks(docs, spark.createDataFrame([], "item_id long, text string")).collect() == []
+
+
+def test_leaks_and_paraphrases_in_long_texts_and_blocks(spark):
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{x}" for x in rng.zipf(1.3, n) % 5000]
+    items = [(i, words(int(rng.integers(14, 60)))) for i in range(30)]
+    rows = []
+    for i, item in items:
+        own = list(item)
+        for at in range(0, len(own) - 6, 8):  # every eighth word is another, the answer stays
+            own[at] = f"other{at}"
+        rows.append((i, " ".join(words(400) + (own if i % 2 else item) + words(300))))
+    rows += [(100 + i, " ".join(words(500))) for i in range(60)] + [(200, " ".join(words(150_000) + items[3][1] + words(2000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, block=10).collect()}
+    want = {(i, i) for i, _ in items} | {(200, 3)}
+    assert len(got & want) >= 0.9 * len(want) and not {x for x in got - want if x[0] >= 100 and x != (200, 3)}
