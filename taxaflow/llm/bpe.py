@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from taxaflow.llm.common import Memo, lists, ragged
 
 #: Determinised states kept by a worker; beyond, they are made anew when reached.
-STATES = 200_000
+STATES = 150_000
 #: A rank above all others.
 NEVER = 1 << 30
 
@@ -61,8 +61,8 @@ class Transducer:
                 node = below
             self.ends[node] = rank
         self.own = Memo(lambda rank: self.merged(self.tokens[rank]) == [rank], 1 << 20)
-        self.edges = Memo(self._edges, 1 << 20)
-        self.pairs = Memo(self._apart, 1 << 20)
+        self.edges = Memo(self._edges, 1 << 18)
+        self.pairs = Memo(self._apart, 1 << 18)
         self.forget()
 
     def forget(self) -> None:
@@ -202,7 +202,7 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(self.ranks)
-        self.pieces = Memo(self._piece)
+        self.pieces = Memo(self._piece, 300_000)
         self.bytes_of = self.transducer.tokens
 
     def _piece(self, piece: str) -> bytes:

@@ -16,8 +16,12 @@ BLANKS = b" \t\n\x0b\x0c\r"
 
 
 def documents(spark, folder: str, name: str = "documents") -> DataFrame:
-    """A table of ``folder``, with this package sent to the workers."""
+    """A table of ``folder``, with this package sent to the workers.
+
+    Rows of text are large: batches of a thousand keep what a worker holds small.
+    """
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -58,7 +58,7 @@ def _word(word: bytes) -> int:
     return own % WORDS | short % STEMS << 19 | long % STEMS << 36
 
 
-_words = Memo(_word, 400_000)
+_words = Memo(_word, 200_000)
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,7 @@ def _count(targets: Broadcast):
         for batch in batches:
             texts = utf8(batch.column(1))
             good = np.array([x in wanted for x in batch.column(0).to_pylist()], bool)
-            for rows in portions(texts):
+            for rows in portions(texts, 2 << 20):
                 bucket, text = grams(texts[rows])
                 raw += np.bincount(bucket, minlength=n)
                 target += np.bincount(bucket[good[rows][text]], minlength=n)
@@ -139,7 +139,7 @@ class Sampler:
 def _log_weight(ratios: Broadcast, text: str | Column) -> Column:
     def weight(texts: pa.Array) -> pa.Array:
         data, out = utf8(texts), np.zeros(len(texts))
-        for rows in portions(data):
+        for rows in portions(data, 2 << 20):
             bucket, text = grams(data[rows])
             out[rows] = np.bincount(text, ratios.value[bucket], rows.stop - rows.start)
         return pa.array(out)
