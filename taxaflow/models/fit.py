@@ -14,11 +14,13 @@ from taxaflow.functions.keys import attach, join_same
 from taxaflow.functions.links import inverse_link
 from taxaflow.models.design import NO_CAT, build_design, dot, width, with_features
 from taxaflow.models.solve import choose_weights, gather, layout, normals, penalised_fit, prior
-from taxaflow.session import durable
+from taxaflow.session import discard, durable
 
 LINKS = {"binomial": "logit", "gaussian": "identity", "beta": "logit"}
-#: Rounds after which the penalty weights stay as they are.
-SETTLE = 3
+#: Penalty weights are chosen anew until two rounds agree, or for so many rounds (then ``weights_settled`` is false).
+SETTLE = 10
+#: Precision that keeps the effect of a model's only level at zero: such a model has no random term.
+NO_TERM = 1e12
 
 
 @dataclass(frozen=True)
@@ -154,10 +156,11 @@ def _solve_models(equations: DataFrame, design: DataFrame, state: DataFrame | No
     rows = join_same(equations, info, [by], "inner")
     keep_weights = settled and state is not None
     if state is not None:
-        old = state.select(by, F.col("cat").alias("cat_a"), F.col("beta").alias("old"), "weight_all", "weight_own", "phi")
+        old = state.select(by, F.col("cat").alias("cat_a"), F.col("beta").alias("old"), "weight_all", "weight_own", "weights_settled", "phi", F.col("message").alias("before"))
         rows = join_same(rows, old, [by, "cat_a"])
     schema = _schema(
-        equations, by, "cat string, beta array<double>, phi double, weight_all double, weight_own double, delta double, message string"
+        equations, by,
+        "cat string, beta array<double>, phi double, weight_all double, weight_own double, weights_settled boolean, delta double, message string",
     )
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -165,7 +168,7 @@ def _solve_models(equations: DataFrame, design: DataFrame, state: DataFrame | No
         fitted = solve_group(pdf, cats, q, k, family, prior_scale, keep_weights)
         out = pd.DataFrame(
             {"cat": cats, "beta": list(fitted["beta"]), "phi": fitted["phi"], "weight_all": fitted["weights"][0],
-             "weight_own": fitted["weights"][1], "delta": fitted["delta"], "message": fitted["message"]}
+             "weight_own": fitted["weights"][1], "weights_settled": fitted["settled"], "delta": fitted["delta"], "message": fitted["message"]}
         )
         out.insert(0, by, pdf[by].iloc[0])
         return out
@@ -174,34 +177,44 @@ def _solve_models(equations: DataFrame, design: DataFrame, state: DataFrame | No
 
 
 def solve_group(pdf: pd.DataFrame, cats: list[str], q: int, k: int | None, family: str, prior_scale, settled: bool) -> dict:
-    """Solve one model; a failure becomes a message instead of an exception."""
+    """Solve one model; a failure becomes a message, and the model stays at its last good state."""
     knots = pdf["knots"].iloc[0]
-    out = {"beta": np.zeros((len(cats), q)), "phi": 1.0, "weights": (1.0, 1.0), "delta": 0.0, "message": None}
+    out = {"beta": np.zeros((len(cats), q)), "phi": 1.0, "weights": (1.0, 1.0), "settled": k is None, "delta": 0.0, "message": None}
+    before = None
+    if "old" in pdf:
+        old = {c: np.asarray(o, float) for c, o in zip(pdf["cat_a"], pdf["old"])}
+        first = pdf.iloc[0]
+        before = np.array([old[c] for c in cats])
+        out.update(beta=before, phi=float(first["phi"]), weights=(float(first["weight_all"]), float(first["weight_own"])), settled=bool(first["weights_settled"]))
+        if "before" in pdf and isinstance(first["before"], str):
+            return out | {"message": first["before"]}
+    last, agreed = out["weights"], out["settled"]
     try:
         h, g = gather(cats, q, zip(pdf["cat_a"], pdf["cat_b"], pdf["h"], pdf["g"]))
         if not (np.isfinite(h).all() and np.isfinite(g).all()):
             raise ValueError("normal equations are not finite")
         shape = layout(cats, q, k)
         inner, right = shape.spread.T @ h @ shape.spread, shape.spread.T @ g
-        if k is not None:
-            if settled:
-                out["weights"] = (float(pdf["weight_all"].iloc[0]), float(pdf["weight_own"].iloc[0]))
-            else:
-                out["weights"] = choose_weights(inner, right, shape, k, knots, prior_scale)
-        theta, factor = penalised_fit(inner, right, prior(shape, k, knots, out["weights"], prior_scale))
-        out.update(theta=theta, factor=factor, shape=shape, beta=(shape.spread @ theta).reshape(len(cats), q))
+        weights = last
+        if k is not None and not (settled or agreed):
+            weights = choose_weights(inner, right, shape, k, knots, prior_scale)
+        theta, factor = penalised_fit(inner, right, prior(shape, k, knots, weights, prior_scale))
+        beta, phi = (shape.spread @ theta).reshape(len(cats), q), 1.0
         if family != "binomial":
             n = float(pdf["n_data"].iloc[0])
-            out["phi"] = max(float(pdf["pearson"].sum()) / max(n - len(cats) * (1 if k else 2), 1.0), 1e-12)
-        else:
-            out["phi"] = 1.0
-        if "old" in pdf:
-            old = {c: np.asarray(o, float) for c, o in zip(pdf["cat_a"], pdf["old"])}
-            before = np.array([old[c] for c in cats])
-            out["delta"] = float(np.max(np.abs(out["beta"] - before) / (1 + np.abs(before))))
-            out["delta"] = max(out["delta"], abs(out["phi"] - float(pdf["phi"].iloc[0])) / out["phi"])
-        else:
-            out["delta"] = 1.0
+            # the trace of the smoother: all coefficients that the data determine, penalised ones in part
+            used = float(np.trace(np.linalg.solve(factor.T, np.linalg.solve(factor, inner))))
+            phi = max(float(pdf["pearson"].sum()) / max(n - used, 1.0), 1e-12)
+        delta = 1.0
+        if before is not None:
+            step = (beta - before).ravel()
+            delta = max(float(np.sqrt(max(step @ h @ step, 0.0))), abs(phi - out["phi"]) / phi)
+            if weights != last:
+                delta = max(delta, 1.0)
+        if not (np.isfinite(delta) and np.isfinite(beta).all()):
+            raise ValueError("estimates are not finite")
+        same = k is None or agreed or (before is not None and weights == last)
+        out.update(theta=theta, factor=factor, shape=shape, beta=beta, phi=phi, weights=weights, settled=same, delta=delta)
     except (np.linalg.LinAlgError, ValueError, FloatingPointError) as error:
         out["message"] = str(error)
     return out
@@ -232,18 +245,28 @@ def _update_levels(stats: DataFrame, coef: DataFrame, sigma: DataFrame, by: str,
 
 
 def _update_sigma(levels: DataFrame, by: str, t: int) -> DataFrame:
-    """Variances of the random effects by one expectation-maximisation step, with their inverse."""
+    """Variances of the random effects by one expectation-maximisation step, with their inverse.
+
+    A model with one level has no random term: its effects stay at zero.
+    """
     b, v = F.col("b"), F.col("v")
+    one = F.col("__levels") < 2
     if t == 1:
-        found = levels.groupBy(by).agg(F.avg(b[0] * b[0] + v[0]).alias("s00"))
-        return found.select(by, F.array("s00").alias("sigma"), F.array(1 / F.greatest("s00", F.lit(1e-6))).alias("precision"))
+        found = levels.groupBy(by).agg(F.avg(b[0] * b[0] + v[0]).alias("s00"), F.count(F.lit(1)).alias("__levels"))
+        return found.select(
+            by, F.array(F.when(one, 0.0).otherwise(F.col("s00"))).alias("sigma"),
+            F.array(F.when(one, NO_TERM).otherwise(1 / F.greatest("s00", F.lit(1e-6)))).alias("precision"),
+        )
     found = levels.groupBy(by).agg(
-        F.avg(b[0] * b[0] + v[0]).alias("s00"), F.avg(b[0] * b[1] + v[1]).alias("s01"), F.avg(b[1] * b[1] + v[3]).alias("s11")
+        F.avg(b[0] * b[0] + v[0]).alias("s00"), F.avg(b[0] * b[1] + v[1]).alias("s01"), F.avg(b[1] * b[1] + v[3]).alias("s11"),
+        F.count(F.lit(1)).alias("__levels"),
     )
     s00, s01, s11 = F.greatest("s00", F.lit(1e-6)), F.col("s01"), F.greatest("s11", F.lit(1e-6))
     det = F.greatest(s00 * s11 - s01 * s01, s00 * s11 * 1e-4)
+    none, apart = F.array(*map(F.lit, (0.0, 0.0, 0.0, 0.0))), F.array(*map(F.lit, (NO_TERM, 0.0, 0.0, NO_TERM)))
     return found.select(
-        by, F.array("s00", "s01", "s01", "s11").alias("sigma"), F.array(s11 / det, -s01 / det, -s01 / det, s00 / det).alias("precision")
+        by, F.when(one, none).otherwise(F.array("s00", "s01", "s01", "s11")).alias("sigma"),
+        F.when(one, apart).otherwise(F.array(s11 / det, -s01 / det, -s01 / det, s00 / det)).alias("precision"),
     )
 
 
@@ -256,7 +279,7 @@ def fit_trend(
     prior_scale: float | None = 2.5,
     n_draws: int = 1000,
     seed: int = 1,
-    max_iter: int = 25,
+    max_iter: int = 200,
     tol: float | None = None,
 ) -> TrendFit:
     """Fit ``y ~ var [+ use_cov] [+ cat + var:cat] [+ (var | rand)]`` to every model.
@@ -267,9 +290,14 @@ def fit_trend(
     uses its mean and variance only (quasi-likelihood).  Draws are Laplace draws
     around the fit; random effects are integrated out of the coefficients.
 
-    Rounds stop when no coefficient moves by more than ``tol`` (relative): 1e-8,
-    or 1e-5 with an estimated dispersion and 1e-4 with random effects, whose
-    variances settle slowly.
+    Rounds stop when the Newton decrement, the length of a step in standard errors,
+    is at most ``tol`` for every model: 1e-4, after which the error is about its
+    square, or 1e-5 with an estimated dispersion and 1e-3 with random effects, which
+    settle step by step.  A model that has reached it is ``converged``; one
+    that has not after ``max_iter`` rounds has the status "not converged".
+    Failed models stay as they are and don't keep the others waiting.  Linear
+    predictors of binomial and Beta responses are kept within 30 of zero, where
+    probabilities are 0 or 1 to 13 digits.
 
     Each round is one aggregate over the stored patterns, and its small result is
     stored too, so a lost executor repeats at most that round.
@@ -278,8 +306,8 @@ def fit_trend(
         raise ValueError(f"unknown family {family!r}")
     q = width(k)
     patterns = patterns if "cat" in patterns.columns else patterns.withColumn("cat", F.lit(NO_CAT))
-    t = 0 if "rand" not in patterns.columns else 2 if rand_slope and k is None else 1
-    tol = tol if tol is not None else 1e-4 if t else 1e-8 if family == "binomial" else 1e-5
+    t = 0 if "rand" not in patterns.columns else 2 if rand_slope else 1
+    tol = tol if tol is not None else 1e-3 if t else 1e-4 if family == "binomial" else 1e-5
     needed = [c for c in ("var", "use_cov", "cat", "rand", "y", "y_total") if c in patterns.columns]
     # The source is read once; every later pass starts from the compressed patterns.
     patterns = durable(patterns.dropna("any", subset=needed).withColumn("cat", F.col("cat").cast("string")))
@@ -292,7 +320,9 @@ def fit_trend(
     coef = levels = None
     flat = [0.5] if t == 1 else [0.5, 0.0, 0.0, 0.5]
     inverse = [2.0] if t == 1 else [2.0, 0.0, 0.0, 2.0]
-    sigma = design.select(by, F.array(*map(F.lit, flat)).alias("sigma"), F.array(*map(F.lit, inverse)).alias("precision")) if t else None
+    alone = [NO_TERM] if t == 1 else [NO_TERM, 0.0, 0.0, NO_TERM]
+    start = F.when(F.col("n_rand") < 2, F.array(*map(F.lit, alone))).otherwise(F.array(*map(F.lit, inverse)))
+    sigma = design.select(by, F.array(*map(F.lit, flat)).alias("sigma"), start.alias("precision")) if t else None
     rounds, worst = 0, float("inf")
     while rounds < max_iter and worst > tol:
         stats = _pass_over(patterns, coef, levels, by, family, q, start_phi, t)
@@ -302,11 +332,13 @@ def fit_trend(
         else:
             equations = stats.select(by, F.col("cat").alias("cat_a"), F.col("cat").alias("cat_b"), "h", "g", "pearson")
         solved = _solve_models(equations, design, coef, by, q, k, family, prior_scale, rounds >= SETTLE)
-        coef = durable(solved)
+        old, coef = (coef, levels, sigma), durable(solved)
         if t:
             levels = durable(_update_levels(stats, coef, sigma, by, q, t))
             sigma = durable(_update_sigma(levels, by, t))
-        worst = coef.agg(F.max("delta")).first()[0] or 0.0
+            discard(stats, *old[1:])
+        discard(old[0])  # the next round has been stored
+        worst = coef.agg(F.max(F.nanvl("delta", F.lit(float("inf"))))).first()[0] or 0.0
         rounds += 1
 
     stats = _pass_over(patterns, coef, levels, by, family, q, start_phi, t)
@@ -321,7 +353,9 @@ def fit_trend(
 def _posterior(equations, design, coef, by, q, k, family, prior_scale, n_draws, seed) -> DataFrame:
     """Estimates by name, spreads and draws; one row per category."""
     info = design.select(by, "knots", "n_data", "var_scale", "cov_centre", "cov_scale")
-    old = coef.select(by, F.col("cat").alias("cat_a"), F.col("beta").alias("old"), "weight_all", "weight_own", "phi")
+    old = coef.select(
+        by, F.col("cat").alias("cat_a"), F.col("beta").alias("old"), "weight_all", "weight_own", "weights_settled", "phi", F.col("message").alias("before")
+    )
     rows = join_same(join_same(equations, info, [by], "inner"), old, [by, "cat_a"])
     schema = _schema(
         equations, by, "cat string, draws array<array<double>>, terms array<string>, estimate array<double>, sd array<double>, message string"
@@ -373,6 +407,7 @@ def _tables(final, coef, design, levels, sigma, by, family, k, t, rounds, tol) -
     table = named.select(by, F.inline(rows))
     state = coef.groupBy(by).agg(
         F.first("phi").alias("dispersion"), F.first("weight_all").alias("weight_all"), F.first("weight_own").alias("weight_own"),
+        F.first("weights_settled").alias("weights_settled"),
         F.max("delta").alias("delta"), F.max("message").alias("message"),
     )
     names = final.groupBy(by).agg(F.first("terms", ignorenulls=True).alias("coefficients"), F.max("message").alias("__late"))
@@ -380,14 +415,15 @@ def _tables(final, coef, design, levels, sigma, by, family, k, t, rounds, tol) -
     if t:
         spec = join_same(spec, sigma.select(by, "sigma"), [by])
     message = F.coalesce("message", "__late")
+    converged = F.coalesce((F.col("delta") <= tol) & message.isNull(), F.lit(False))
     spec = spec.withColumns(
         {
             "family": F.lit(family),
             "link": F.lit(LINKS[family]),
-            "n_level_effects": F.col("n_rand") * t,
+            "n_level_effects": F.when(F.col("n_rand") > 1, F.col("n_rand") * t).otherwise(F.lit(0).cast("long")),
             "iterations": F.lit(rounds),
-            "converged": F.coalesce((F.col("delta") <= max(10 * tol, 1e-6)) & message.isNull(), F.lit(False)),
-            "status": F.when(message.isNull(), "ok").otherwise("error"),
+            "converged": converged,
+            "status": F.when(message.isNotNull(), "error").when(converged, "ok").otherwise("not converged"),
             "message": message,
         }
     ).drop("__late")

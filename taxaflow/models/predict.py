@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaflow.functions import draws as D
-from taxaflow.functions.keys import join_same
+from taxaflow.functions.keys import attach, join_same
 from taxaflow.functions.links import inverse_link
 from taxaflow.models.design import NO_CAT, dot, width, with_features
 from taxaflow.models.fit import TrendFit
 
 
-def epred_draws(fit: TrendFit, grid: DataFrame, include_random: bool = False, cat_col: str = "cat", rand_col: str = "rand") -> DataFrame:
+def epred_draws(
+    fit: TrendFit, grid: DataFrame, include_random: bool = False, new_level: bool = False, seed: int = 1, cat_col: str = "cat", rand_col: str = "rand"
+) -> DataFrame:
     """Add ``pred``: one expected value per draw for every grid row.
 
-    Rows of a level that the fit has not seen, and all rows without
-    ``include_random``, are predicted for a new level at the centre of the
-    random effects.  Level effects use their mean and conditional spread.
+    With ``include_random`` a level of the fit gets its effect, drawn from its mean
+    and conditional covariance, intercept and slope together.  Other levels, and
+    all rows without ``include_random``, are predicted at the centre of the random
+    effects, or with ``new_level`` for a level drawn from their distribution.
     """
     q, by = width(fit.k), fit.by
     rows = with_features(grid, fit.design, by, fit.k, "__u")
@@ -25,33 +28,54 @@ def epred_draws(fit: TrendFit, grid: DataFrame, include_random: bool = False, ca
     draws = fit.draws.withColumnRenamed("cat", "__cat").withColumnRenamed("draws", "__draws")
     rows = join_same(rows, draws, [by, "__cat"], "inner")
     eta = F.transform("__draws", lambda beta: dot(F.col("__u"), beta, q))
-    if include_random and fit.levels is not None:
-        levels = fit.levels.select(by, F.col("rand").alias(rand_col), F.col("b").alias("__b"), F.col("v").alias("__v"))
-        rows = join_same(rows, levels, [by, rand_col])
-        eta = F.transform("__draws", lambda beta, i: dot(F.col("__u"), beta, q) + _level_effect(F.col(rand_col), i))
+    known = include_random and fit.levels is not None and rand_col in grid.columns
+    if fit.levels is not None and (known or new_level):
+        level = F.col(rand_col).cast("string") if rand_col in grid.columns else F.lit(None).cast("string")
+        mean, spread = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
+        if known:
+            levels = fit.levels.select(by, F.col("rand").alias(rand_col), F.col("b").alias("__b"), F.col("v").alias("__v"))
+            rows = join_same(rows, levels, [by, rand_col])
+            mean, spread = F.col("__b"), F.col("__v")
+        if new_level:
+            rows = join_same(rows, fit.spec.select(by, F.col("sigma").alias("__sigma")), [by])
+            spread = F.coalesce(spread, F.col("__sigma"))
+        model = F.coalesce(F.col(by).cast("string"), F.lit(""))
+        rows = rows.withColumn("__effect", _effects(mean, spread, F.size("__draws"), F.xxhash64(F.lit(seed), model, level)))
+        effect = lambda i: F.col("__effect")[i]["b0"] + F.col("__effect")[i]["b1"] * F.col("__u")[1]
+        eta = F.transform("__draws", lambda beta, i: dot(F.col("__u"), beta, q) + effect(i))
     pred = F.transform(eta, lambda x: inverse_link(x, fit.link))
-    return rows.withColumn("pred", pred).drop("__u", "__cat", "__draws", "__b", "__v")
+    return rows.withColumn("pred", pred).drop("__u", "__cat", "__draws", "__b", "__v", "__sigma", "__effect")
 
 
-def _level_effect(level: Column, i: Column) -> Column:
-    """Effect of a level at draw ``i``: mean plus a normal built from hashes of level, draw and part."""
-    b, v, u = F.col("__b"), F.col("__v"), F.col("__u")
-    slope = F.when(F.size("__b") > 1, u[1]).otherwise(0.0)
-    mean = b[0] + F.when(F.size("__b") > 1, F.try_element_at("__b", F.lit(2)) * u[1]).otherwise(0.0)
-    variance = v[0] + F.when(
-        F.size("__v") > 1, 2 * slope * F.try_element_at("__v", F.lit(2)) + slope * slope * F.try_element_at("__v", F.lit(4))
-    ).otherwise(0.0)
+def _effects(mean: Column, covariance: Column, n: Column, key: Column) -> Column:
+    """Draws of (intercept, slope) effects of a level: the mean and a Cholesky factor times normals made from hashes of ``key``."""
 
-    def uniform(part: int) -> Column:
-        return (F.pmod(F.xxhash64(level, i, F.lit(part)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    def uniform(i: Column, part: int) -> Column:
+        return (F.pmod(F.xxhash64(key, i, F.lit(part)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
-    normal = F.sqrt(-2 * F.ln(uniform(1))) * F.cos(6.283185307179586 * uniform(2))
-    return F.coalesce(mean + F.sqrt(F.greatest(variance, F.lit(0.0))) * normal, F.lit(0.0))
+    def normal(i: Column, part: int) -> Column:
+        return F.sqrt(-2 * F.ln(uniform(i, 2 * part))) * F.cos(6.283185307179586 * uniform(i, 2 * part + 1))
+
+    at = lambda array, i: F.coalesce(F.try_element_at(array, F.lit(i)), F.lit(0.0))
+    low = F.sqrt(F.greatest(at(covariance, 1), F.lit(0.0)))
+    across = F.coalesce(F.try_divide(at(covariance, 2), low), F.lit(0.0))
+    rest = F.sqrt(F.greatest(at(covariance, 4) - across * across, F.lit(0.0)))
+    return F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.struct(
+            (at(mean, 1) + low * normal(i, 0)).alias("b0"), (at(mean, 2) + across * normal(i, 0) + rest * normal(i, 1)).alias("b1")
+        ),
+    )
 
 
 def residuals(fit: TrendFit, frame: DataFrame, include_random: bool = False) -> DataFrame:
-    """Posterior-mean fitted value and residual of every row of the model frame."""
-    pred = epred_draws(fit, frame, include_random)
+    """Posterior-mean fitted value and residual of every row of the model frame.
+
+    Draws are made once for each different combination of predictors; rows only
+    get the mean back, so no row meets an array of draws.
+    """
+    predictors = [c for c in (fit.by, "var", "use_cov", "cat", *(["rand"] if include_random else [])) if c in frame.columns]
+    patterns = epred_draws(fit, frame.select(*predictors).distinct(), include_random)
+    means = patterns.select(*predictors, D.mean(F.col("pred")).alias("fitted"))
     observed = F.try_divide(F.col("y"), F.col("y_total")) if "y_total" in frame.columns else F.col("y")
-    fitted = pred.withColumn("fitted", D.mean(F.col("pred"))).drop("pred")
-    return fitted.withColumn("residual", observed - F.col("fitted"))
+    return attach(frame, means, predictors, "inner").withColumn("residual", observed - F.col("fitted"))

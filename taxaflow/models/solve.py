@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -139,4 +139,5 @@ def gather(cats: list[str], q: int, rows) -> tuple[np.ndarray, np.ndarray]:
 
 def normals(seed: int, key: str, shape: tuple[int, ...]) -> np.ndarray:
     """Standard normals that depend on nothing but the seed and the key."""
-    return np.random.Generator(np.random.Philox(key=[seed, zlib.crc32(key.encode())])).standard_normal(shape)
+    own = int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little")
+    return np.random.Generator(np.random.Philox(key=[seed, own])).standard_normal(shape)

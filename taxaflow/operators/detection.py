@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from taxaflow.functions.keys import join_same, names, require
 
-#: Visits of one site held in one array; longer histories continue in the next part.
-PART = 1024
-
 
 def number_visits(df: DataFrame, site_cols: Iterable[str], order_cols: Iterable[str], name: str = "visit") -> DataFrame:
     """Number the rows of a site from 1 in the order of ``order_cols``.
@@ -34,26 +31,28 @@ def number_visits(df: DataFrame, site_cols: Iterable[str], order_cols: Iterable[
 def detection_history(
     df: DataFrame, time_geo: Iterable[str], site_cols: Iterable[str], order_cols: Iterable[str], success_col: str = "success"
 ) -> DataFrame:
-    """Visits of each site as arrays in visit order, ``PART`` visits to an array.
+    """One row per visit of each site: its number and its success (null for a missed visit).
 
-    Nearly all sites have one part, numbered 0; a longer history goes on in parts
-    1, 2 and so on, so no array grows without bound.
+    Every visit is a row of its own, so no history is ever held by one task.
     """
     keys = [*names(time_geo), *names(site_cols)]
-    numbered = number_visits(df, keys, order_cols)
-    seen = F.struct("visit", F.col(success_col).alias("s"))
-    part = F.floor((F.col("visit") - 1) / PART).cast("int")
-    found = numbered.groupBy(*keys, part.alias("part")).agg(F.array_sort(F.collect_list(seen)).alias("__v"))
-    return found.select(*keys, "part", F.transform("__v", lambda v: v["s"]).alias("visits"))
+    return number_visits(df, keys, order_cols).select(*keys, "visit", F.col(success_col).alias("success"))
 
 
 def visits_wide(
-    df: DataFrame, time_geo: Iterable[str], site_cols: Iterable[str], order_cols: Iterable[str], n_visits: int, success_col: str = "success"
+    df: DataFrame, time_geo: Iterable[str], site_cols: Iterable[str], order_cols: Iterable[str], success_col: str = "success"
 ) -> DataFrame:
-    """One row per site and a column ``visit_1`` ... ``visit_n`` each, null where not visited."""
+    """One row per site and a column ``visit_1`` to ``visit_n`` each, null where not visited; n is the longest history.
+
+    The data's own longest history gives the width, so no visit is left out.  A
+    table of very many columns is refused by Spark (``spark.sql.pivotMaxValues``);
+    ``detection_history`` has no such limit.
+    """
     keys = [*names(time_geo), *names(site_cols)]
-    numbered = number_visits(df, keys, order_cols)
-    wide = numbered.groupBy(*keys).pivot("visit", list(range(1, n_visits + 1))).agg(F.first(success_col))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    n_visits = counts.agg(F.max("__n")).first()[0] or 0
+    visits = detection_history(df, time_geo, site_cols, order_cols, success_col)
+    wide = visits.groupBy(*keys).pivot("visit", list(range(1, n_visits + 1))).agg(F.first("success"))
     return wide.select(*keys, *[F.col(str(i)).alias(f"visit_{i}") for i in range(1, n_visits + 1)])
 
 

@@ -41,7 +41,9 @@ def divergence_flags(draws: DataFrame, by: Iterable[str] = ()) -> DataFrame:
 
 
 def _split_chains(chains) -> np.ndarray:
-    rows = np.array([np.asarray(c, dtype=float) for c in chains])
+    """Halves of the chains, all as long as the shortest chain allows."""
+    shortest = min(len(c) for c in chains)
+    rows = np.array([np.asarray(c, dtype=float)[:shortest] for c in chains])
     half = rows.shape[1] // 2
     return np.concatenate([rows[:, :half], rows[:, rows.shape[1] - half :]])
 
@@ -78,6 +80,7 @@ def parameter_summary(draws: DataFrame, by: Iterable[str] = (), probs: Sequence[
     """Mean, sd, quantiles, ``n_eff`` and ``Rhat`` per parameter from rows ``(parameter, chain, draw, value)``.
 
     Draws of one parameter are a few thousand numbers and travel as one array per chain.
+    Chains of unequal length are compared over the length of the shortest.
     """
     by = names(by)
     require(draws, *by, "parameter", "chain", "draw", "value")

@@ -135,8 +135,11 @@ def density_of(long: DataFrame, keys: Sequence[str], points: int = 128, bins: in
     quartiles = group_quantiles(long, keys, "value", [0.25, 0.75], prefix="__", few_values=False)
     iqr = (F.col("__q75") - F.col("__q25")) / 1.34
     narrow = F.when((iqr > 0) & (iqr < F.col("__sd")), iqr).otherwise(F.col("__sd"))
-    stats = join_same(spread, quartiles, keys).where(F.col("__sd") > 0)
-    stats = stats.withColumn("__bw", 0.9 * narrow * F.pow(F.col("__n"), F.lit(-0.2)))
+    stats = join_same(spread, quartiles, keys)
+    # a variable with one value has no spread: its size, or one, stands in, as density estimates commonly do
+    size = F.when(F.col("__low") != 0, F.abs("__low")).otherwise(F.lit(1.0))
+    width = F.when(F.col("__sd") > 0, narrow).otherwise(size)
+    stats = stats.withColumn("__bw", 0.9 * width * F.pow(F.col("__n"), F.lit(-0.2)))
     placed = attach(long, stats, keys, "inner", tiny=tiny).withColumn("__bin", _bin(bins))
     counts = placed.groupBy(*keys, "__bin", "__low", "__high", "__bw", "__n").agg(F.count(F.lit(1)).alias("__c"))
     start, stop = F.col("__low") - 3 * F.col("__bw"), F.col("__high") + 3 * F.col("__bw")

@@ -33,7 +33,7 @@ def model_frame(
     chosen = {"y": y, "y_total": y_total, "cat": cat_col, "rand": random_col, "cov": cov_col}
     require(df, *by, *[c for c in [*chosen.values(), var_col] if c])
     if var_col:
-        centre = group_quantiles(df, by, var_col, [0.5], prefix="__centre_")
+        centre = group_quantiles(df, by, var_col, [0.5], prefix="__centre_", few_values=True)
         df = attach(df, centre, by).withColumn("__var", F.col(var_col) - F.col("__centre_q50")).drop("__centre_q50")
     out = df.withColumns({name: F.col(col) for name, col in chosen.items() if col})
     if var_col:

@@ -36,14 +36,14 @@ def time_grid(
     spans = known.groupBy(*groups).agg(F.min(var_col).alias("__low"), F.max(var_col).alias("__high"))
     points = steps(F.col("__low"), F.col("__high"), pred_step, is_integral(data, var_col))
     grid = spans.select(*groups, F.explode(points).alias(var_col))
-    centre = group_quantiles(data, by, var_col, [0.5], prefix="__centre_")
+    centre = group_quantiles(data, by, var_col, [0.5], prefix="__centre_", few_values=True)
     return join_same(grid, centre, by).withColumn("var", F.col(var_col) - F.col("__centre_q50")).drop("__centre_q50")
 
 
 def cov_quantiles(data: DataFrame, by: Iterable[str], cov_col: str = "cov", cov_q: Sequence[float] = (0.5,)) -> DataFrame:
     """Covariate values at quantiles of the data, as rows ``(by, ord, cov_q, cov, log_cov)``."""
     by = names(by)
-    wide = group_quantiles(data, by, cov_col, cov_q, prefix="__")
+    wide = group_quantiles(data, by, cov_col, cov_q, prefix="__", few_values=True)
     pairs = F.array(*[F.struct(F.lit(quantile_name(p)).alias("cov_q"), F.col(quantile_name(p, "__")).alias("cov")) for p in cov_q])
     return _covariates(wide.select(*by, F.posexplode(F.array_sort(F.transform(pairs, lambda s: F.struct(s["cov"].alias("cov"), s["cov_q"].alias("cov_q"))))).alias("ord", "__s")), by)
 
@@ -109,5 +109,5 @@ def observed_contexts(
     if cov_col is None:
         return grid
     source = data.select(*by, cov_col)
-    middle = group_quantiles(source.distinct() if unique_cov else source, by, cov_col, [0.5], prefix="__cov_")
+    middle = group_quantiles(source.distinct() if unique_cov else source, by, cov_col, [0.5], prefix="__cov_", few_values=True)
     return join_same(grid, middle, by).withColumnRenamed("__cov_q50", "cov").withColumn("log_cov", F.when(F.col("cov") > 0, F.ln("cov")))

@@ -47,11 +47,16 @@ def occupancy_counts(df: DataFrame, keys: Iterable[str], site_cols: Iterable[str
     )
 
 
-def estimate(counts: DataFrame, rounds: int = 300) -> DataFrame:
-    """``psi`` and ``p`` by expectation-maximisation inside one column expression.
+#: Estimation ends when neither probability moves by more than this, or (not converged) after so many rounds.
+TOLERANCE, MOST_ROUNDS = 1e-11, 20_000
 
+
+def estimate(counts: DataFrame, tol: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """``psi`` and ``p`` by expectation-maximisation inside one column expression, and whether they ``converged``.
+
+    A cell whose estimates have settled passes its remaining rounds at no cost.
     Where no site has a second visit the two are not separable: both are null
-    and ``status`` says so.
+    and ``status`` says so; it also says where the rounds did not suffice.
     """
     sites, detections = F.col("n_sites").cast("double"), F.col("detections").cast("double")
     missed = F.col("missed")
@@ -71,27 +76,33 @@ def estimate(counts: DataFrame, rounds: int = 300) -> DataFrame:
             ),
         )
         # One struct literal keeps the inner sum evaluated once per round.
-        return F.transform(
+        new = F.transform(
             F.array(add),
             lambda a: F.struct(
                 ((F.col("detected") + a["z"]) / sites).alias("psi"),
                 F.coalesce(F.try_divide(detections, F.col("detected_visits") + a["zn"]), F.lit(0.0)).alias("p"),
             ),
-        )[0]
+        )
+        moved = lambda x: F.greatest(F.abs(x["psi"] - psi), F.abs(x["p"] - p))
+        next_state = F.transform(new, lambda x: F.struct(x["psi"].alias("psi"), x["p"].alias("p"), moved(x).alias("moved")))[0]
+        return F.when(state["moved"] <= tol, state).otherwise(next_state)
 
     naive = F.col("detected") / sites
     start = F.struct(
         F.least((naive + 1) / 2, F.lit(0.999)).alias("psi"),
         F.greatest(F.coalesce(F.try_divide(detections, F.col("detected_visits").cast("double")), F.lit(0.0)) * 0.9, F.lit(0.0)).alias("p"),
+        F.lit(1.0).alias("moved"),
     )
-    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(most_rounds)), start, step)
     separable = (F.col("most_visits") > 1) & (F.col("detections") > 0)
     return counts.withColumn("__fit", F.when(separable, fitted)).withColumns(
         {
             "psi": F.when(F.col("detections") == 0, F.lit(0.0)).otherwise(F.col("__fit.psi")),
             "p": F.col("__fit.p"),
+            "converged": F.coalesce(F.col("__fit.moved") <= tol, F.lit(True)),
             "status": F.when(F.col("detections") == 0, F.lit("no detections"))
             .when(~separable, F.lit("not separable"))
+            .when(F.col("__fit.moved") > tol, F.lit("not converged"))
             .otherwise(F.lit("ok")),
         }
     ).drop("__fit")
@@ -104,7 +115,6 @@ def occupancy_fit(
     by: Iterable[str] = (),
     time_col: str = "year",
     success_col: str = "success",
-    rounds: int = 300,
 ) -> DataFrame:
     """Occupancy per time and geography for every taxon in ``by``.
 
@@ -121,7 +131,7 @@ def occupancy_fit(
         years = join_same(years, enough, by, "left_semi")
     years = years.where(F.col("years") > MIN_YEARS_AFTER)
     kept = join_same(cells, years, [*by, *geo], "inner")
-    return estimate(kept, rounds).select(
+    return estimate(kept).select(
         *by, *geo, time_col, "n_sites", "visits", "detections", "years",
-        clamp_proportion(F.col("psi"), OCCUPANCY_MARGIN).alias("occ"), F.col("p").alias("det"), "status",
+        clamp_proportion(F.col("psi"), OCCUPANCY_MARGIN).alias("occ"), F.col("p").alias("det"), "converged", "status",
     )

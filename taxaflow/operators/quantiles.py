@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from taxaflow.functions.keys import attach, is_integral, join_same, names, nan_to_null, require
+from taxaflow.functions.keys import attach, join_same, names, nan_to_null, require
 from taxaflow.functions.text import quantile_name
 
 #: Distinct values a group keeps for choosing its bin bounds.
@@ -25,17 +25,16 @@ def group_quantiles(
     value: str,
     probs: Sequence[float],
     prefix: str = "",
-    few_values: bool | None = None,
+    few_values: bool = False,
 ) -> DataFrame:
     """One row per group with one column per probability (linear interpolation, nulls skipped).
 
     ``few_values`` says that a group has few distinct values (years, list
-    lengths), so counts per value fit in one aggregation buffer; it defaults to
-    true for integer columns.  Otherwise no task ever holds a whole group.
+    lengths), so counts per value fit in one aggregation buffer.  Otherwise no
+    task ever holds a whole group.
     """
     by = names(by)
     require(df, *by, value)
-    few_values = is_integral(df, value) if few_values is None else few_values
     df = nan_to_null(df.select(*by, value), value)
     if few_values:
         found = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("__q"))

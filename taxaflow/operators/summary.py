@@ -19,16 +19,23 @@ OVERALL_Q = (0.005, 0.025, 0.05, 0.25, 0.5, 0.75, 0.95, 0.975, 0.995)
 
 
 def to_arrays(draws: DataFrame, keys: Iterable[str], n_draws: int, draw_col: str = "draw", value_col: str = "pred") -> DataFrame:
-    """Rows per draw as one array per key, in draw order 0 to ``n_draws - 1``.
+    """Rows per draw as one array per key, in draw order, at least ``n_draws`` long.
 
-    A draw without a row becomes a null element; each (key, draw) must be unique,
-    so an array has at most ``n_draws`` elements.
+    Draws are numbered from 0 or from 1, or in any other way: the array goes from
+    the first number of the whole table to the last, so no draw is left out and
+    the arrays of all keys pair up.  A draw without a row becomes a null element;
+    each (key, draw) must be unique.
     """
     keys = names(keys)
-    pairs = F.map_from_entries(F.collect_list(F.struct(F.col(draw_col).cast("int"), F.col(value_col).cast("double"))))
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col(draw_col).cast("long"), F.col(value_col).cast("double"))))
     found = draws.groupBy(*keys).agg(pairs.alias("__m"))
-    numbers = F.sequence(F.lit(0), F.lit(n_draws - 1))
-    return found.select(*keys, F.transform(numbers, lambda i: F.try_element_at(F.col("__m"), i)).alias(value_col))
+    low, high = F.min(F.col(draw_col).cast("long")), F.max(F.col(draw_col).cast("long"))
+    # numbered from 0 or 1 where that holds all draws; one row, whatever the table
+    first = F.when((low >= 0) & (high < n_draws), F.lit(0)).when((low >= 1) & (high <= n_draws), F.lit(1)).otherwise(low)
+    bounds = draws.agg(first.cast("long").alias("__first"), high.alias("__high"))
+    numbers = F.sequence(F.col("__first"), F.greatest(F.col("__first") + (n_draws - 1), F.col("__high")))
+    arrays = found.join(F.broadcast(bounds))
+    return arrays.select(*keys, F.transform(numbers, lambda i: F.try_element_at(F.col("__m"), i)).alias(value_col))
 
 
 def to_rows(pred: DataFrame, keys: Iterable[str], value_col: str = "pred", draw_col: str = "draw") -> DataFrame:

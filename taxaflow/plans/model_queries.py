@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from taxaflow.functions.keys import join_same
 from taxaflow.models.predict import residuals
 from taxaflow.operators import summary as S
 from taxaflow.operators.contrast import year_diff_draws
@@ -13,16 +14,19 @@ from taxaflow.plans.catalog import OCC, query, r
 from taxaflow.plans.record_queries import listed, occurrences
 from taxaflow.plans.trends import change_since, list_length_model, model_results, occupancy_model, reporting_rate_model
 
-DRAWS = 200
+DRAWS = 1000
 
 # A binary time makes the logistic model saturated, so its coefficients have a closed form.
 _SATURATED = f"""{OCC}, x AS (SELECT taxa, region, CAST(quantity > 25 AS INTEGER) AS late, success FROM occ),
 med AS (SELECT taxa, quantile_cont(late, 0.5) AS m FROM x GROUP BY taxa),
-p AS (SELECT taxa, region, ln(sum(success) FILTER (WHERE late = 0) / (count(*) FILTER (WHERE late = 0) - sum(success) FILTER (WHERE late = 0))) AS l0,
+p AS (SELECT taxa, region,
+             1e0 / sum(success) FILTER (WHERE late = 0) + 1e0 / (count(*) FILTER (WHERE late = 0) - sum(success) FILTER (WHERE late = 0)) AS v0,
+             1e0 / sum(success) FILTER (WHERE late = 1) + 1e0 / (count(*) FILTER (WHERE late = 1) - sum(success) FILTER (WHERE late = 1)) AS v1,
+             ln(sum(success) FILTER (WHERE late = 0) / (count(*) FILTER (WHERE late = 0) - sum(success) FILTER (WHERE late = 0))) AS l0,
              ln(sum(success) FILTER (WHERE late = 1) / (count(*) FILTER (WHERE late = 1) - sum(success) FILTER (WHERE late = 1))) AS l1
       FROM x GROUP BY ALL),
-own AS (SELECT taxa, region, l0 + (l1 - l0) * m AS a, l1 - l0 AS b, row_number() OVER (PARTITION BY taxa ORDER BY region) AS i FROM p JOIN med USING (taxa)),
-ref AS (SELECT taxa, a AS a0, b AS b0 FROM own WHERE i = 1)"""
+own AS (SELECT taxa, region, l0 + (l1 - l0) * m AS a, l1 - l0 AS b, (1 - m) * (1 - m) * v0 + m * m * v1 AS va, v0 + v1 AS vb, row_number() OVER (PARTITION BY taxa ORDER BY region) AS i FROM p JOIN med USING (taxa)),
+ref AS (SELECT taxa, a AS a0, b AS b0, va AS va0, vb AS vb0 FROM own WHERE i = 1)"""
 
 
 def saturated(spark, folder):
@@ -32,25 +36,28 @@ def saturated(spark, folder):
 
 @query(
     "fit_glm",
-    f"""WITH {_SATURATED} SELECT taxa, '(Intercept)' AS term, {r('a0')} AS estimate FROM ref
-        UNION ALL SELECT taxa, 'var', {r('b0')} FROM ref
-        UNION ALL SELECT taxa, 'cat' || region, {r('a - a0')} FROM own JOIN ref USING (taxa) WHERE i > 1
-        UNION ALL SELECT taxa, 'var:cat' || region, {r('b - b0')} FROM own JOIN ref USING (taxa) WHERE i > 1""",
+    f"""WITH {_SATURATED} SELECT taxa, '(Intercept)' AS term, {r('a0')} AS estimate, {r('sqrt(va0)')} AS sd FROM ref
+        UNION ALL SELECT taxa, 'var', {r('b0')}, {r('sqrt(vb0)')} FROM ref
+        UNION ALL SELECT taxa, 'cat' || region, {r('a - a0')}, {r('sqrt(va + va0)')} FROM own JOIN ref USING (taxa) WHERE i > 1
+        UNION ALL SELECT taxa, 'var:cat' || region, {r('b - b0')}, {r('sqrt(vb + vb0)')} FROM own JOIN ref USING (taxa) WHERE i > 1""",
 )
 def _(spark, folder):
-    return saturated(spark, folder)[1].coef.drop("sd")
+    return saturated(spark, folder)[1].coef
 
 
 @query(
     "fit_gaussian",
     f"""WITH {OCC}, med AS (SELECT taxa, quantile_cont(year, 0.5) AS m FROM occ GROUP BY taxa),
-        f AS (SELECT taxa, regr_slope(ln(price), year - m) AS b, regr_intercept(ln(price), year - m) AS a FROM occ JOIN med USING (taxa) GROUP BY taxa)
-        SELECT taxa, '(Intercept)' AS term, {r('a')} AS estimate FROM f UNION ALL SELECT taxa, 'var', {r('b')} FROM f""",
+        f AS (SELECT taxa, regr_slope(ln(price), year - m) AS b, regr_intercept(ln(price), year - m) AS a,
+                     (regr_syy(ln(price), year - m) - regr_sxy(ln(price), year - m) ** 2 / regr_sxx(ln(price), year - m)) / (count(*) - 2) AS phi,
+                     regr_sxx(ln(price), year - m) AS sxx, avg(year - m) AS mx, count(*) AS n FROM occ JOIN med USING (taxa) GROUP BY taxa)
+        SELECT taxa, '(Intercept)' AS term, {r('a')} AS estimate, {r('sqrt(phi * (1e0 / n + mx * mx / sxx))')} AS sd FROM f
+        UNION ALL SELECT taxa, 'var', {r('b')}, {r('sqrt(phi / sxx)')} FROM f""",
 )
 def _(spark, folder):
     data = occurrences(spark, folder).withColumn("log_price", F.ln("price"))
     fit = list_length_model(data, "taxa", "log_price", family="gaussian", cov_col=None, prior_scale=None, n_draws=10)[1]
-    return fit.coef.drop("sd")
+    return fit.coef
 
 
 def list_length_fit(spark, folder, **options):
@@ -58,6 +65,11 @@ def list_length_fit(spark, folder, **options):
     return list_length_model(data, "taxa", "success", cat_col="region", n_draws=DRAWS, **options)
 
 
+def judged(fit, rows, name="converged"):
+    """``rows`` with whether the model they come from has converged."""
+    return join_same(rows, fit.spec.select(fit.by, F.col("converged").alias(name)), [fit.by])
+
+
 @query("fit_list_length")
 def _(spark, folder):
     return list_length_fit(spark, folder)[1].coef
@@ -78,8 +90,8 @@ def _(spark, folder):
 
 @query("fit_random")
 def _(spark, folder):
-    fit = list_length_fit(spark, folder, random_col="site", rand_slope=False, max_iter=4)[1]
-    return fit.coef
+    fit = list_length_fit(spark, folder, random_col="site", rand_slope=False)[1]
+    return judged(fit, fit.coef)
 
 
 @query("model_results")
@@ -99,14 +111,14 @@ def _(spark, folder):
     counts = occurrences(spark, folder).groupBy("taxa", "year", "region", "nation").agg(
         F.sum("success").alias("success"), F.count("success").alias("trials")
     )
-    frame, fit = reporting_rate_model(counts, "taxa", ["region"], "nation", n_draws=DRAWS, max_iter=5)
-    return S.change_summary(change_since(frame, fit, 1996, 2000, "region"), ["taxa", "region"])
+    frame, fit = reporting_rate_model(counts, "taxa", ["region"], "nation", n_draws=DRAWS)
+    return judged(fit, S.change_summary(change_since(frame, fit, 1996, 2000, "region"), ["taxa", "region"]))
 
 
 @query("occ_trend")
 def _(spark, folder):
-    _, frame, fit = occupancy_model(occurrences(spark, folder), "kind", ["region"], "site", rounds=100, n_draws=DRAWS, max_iter=8)
-    return S.change_summary(change_since(frame, fit, 1996, 2000, "region"), ["kind", "region"])
+    _, frame, fit = occupancy_model(occurrences(spark, folder), "kind", ["region"], "site", n_draws=DRAWS)
+    return judged(fit, S.change_summary(change_since(frame, fit, 1996, 2000, "region"), ["kind", "region"]))
 
 
 @query("overall_of_models")
@@ -115,9 +127,9 @@ def _(spark, folder):
     occ = occurrences(spark, folder)
     counts = occ.groupBy("kind", "year", "region").agg(F.sum("success").alias("success"), F.count("success").alias("trials"))
     rate_frame, rate = reporting_rate_model(counts, "kind", ["region"], None, n_draws=DRAWS)
-    _, cell_frame, cell = occupancy_model(occ, "kind", ["region"], "site", rounds=100, n_draws=DRAWS, max_iter=8)
+    _, cell_frame, cell = occupancy_model(occ, "kind", ["region"], "site", n_draws=DRAWS)
     models = {
         name: year_diff_draws(change_since(frame, fit, 1996, 2000, "region")).select("kind", "region", "draw", "diff")
         for name, frame, fit in (("reporting rate", rate_frame, rate), ("occupancy", cell_frame, cell))
     }
-    return S.overall_change(S.stack_models(models), ["kind"])
+    return judged(rate, judged(cell, S.overall_change(S.stack_models(models), ["kind"]), "occupancy_converged"), "rate_converged")

@@ -142,7 +142,7 @@ def _(spark, folder):
         {r('quantile_cont(list_length, 0.9)')} AS q90 FROM listed WHERE list_length IS NOT NULL GROUP BY taxa""",
 )
 def _(spark, folder):
-    return group_quantiles(listed(spark, folder).where("list_length is not null"), "taxa", "list_length", [0.25, 0.5, 0.9])
+    return group_quantiles(listed(spark, folder).where("list_length is not null"), "taxa", "list_length", [0.25, 0.5, 0.9], few_values=True)
 
 
 _SCALE = "(VALUES " + ", ".join(f"({i + 1}, {m}e0, '{w}')" for i, (m, w) in enumerate(LIKELIHOOD)) + ") AS s(ord, max_val, likelihood)"
@@ -241,24 +241,18 @@ def _(spark, folder):
     return numbered.select("year", "region", "site", "list", "line", "visit")
 
 
-@query(
-    "detection_history",
-    f"""WITH {_VISITS} SELECT year, region, site, CAST(0 AS INTEGER) AS part, string_agg(CAST(success AS VARCHAR), '' ORDER BY visit) AS visits
-        FROM numbered GROUP BY year, region, site""",
-)
+@query("detection_history", f"WITH {_VISITS} SELECT year, region, site, visit, success FROM numbered")
 def _(spark, folder):
-    found = detection_history(occurrences(spark, folder), ["year", "region"], ["site"], _ORDER)
-    return found.withColumn("visits", F.array_join(F.transform("visits", lambda v: v.cast("string")), ""))
+    return detection_history(occurrences(spark, folder), ["year", "region"], ["site"], _ORDER)
 
 
 @query(
     "visits_wide",
-    f"""WITH {_VISITS} SELECT year, region, site, """
-    + ", ".join(f"max(CASE WHEN visit = {i} THEN success END) AS visit_{i}" for i in range(1, 5))
-    + " FROM numbered GROUP BY year, region, site",
+    f"""WITH {_VISITS}, named AS (SELECT year, region, site, 'visit_' || visit AS visit, success FROM numbered)
+        SELECT * FROM (PIVOT named ON visit USING max(success) GROUP BY year, region, site)""",
 )
 def _(spark, folder):
-    return visits_wide(occurrences(spark, folder), ["year", "region"], ["site"], _ORDER, 4)
+    return visits_wide(occurrences(spark, folder), ["year", "region"], ["site"], _ORDER)
 
 
 _SITES = f"""{OCC}, sites AS (
@@ -270,7 +264,6 @@ def _(spark, folder):
     return occupancy_histogram(occurrences(spark, folder), ["year", "region"], ["site"])
 
 
-_ROUNDS = 300
 _EM = f"""{_SITES}, hist AS (SELECT year, region, n_visits, count(*) AS c FROM sites WHERE n_det = 0 GROUP BY ALL),
 lists AS (SELECT year, region, list({{'n': CAST(n_visits AS DOUBLE), 'c': CAST(c AS DOUBLE)}}) AS missed FROM hist GROUP BY ALL),
 cells AS (
@@ -282,22 +275,22 @@ geos AS (SELECT region, count(*) AS years FROM cells GROUP BY ALL HAVING count(*
 kept AS (SELECT cells.*, years, missed FROM cells JOIN geos USING (region) LEFT JOIN lists USING (year, region)),
 em AS (
   SELECT 0 AS it, year, region, n_sites, visits, detections, years, d, dv, missed,
-         least((d / n_sites + 1) / 2, 0.999e0) AS psi, detections / dv * 0.9e0 AS p FROM kept
+         least((d / n_sites + 1) / 2, 0.999e0) AS psi, detections / dv * 0.9e0 AS p, 1e0 AS moved FROM kept
   UNION ALL
-  SELECT it + 1, year, region, n_sites, visits, detections, years, d, dv, missed,
-         (d + coalesce(list_sum([h.c * psi * pow(1 - p, h.n) / (psi * pow(1 - p, h.n) + 1 - psi) for h in missed]), 0)) / n_sites,
-         detections / (dv + coalesce(list_sum([h.c * h.n * psi * pow(1 - p, h.n) / (psi * pow(1 - p, h.n) + 1 - psi) for h in missed]), 0))
-  FROM em WHERE it < {_ROUNDS})"""
+  SELECT it + 1, year, region, n_sites, visits, detections, years, d, dv, missed, psi2, p2, greatest(abs(psi2 - psi), abs(p2 - p)) FROM (
+    SELECT *, (d + coalesce(list_sum([h.c * psi * pow(1 - p, h.n) / (psi * pow(1 - p, h.n) + 1 - psi) for h in missed]), 0)) / n_sites AS psi2,
+           detections / (dv + coalesce(list_sum([h.c * h.n * psi * pow(1 - p, h.n) / (psi * pow(1 - p, h.n) + 1 - psi) for h in missed]), 0)) AS p2
+    FROM em WHERE moved > 1e-11))"""
 
 
 @query(
     "occupancy_fit",
     f"""WITH RECURSIVE {_EM} SELECT region, year, n_sites, visits, detections, years,
-        {r('CASE WHEN psi = 0 THEN 1e-8 WHEN psi = 1 THEN 1 - 1e-8 ELSE psi END')} AS occ, {r('p')} AS det, 'ok' AS status
-        FROM em WHERE it = {_ROUNDS}""",
+        {r('CASE WHEN psi = 0 THEN 1e-8 WHEN psi = 1 THEN 1 - 1e-8 ELSE psi END')} AS occ, {r('p')} AS det, true AS converged, 'ok' AS status
+        FROM em WHERE moved <= 1e-11""",
 )
 def _(spark, folder):
-    return occupancy_fit(occurrences(spark, folder), ["region"], ["site"], rounds=_ROUNDS)
+    return occupancy_fit(occurrences(spark, folder), ["region"], ["site"])
 
 
 _PRES = f"""{OCC}, pres AS (SELECT DISTINCT kind AS taxon, list AS site FROM occ WHERE success > 0),

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.functions.keys import names, require
+from taxaflow.functions.keys import join_same, names, require
 from taxaflow.functions.links import OCCUPANCY_MARGIN, clamp_proportion
 from taxaflow.models.fit import TrendFit, fit_trend
 from taxaflow.models.predict import epred_draws
@@ -62,18 +62,21 @@ def model_results(
     ps_thresh: float = 0.05,
     n_draws: int = 1000,
     binomial: bool = True,
+    include_random: bool = False,
+    new_level: bool = False,
 ) -> dict[str, DataFrame]:
     """Predictions on a grid, their contrast with ``ref``, and one summary row per prediction.
 
-    A binomial prediction is a count out of 100.
+    A binomial prediction is a proportion, and ``ps_thresh`` a difference of
+    proportions.  Predictions are made at the centre of the random effects, or with
+    ``new_level`` for a level drawn from them; ``include_random`` gives the levels of
+    a ``rand`` column of the grid their own effects.
     """
     by = fit.by
     covariates = cov_quantiles(frame, [by], "cov", cov_q) if "cov" in frame.columns else None
     data = frame if "cat" in frame.columns else frame.withColumn("cat", F.lit("all"))
     grid = prediction_grid(data, [by], var_col, "cat", covariates, pred_step, binomial=binomial)
-    pred = epred_draws(fit, grid)
-    if binomial:
-        pred = pred.withColumn("pred", F.transform("pred", lambda x: x * F.col("y_total")))
+    pred = epred_draws(fit, grid, include_random, new_level)
     keys = [by, *(["cov"] if covariates is not None else [])]
     contrasted = contrast(pred, ref, var_col, "cat", keys)
     every = [by, "cat", var_col, *(["cov_q", "cov"] if covariates is not None else [])]
@@ -93,11 +96,11 @@ def reporting_rate_model(
 
 def occupancy_model(
     df: DataFrame, taxa_col: str, geo_cols: Iterable[str], site_col: str = "grid_l", time_col: str = "year",
-    success_col: str = "success", rounds: int = 300, **fit_options,
+    success_col: str = "success", **fit_options,
 ) -> tuple[DataFrame, DataFrame, TrendFit]:
     """Occupancy per year and geography, then a Beta-response spline of time by geography."""
     geo_cols = names(geo_cols)
-    cells = durable(occupancy_fit(df, geo_cols, [site_col], [taxa_col], time_col, success_col, rounds))
+    cells = durable(occupancy_fit(df, geo_cols, [site_col], [taxa_col], time_col, success_col))
     usable = cells.where(F.col("occ").isNotNull()).withColumn("occ", clamp_proportion(F.col("occ"), OCCUPANCY_MARGIN))
     frame = model_frame(usable, taxa_col, "occ", None, time_col, geo_cols[-1], None, None)
     fit = fit_trend(compress_patterns(frame, taxa_col), taxa_col, "beta", K_OTHER, False, **fit_options)
@@ -115,7 +118,7 @@ def change_since(
     contexts = observed_contexts(frame, [by], ["cat"], cov_col)
     tests = F.array(*[F.struct(F.lit(t).alias(time_col)) for t in (reference, recent)])
     centre = frame.groupBy(by).agg(F.first(F.col(time_col) - F.col("var")).alias("__centre"))
-    grid = contexts.select(*contexts.columns, F.inline(tests)).join(centre, by)
+    grid = join_same(contexts.select(*contexts.columns, F.inline(tests)), centre, [by], "inner")
     grid = grid.withColumn("var", F.col(time_col) - F.col("__centre")).drop("__centre")
     if cov_col:
         grid = grid.withColumn("use_cov", F.col("log_cov"))

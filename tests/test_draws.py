@@ -198,3 +198,12 @@ def test_explore_bundle_and_constant_columns(spark):
     assert {r.level: r.n for r in bundle["level_counts"].collect()} == {"A": 40, "B": 20}
     assert X.level_counts(df, ["cat"], max_levels=2).count() == 0
     assert X.histogram(df, ["one"]).collect()[0].bin == 1
+
+
+def test_arrays_keep_any_numbering(spark):
+    rows = [("m", i, float(i)) for i in range(1, 6)] + [("n", i, float(i)) for i in (1, 3, 5)]
+    df = spark.createDataFrame(rows, "model_id string, draw int, pred double")
+    found = {r.model_id: r.pred for r in S.to_arrays(df, "model_id", 5).collect()}
+    assert found == {"m": [1.0, 2.0, 3.0, 4.0, 5.0], "n": [1.0, None, 3.0, None, 5.0]}
+    far = S.to_arrays(df.withColumn("draw", F.col("draw") + 1000), "model_id", 3).where("model_id = 'm'").first().pred
+    assert far == [1.0, 2.0, 3.0, 4.0, 5.0]

@@ -168,17 +168,16 @@ def test_visits(spark):
     assert values(number_visits(df, "site", ["day", "id"]), "site", "id", "visit") == [
         ("s", 0, 4), ("s", 1, 1), ("s", 2, 2), ("s", 3, 3), ("t", 9, 1)
     ]
-    history = {r.site: (r.part, r.visits) for r in detection_history(df, [], "site", ["day", "id"]).collect()}
-    assert history == {"s": (0, [0, 1, None, 1]), "t": (0, [1])}
-    wide = {r.site: (r.visit_1, r.visit_2, r.visit_3, r.visit_4) for r in visits_wide(df, [], "site", ["day", "id"], 4).collect()}
+    history = values(detection_history(df, [], "site", ["day", "id"]), "site", "visit", "success")
+    assert history == [("s", 1, 0), ("s", 2, 1), ("s", 3, None), ("s", 4, 1), ("t", 1, 1)]
+    wide = {r.site: (r.visit_1, r.visit_2, r.visit_3, r.visit_4) for r in visits_wide(df, [], "site", ["day", "id"]).collect()}
     assert wide == {"s": (0, 1, None, 1), "t": (1, None, None, None)}
 
 
-def test_long_history_continues_in_parts(spark):
+def test_long_history_is_whole(spark):
     df = spark.range(2500).select(F.lit("s").alias("site"), F.col("id").alias("day"), (F.col("id") % 2).cast("int").alias("success"))
-    parts = detection_history(df, [], "site", ["day"]).orderBy("part").collect()
-    assert [len(p.visits) for p in parts] == [1024, 1024, 452]
-    assert sum((p.visits for p in parts), []) == [i % 2 for i in range(2500)]
+    rows = detection_history(df, [], "site", ["day"]).orderBy("visit").collect()
+    assert [(r.visit, r.success) for r in rows] == [(i + 1, i % 2) for i in range(2500)]
 
 
 def simulate_cell(rng, year, psi, p, sites, visits):
@@ -206,7 +205,7 @@ def test_occupancy_is_the_likelihood_maximum(spark):
     rng = np.random.default_rng(5)
     rows = sum((simulate_cell(rng, y, 0.5, 0.4, 60, 3) for y in range(2000, 2004)), [])
     df = spark.createDataFrame(rows, "taxa string, geo string, year int, site string, success int")
-    out = {r.year: r for r in occupancy_fit(df, ["geo"], ["site"], ["taxa"], rounds=2000).collect()}
+    out = {r.year: r for r in occupancy_fit(df, ["geo"], ["site"], ["taxa"]).collect()}
     grid = np.linspace(0.001, 0.999, 999)
     psi, p = np.meshgrid(grid, grid, indexing="ij")
     for year, r in out.items():
