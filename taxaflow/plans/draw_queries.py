@@ -98,7 +98,9 @@ def _(spark, folder):
     return table.where("ps is not null")
 
 
-_FLAGS = F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda i: i % 7 == 0)
+
+def _flags():
+    return F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda i: i % 7 == 0)
 
 
 @query(
@@ -109,7 +111,7 @@ _FLAGS = F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda i: i % 7 == 0)
         FROM c GROUP BY taxa, geo, year, draw % 7 = 0""",
 )
 def divergent(spark, folder):
-    return S.divergent_summary(lagged(spark, folder).withColumn("divergent", _FLAGS), KEYS, N)
+    return S.divergent_summary(lagged(spark, folder).withColumn("divergent", _flags()), KEYS, N)
 
 
 @query(
@@ -300,7 +302,7 @@ def _(spark, folder):
     f"WITH {_D} SELECT taxa, geo, year, draw, {r('pred')} AS pred, draw % 7 = 0 AS divergent FROM d",
 )
 def _(spark, folder):
-    return C.spaghetti_table(arrays(spark, folder).withColumn("divergent", _FLAGS), KEYS, n=N, by=["taxa"])
+    return C.spaghetti_table(arrays(spark, folder).withColumn("divergent", _flags()), KEYS, n=N, by=["taxa"])
 
 
 @query(
