@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import Memo, lists, ragged
+from taxaflow.llm.common import Memo, claim, lists, ragged, remembers
 
 #: Determinised states kept by a worker; beyond, they are made anew when reached.
 STATES = 150_000
@@ -227,7 +227,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+remembers("bpe", codec.cache_clear)
+
+
 def _encoded(texts: pa.Array, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    claim("bpe")
     encode = codec(path, pattern).encode
     parts = [encode(x) if x else b"" for x in texts.to_pylist()]
     return np.frombuffer(b"".join(parts), "<i4"), np.array([len(x) // 4 for x in parts], np.int64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,24 @@ def portions(texts: list[bytes], most: int = 4 << 20) -> Iterator[slice]:
     return batches_of(np.array([len(x) for x in texts], np.int64), most)
 
 
+_forget: dict[str, Callable[[], None]] = {}
+_owner: list[str] = [""]
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """``owner`` keeps things in a worker from task to task; ``forget`` drops them."""
+    _forget[owner] = forget
+
+
+def claim(owner: str) -> None:
+    """A worker turns to ``owner``: what other operators remember there is dropped, so their memories don't add up."""
+    if _owner[0] != owner:
+        for other, forget in _forget.items():
+            if other != owner:
+                forget()
+        _owner[0] = owner
+
+
 class Memo(dict):
     """Remembers results for words; forgets all when it holds ``most``."""
 

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import batches_of, portions, utf8
+from taxaflow.llm.common import batches_of, claim, portions, remembers, utf8
 
 #: Documents of each language in the sample, windows of each document, words of each window.
 DOCS_PER_LANG, WINDOWS, WINDOW = 400, 4, 32
@@ -232,9 +232,11 @@ class Labeller:
 
 
 _labellers: dict[int, Labeller] = {}
+remembers("crf", _labellers.clear)
 
 
 def _labeller(model: Broadcast) -> Labeller:
+    claim("crf")
     crf = model.value
     if id(crf) not in _labellers:
         _labellers.clear()

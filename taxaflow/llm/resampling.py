@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import Memo, portions, utf8
+from taxaflow.llm.common import Memo, claim, portions, remembers, utf8
 from taxaflow.session import durable
 
 #: Buckets of words, of their beginnings of two lengths (in bytes), and of bigrams; four times one word is a feature of its own, whatever the word.
@@ -59,10 +59,12 @@ def _word(word: bytes) -> int:
 
 
 _words = Memo(_word, 200_000)
+remembers("resampling", _words.clear)
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all features of the texts, and the text each belongs to."""
+    claim("resampling")
     words = [x.split() for x in texts]
     sizes = np.array([len(x) for x in words], np.int64)
     own = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import portions, utf8
+from taxaflow.llm.common import claim, portions, remembers, utf8
 from taxaflow.llm.elias_fano import EliasFano
 
 MAGIC = b"TOKBLK01"
@@ -89,6 +89,9 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+remembers("token_files", encoder.cache_clear)
+
+
 def _block(part: int, number: int, ids: list[bytes], doc_ids: list[int | None], kind: str) -> bytes:
     width = np.dtype(kind).itemsize
     ends = np.cumsum([len(x) // width for x in ids])
@@ -102,6 +105,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end: int, block_ids: int
     """Encode ``docs`` (doc_id, text) by the tokenizer in file ``path`` and write the blocks to ``folder``."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_files")
         coder, part, number = encoder(path), TaskContext.get().partitionId(), 0
         width = np.dtype(coder.kind).itemsize
         ids, doc_ids, held = [], [], 0
