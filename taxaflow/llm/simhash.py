@@ -13,14 +13,19 @@ four bits if some fingerprint lies within two bits of both, so each member is jo
 to all fingerprints within two bits of it.
 
 ``similar_documents`` finds documents whose shingle sets have a Jaccard similarity of
-0.8 or more.  Its fingerprints have 256 bits; similar ones share three or more of 32
-positional bytes and differ in at most ``WIDE_BITS`` bits.  The index holds pairs of
-positions at a distance of one and two (96 of 100 pairs of a similarity of just 0.8
-meet there, more at higher similarity); candidates are verified on the ``SKETCH``
-smallest shingle hashes, which is exact for sets of that size.  Lists of more than
-``SHORT`` members, as large groups of copies make, give a spanning forest of the
-closest ones instead of all pairs; a list too long to hold is split by each third
-position, of which two fingerprints must share one.
+0.8 or more.  Its fingerprints have 256 bits; candidates share three or more of 32
+positional bytes and differ in at most ``WIDE_BITS`` bits (at a similarity of 0.8 they
+differ in 38 on average).  Of any three positions two are even or two are odd, so the
+pairs of equal parity (240) find all candidates.  Documents are posted under single
+bytes; tasks cut these lists by each further byte.  Candidates are verified on their
+whole sets of shingle hashes.
+
+A list of two bytes gives all its candidates at any length, unless they are over
+``CROWD`` for each member, as in large groups of copies.  Such a list first gives a
+spanning forest of the closest; when its links are verified, members that are not
+connected yet are compared with all others on their sets, in parts of bounded size,
+and only true links connect.  Lists too long to hold are taken in pieces, and pairs
+of different pieces in the same way.
 
 Defined cases: no word gives fingerprint zero; null text has no word; fewer words
 than a shingle has are one shingle; null doc_ids belong to groups but name none (a
@@ -46,8 +51,10 @@ from taxaflow.session import discard, durable
 LIST = 1 << 15
 #: 64-bit words of a wide fingerprint, the most bits and the least positional bytes of two similar ones.
 WIDE, WIDE_BITS, WIDE_SHARED = 4, 60, 3
-#: Most members of a list that gives all pairs, bits that link the members of longer ones, hashes of a sketch.
-SHORT, CLOSE_BITS, SKETCH = 64, 36, 256
+#: Candidates for each member that a list gives at most, bits that link the members of one with more at first, members of a list compared all together.
+CROWD, CLOSE_BITS, TOGETHER = 32, 36, 2048
+#: Members of a list of one byte that a task holds, members of a part of a crowded list.
+WIDE_LIST, PART = 1 << 17, 1 << 11
 
 
 def triples() -> list[tuple[int, int, int]]:
@@ -101,18 +108,20 @@ def wide_of(hashes: np.ndarray) -> np.ndarray:
     return majority(np.stack(spread, axis=1))
 
 
-def sketch_of(hashes: np.ndarray) -> bytes:
-    """The smallest distinct hashes, at most ``SKETCH``."""
-    return np.unique((hashes >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
+def set_of(hashes: np.ndarray) -> bytes:
+    """The distinct hashes in order, 32 bits of each."""
+    return np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sketched sets: exact if both are whole, else by the smallest hashes of their union."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    union = np.union1d(x, y)
-    if len(x) >= SKETCH or len(y) >= SKETCH:
-        union = union[:SKETCH]
-    return float((np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)).mean()) if len(union) else 1.0
+def similarities(one: bytes, others: list[bytes]) -> np.ndarray:
+    """Jaccard similarity of a set to others; empty sets are equal."""
+    x, flat = np.frombuffer(one, "<u4"), np.frombuffer(b"".join(others), "<u4")
+    sizes = np.array([len(y) // 4 for y in others], np.int64)
+    if not len(x):
+        return (sizes == 0).astype(float)
+    same = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    common = np.bincount(np.repeat(np.arange(len(others)), sizes), same, minlength=len(others))
+    return common / (len(x) + sizes - common)
 
 
 def fingerprint(text: str | Column, width: int = 5) -> Column:
@@ -125,16 +134,16 @@ def fingerprint(text: str | Column, width: int = 5) -> Column:
 
 
 def wide_fingerprint(text: str | Column, width: int = 5) -> Column:
-    """256-bit SimHash as longs ``f0`` to ``f3``, and ``sketch``, in a struct."""
+    """256-bit SimHash as longs ``f0`` to ``f3``, and ``hashes``, the set of shingle hashes, in a struct."""
     names = [f"f{j}" for j in range(WIDE)]
 
     def of(texts: pa.Array) -> pa.Array:
         hashes = [shingle_hashes(x, width) for x in utf8(texts)]
         rows = np.array([wide_of(x) for x in hashes], np.uint64).reshape(-1, WIDE).view(np.int64)
         columns = [pa.array(np.ascontiguousarray(rows[:, j])) for j in range(WIDE)]
-        return pa.StructArray.from_arrays([*columns, pa.array([sketch_of(x) for x in hashes], pa.binary())], [*names, "sketch"])
+        return pa.StructArray.from_arrays([*columns, pa.array([set_of(x) for x in hashes], pa.binary())], [*names, "hashes"])
 
-    return F.arrow_udf(of, f"struct<{','.join(f'{x}:long' for x in names)},sketch:binary>")(text)
+    return F.arrow_udf(of, f"struct<{','.join(f'{x}:long' for x in names)},hashes:binary>")(text)
 
 
 def near(one: np.ndarray, others: np.ndarray, bits: int, shared: int) -> np.ndarray:
@@ -158,7 +167,7 @@ def spanning(nodes: np.ndarray, prints: np.ndarray, bits: int, shared: int) -> I
                 nodes, prints = np.delete(nodes, hits), np.delete(prints, hits, axis=0)
 
 
-def _links(bits: int, shared: int, longest: int | None, short: int = 9, close_bits: int | None = None):
+def _links(bits: int, shared: int, longest: int, short: int = 9):
     """Rows (key, node, fingerprint words), ordered by key, to links (a, b), or (a, null, key) for members of a list that is too long.
 
     With one word the node is the fingerprint.
@@ -187,7 +196,7 @@ def _links(bits: int, shared: int, longest: int | None, short: int = 9, close_bi
             a.append(nodes[first])
             b.append(nodes[first + step])
         for start, n in zip(starts[sizes > short].tolist(), sizes[sizes > short].tolist()):
-            for one, found in spanning(nodes[start : start + n], prints[start : start + n], close_bits or bits, shared):
+            for one, found in spanning(nodes[start : start + n], prints[start : start + n], bits, shared):
                 a.append(np.full(len(found), one))
                 b.append(found)
         return batch(a, b)
@@ -208,7 +217,7 @@ def _links(bits: int, shared: int, longest: int | None, short: int = 9, close_bi
             if last:
                 yield links(*(x[:last] for x in held))
                 held = tuple(x[last:] for x in held)
-            if longest is not None and len(held[0]) > longest:
+            if len(held[0]) > longest:
                 long_key = int(held[0][0])
                 yield members(long_key, held[1])
                 held = tuple(x[:0] for x in held)
@@ -253,37 +262,164 @@ def _byte(place: int) -> Column:
     return F.shiftrightunsigned(f"f{place // 8}", 8 * (place % 8)).bitwiseAND(F.lit(255))
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], longest: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows ordered by their first column, in tables of whole keys, or (true) pieces of a key of more than ``longest`` rows."""
+    held, key, long = [], None, False
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        keys = rows.column(0).to_numpy()
+        last = int(np.searchsorted(keys, keys[-1], "left"))  # this key may go on
+        if keys[-1] != key:
+            if long:
+                ended = int(np.searchsorted(keys, key, "right"))
+                yield pa.Table.from_batches([*held, rows.slice(0, ended)]), True
+                held, rows, last = [], rows.slice(ended), last - ended
+            if held or last:
+                yield pa.Table.from_batches([*held, rows.slice(0, last)]), False
+            held, key, long, rows = [], int(keys[-1]), False, rows.slice(last)
+        held.append(rows)
+        if longest is not None and sum(x.num_rows for x in held) > longest:
+            yield pa.Table.from_batches(held), True
+            held, long = [], True
+    if held:
+        yield pa.Table.from_batches(held), long
+
+
+def _words(rows: pa.Table, first: int) -> np.ndarray:
+    return np.stack([rows.column(first + j).to_numpy() for j in range(WIDE)], axis=1).view(np.uint64)
+
+
+def _candidates(bits: int, shared: int, longest: int, crowd: int):
+    """Rows (key, node, f0 to f3), ordered by key (position and byte), to candidates (a, b), or (a, null, key) for members of a crowded list of two bytes.
+
+    All members of a list that comes in pieces count as crowded.
+    """
+
+    def batch(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)], ["a", "b", "key"])
+
+    def lists(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, piece: bool) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(keys, kind="stable")
+        keys, nodes, prints = keys[order], nodes[order], prints[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sizes = np.diff(np.r_[starts, len(keys)])
+        number, end = np.repeat(np.arange(len(sizes)), sizes), np.repeat(starts + sizes, sizes)
+        found, crowded, firsts, steps = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool), [], []
+        open_ = np.flatnonzero((sizes <= TOGETHER)[number])
+        step = 1
+        while len(open_ := open_[(open_ + step < end[open_]) & ~crowded[number[open_]]]):  # each member and the one ``step`` further
+            for i in range(0, len(open_), 1 << 16):
+                first = open_[i : i + (1 << 16)]
+                differ = prints[first] ^ prints[first + step]
+                hits = np.flatnonzero(np.bitwise_count(differ).sum(axis=1) <= bits)
+                first = first[hits[(np.ascontiguousarray(differ[hits]).view(np.uint8) == 0).sum(axis=1) >= shared]]
+                firsts.append(first)
+                steps.append(np.full(len(first), step))
+                found += np.bincount(number[first], minlength=len(sizes))
+            crowded |= found > crowd * sizes
+            step += 1
+        first, step = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (firsts, steps))
+        stay = ~crowded[number[first]]
+        yield batch(nodes[first[stay]], nodes[first[stay] + step[stay]], None)
+        firsts, seconds = [], []
+        for n in np.flatnonzero(sizes > TOGETHER).tolist():
+            own, their = nodes[starts[n] : starts[n] + sizes[n]], prints[starts[n] : starts[n] + sizes[n]]
+            total, a, b = 0, [], []
+            for i in range(len(own) - 1):
+                hits = i + 1 + near(their[i], their[i + 1 :], bits, shared)
+                total += len(hits)
+                a.append(np.full(len(hits), own[i]))
+                b.append(own[hits])
+                if total > crowd * len(own):
+                    crowded[n] = True
+                    break
+            else:
+                firsts += a
+                seconds += b
+        for n in np.flatnonzero(crowded).tolist():
+            own, their = nodes[starts[n] : starts[n] + sizes[n]], prints[starts[n] : starts[n] + sizes[n]]
+            for one, linked in spanning(own, their, CLOSE_BITS, shared):
+                firsts.append(np.full(len(linked), one))
+                seconds.append(linked)
+        yield batch(*(np.concatenate([np.zeros(0, np.int64), *x]) for x in (firsts, seconds)), None)
+        marked = np.ones(len(keys), bool) if piece else crowded[number]
+        yield batch(nodes[marked], None, keys[marked])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, piece in _grouped(batches, longest):
+            keys, nodes, prints = rows.column(0).to_numpy(), rows.column(1).to_numpy(), _words(rows, 2)
+            octets = prints.view(np.uint8)
+            for step in range(2, 8 * WIDE, 2):  # each further position of the same parity
+                at = np.flatnonzero((keys >> 8) + step < 8 * WIDE)
+                if len(at):
+                    yield from lists(keys[at] << 16 | step << 8 | octets[at, (keys[at] >> 8) + step], nodes[at], prints[at], piece)
+
+    return stream
+
+
 def _verify(least: float):
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = (c.to_pylist() for c in batch.columns)
-            hits = [i for i in range(len(a)) if similarity(x[i], y[i]) >= least]
+            hits = [i for i in range(len(a)) if similarities(x[i], [y[i]])[0] >= least]
             yield pa.record_batch([pa.array([a[i] for i in hits], pa.int64()), pa.array([b[i] for i in hits], pa.int64())], ["a", "b"])
 
     return verified
 
 
-def wide_links(prints: DataFrame, least: float = 0.8, bits: int = WIDE_BITS, shared: int = WIDE_SHARED, longest: int = LIST) -> DataFrame:
-    """Verified links (a, b) between rows (node, f0 to f3, sketch) of distinct fingerprints with a similarity of ``least`` or more."""
+def _across(bits: int, shared: int, least: float):
+    """Rows (part, node, label, lead, f0 to f3, hashes), ordered by part, to true links of leads and members of other labels that connect these."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in _grouped(batches):
+            keys = rows.column(0).to_numpy()
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            a, b = [], []
+            for start, n in zip(starts.tolist(), np.diff(np.r_[starts, len(keys)]).tolist()):
+                part = rows.slice(start, n)
+                nodes, label, prints, hashes = part.column(1).to_numpy(), part.column(2).to_numpy().copy(), _words(part, 4), part.column(8)
+                for i in np.flatnonzero(part.column(3).to_numpy()).tolist():
+                    hits = near(prints[i], prints, bits, shared)
+                    hits = hits[label[hits] != label[i]]
+                    hits = hits[similarities(hashes[i].as_py(), hashes.take(hits).to_pylist()) >= least] if len(hits) else hits
+                    for hit in hits.tolist():
+                        if label[hit] != label[i]:
+                            a.append(nodes[i])
+                            b.append(nodes[hit])
+                            label[label == label[hit]] = label[i]
+            if a:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return stream
+
+
+def wide_links(prints: DataFrame, least: float = 0.8, bits: int = WIDE_BITS, shared: int = WIDE_SHARED, longest: int = WIDE_LIST, crowd: int = CROWD, size: int = PART) -> DataFrame:
+    """True links (a, b) between rows (node, f0 to f3, hashes) that connect all candidates with a similarity of ``least`` or more."""
     places, words = 8 * WIDE, [f"f{j}" for j in range(WIDE)]
-    pairs = [(i, (i + step) % places) for step in (1, 2) for i in range(places)]
-    keys = [F.lit(n << 16).cast("long") + F.shiftleft(_byte(x), 8) + _byte(y) for n, (x, y) in enumerate(pairs)]
-    posted = prints.select(F.explode(F.array(*keys)).alias("key"), "node", *words)
-
-    def linked(rows: DataFrame, most: int | None) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_links(bits, shared, most, SHORT, CLOSE_BITS), "a long, b long, key long")
-
-    found = durable(linked(posted, longest))
-    # members of long lists must share a third byte with whom they are linked to
-    hot = found.where("b is null").select(F.col("a").alias("node"), "key").join(prints.drop("sketch"), "node")
-    thirds = [F.shiftleft("key", 13) + F.lit(p << 8) + _byte(p) for p in range(places)]
-    finer = hot.select(F.explode(F.array(*thirds)).alias("key"), "node", *words)
-    links = found.where("b is not null").select("a", "b").unionByName(linked(finer, None).select("a", "b"))
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sets = prints.select(F.col("node"), "sketch")  # both joins read one shuffle of it
-    with_a = links.join(sets, F.col("a") == F.col("node")).select("a", "b", F.col("sketch").alias("x"))
-    with_b = with_a.join(sets, F.col("b") == F.col("node")).select("a", "b", "x", F.col("sketch").alias("y"))
-    return with_b.mapInArrow(_verify(least), "a long, b long")
+    keys = [F.lit(p << 8).cast("long") + _byte(p) for p in range(places - 2)]
+    posted = prints.select(F.explode(F.array(*keys)).alias("key"), "node", *words).repartition("key").sortWithinPartitions("key", "node")
+    found = durable(posted.mapInArrow(_candidates(bits, shared, longest, crowd), "a long, b long, key long"))
+    links = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = prints.select(F.col("node"), "hashes")  # both joins read one shuffle of it
+    with_a = links.join(sets, F.col("a") == F.col("node")).select("a", "b", F.col("hashes").alias("x"))
+    with_b = with_a.join(sets, F.col("b") == F.col("node")).select("a", "b", "x", F.col("hashes").alias("y"))
+    true = durable(with_b.mapInArrow(_verify(least), "a long, b long"))
+    crowded = found.where("b is null").select(F.col("a").alias("node"), "key")
+    if crowded.isEmpty():
+        return true
+    told = crowded.join(components(true), "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
+    # lists whose members are not all connected: those outside the largest label meet all others
+    labels = told.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = labels.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = mixed.select("key", "major", F.ceil(F.col("n") / size).alias("parts"), F.ceil((F.col("n") - F.col("most")) / size).alias("chunks"))
+    rows = told.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), "chunks")).withColumn("lead", F.col("label") != F.col("major"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    met = rows.select("node", "label", "key", "part", upto("chunks").alias("chunk"), F.lit(False).alias("lead"))
+    met = met.unionByName(rows.where("lead").select("node", "label", "key", upto("parts").alias("part"), "chunk", "lead"))
+    met = met.groupBy(F.xxhash64("key", "part", "chunk").alias("part"), "node", "label").agg(F.max("lead").alias("lead"))
+    rows = met.join(prints, "node").select("part", "node", "label", "lead", *words, "hashes").repartition("part").sortWithinPartitions("part")
+    return true.unionByName(rows.mapInArrow(_across(bits, shared, least), "a long, b long"))
 
 
 def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -291,8 +427,8 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> Da
     words = [f"f{j}" for j in range(WIDE)]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), wide_fingerprint("text", width).alias("fp")).select("doc_id", "fp.*")
     # documents with the same shingles are one node
-    full = durable(own.withColumn("node", F.xxhash64(*words, "sketch")))
-    nodes = durable(full.dropDuplicates(["node"]).select("node", *words, "sketch"))
+    full = durable(own.withColumn("node", F.xxhash64(*words, "hashes")))
+    nodes = durable(full.dropDuplicates(["node"]).select("node", *words, "hashes"))
     own = durable(full.select("doc_id", "node"))
     discard(full)
     labels = components(wide_links(nodes, least))

@@ -108,6 +108,53 @@ def test_similar_documents(spark, docs, rows, empty):
     assert simhash.similar_documents(empty).collect() == []
 
 
+def near_texts(rng, words, n, changes):
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    out = []
+    for _ in range(n):
+        text = list(words)
+        for i in rng.sample(range(len(words)), changes):
+            text[i] = word()
+        out.append(" ".join(text))
+    return out
+
+
+def jaccard(a, b, width=5):
+    x, y = ({*zip(*(t[i:] for i in range(width)))} for t in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def wide_nodes(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    return df.select("node", simhash.wide_fingerprint("text").alias("fp")).select("node", "fp.*").cache()
+
+
+def test_wide_links_are_whole_at_every_length_of_lists(spark):
+    rng = random.Random(11)
+    texts = []
+    for group in range(3):  # 80 members or more: copies of one text that are similar to it, and often not to each other
+        words = [f"{group}w{i}x{rng.randrange(1000)}" for i in range(300)]
+        texts += [" ".join(words), *near_texts(rng, words, 79, 6 + 2 * group)]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if i // 80 == j // 80 and jaccard(texts[i], texts[j]) >= 0.8}
+    assert len(want) < 3 * 80 * 79 / 2
+    label = components_of(range(len(texts)), want)
+    nodes = wide_nodes(spark, texts)
+    for options in ({}, {"crowd": 1, "size": 16}, {"longest": 20, "crowd": 1, "size": 7}):
+        found = {tuple(sorted(r)) for r in simhash.wide_links(nodes, **options).collect()}
+        assert found <= want and components_of(range(len(texts)), found) == label, options
+
+
+def test_long_similar_texts_are_verified_on_their_whole_sets(spark):
+    rng = random.Random(5)
+    texts, want = [], set()
+    for i in range(60):
+        words = [f"{i}w{j}x{rng.randrange(1000)}" for j in range(1500)]
+        texts += [" ".join(words), *near_texts(rng, words, 1, rng.choice([31, 32, 33, 34, 35, 36, 38]))]
+        want |= {(2 * i, 2 * i + 1)} if jaccard(texts[-2], texts[-1]) >= 0.8 else set()
+    assert 10 < len(want) < 50
+    assert {tuple(sorted(r)) for r in simhash.wide_links(wide_nodes(spark, texts)).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
