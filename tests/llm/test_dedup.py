@@ -184,6 +184,16 @@ def test_passage_within_documents_with_edits(spark):
     assert [tuple(x) for x in got[1].passages] == [(200, 290)] and [tuple(x) for x in got[2].passages] == [(70, 158)]
 
 
+def test_class_is_one_for_all_connected_documents_in_any_order(spark):
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p, q, r = text(80), text(80), text(80)
+    rows = [(i, " ".join(text(20 + i) + p + text(30))) for i in (5, 1, 2, 3, 9)]
+    rows += [(20, " ".join(q)), (12, " ".join(q + text(20) + r)), (11, " ".join(text(10) + r))]
+    got = {x.doc_id: (x.class_id, x.n_links) for x in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {i: (1, 4) for i in (5, 1, 2, 3, 9)} | {i: (11, 2) for i in (20, 12, 11)}
+
+
 def test_best_chain_equals_quadratic_search():
     rng = random.Random(1)
     k, gap = chaining.SEED, chaining.GAP
