@@ -209,3 +209,31 @@ def test_leaks_and_paraphrases_in_long_texts_and_blocks(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, block=10).collect()}
     want = {(i, i) for i, _ in items} | {(200, 3)}
     assert len(got & want) >= 0.9 * len(want) and not {x for x in got - want if x[0] >= 100 and x != (200, 3)}
+
+
+def test_candidates_hold_what_verification_accepts():
+    """Recall against common subsequences alone, for items with 20, 30 and 40% of the words changed and the answer kept."""
+    g = np.random.default_rng(7)
+    share = 1 / (np.arange(6000) + 20)
+    share /= share.sum()
+    weights = np.zeros(decontaminate.BUCKETS)
+    for i, x in enumerate(share):
+        weights[decontaminate._code(b"w%d" % i) % decontaminate.BUCKETS] += 1 - (1 - x) ** decontaminate.BLOCK
+    space = (np.log(1 / np.maximum(weights, 1e-5))[:, None] * g.standard_normal((decontaminate.BUCKETS, decontaminate.RANK))).astype(np.float32)
+    text = lambda n: [f"w{i}" for i in g.choice(6000, n, p=share)]
+    for changed in (0.2, 0.3, 0.4):
+        wanted = got = 0
+        for _ in range(80):
+            item = text(g.integers(20, 62))
+            passage, gone = list(item), g.permutation(len(item) - decontaminate.ANSWER)[: int(changed * len(item))]
+            for i, word in zip(gone, text(len(gone))):
+                passage[i] = word
+            items = decontaminate.items_of([(1, " ".join(item))], space)
+            codes, sizes = decontaminate.coded([" ".join(text(g.integers(40, 150)) + passage + text(g.integers(40, 150))).encode()])
+            sure = lambda a, b: (c := decontaminate.common_subsequence(items.codes[0], codes[max(a, 0) : b].tolist()))[0] >= decontaminate.LIKELY * len(item) and c[1] == decontaminate.ANSWER
+            starts, ends = decontaminate._windows(sizes, decontaminate.length_for(len(item)))
+            if any(sure(a - (b - a) // 4, b + (b - a) // 4) for a, b in zip(starts.tolist(), ends.tolist())):
+                wanted += 1
+                got += any(sure(a - (b - a) // 4, b + (b - a) // 4) for _, a, b in decontaminate.candidates(codes, sizes, items))
+        print(changed, wanted, got)
+        assert wanted >= 70 and got >= 0.95 * wanted
