@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaflow.llm import bpe, chaining, crf, decontaminate, hmm, line_dedup, quality_rules, resampling, simhash, token_files
+from taxaflow.llm import bpe, chaining, conversation_trie, crf, decontaminate, hmm, line_dedup, quality_rules, resampling, simhash, token_files
 from taxaflow.llm.common import documents, held_out
 from taxaflow.session import new_folder
 
@@ -73,6 +73,11 @@ def op10_chaining(spark: SparkSession, folder: str) -> DataFrame:
     return chaining.repeated_passages(documents(spark, folder))
 
 
+def op12_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return conversation_trie.prefix_trie(documents(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_hmm": op1_hmm,
     "op2_quality_rules": op2_quality_rules,
@@ -84,8 +89,15 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_crf": op9_crf,
     "op10_chaining": op10_chaining,
+    "op12_trie": op12_trie,
 }
 
+#: The unsigned CRC-32 of an expression's UTF-8 bytes, bit by bit; DuckDB has no function for it.
+_CRC32 = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT)), "
+    "lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, _: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+)
+
 SQL: dict[str, str] = {
     "op4_line_dedup": """
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
@@ -96,4 +108,21 @@ marked AS (SELECT k.*, coalesce(k.doc_id < h.keeper, false) AS lost FROM keyed k
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op12_trie": f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS t FROM turns GROUP BY conv_id),
+sized AS (SELECT conv_id, t, {_CRC32.format("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own),
+built AS (SELECT c.conv_id, list_concat(coalesce(b.t, [])[1:c.h], c.t[c.h + 1:]) AS t
+          FROM sized c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+steps AS (SELECT conv_id, t, unnest(range(len(t) + 1)) AS depth FROM built),
+members AS (SELECT conv_id, depth, len(t) = depth AS over, t[1:depth] AS path, t[depth].text AS last FROM steps),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN depth = 0 THEN 0 ELSE octet_length(encode(any_value(last))) END AS size,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE over), '')) AS ends_sha256
+          FROM members GROUP BY path, depth),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+tree AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (path)),
+above AS (SELECT path[1:up] AS path, n_children, (n_convs - 1) * size AS saved FROM (SELECT *, unnest(range(depth + 1)) AS up FROM tree)),
+sums AS (SELECT path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY path)
+SELECT t.conv_id, t.depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, s.n_leaves, s.saved_tokens, t.ends_sha256
+FROM tree t JOIN sums s USING (path) LEFT JOIN tree p ON t.depth > 0 AND p.path = t.path[1:t.depth - 1]""",
 }
