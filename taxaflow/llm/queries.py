@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaflow.llm import bpe, chaining, conversation_trie, crf, decontaminate, hmm, line_dedup, quality_rules, resampling, simhash, token_files
+from taxaflow.llm import bpe, chaining, conversation_trie, crf, decontaminate, hmm, jaccard_join, line_dedup, quality_rules, resampling, simhash, token_files
 from taxaflow.llm.common import documents, held_out
 from taxaflow.session import new_folder
 
@@ -78,6 +78,11 @@ def op12_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie.prefix_trie(documents(spark, folder, "conversations"))
 
 
+def op13_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of documents whose sets of word shingles are alike."""
+    return jaccard_join.similar_sets(documents(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     "op1_hmm": op1_hmm,
     "op2_quality_rules": op2_quality_rules,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op9_crf": op9_crf,
     "op10_chaining": op10_chaining,
     "op12_trie": op12_trie,
+    "op13_jaccard": op13_jaccard,
 }
 
 #: The unsigned CRC-32 of an expression's UTF-8 bytes, bit by bit; DuckDB has no function for it.
@@ -125,4 +131,16 @@ above AS (SELECT path[1:up] AS path, n_children, (n_convs - 1) * size AS saved F
 sums AS (SELECT path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY path)
 SELECT t.conv_id, t.depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, s.n_leaves, s.saved_tokens, t.ends_sha256
 FROM tree t JOIN sums s USING (path) LEFT JOIN tree p ON t.depth > 0 AND p.path = t.path[1:t.depth - 1]""",
+    "op13_jaccard": """
+WITH RECURSIVE lower AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM lower),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT DISTINCT a AS doc_id, a AS other FROM edges UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON e.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l USING (doc_id)""",
 }
