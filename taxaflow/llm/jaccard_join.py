@@ -4,11 +4,13 @@ Sets that are alike have like sizes, and differ in few elements: with a similari
 0.8 or more, sizes x <= y have y <= 1.25 x and at most (x + y) / 9 elements are in one
 set only.  Sizes are cut into bands; a band holds the sets of its sizes, and those up to
 1.25 times larger than its end.  In a band, the range of hash values is cut into more
-parts than a pair can differ in, so of the parts that are not empty in both, an equal
-one is among the first ``depth`` of either set, depth being one more than the
-differences possible at its size.  The contents of these parts are the keys of a set.  A
-set with too few parts that are not empty (only small ones) has keys for its smallest
-elements as well, as a prefix filter has.
+parts than a pair can differ in, so two alike sets have equal parts.  Parts are put in
+one order for all sets, and the first of a set, one more than it can differ in, are its
+keys: the first equal part of two sets is among these of both.  The order puts parts
+last that many sets have, such as those within a passage that many documents share.
+Which these are is learned from a sample of documents (``SAMPLE``); the order decides how
+many pairs are looked at, never which links are found.  A set with too few parts that
+are not empty (only small ones) has keys for its smallest elements as well.
 
 Sets that share a key are compared in three steps.
 
@@ -21,10 +23,10 @@ Sets that share a key are compared in three steps.
    overlap they need are left out.
 3. The rest is verified by an intersection of the whole sorted sets of hashes.
 
-A member first gives its best candidate of each other component only.  If it had more,
-steps 2 and 3 are repeated with the new components and a larger number, until nobody
-had: groups of copies become one component after the first steps and give no pairs, and
-no link between different components is lost.
+A member first gives its best candidate of each other component only.  If it had more
+and is still apart from one of them, steps 2 and 3 are repeated for it with a larger
+number, until no such member is left: groups of copies become one component after the
+first steps and give no pairs, and no link between different components is lost.
 
 Defined cases: shingles are compared as 64-bit hashes; fewer words than a shingle has
 are one shingle; no word gives the empty set, which is linked with nothing; equal sets
@@ -54,6 +56,8 @@ BLOCK, SLICE = 1024, 1 << 16
 FIRST, MORE = 1, 8
 #: Ratio of the sizes of a band.
 RATIO = 1.5625
+#: Documents, about, that tell frequent parts, and how many of them must have a part.
+SAMPLE, FREQUENT = 20_000, 5
 
 _word_hash = Memo(lambda word: xxhash.xxh64_intdigest(word, 11))
 remembers("jaccard_join", _word_hash.clear)
@@ -108,25 +112,44 @@ def parts_of(band: int) -> int:
     return ceil(0.3 * most) + isqrt(2 * most) + 4
 
 
-def keys_of(elements: np.ndarray) -> np.ndarray:
-    """Keys (48 bits) of a set: the contents of its first parts in each of its bands."""
-    out = []
+def parts(elements: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.uint64]]:
+    """For each band of a set: keys (48 bits) of its parts that are not empty, the most differences, and a salt."""
     for band, differ in bands(len(elements)):
-        n = np.uint64(parts_of(band))
-        part = ((elements >> np.uint64(32)) * n) >> np.uint64(32)
+        part = ((elements >> np.uint64(32)) * np.uint64(parts_of(band))) >> np.uint64(32)
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        held = np.add.reduceat(mixed(elements), starts)[: differ + 1]
-        out.append(mixed(held + part[starts[: differ + 1]] + np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
-        if len(starts) <= differ:
+        salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        yield mixed(np.add.reduceat(mixed(elements), starts) + part[starts] + salt) >> np.uint64(16), differ, salt
+
+
+class Frequent:
+    """Numbers of sampled sets that have the parts many of them have; none has others."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order].astype(np.uint64), counts[order]
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
+
+
+def keys_of(elements: np.ndarray, frequent: Frequent) -> np.ndarray:
+    """The first keys of a set in each of its bands, rare ones before frequent ones."""
+    out = []
+    for keys, differ, salt in parts(elements):
+        out.append(keys[np.lexsort((keys, frequent(keys)))[: differ + 1]])
+        if len(keys) <= differ:
             prefix = elements[: len(elements) - ceil(0.8 * len(elements)) + 1]
-            out.append(mixed(prefix + np.uint64((band + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)))
-    return np.unique(np.concatenate(out) >> np.uint64(16)).view(np.int64)
+            out.append(mixed(mixed(prefix) ^ salt) >> np.uint64(16))
+    return np.unique(np.concatenate(out)).view(np.int64)
 
 
 def signature(elements: np.ndarray) -> bytes:
-    """Bitmap of parities: a power of two of bits, four or more for each element."""
+    """Bitmap of parities: a power of two of bits, two or more for each element."""
     bits = 64
-    while bits < 4 * len(elements):
+    while bits < 2 * len(elements):
         bits *= 2
     at = (mixed(elements + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(1)).astype(np.int64) & (bits - 1)
     return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").tobytes()
@@ -167,9 +190,25 @@ class Signatures:
         return np.concatenate(hits), np.concatenate(bits)
 
 
-def _describe(width: int):
+def _sampled(width: int):
+    """Texts to the keys of all their parts."""
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("jaccard_join")
+        for rows in batches:
+            texts = utf8(rows.column("text"))
+            for part in portions(texts):
+                keys = [k for x in texts[part] if len(elements := shingle_set(x, width)) for k, _, _ in parts(elements)]
+                if keys:
+                    yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64))], ["key"])
+
+    return stream
+
+
+def _describe(width: int, model):
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard_join")
+        frequent = model.value
         for rows in batches:
             ids, names = rows.column("doc_id"), rows.column("text_id")
             for part in portions(texts := utf8(rows.column("text"))):
@@ -179,7 +218,7 @@ def _describe(width: int):
                     n = len(elements)
                     node = int(mixed(np.add.reduce(mixed(elements + np.uint64(n)), keepdims=True)).view(np.int64)[0]) if n else None
                     # copies within a batch post their keys once
-                    keys.append(keys_of(elements) if n and node not in seen else np.zeros(0, np.int64))
+                    keys.append(keys_of(elements, frequent) if n and node not in seen else np.zeros(0, np.int64))
                     bitmaps.append(signature(elements) if n and node not in seen else None)
                     seen.add(node)
                     nodes.append(node)
@@ -223,7 +262,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tiles(quota: int):
-    """Rows of tiles (tile of key, block, slice; probes first) to candidate pairs (a, b, more)."""
+    """Rows of tiles (key, block, slice; probes first, which may be targets as well) to candidate pairs (a, b, more)."""
 
     def candidates(probes: list, targets: list) -> Iterator[tuple[int, int, bool]]:
         nodes, sizes, bitmaps, labels = zip(*targets)
@@ -242,7 +281,7 @@ def _tiles(quota: int):
                     yield node, int(nodes[i]), bool(b - a > quota)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, probes, targets, out, held = None, [], [], [], set()
+        tile, probes, targets, out = None, [], [], []
 
         def flush() -> None:
             if probes and targets:
@@ -255,17 +294,17 @@ def _tiles(quota: int):
             return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more)], ["a", "b", "more"])
 
         for rows in batches:
-            for key, block, part, target, node, n, bitmap, label in zip(*(c.to_pylist() for c in rows.columns)):
+            for key, block, part, probe, target, *member in zip(*(c.to_pylist() for c in rows.columns)):
                 if (key, block, part) != tile:
                     flush()
                     tile = key, block, part
                     probes.clear()
+                if probe:
+                    probes.append(member)
                 if target:
-                    targets.append((node, n, bitmap, label))
-                    if len(targets) == 4096:
+                    targets.append(member)
+                    if len(targets) == 4096 and not probe:
                         flush()
-                else:
-                    probes.append((node, n, bitmap, label))
             if len(out) > 10_000:
                 yield batch()
         flush()
@@ -313,13 +352,23 @@ class _Join:
         self.width = width
         text_id = F.xxhash64("text", "doc_id")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_id", text_id)
-        self.own = durable(self.docs.mapInArrow(_describe(width), "doc_id long, text_id long, node long, n long, bitmap binary, keys array<long>"))
+        frequent = self.docs.sparkSession.sparkContext.broadcast(self.frequent_parts())
+        self.own = durable(self.docs.mapInArrow(_describe(width, frequent), "doc_id long, text_id long, node long, n long, bitmap binary, keys array<long>"))
         self.nodes = durable(
             self.own.where("bitmap is not null").groupBy("node").agg(F.min("text_id").alias("text_id"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap"))
         )
+        frequent.destroy()
         posted = self.own.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
         self.shared = durable(posted.mapInArrow(_shared, "key long, node long"))
 
+    def frequent_parts(self) -> Frequent:
+        """Parts that several of a sample of documents have; their number is bounded by the sample."""
+        share = SAMPLE / max(1, self.docs.count())
+        sample = self.docs.where(F.pmod("text_id", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
+        counts = sample.mapInArrow(_sampled(self.width), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+        rows = counts.toPandas()
+        return Frequent(rows["key"].to_numpy(), rows["n"].to_numpy())
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b): the whole sets are made once for each node, and joined to its pairs."""
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -344,8 +393,8 @@ class _Join:
         discard(heads, likely)
         return links
 
-    def candidates(self, labels: DataFrame, quota: int, block: int, part: int) -> DataFrame:
-        """Candidate pairs (a, b, more) of different components that share a key."""
+    def candidates(self, labels: DataFrame, apart: DataFrame | None, quota: int, block: int, part: int) -> DataFrame:
+        """Candidate pairs (a, b, more) of different components that share a key, one of them in ``apart`` if that is given."""
         named = self.nodes.select("node", "n", "bitmap").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         named = durable(named)
         members = durable(self.shared.join(named.select("node", "label"), "node"))
@@ -354,35 +403,51 @@ class _Join:
             crowds.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("labels"))
             .where("labels > 1").select("key", F.col("top.label").alias("largest"), "all", (F.col("all") - F.col("top.size")).alias("others"))
         )
-        where = lambda size: F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(size)).cast("long"))
-        up_to = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(size)).cast("long") - 1))
-        at = members.join(split, "key")
-        blocks, parts = F.col("others") / block, F.col("all") / part
-        probes = at.where("label <> largest").select("key", where(blocks).alias("block"), up_to(parts).alias("part"), F.lit(False).alias("target"), "node")
-        targets = at.select("key", up_to(blocks).alias("block"), where(parts).alias("part"), F.lit(True).alias("target"), "node")
-        rows = probes.unionByName(targets).join(named, "node").select("key", "block", "part", "target", "node", "n", "bitmap", "label")
-        dealt = rows.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "target")
+        at, asked = members.join(split, "key"), None
+        if apart is None:
+            at = at.withColumn("probe", F.col("label") != F.col("largest"))
+        else:
+            at = at.join(apart.withColumn("probe", F.lit(True)), "node", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+            asked = durable(at.where("probe").groupBy("key").agg(F.count("*").alias("asked")))
+            at = at.join(asked, "key").withColumn("others", F.col("asked"))
+        number = lambda size, most: F.greatest(F.lit(1), F.ceil(F.col(size) / most)).cast("long")
+        at = at.withColumns({"blocks": number("others", block), "parts": number("all", part), "hash": F.xxhash64("node")})
+        one = (F.col("blocks") == 1) & (F.col("parts") == 1)
+        zero = F.lit(0).cast("long")
+        # one row is a member on both sides of its only tile; larger keys give probes and targets of their own
+        alone = at.where(one).select("key", zero.alias("block"), zero.alias("part"), "probe", F.lit(True).alias("target"), "node")
+        large = at.where(~one)
+        each = lambda size: F.explode(F.sequence(zero, F.col(size) - 1))
+        probes = large.where("probe").select("key", F.pmod("hash", "blocks").alias("block"), each("parts").alias("part"), "probe", F.lit(False).alias("target"), "node")
+        targets = large.select("key", each("blocks").alias("block"), F.pmod(F.shiftright("hash", 20), F.col("parts")).alias("part"), F.lit(False).alias("probe"), F.lit(True).alias("target"), "node")
+        rows = alone.unionByName(probes).unionByName(targets).join(named, "node")
+        dealt = rows.select("key", "block", "part", "probe", "target", "node", "n", "bitmap", "label").repartition("key", "block", "part")
+        dealt = dealt.sortWithinPartitions("key", "block", "part", F.desc("probe"))
         pairs = dealt.mapInArrow(_tiles(quota), "a long, b long, more boolean")
-        pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
+        pairs = pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
         found = durable(pairs)
-        discard(named, members, split)
+        discard(named, members, split, asked)
         return found
 
     def components(self, block: int, part: int) -> DataFrame:
         """``(node, label)`` of linked nodes."""
         links = self.first_links()
-        labels, quota = durable(components(links)), FIRST
+        labels, apart, quota = durable(components(links)), None, FIRST
         while True:
-            pairs = self.candidates(labels, quota, block, part)
-            found, more = pairs.agg(F.count("*"), F.max("more")).first()
-            if found:
-                old, links = links, durable(links.union(self.verified(pairs)))
+            pairs = self.candidates(labels, apart, quota, block, part)
+            if not pairs.isEmpty():
+                once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                old, links = links, durable(links.union(self.verified(once)))
                 new = durable(components(links))
                 discard(old, labels)
                 labels = new
-            discard(pairs)
-            if not more:
-                discard(links)
+            a, b = (labels.withColumnsRenamed({"node": x, "label": f"label_{x}"}) for x in "ab")
+            open_pairs = pairs.where("more").join(a, "a", "left").join(b, "b", "left")
+            left = open_pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select(F.col("a").alias("node")).distinct()
+            before, apart = apart, durable(left)
+            discard(pairs, before)
+            if apart.isEmpty():
+                discard(links, apart)
                 return labels
             quota *= MORE
 
