@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxaflow.llm import bpe, chaining, conversation_trie, crf, decontaminate, hmm, jaccard_join, line_dedup, quality_rules, resampling, simhash, token_files
+from taxaflow.llm import bpe, chaining, conversation_trie, crf, decontaminate, hmm, jaccard_join, line_dedup, quality_rules, resampling, simhash, spelling_variants, token_files
 from taxaflow.llm.common import documents, held_out
 from taxaflow.session import new_folder
 
@@ -73,6 +73,11 @@ def op10_chaining(spark: SparkSession, folder: str) -> DataFrame:
     return chaining.repeated_passages(documents(spark, folder))
 
 
+def op11_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Spelling variants of the words of all documents."""
+    return spelling_variants.variants(documents(spark, folder))
+
+
 def op12_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of the prefix trie of all rebuilt conversations."""
     return conversation_trie.prefix_trie(documents(spark, folder, "conversations"))
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_crf": op9_crf,
     "op10_chaining": op10_chaining,
+    "op11_variants": op11_variants,
     "op12_trie": op12_trie,
     "op13_jaccard": op13_jaccard,
 }
@@ -114,6 +120,22 @@ marked AS (SELECT k.*, coalesce(k.doc_id < h.keeper, false) AS lost FROM keyed k
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op11_variants": f"""
+WITH RECURSIVE lower AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z\u00c0-\u00ff]+')) AS run FROM lower) GROUP BY ALL),
+hashed AS (SELECT run, n, {_CRC32.format("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h FROM runs WHERE length(run) >= 6),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n) AS n FROM hashed GROUP BY 1),
+vocabulary AS (SELECT word, CAST(n AS BIGINT) AS n FROM words WHERE length(word) >= 6 AND n >= 5),
+lost AS (SELECT DISTINCT word, n, left(word, i) || substr(word, i + 2) AS less, i FROM (SELECT *, unnest(range(length(word))) AS i FROM vocabulary)),
+pairs AS (SELECT a.word, b.word AS other, b.n FROM lost a JOIN lost b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a.word, v.word, v.n FROM lost a JOIN vocabulary v ON v.word = a.less
+          UNION SELECT v.word, a.word, a.n FROM lost a JOIN vocabulary v ON v.word = a.less),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS m FROM pairs GROUP BY word),
+found AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 5 * v.n THEN b.other END AS form, CASE WHEN b.m >= 5 * v.n THEN b.m END AS form_n
+          FROM vocabulary v LEFT JOIN best b USING (word)),
+steps AS (SELECT word, word AS here, 0 AS i FROM found UNION ALL SELECT s.word, f.form, s.i + 1 FROM steps s JOIN found f ON f.word = s.here WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, i) AS root FROM steps GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM found JOIN ends USING (word)""",
     "op12_trie": f"""
 WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS t FROM turns GROUP BY conv_id),
