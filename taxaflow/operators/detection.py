@@ -9,23 +9,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxaflow.functions.keys import join_same, names, require
+from taxaflow.session import durable
+
+
+def slices_of(df: DataFrame, keys: Iterable[str], order_cols: Iterable[str], name: str = "__slice") -> DataFrame:
+    """Rows with the number of the slice they lie in, slices being ranges of about equal size in the order of keys and ``order_cols``.
+
+    The bounds come from a sample of whole sort keys, so neither a key with most of
+    the rows nor an order column with one value makes a large slice; only rows that
+    are equal in every column stay together.  The table is stored, which fixes them.
+    """
+    every = F.xxhash64(*df.columns)
+    cut = df.repartitionByRange(*names(keys), *names(order_cols), every)
+    return durable(cut.withColumn(name, F.spark_partition_id().cast("long")))
 
 
 def number_visits(df: DataFrame, site_cols: Iterable[str], order_cols: Iterable[str], name: str = "visit") -> DataFrame:
     """Number the rows of a site from 1 in the order of ``order_cols``.
 
-    Rows are numbered inside slices of one leading order value, and each slice
-    is shifted by the rows of the slices before it, so a site with very many
-    visits is never sorted in one task.
+    Rows are numbered inside range slices, and each slice is shifted by the rows of
+    its site in the slices before it, so a site with very many visits is never sorted
+    in one task, whatever its order columns hold.
     """
     site, order = names(site_cols), names(order_cols)
     require(df, *site, *order)
-    slices = df.groupBy(*site, order[0]).agg(F.count(F.lit(1)).alias("__rows"))
-    before = F.sum("__rows").over(W.partitionBy(*site).orderBy(F.col(order[0]).asc_nulls_first())) - F.col("__rows")
-    slices = slices.withColumn("__before", before).drop("__rows")
-    inside = F.row_number().over(W.partitionBy(*site, order[0]).orderBy(*order))
-    numbered = join_same(df.withColumn("__inside", inside), slices, [*site, order[0]])
-    return numbered.withColumn(name, F.col("__inside") + F.col("__before")).drop("__inside", "__before")
+    sliced = slices_of(df, site, order)
+    counts = sliced.groupBy(*site, "__slice").agg(F.count(F.lit(1)).alias("__rows"))
+    # one row for each slice a site lies in
+    before = F.sum("__rows").over(W.partitionBy(*site).orderBy("__slice")) - F.col("__rows")
+    counts = durable(counts.withColumn("__before", before).drop("__rows"))
+    inside = F.row_number().over(W.partitionBy(*site, "__slice").orderBy(*order))
+    numbered = join_same(sliced.withColumn("__inside", inside), counts, [*site, "__slice"])
+    return numbered.withColumn(name, F.col("__inside") + F.col("__before")).drop("__inside", "__before", "__slice")
 
 
 def detection_history(

@@ -322,8 +322,8 @@ def _(spark, folder):
               FROM c JOIN mx USING (taxa, year) JOIN v USING (taxa, geo, year) WHERE diff IS NOT NULL),
         t AS (SELECT taxa, geo, likelihood, count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi,
               (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34e0 AS iqr FROM z GROUP BY ALL),
-        b AS (SELECT *, 0.9e0 * (CASE WHEN iqr > 0 AND iqr < sd THEN iqr ELSE sd END) * pow(n, -0.2e0) AS bw FROM t WHERE sd > 0),
-        k AS (SELECT taxa, geo, CAST(least(floor((value - lo) / (hi - lo) * 512), 511) AS INTEGER) + 1 AS bin, count(*) AS c
+        b AS (SELECT *, 0.9e0 * (CASE WHEN iqr > 0 AND iqr < sd THEN iqr ELSE sd END) * pow(n, -0.2e0) AS bw FROM (SELECT * REPLACE (CASE WHEN sd > 0 THEN sd WHEN lo <> 0 THEN abs(lo) ELSE 1e0 END AS sd, CASE WHEN sd > 0 THEN iqr END AS iqr) FROM t)),
+        k AS (SELECT taxa, geo, CASE WHEN hi > lo THEN CAST(least(floor((value - lo) / (hi - lo) * 512), 511) AS INTEGER) + 1 ELSE 1 END AS bin, count(*) AS c
               FROM z JOIN b USING (taxa, geo) GROUP BY ALL),
         g AS (SELECT k.*, likelihood, lo, hi, bw, n, CAST(unnest(range(0, 128)) AS INTEGER) AS point FROM k JOIN b USING (taxa, geo)),
         x AS (SELECT *, lo - 3 * bw + point * (hi - lo + 6 * bw) / 127 AS x, lo + (bin - 0.5e0) * (hi - lo) / 512 AS centre FROM g)

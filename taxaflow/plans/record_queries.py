@@ -248,11 +248,15 @@ def _(spark, folder):
 
 @query(
     "visits_wide",
-    f"""WITH {_VISITS}, named AS (SELECT year, region, site, 'visit_' || visit AS visit, success FROM numbered)
-        SELECT * FROM (PIVOT named ON visit USING max(success) GROUP BY year, region, site)""",
+    f"""WITH {_VISITS} SELECT year, region, site, count(*) AS n_visits, string_agg(success, ',' ORDER BY visit) AS successes
+        FROM numbered GROUP BY year, region, site""",
 )
 def _(spark, folder):
-    return visits_wide(occurrences(spark, folder), ["year", "region"], ["site"], _ORDER)
+    """The wide columns, whose number depends on the data, side by side in one text."""
+    wide = visits_wide(occurrences(spark, folder), ["year", "region"], ["site"], _ORDER)
+    visits = F.array(*[F.col(c) for c in wide.columns if c.startswith("visit_")])
+    known = F.filter(visits, lambda x: x.isNotNull())
+    return wide.select("year", "region", "site", F.size(known).cast("long").alias("n_visits"), F.array_join(known, ",").alias("successes"))
 
 
 _SITES = f"""{OCC}, sites AS (

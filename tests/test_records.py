@@ -11,7 +11,7 @@ from taxaflow.functions.likelihood import add_likelihood, count_classes
 from taxaflow.functions.links import clamp_proportion, geo_mean, inverse_link
 from taxaflow.functions.text import declining_text, interval_text, lower_text, plain_number, quantile_name, sentence_list
 from taxaflow.operators import cooccur as C
-from taxaflow.operators.detection import detection_history, number_visits, visits_wide
+from taxaflow.operators.detection import detection_history, number_visits, slices_of, visits_wide
 from taxaflow.operators.lists import add_list_length
 from taxaflow.operators.occupancy import occupancy_fit
 from taxaflow.operators.quantiles import group_quantiles
@@ -265,3 +265,16 @@ def test_reporting_rate_and_latest_time(spark):
     assert values(reporting_rate(df, ["g"], trials_col="trials"), "g", "prop") == [("a", 0.75), ("b", 0.5)]
     assert values(reporting_rate(df.where("trials = 0"), ["g"], trials_col="trials"), "prop") == [(None,)]
     assert values(latest_time(df, ["g"], "year"), "g", "year") == [("a", 2), ("b", 5)]
+
+
+@pytest.mark.parametrize("lead", ["constant", "unique"])
+def test_visits_of_one_site_are_numbered_in_even_slices(spark, lead):
+    rows = spark.range(20_000).select(
+        F.lit("hot").alias("site"), (F.lit(7) if lead == "constant" else F.col("id") * 7919 % 20_011).alias("first"), F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("then"),
+    )
+    sliced = slices_of(rows.repartition(8), ["site"], ["first", "then"])
+    sizes = [r["count"] for r in sliced.groupBy("__slice").count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    got = number_visits(rows.repartition(8), ["site"], ["first", "then"]).orderBy("visit").collect()
+    assert [r.visit for r in got] == list(range(1, 20_001))
+    assert all((a["first"], a["then"]) <= (b["first"], b["then"]) for a, b in zip(got, got[1:]))
