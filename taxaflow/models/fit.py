@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,31 +14,33 @@ from pyspark.sql import types as T
 from taxaflow.functions.keys import attach, join_same
 from taxaflow.functions.links import inverse_link
 from taxaflow.models.design import NO_CAT, build_design, dot, width, with_features
-from taxaflow.models.solve import choose_weights, gather, layout, normals, penalised_fit, prior
+from taxaflow.models.solve import Solution, Weights, curvature, gather, layout, nearest_covariance, normals, solve_with_weights
 from taxaflow.session import discard, durable
 
 LINKS = {"binomial": "logit", "gaussian": "identity", "beta": "logit"}
-#: Penalty weights are chosen anew until two rounds agree, or for so many rounds (then ``weights_settled`` is false).
-SETTLE = 10
-#: Precision that keeps the effect of a model's only level at zero: such a model has no random term.
-NO_TERM = 1e12
+#: Variances that random effects start from.
+START = 0.5
 
 
 @dataclass(frozen=True)
 class TrendFit:
     """Tables of fitted models.
 
-    ``spec``: one row per model with status, dispersion, penalties and variances.
-    ``coef``: estimates by name.  ``draws``: per model and category an array of
-    draws, each the coefficients of a design row.  ``design``: scales and knots.
-    ``levels``: random effects with their conditional covariance, or None.
+    ``spec``: one row per model with status, dispersion, variances and the penalty of
+    the shared curve.  ``coef``: estimates by name.  ``draws``: per model and category
+    an array of draws, each the coefficients of a design row.  ``design``: scales and
+    knots.  ``weights``: penalty of each category's own curve.  ``levels``: random
+    effects with their covariance given the coefficients, and ``links``, per level and
+    category, how the effects move with the coefficients; or None.
     """
 
     spec: DataFrame
     coef: DataFrame
     draws: DataFrame
     design: DataFrame
+    weights: DataFrame
     levels: DataFrame | None
+    links: DataFrame | None
     k: int | None
     link: str
     by: str
@@ -110,118 +113,118 @@ def _eliminate(stats: DataFrame, sigma: DataFrame, by: str, q: int, t: int) -> D
 
     A level adds a small block per pair of categories it occurs in (usually one);
     Spark sums the blocks of all levels, so a model with very many levels never
-    meets in one task.
+    meets in one task.  All levels of a batch are done at once.
     """
     per_level = stats.groupBy(by, "rand").agg(F.collect_list(F.struct("cat", "h", "g", "pearson")).alias("parts"))
-    rows = _spread(join_same(per_level, sigma, [by], "inner").select(by, "rand", "parts", "precision"), by, "rand")
-    names = [f"h{i}" for i in range(q * q)] + [f"g{i}" for i in range(q)]
+    rows = _spread(join_same(per_level, sigma.select(by, "sigma"), [by], "inner").select(by, "rand", "parts", "sigma"), by, "rand")
+    names = [f"h{i}" for i in range(q * q)] + [f"g{i}" for i in range(q)] + ["pearson"]
     key = stats.schema[by]
     schema = T.StructType(
-        [key, T.StructField("cat_a", T.StringType()), T.StructField("cat_b", T.StringType())]
-        + [T.StructField(n, T.DoubleType()) for n in [*names, "pearson"]]
+        [key, T.StructField("cat_a", T.StringType()), T.StructField("cat_b", T.StringType())] + [T.StructField(n, T.DoubleType()) for n in names]
     )
 
     def reduce_levels(batches):
         for rows in batches:
-            keys, pairs, values = [], [], []
-            for model, parts, precision in zip(rows[by], rows["parts"], rows["precision"]):
-                h = np.array([np.asarray(p["h"], float) for p in parts]).reshape(-1, q, q)
-                g = np.array([np.asarray(p["g"], float) for p in parts])
-                middle = np.linalg.inv(h[:, :t, :t].sum(axis=0) + np.asarray(precision, float).reshape(t, t))
-                side = h[:, :, :t] @ middle
-                right = g - side @ g[:, :t].sum(axis=0)
-                for a, part in enumerate(parts):
-                    for b, other in enumerate(parts):
-                        block = -side[a] @ h[b, :, :t].T + (h[a] if a == b else 0)
-                        keys.append(model)
-                        pairs.append((part["cat"], other["cat"]))
-                        tail = (right[a], part["pearson"]) if a == b else (np.zeros(q), 0.0)
-                        values.append(np.concatenate([block.ravel(), tail[0], [tail[1]]]))
-            out = pd.DataFrame(np.array(values).reshape(len(keys), len(names) + 1), columns=[*names, "pearson"])
-            out.insert(0, "cat_b", [p[1] for p in pairs])
-            out.insert(0, "cat_a", [p[0] for p in pairs])
-            out.insert(0, by, pd.Series(keys, dtype=rows[by].dtype))
-            yield out
+            sizes = rows["parts"].map(len).to_numpy()
+            parts = [part for level in rows["parts"] for part in level]
+            level = np.repeat(np.arange(len(rows)), sizes)
+            first = np.r_[0, np.cumsum(sizes)[:-1]]
+            h = np.array([p["h"] for p in parts], float).reshape(-1, q, q)
+            g = np.array([p["g"] for p in parts], float)
+            cov = np.array(list(rows["sigma"]), float).reshape(-1, t, t)
+            inner = np.add.reduceat(h[:, :t, :t], first)
+            middle = cov @ np.linalg.inv(np.eye(t) + inner @ cov)
+            side = h[:, :, :t] @ middle[level]
+            right = g - np.einsum("nij,nj->ni", side, np.add.reduceat(g[:, :t], first)[level])
+            # every part with every part of its level
+            a = np.repeat(np.arange(len(parts)), sizes[level])
+            b = np.arange(len(a)) - np.repeat(np.cumsum(sizes[level]) - sizes[level], sizes[level]) + first[level[a]]
+            same = a == b
+            block = h[a] * same[:, None, None] - side[a] @ h[b][:, :, :t].transpose(0, 2, 1)
+            pearson = np.array([p["pearson"] for p in parts], float)
+            values = np.concatenate([block.reshape(len(a), -1), right[a] * same[:, None], (pearson[a] * same)[:, None]], axis=1)
+            cats = np.array([p["cat"] for p in parts], object)
+            out = pd.DataFrame(values, columns=names)
+            out.insert(0, "cat_b", cats[b])
+            out.insert(0, "cat_a", cats[a])
+            out.insert(0, by, rows[by].to_numpy()[level[a]])
+            yield out.groupby([by, "cat_a", "cat_b"], as_index=False, sort=False, dropna=False).sum()
 
     blocks = rows.mapInPandas(reduce_levels, schema)
-    summed = blocks.groupBy(by, "cat_a", "cat_b").agg(*[F.sum(n).alias(n) for n in [*names, "pearson"]])
+    summed = blocks.groupBy(by, "cat_a", "cat_b").agg(*[F.sum(n).alias(n) for n in names])
     return summed.select(
-        by, "cat_a", "cat_b", F.array(*names[: q * q]).alias("h"), F.array(*names[q * q :]).alias("g"), "pearson"
+        by, "cat_a", "cat_b", F.array(*names[: q * q]).alias("h"), F.array(*names[q * q : -1]).alias("g"), "pearson"
     )
 
 
-def _solve_models(equations: DataFrame, design: DataFrame, state: DataFrame | None, by: str, q: int, k: int | None, family: str, prior_scale, settled: bool) -> DataFrame:
-    """New effective coefficients of every category, from one group of small blocks per model."""
-    info = design.select(by, "knots", "n_data", "__phi0")
+STATE = "cat string, beta array<double>, phi double, weight_all double, weight_own double, weights_settled boolean, delta double, message string"
+
+
+def _with_state(equations: DataFrame, info: DataFrame, state: DataFrame | None, by: str) -> DataFrame:
     rows = join_same(equations, info, [by], "inner")
-    keep_weights = settled and state is not None
-    if state is not None:
-        old = state.select(by, F.col("cat").alias("cat_a"), F.col("beta").alias("old"), "weight_all", "weight_own", "weights_settled", "phi", F.col("message").alias("before"))
-        rows = join_same(rows, old, [by, "cat_a"])
-    schema = _schema(
-        equations, by,
-        "cat string, beta array<double>, phi double, weight_all double, weight_own double, weights_settled boolean, delta double, message string",
-    )
+    if state is None:
+        return rows
+    kept = [F.col("cat").alias("cat_a"), F.col("beta").alias("old"), "weight_all", "weight_own", "weights_settled", "phi", F.col("message").alias("before")]
+    return join_same(rows, state.select(by, *kept), [by, "cat_a"], "inner")
+
+
+def _solve_models(equations: DataFrame, design: DataFrame, state: DataFrame | None, by: str, q: int, k: int | None, family: str, prior_scale) -> DataFrame:
+    """New effective coefficients of every category, from one group of small blocks per model."""
+    rows = _with_state(equations, design.select(by, "knots", "n_data", "__phi0"), state, by)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         cats = sorted(set(pdf["cat_a"]))
-        fitted = solve_group(pdf, cats, q, k, family, prior_scale, keep_weights)
+        fitted = solve_group(pdf, cats, q, k, family, prior_scale, True)
         out = pd.DataFrame(
-            {"cat": cats, "beta": list(fitted["beta"]), "phi": fitted["phi"], "weight_all": fitted["weights"][0],
-             "weight_own": fitted["weights"][1], "weights_settled": fitted["settled"], "delta": fitted["delta"], "message": fitted["message"]}
+            {"cat": cats, "beta": list(fitted["beta"]), "phi": fitted["phi"], "weight_all": fitted["weights"].shared,
+             "weight_own": fitted["weights"].own, "weights_settled": fitted["settled"], "delta": fitted["delta"], "message": fitted["message"]}
         )
         out.insert(0, by, pdf[by].iloc[0])
         return out
 
-    return _spread(rows, by).groupBy(by).applyInPandas(solve, schema)
+    return _spread(rows, by).groupBy(by).applyInPandas(solve, _schema(equations, by, STATE))
+
 
+def solve_group(pdf: pd.DataFrame, cats: list[str], q: int, k: int | None, family: str, prior_scale, update: bool) -> dict:
+    """Solve one model; a failure becomes a message, and the model stays at its last good state.
 
-def solve_group(pdf: pd.DataFrame, cats: list[str], q: int, k: int | None, family: str, prior_scale, settled: bool) -> dict:
-    """Solve one model; a failure becomes a message, and the model stays at its last good state."""
-    knots = pdf["knots"].iloc[0]
-    out = {"beta": np.zeros((len(cats), q)), "phi": 1.0, "weights": (1.0, 1.0), "settled": k is None, "delta": 0.0, "message": None}
+    Without ``update`` the penalty weights stay as they are.
+    """
+    n = len(cats)
+    bend = None if k is None else curvature(np.asarray(pdf["knots"].iloc[0], float))
+    out = {"beta": np.zeros((n, q)), "phi": 1.0, "weights": Weights(1.0, np.ones(n)), "settled": k is None, "delta": 0.0, "message": None}
     before = None
     if "old" in pdf:
-        old = {c: np.asarray(o, float) for c, o in zip(pdf["cat_a"], pdf["old"])}
-        first = pdf.iloc[0]
-        before = np.array([old[c] for c in cats])
-        out.update(beta=before, phi=float(first["phi"]), weights=(float(first["weight_all"]), float(first["weight_own"])), settled=bool(first["weights_settled"]))
-        if "before" in pdf and isinstance(first["before"], str):
+        own = pdf[pdf["cat_a"] == pdf["cat_b"]].set_index("cat_a").loc[cats]
+        first = own.iloc[0]
+        before = np.array(list(own["old"]), float)
+        weights = Weights(float(first["weight_all"]), own["weight_own"].to_numpy(float))
+        out.update(beta=before, phi=float(first["phi"]), weights=weights, settled=bool(first["weights_settled"]))
+        if isinstance(first["before"], str):
             return out | {"message": first["before"]}
-    last, agreed = out["weights"], out["settled"]
     try:
-        h, g = gather(cats, q, zip(pdf["cat_a"], pdf["cat_b"], pdf["h"], pdf["g"]))
-        if not (np.isfinite(h).all() and np.isfinite(g).all()):
-            raise ValueError("normal equations are not finite")
-        shape = layout(cats, q, k)
-        inner, right = shape.spread.T @ h @ shape.spread, shape.spread.T @ g
-        weights = last
-        if k is not None and not (settled or agreed):
-            weights = choose_weights(inner, right, shape, k, knots, prior_scale)
-        theta, factor = penalised_fit(inner, right, prior(shape, k, knots, weights, prior_scale))
-        beta, phi = (shape.spread @ theta).reshape(len(cats), q), 1.0
+        equations, shape = gather(cats, q, zip(pdf["cat_a"], pdf["cat_b"], pdf["h"], pdf["g"])), layout(cats, q, k)
+        solution, weights, settled = solve_with_weights(equations, shape, bend, out["weights"], prior_scale, update)
+        beta, phi = solution.beta, 1.0
         if family != "binomial":
-            n = float(pdf["n_data"].iloc[0])
-            # the trace of the smoother: all coefficients that the data determine, penalised ones in part
-            used = float(np.trace(np.linalg.solve(factor.T, np.linalg.solve(factor, inner))))
-            phi = max(float(pdf["pearson"].sum()) / max(n - used, 1.0), 1e-12)
-        delta = 1.0
-        if before is not None:
-            step = (beta - before).ravel()
-            delta = max(float(np.sqrt(max(step @ h @ step, 0.0))), abs(phi - out["phi"]) / phi)
-            if weights != last:
-                delta = max(delta, 1.0)
+            free = float(pdf["n_data"].iloc[0]) - solution.degrees(equations)
+            phi = max(float(pdf["pearson"].sum()) / max(free, 1.0), 1e-12)
+        delta = 1.0 if before is None else max(equations.length(beta - before), abs(phi - out["phi"]) / phi)
         if not (np.isfinite(delta) and np.isfinite(beta).all()):
             raise ValueError("estimates are not finite")
-        same = k is None or agreed or (before is not None and weights == last)
-        out.update(theta=theta, factor=factor, shape=shape, beta=beta, phi=phi, weights=weights, settled=same, delta=delta)
+        out.update(solution=solution, beta=beta, phi=phi, weights=weights, settled=settled if update else out["settled"], delta=delta)
     except (np.linalg.LinAlgError, ValueError, FloatingPointError) as error:
         out["message"] = str(error)
     return out
 
 
 def _update_levels(stats: DataFrame, coef: DataFrame, sigma: DataFrame, by: str, q: int, t: int) -> DataFrame:
-    """Random effects given the new coefficients, with their conditional covariance."""
+    """Random effects given the new coefficients, with their covariance, and the parts of the score of their variances.
+
+    With the information ``m`` and the score ``r`` of a level, w = (1 + m sigma)^-1 r
+    and p = (1 + m sigma)^-1 m: the effects are sigma w, and the score of sigma is half
+    the sum of w w' - p.  Nothing is divided by sigma, which may be zero.
+    """
     joined = join_same(stats, coef.select(by, "cat", "beta"), [by, "cat"], "inner")
 
     def left_over(i: int) -> Column:
@@ -232,43 +235,72 @@ def _update_levels(stats: DataFrame, coef: DataFrame, sigma: DataFrame, by: str,
 
     sums = [F.sum(left_over(i)).alias(f"r{i}") for i in range(t)]
     sums += [F.sum(F.col("h")[i * q + j]).alias(f"m{i}{j}") for i in range(t) for j in range(i, t)]
-    per_level = join_same(joined.groupBy(by, "rand").agg(*sums), sigma.select(by, "precision"), [by], "inner")
-    p = F.col("precision")
+    per_level = join_same(joined.groupBy(by, "rand").agg(*sums), sigma.select(by, "sigma"), [by], "inner")
+    s = F.col("sigma")
     if t == 1:
-        v = 1 / (F.col("m00") + p[0])
-        return per_level.select(by, "rand", F.array(v * F.col("r0")).alias("b"), F.array(v).alias("v"))
-    a, c, d = F.col("m00") + p[0], F.col("m01") + p[1], F.col("m11") + p[3]
-    det = a * d - c * c
-    v00, v01, v11 = d / det, -c / det, a / det
-    b = F.array(v00 * F.col("r0") + v01 * F.col("r1"), v01 * F.col("r0") + v11 * F.col("r1"))
-    return per_level.select(by, "rand", b.alias("b"), F.array(v00, v01, v01, v11).alias("v"))
-
-
-def _update_sigma(levels: DataFrame, by: str, t: int) -> DataFrame:
-    """Variances of the random effects by one expectation-maximisation step, with their inverse.
-
-    A model with one level has no random term: its effects stay at zero.
+        rows = per_level.withColumn("__k", 1 + F.col("m00") * s[0]).withColumns({"w0": F.col("r0") / F.col("__k"), "p00": F.col("m00") / F.col("__k")})
+        return rows.select(by, "rand", F.array(s[0] * F.col("w0")).alias("b"), F.array(s[0] / F.col("__k")).alias("v"), "w0", "p00")
+    m00, m01, m11 = (F.col(x) for x in ("m00", "m01", "m11"))
+    k00, k01, k10, k11 = 1 + m00 * s[0] + m01 * s[1], m00 * s[1] + m01 * s[3], m01 * s[0] + m11 * s[1], 1 + m01 * s[1] + m11 * s[3]
+    rows = per_level.withColumns({"k00": k00, "k01": k01, "k10": k10, "k11": k11, "__det": k00 * k11 - k01 * k10})
+    i00, i01, i10, i11 = (F.col(x) / F.col("__det") for x in ("k11", "k01", "k10", "k00"))
+    rows = rows.withColumns({
+        "w0": i00 * F.col("r0") - i01 * F.col("r1"), "w1": i11 * F.col("r1") - i10 * F.col("r0"),
+        "p00": i00 * m00 - i01 * m01, "p01": i00 * m01 - i01 * m11, "p11": i11 * m11 - i10 * m01,
+    })
+    v00, v01, v11 = s[0] * i00 - s[1] * i10, s[1] * i11 - s[0] * i01, s[3] * i11 - s[1] * i01
+    b = F.array(s[0] * F.col("w0") + s[1] * F.col("w1"), s[1] * F.col("w0") + s[3] * F.col("w1"))
+    return rows.select(by, "rand", b.alias("b"), F.array(v00, v01, v01, v11).alias("v"), "w0", "w1", "p00", "p01", "p11")
+
+
+def _update_sigma(levels: DataFrame, sigma: DataFrame, by: str, t: int) -> DataFrame:
+    """Variances of the random effects by a scoring step of their likelihood, and its length in standard errors.
+
+    The step is Newton's with expected information, so a few rounds do; it ends at the
+    nearest covariance, which may have no spread in a direction, or none at all.  A
+    model with one level has no random term: its variances stay at zero.
     """
-    b, v = F.col("b"), F.col("v")
-    one = F.col("__levels") < 2
+    w0, p00 = F.col("w0"), F.col("p00")
+    many = F.count(F.lit(1)).alias("__levels")
     if t == 1:
-        found = levels.groupBy(by).agg(F.avg(b[0] * b[0] + v[0]).alias("s00"), F.count(F.lit(1)).alias("__levels"))
-        return found.select(
-            by, F.array(F.when(one, 0.0).otherwise(F.col("s00"))).alias("sigma"),
-            F.array(F.when(one, NO_TERM).otherwise(1 / F.greatest("s00", F.lit(1e-6)))).alias("precision"),
-        )
-    found = levels.groupBy(by).agg(
-        F.avg(b[0] * b[0] + v[0]).alias("s00"), F.avg(b[0] * b[1] + v[1]).alias("s01"), F.avg(b[1] * b[1] + v[3]).alias("s11"),
-        F.count(F.lit(1)).alias("__levels"),
-    )
-    s00, s01, s11 = F.greatest("s00", F.lit(1e-6)), F.col("s01"), F.greatest("s11", F.lit(1e-6))
-    det = F.greatest(s00 * s11 - s01 * s01, s00 * s11 * 1e-4)
-    none, apart = F.array(*map(F.lit, (0.0, 0.0, 0.0, 0.0))), F.array(*map(F.lit, (NO_TERM, 0.0, 0.0, NO_TERM)))
-    return found.select(
-        by, F.when(one, none).otherwise(F.array("s00", "s01", "s01", "s11")).alias("sigma"),
-        F.when(one, apart).otherwise(F.array(s11 / det, -s01 / det, -s01 / det, s00 / det)).alias("precision"),
+        sums = levels.groupBy(by).agg(F.sum(w0 * w0 - p00).alias("score"), F.sum(p00 * p00).alias("info"), F.sum(p00 * (2 * w0 * w0 - p00)).alias("curve"), many)
+        # Newton's step where the likelihood is curved as expected, at most three times as long as a scoring step elsewhere
+        sums = sums.withColumn("info", F.greatest("curve", F.col("info") / 3))
+        old = F.col("sigma")[0]
+        # at most tenfold and a bit in one step: far from the end the information is a poor guide
+        wanted = F.least(old + F.col("score") / F.col("info"), 10 * old + 0.1)
+        new = F.when((F.col("__levels") < 2) | F.isnull("info") | (F.col("info") <= 0), F.lit(0.0)).otherwise(F.greatest(wanted, F.lit(0.0)))
+        found = join_same(sums, sigma.select(by, "sigma"), [by], "inner").select(by, F.array(new).alias("sigma"), (F.abs(new - old) * F.sqrt(F.col("info") / 2)).alias("step"))
+        return found.withColumn("step", F.coalesce("step", F.lit(0.0)))
+    w1, p01, p11 = F.col("w1"), F.col("p01"), F.col("p11")
+    sums = levels.groupBy(by).agg(
+        *[F.sum(x).alias(n) for n, x in {
+            "g0": w0 * w0 - p00, "g1": 2 * (w0 * w1 - p01), "g2": w1 * w1 - p11,
+            "i00": p00 * p00, "i01": 2 * p00 * p01, "i02": p01 * p01, "i11": 2 * (p00 * p11 + p01 * p01), "i12": 2 * p01 * p11, "i22": p11 * p11,
+        }.items()], many,
     )
 
+    def step(batches):
+        for rows in batches:
+            covariances, lengths = [], []
+            for row in rows.itertuples(index=False):
+                old = np.array([row.sigma[0], row.sigma[1], row.sigma[3]])
+                info = np.array([[row.i00, row.i01, row.i02], [row.i01, row.i11, row.i12], [row.i02, row.i12, row.i22]]) / 2
+                new = np.zeros(3)
+                if row[-2] >= 2 and np.isfinite(info).all():
+                    info = info + 1e-9 * np.trace(info) * np.eye(3) + 1e-300 * np.eye(3)
+                    wanted = old + np.linalg.solve(info, np.array([row.g0, row.g1, row.g2]) / 2)
+                    most = 10 * max(old[0], old[2]) + 0.1
+                    wanted *= min(1.0, most / max(abs(wanted).max(), 1e-300))
+                    new = nearest_covariance(wanted, info)
+                covariances.append([new[0], new[1], new[1], new[2]])
+                moved = new - old
+                lengths.append(float(np.sqrt(max(moved @ info @ moved, 0.0))) if np.isfinite(info).all() else 0.0)
+            yield pd.DataFrame({by: rows[by], "sigma": covariances, "step": lengths})
+
+    rows = join_same(sums, sigma.select(by, "sigma"), [by], "inner")
+    return rows.mapInPandas(step, _schema(levels, by, "sigma array<double>, step double"))
+
 
 def fit_trend(
     patterns: DataFrame,
@@ -290,17 +322,19 @@ def fit_trend(
     uses its mean and variance only (quasi-likelihood).  Draws are Laplace draws
     around the fit; random effects are integrated out of the coefficients.
 
-    Rounds stop when the Newton decrement, the length of a step in standard errors,
-    is at most ``tol`` for every model: 1e-4, after which the error is about its
-    square, or 1e-5 with an estimated dispersion and 1e-3 with random effects, which
-    settle step by step.  A model that has reached it is ``converged``; one
-    that has not after ``max_iter`` rounds has the status "not converged".
-    Failed models stay as they are and don't keep the others waiting.  Linear
-    predictors of binomial and Beta responses are kept within 30 of zero, where
-    probabilities are 0 or 1 to 13 digits.
+    A model is ``converged`` when the length of a step in standard errors, of the
+    coefficients and of the variances of random effects, is at most ``tol``: 1e-4,
+    after which the error is about its square, 1e-5 with an estimated dispersion, or
+    1e-3 with random effects, whose steps shrink by a factor each time.
+    A model that has not got there after ``max_iter`` rounds has the status "not
+    converged".  Failed models stay as they are.  Linear predictors of binomial and
+    Beta responses are kept within 30 of zero, where probabilities are 0 or 1 to 13
+    digits.
 
     Each round is one aggregate over the stored patterns, and its small result is
-    stored too, so a lost executor repeats at most that round.
+    stored too, so a lost executor repeats at most that round.  When half of the models
+    that a round works on are done, the patterns of the others are stored on their own:
+    a slow model doesn't make the rest be read again.
     """
     if family not in LINKS:
         raise ValueError(f"unknown family {family!r}")
@@ -318,45 +352,76 @@ def fit_trend(
     start_phi = design.select(by, F.col("__phi0").alias("__phi"))
 
     coef = levels = None
-    flat = [0.5] if t == 1 else [0.5, 0.0, 0.0, 0.5]
-    inverse = [2.0] if t == 1 else [2.0, 0.0, 0.0, 2.0]
-    alone = [NO_TERM] if t == 1 else [NO_TERM, 0.0, 0.0, NO_TERM]
-    start = F.when(F.col("n_rand") < 2, F.array(*map(F.lit, alone))).otherwise(F.array(*map(F.lit, inverse)))
-    sigma = design.select(by, F.array(*map(F.lit, flat)).alias("sigma"), start.alias("precision")) if t else None
-    rounds, worst = 0, float("inf")
-    while rounds < max_iter and worst > tol:
-        stats = _pass_over(patterns, coef, levels, by, family, q, start_phi, t)
+    first = F.when(F.col("n_rand") < 2, 0.0).otherwise(START)
+    none = F.lit(0.0)
+    sigma = design.select(by, F.array(first, *([none, none, first] if t == 2 else [])).alias("sigma")) if t else None
+    working, done, rounds = patterns, [], 0
+    while True:
+        stats = _pass_over(working, coef, levels, by, family, q, start_phi, t)
         if t:
             stats = durable(stats)
             equations = _eliminate(stats, sigma, by, q, t)
         else:
             equations = stats.select(by, F.col("cat").alias("cat_a"), F.col("cat").alias("cat_b"), "h", "g", "pearson")
-        solved = _solve_models(equations, design, coef, by, q, k, family, prior_scale, rounds >= SETTLE)
-        old, coef = (coef, levels, sigma), durable(solved)
+        old = coef, levels, sigma
+        coef = durable(_solve_models(equations, design, coef, by, q, k, family, prior_scale))
+        rounds += 1
+        verdict = coef.groupBy(by).agg(F.max(F.nanvl("delta", F.lit(float("inf")))).alias("__delta"), F.max("message").alias("__message"))
         if t:
             levels = durable(_update_levels(stats, coef, sigma, by, q, t))
-            sigma = durable(_update_sigma(levels, by, t))
-            discard(stats, *old[1:])
-        discard(old[0])  # the next round has been stored
-        worst = coef.agg(F.max(F.nanvl("delta", F.lit(float("inf"))))).first()[0] or 0.0
-        rounds += 1
-
+            sigma = durable(_update_sigma(levels, sigma, by, t))
+            verdict = join_same(verdict, sigma.select(by, "step"), [by]).withColumn("__delta", F.greatest("__delta", "step"))
+            discard(stats)
+        discard(*old)  # the next round has been stored
+        over = (F.col("__delta") <= tol) | F.col("__message").isNotNull()
+        verdict = verdict.select(by, F.col("__delta").alias("largest"), over.alias("over"), F.lit(rounds).alias("rounds"))
+        n_over, n = verdict.agg(F.count_if("over"), F.count("*")).first()
+        last = n_over == n or rounds >= max_iter
+        if not last and 2 * n_over < n:
+            continue
+        verdict = durable(verdict)
+        finished = verdict if last else verdict.where("over")
+        done.append([durable(join_same(x, finished.select(by), [by], "left_semi")) if x is not None else None for x in (coef, levels, sigma, verdict)])
+        if last:
+            break
+        parts = coef, levels, sigma, working
+        coef, levels, sigma, working = (None if x is None else durable(join_same(x, verdict.where("not over").select(by), [by], "left_semi")) for x in parts)
+        discard(*parts[:3], verdict, parts[3] if parts[3] is not patterns else None)
+
+    coef, levels, sigma, verdict = (None if any(x is None for x in parts) else reduce(DataFrame.unionByName, parts) for parts in zip(*done))
+    coef = durable(join_same(coef.drop("delta"), verdict.select(by, F.col("largest").alias("delta"), "rounds"), [by]))
     stats = _pass_over(patterns, coef, levels, by, family, q, start_phi, t)
+    links = None
     if t:
+        stats = durable(stats)
         equations = _eliminate(stats, sigma, by, q, t)
+        levels = durable(_update_levels(stats, coef, sigma, by, q, t).select(by, "rand", "b", "v"))
+        links = durable(_links(stats, levels, coef, by, q, t))
     else:
         equations = stats.select(by, F.col("cat").alias("cat_a"), F.col("cat").alias("cat_b"), "h", "g", "pearson")
     final = durable(_posterior(equations, design, coef, by, q, k, family, prior_scale, n_draws, seed))
-    return _tables(final, coef, design, levels, sigma, by, family, k, t, rounds, tol)
+    fit = _tables(final, coef, design, levels, links, sigma, by, family, k, t, tol)
+    discard(patterns, stats, *[x for parts in done for x in parts[:2]], working if working is not patterns else None)
+    return fit
+
+
+def _links(stats: DataFrame, levels: DataFrame, coef: DataFrame, by: str, q: int, t: int) -> DataFrame:
+    """How the effects of a level move with the coefficients of a category, as ``move`` (t x q), around ``beta``.
+
+    Given other coefficients, the mean of the effects is lower by the covariance of the
+    effects times the information they share with the coefficients.
+    """
+    rows = join_same(stats.select(by, "cat", "rand", "h"), levels.select(by, "rand", "v"), [by, "rand"], "inner")
+    rows = join_same(rows, coef.select(by, "cat", "beta"), [by, "cat"], "inner")
+    v, h = F.col("v"), F.col("h")
+    move = [sum((-v[i * t + m] * h[m * q + j] for m in range(1, t)), -v[i * t] * h[j]) for i in range(t) for j in range(q)]
+    return rows.select(by, "cat", "rand", F.array(*move).alias("move"), "beta")
 
 
 def _posterior(equations, design, coef, by, q, k, family, prior_scale, n_draws, seed) -> DataFrame:
     """Estimates by name, spreads and draws; one row per category."""
     info = design.select(by, "knots", "n_data", "var_scale", "cov_centre", "cov_scale")
-    old = coef.select(
-        by, F.col("cat").alias("cat_a"), F.col("beta").alias("old"), "weight_all", "weight_own", "weights_settled", "phi", F.col("message").alias("before")
-    )
-    rows = join_same(join_same(equations, info, [by], "inner"), old, [by, "cat_a"])
+    rows = _with_state(equations, info, coef, by)
     schema = _schema(
         equations, by, "cat string, draws array<array<double>>, terms array<string>, estimate array<double>, sd array<double>, message string"
     )
@@ -364,18 +429,17 @@ def _posterior(equations, design, coef, by, q, k, family, prior_scale, n_draws,
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         cats = sorted(set(pdf["cat_a"]))
         model = pdf[by].iloc[0]
-        fitted = solve_group(pdf, cats, q, k, family, prior_scale, True)
+        fitted = solve_group(pdf, cats, q, k, family, prior_scale, False)
         out = pd.DataFrame({"cat": cats})
         if fitted["message"] is None:
-            theta, factor, shape = fitted["theta"], fitted["factor"], fitted["shape"]
-            noise = np.linalg.solve(factor.T, normals(seed, str(model), (len(theta), n_draws)))
-            effective = (shape.spread @ (theta[:, None] + noise)).reshape(len(cats), q, n_draws)
-            out["draws"] = [[row.tolist() for row in effective[c].T] for c in range(len(cats))]
-            names, estimate, spread = natural_scale(shape.names, theta, factor, pdf.iloc[0], k)
+            solution = fitted["solution"]
+            effective = solution.draws(normals(seed, str(model), (solution.parameters(), n_draws)))
+            out["draws"] = [list(np.ascontiguousarray(one.T)) for one in effective]
+            names, estimate, spread = natural_scale(solution, pdf.iloc[0])
             first = [True] + [False] * (len(cats) - 1)
             out["terms"] = [names if f else None for f in first]
-            out["estimate"] = [estimate.tolist() if f else None for f in first]
-            out["sd"] = [spread.tolist() if f else None for f in first]
+            out["estimate"] = [estimate if f else None for f in first]
+            out["sd"] = [spread if f else None for f in first]
         else:
             out["draws"] = out["terms"] = out["estimate"] = out["sd"] = None
         out["message"] = fitted["message"]
@@ -385,29 +449,33 @@ def _posterior(equations, design, coef, by, q, k, family, prior_scale, n_draws,
     return _spread(rows, by).groupBy(by).applyInPandas(finish, schema)
 
 
-def natural_scale(names: list[str], theta: np.ndarray, factor: np.ndarray, info: pd.Series, k: int | None):
-    """Estimates and standard deviations in the units of the model frame."""
-    change = np.eye(len(theta))
-    for i, name in enumerate(names):
-        if name == "use_cov":
-            scale = info["cov_scale"]
-            change[i, i] = 0.0 if pd.isna(scale) else 1 / scale
-            change[0, i] = 0.0 if pd.isna(scale) else -info["cov_centre"] / scale
-        elif k is None and (name == "var" or name.startswith("var:")):
-            change[i, i] = 1 / info["var_scale"]
-    root = np.linalg.solve(factor, change.T)
-    estimate, spread = change @ theta, np.sqrt((root * root).sum(axis=0))
-    used = [i for i, name in enumerate(names) if not (name == "use_cov" and pd.isna(info["cov_scale"]))]
-    return [names[i] for i in used], estimate[used], spread[used]
-
-
-def _tables(final, coef, design, levels, sigma, by, family, k, t, rounds, tol) -> TrendFit:
+def natural_scale(solution: Solution, info: pd.Series) -> tuple[list[str], list[float], list[float]]:
+    """Names, estimates and standard deviations in the units of the model frame."""
+    shape = solution.shape
+    change = np.eye(shape.q)
+    scale = info["cov_scale"]
+    constant = pd.isna(scale)
+    change[-1, -1] = 0.0 if constant else 1 / scale
+    change[0, -1] = 0.0 if constant else -info["cov_centre"] / scale
+    slope = 1 / info["var_scale"] if shape.k is None else 1.0
+    if shape.k is None:
+        change[1, 1] = slope
+    shared, spread = change @ solution.shared, np.sqrt(np.einsum("ij,jk,ik->i", change, solution.cov, change))
+    rows = [(name, shared[i], spread[i]) for i, name in enumerate(shape.labels) if not (name == "use_cov" and constant)]
+    for c, i, name in shape.own_names():
+        by_scale = slope if i else 1.0
+        rows.append((name, solution.own[c, i] * by_scale, np.sqrt(solution.cov_own[c, i, i]) * by_scale))
+    names, estimates, spreads = zip(*rows)
+    return list(names), [float(x) for x in estimates], [float(x) for x in spreads]
+
+
+def _tables(final, coef, design, levels, links, sigma, by, family, k, t, tol) -> TrendFit:
     named = final.where(F.col("terms").isNotNull())
     rows = F.arrays_zip(F.col("terms").alias("term"), F.col("estimate").alias("estimate"), F.col("sd").alias("sd"))
     table = named.select(by, F.inline(rows))
     state = coef.groupBy(by).agg(
-        F.first("phi").alias("dispersion"), F.first("weight_all").alias("weight_all"), F.first("weight_own").alias("weight_own"),
-        F.first("weights_settled").alias("weights_settled"),
+        F.first("phi").alias("dispersion"), F.first("weight_all").alias("weight_all"), F.first("weights_settled").alias("weights_settled"),
+        F.max("rounds").alias("iterations"),
         F.max("delta").alias("delta"), F.max("message").alias("message"),
     )
     names = final.groupBy(by).agg(F.first("terms", ignorenulls=True).alias("coefficients"), F.max("message").alias("__late"))
@@ -421,11 +489,11 @@ def _tables(final, coef, design, levels, sigma, by, family, k, t, rounds, tol) -
             "family": F.lit(family),
             "link": F.lit(LINKS[family]),
             "n_level_effects": F.when(F.col("n_rand") > 1, F.col("n_rand") * t).otherwise(F.lit(0).cast("long")),
-            "iterations": F.lit(rounds),
             "converged": converged,
             "status": F.when(message.isNotNull(), "error").when(converged, "ok").otherwise("not converged"),
             "message": message,
         }
     ).drop("__late")
     draws = final.where(F.col("draws").isNotNull()).select(by, "cat", "draws")
-    return TrendFit(spec, table, draws, design, levels, k, LINKS[family], by)
+    weights = coef.select(by, "cat", "weight_own")
+    return TrendFit(spec, table, draws, design, weights, levels, links, k, LINKS[family], by)

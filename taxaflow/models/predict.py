@@ -17,10 +17,11 @@ def epred_draws(
 ) -> DataFrame:
     """Add ``pred``: one expected value per draw for every grid row.
 
-    With ``include_random`` a level of the fit gets its effect, drawn from its mean
-    and conditional covariance, intercept and slope together.  Other levels, and
-    all rows without ``include_random``, are predicted at the centre of the random
-    effects, or with ``new_level`` for a level drawn from their distribution.
+    With ``include_random`` a level of the fit gets its effect, drawn together with the
+    coefficients: its mean moves with those of the draw, and intercept and slope have
+    their covariance given them.  Other levels, and all rows without
+    ``include_random``, are predicted at the centre of the random effects, or with
+    ``new_level`` for a level drawn from their distribution.
     """
     q, by = width(fit.k), fit.by
     rows = with_features(grid, fit.design, by, fit.k, "__u")
@@ -35,16 +36,39 @@ def epred_draws(
         if known:
             levels = fit.levels.select(by, F.col("rand").alias(rand_col), F.col("b").alias("__b"), F.col("v").alias("__v"))
             rows = join_same(rows, levels, [by, rand_col])
+            rows = join_same(rows, _moves(fit, grid.select(by, F.col(rand_col).alias("rand")).distinct(), q).withColumnRenamed("rand", rand_col), [by, rand_col])
             mean, spread = F.col("__b"), F.col("__v")
         if new_level:
             rows = join_same(rows, fit.spec.select(by, F.col("sigma").alias("__sigma")), [by])
             spread = F.coalesce(spread, F.col("__sigma"))
         model = F.coalesce(F.col(by).cast("string"), F.lit(""))
+        if not known:
+            rows = rows.withColumn("__move", F.lit(None).cast("array<struct<b0:double,b1:double>>"))
         rows = rows.withColumn("__effect", _effects(mean, spread, F.size("__draws"), F.xxhash64(F.lit(seed), model, level)))
-        effect = lambda i: F.col("__effect")[i]["b0"] + F.col("__effect")[i]["b1"] * F.col("__u")[1]
+        part = lambda i, b: F.col("__effect")[i][b] + F.coalesce(F.col("__move")[i][b], F.lit(0.0))
+        effect = lambda i: part(i, "b0") + part(i, "b1") * F.col("__u")[1]
         eta = F.transform("__draws", lambda beta, i: dot(F.col("__u"), beta, q) + effect(i))
     pred = F.transform(eta, lambda x: inverse_link(x, fit.link))
-    return rows.withColumn("pred", pred).drop("__u", "__cat", "__draws", "__b", "__v", "__sigma", "__effect")
+    return rows.withColumn("pred", pred).drop("__u", "__cat", "__draws", "__b", "__v", "__sigma", "__effect", "__move")
+
+
+def _moves(fit: TrendFit, wanted: DataFrame, q: int) -> DataFrame:
+    """Per wanted level, how far each draw of the coefficients moves the mean of its effects (``__move``).
+
+    A level adds up what the coefficients of its categories do; usually it has one.
+    """
+    links = join_same(fit.links, wanted, [fit.by, "rand"], "left_semi")
+    rows = join_same(links, fit.draws, [fit.by, "cat"], "inner")
+
+    def along(draw: Column, first: int) -> Column:
+        return sum((F.col("move")[first + j] * (draw[j] - F.col("beta")[j]) for j in range(1, q)), F.col("move")[first] * (draw[0] - F.col("beta")[0]))
+
+    slope = lambda draw: F.when(F.size("move") > q, along(draw, q)).otherwise(F.lit(0.0))
+    moved = F.transform("draws", lambda draw: F.struct(along(draw, 0).alias("b0"), slope(draw).alias("b1")))
+    parts = rows.select(fit.by, "rand", moved.alias("__part")).groupBy(fit.by, "rand").agg(F.collect_list("__part").alias("__parts"))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: F.struct((x["b0"] + y["b0"]).alias("b0"), (x["b1"] + y["b1"]).alias("b1")))
+    total = F.aggregate(F.slice("__parts", 2, F.size("__parts")), F.col("__parts")[0], add)
+    return parts.select(fit.by, "rand", total.alias("__move"))
 
 
 def _effects(mean: Column, covariance: Column, n: Column, key: Column) -> Column:

@@ -13,7 +13,7 @@ from taxaflow.models.fit import TrendFit, fit_trend
 from taxaflow.models.predict import epred_draws
 from taxaflow.operators.contrast import contrast, year_diff
 from taxaflow.operators.frame import compress_patterns, model_frame
-from taxaflow.operators.grid import cov_quantiles, observed_contexts, prediction_grid
+from taxaflow.operators.grid import cov_quantiles, cov_values, observed_contexts, prediction_grid
 from taxaflow.operators.occupancy import occupancy_fit
 from taxaflow.operators.summary import RES_Q, posterior_summary
 from taxaflow.session import durable
@@ -64,22 +64,30 @@ def model_results(
     binomial: bool = True,
     include_random: bool = False,
     new_level: bool = False,
+    cov_val: Sequence[float] | None = None,
 ) -> dict[str, DataFrame]:
     """Predictions on a grid, their contrast with ``ref``, and one summary row per prediction.
 
     A binomial prediction is a proportion, and ``ps_thresh`` a difference of
     proportions.  Predictions are made at the centre of the random effects, or with
-    ``new_level`` for a level drawn from them; ``include_random`` gives the levels of
-    a ``rand`` column of the grid their own effects.
+    ``new_level`` for a level drawn from them.  With ``include_random`` every level has
+    rows of its own (column ``rand``), from its first to its last time, with its own
+    effects; the fit must have levels then.  ``cov_val`` gives values of the covariate
+    in place of the quantiles ``cov_q``; they are named by the percent of data up to them.
     """
     by = fit.by
-    covariates = cov_quantiles(frame, [by], "cov", cov_q) if "cov" in frame.columns else None
+    if include_random and (fit.levels is None or "rand" not in frame.columns):
+        raise ValueError("the fit has no random levels to include")
+    covariates = None
+    if "cov" in frame.columns:
+        covariates = cov_quantiles(frame, [by], "cov", cov_q) if cov_val is None else cov_values(frame, [by], cov_val)
     data = frame if "cat" in frame.columns else frame.withColumn("cat", F.lit("all"))
-    grid = prediction_grid(data, [by], var_col, "cat", covariates, pred_step, binomial=binomial)
+    rand = ["rand"] if include_random else []
+    grid = prediction_grid(data, [by], var_col, "cat", covariates, pred_step, *rand, include_random=include_random, binomial=binomial)
     pred = epred_draws(fit, grid, include_random, new_level)
-    keys = [by, *(["cov"] if covariates is not None else [])]
+    keys = [by, *rand, *(["cov"] if covariates is not None else [])]
     contrasted = contrast(pred, ref, var_col, "cat", keys)
-    every = [by, "cat", var_col, *(["cov_q", "cov"] if covariates is not None else [])]
+    every = [by, "cat", *rand, var_col, *(["cov_q", "cov"] if covariates is not None else [])]
     return {"pred": contrasted, "res": posterior_summary(contrasted, every, n_draws, res_q, ps_thresh)}
 
 

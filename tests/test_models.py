@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from taxaflow.functions import draws as D
 from taxaflow.models.fit import fit_trend
 from taxaflow.models.predict import epred_draws, residuals
-from taxaflow.models.solve import curvature, layout, normals
+from taxaflow.models.solve import Equations, Solution, Weights, curvature, layout, normals
 from taxaflow.operators.frame import compress_patterns, model_frame, model_levels, term_selection
 from taxaflow.plans.trends import change_since, list_length_model, model_results, occupancy_model, reporting_rate_model
 from taxaflow.sources.model_store import pending_models, read_model, write_model
@@ -143,23 +143,101 @@ def test_random_slopes_run_and_shrink(spark):
     assert spec.status == ("ok" if spec.converged else "not converged") and len(spec.sigma) == 4 and spec.sigma[3] < spec.sigma[0]
 
 
-def test_elimination_equals_the_joint_solution(spark):
-    """Crossed categories and levels: with the variance held fixed, one Gaussian round equals the full ridge system."""
+def crossed(spark, n=300, levels=6, slope=False):
+    """Gaussian records whose levels occur in both categories, with the design of all coefficients and effects."""
     rng = np.random.default_rng(8)
-    n = 300
-    x, c, s = rng.normal(size=n).round(2), rng.integers(0, 2, n), rng.integers(0, 6, n)
-    y = 1 + 0.5 * x + 0.3 * c + rng.normal(0, 1, n)
+    x, c, s = rng.normal(size=n).round(2), rng.integers(0, 2, n), rng.integers(0, levels, n)
+    y = 1 + 0.5 * x + 0.3 * c + rng.normal(0, 0.7, levels)[s] + (rng.normal(0, 0.5, levels)[s] * x if slope else 0) + rng.normal(0, 1, n)
     df = spark.createDataFrame(pd.DataFrame({"model_id": "m", "var": x, "cat": [f"c{v}" for v in c], "rand": [f"s{v}" for v in s], "y": y}))
-    fit = fit_trend(compress_patterns(df, "model_id"), family="gaussian", rand_slope=False, prior_scale=None, n_draws=2, max_iter=1)
-    info = fit.design.first()
-    phi, scale = info["__phi0"], info.var_scale
-    z = np.eye(6)[s]
-    fixed = np.c_[np.ones(n), x / scale, c, c * x / scale]
-    full = np.c_[fixed, z]
-    h = full.T @ full / phi + np.diag([0.0] * 4 + [2.0] * 6)
-    theta = np.linalg.solve(h, full.T @ y / phi)
-    levels = {r.rand: r.b[0] for r in fit.levels.collect()}
-    assert np.allclose([levels[f"s{i}"] for i in range(6)], theta[4:], atol=1e-8)
+    return df, x, c, np.eye(levels)[s], y
+
+
+def test_the_fit_with_crossed_levels_equals_the_joint_solution(spark):
+    """At the end, coefficients and effects solve the full ridge system, and the variance is the mean of b^2 + v."""
+    df, x, c, z, y = crossed(spark)
+    fit = fit_trend(compress_patterns(df, "model_id"), family="gaussian", rand_slope=False, prior_scale=None, n_draws=4000, tol=1e-9)
+    spec, scale = fit.spec.first(), fit.design.first().var_scale
+    assert spec.converged and spec.sigma[0] > 0.05
+    full = np.c_[np.ones(len(y)), x / scale, c, c * x / scale, z]
+    h = full.T @ full / spec.dispersion + np.diag([0.0] * 4 + [1 / spec.sigma[0]] * 6)
+    theta, cov = np.linalg.solve(h, full.T @ y / spec.dispersion), np.linalg.inv(h)
+    levels = {r.rand: (r.b[0], r.v[0]) for r in fit.levels.collect()}
+    b, v = np.array([levels[f"s{i}"] for i in range(6)]).T
+    assert np.allclose(b, theta[4:], atol=1e-6) and spec.sigma[0] == pytest.approx(np.mean(b * b + v), rel=1e-5)
+    got = coefs(fit, "m")
+    assert got["catc1"] == pytest.approx((theta[2], np.sqrt(cov[2, 2])), abs=1e-6)
+    # predictions for a level: coefficients and effect are drawn together
+    grid = spark.createDataFrame([("m", "c1", f"s{i}", 0.4) for i in range(6)], "model_id string, cat string, rand string, var double")
+    for r in epred_draws(fit, grid, include_random=True).collect():
+        row = np.r_[1, 0.4 / scale, 1, 0.4 / scale, np.eye(6)[int(r.rand[1])]]
+        assert np.mean(r.pred) == pytest.approx(row @ theta, abs=4 * np.sqrt(row @ cov @ row / 4000))
+        assert np.var(r.pred) == pytest.approx(row @ cov @ row, rel=0.1)
+    # apart from their coefficients, the effects alone would be more certain, and the sum less
+    assert np.sqrt(cov[4, 4]) > 1.2 * np.sqrt(v[0])
+
+
+def test_random_slopes_end_where_the_score_of_their_covariance_is_zero(spark):
+    df, x, c, z, y = crossed(spark, 900, 12, slope=True)
+    fit = fit_trend(compress_patterns(df, "model_id"), family="gaussian", prior_scale=None, n_draws=2, tol=1e-8)
+    spec = fit.spec.first()
+    sigma = np.array(spec.sigma).reshape(2, 2)
+    rows = fit.levels.collect()
+    moments = np.mean([np.outer(r.b, r.b) + np.array(r.v).reshape(2, 2) for r in rows], axis=0)
+    assert spec.converged and len(rows) == 12 and np.allclose(moments, sigma, atol=1e-5) and np.linalg.eigvalsh(sigma).min() > 0
+
+
+def test_models_without_level_effects_end_at_zero_variance(spark):
+    """Effects drawn with opposite signs are less spread than chance: no variance is best, and is reached."""
+    rows = [("m0", f"s{s}", float(v), int((s + v + i) % 2)) for s in range(40) for v in range(6) for i in range(4)]
+    df = spark.createDataFrame(rows, "model_id string, rand string, var double, y int").withColumn("cat", F.lit("all"))
+    for slope, size in ((False, 1), (True, 4)):
+        spec = fit_trend(compress_patterns(df, "model_id"), rand_slope=slope, n_draws=2).spec.first()
+        assert spec.converged and spec.sigma == [0.0] * size and spec.iterations < 30
+
+
+def test_blocks_give_the_same_as_the_whole_matrix():
+    rng = np.random.default_rng(4)
+    for k, q, n in ((None, 3, 4), (6, 7, 3)):
+        root = rng.normal(size=(n, 3 * q, q))
+        h, g = root.transpose(0, 2, 1) @ root, rng.normal(size=(n, q))
+        shape, bend = layout([f"c{i}" for i in range(n)], q, k), None if k is None else curvature(np.linspace(0, 1, k))
+        weights = Weights(2.0, np.array([3.0, 0.5, 7.0, 1.0])[:n])
+        tiny = {(0, 1): np.full((q, q), 1e-13), (1, 0): np.full((q, q), 1e-13)}
+        block, whole = (Solution(Equations(h, g, x), shape, bend, weights, 2.5) for x in ({}, tiny))
+        assert whole.whole is not None and block.whole is None
+        for name in ("shared", "own", "cov", "cov_across", "cov_own", "beta"):
+            assert np.allclose(getattr(block, name), getattr(whole, name), atol=1e-8), name
+        assert block.degrees(Equations(h, g, {})) == pytest.approx(whole.degrees(Equations(h, g, tiny)), rel=1e-8)
+        noise = rng.normal(size=(block.parameters(), 20_000))
+        for solution in (block, whole):
+            spread = np.cov(solution.draws(noise)[1])
+            want = solution.cov.copy()
+            want[:-1, :] += solution.cov_across[1]
+            want[:, :-1] += solution.cov_across[1].T
+            want[:-1, :-1] += solution.cov_own[1]
+            assert np.allclose(spread, want, atol=0.05 * np.abs(want).max())
+
+
+def test_very_many_categories_take_little_memory():
+    import tracemalloc
+
+    n, rng = 5000, np.random.default_rng(1)
+    root = rng.normal(size=(n, 9, 3))
+    equations = Equations(root.transpose(0, 2, 1) @ root, rng.normal(size=(n, 3)), {})
+    tracemalloc.start()
+    solution = Solution(equations, layout([f"c{i}" for i in range(n)], 3, None), None, Weights(1.0, np.ones(n)), 2.5)
+    assert solution.beta.shape == (n, 3) and tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_each_category_has_a_penalty_of_its_own(spark):
+    rng = np.random.default_rng(12)
+    year = np.repeat(np.arange(1990, 2020), 60)
+    rows = [pd.DataFrame({"model_id": "m", "year": year, "geo": g, "success": (rng.random(len(year)) < p).astype(int)})
+            for g, p in (("curved", 0.15 + 0.7 * np.exp(-(((year - 2005) / 4) ** 2))), ("flat a", np.full(len(year), 0.4)), ("flat b", np.full(len(year), 0.5)))]
+    frame, fit = list_length_model(spark.createDataFrame(pd.concat(rows)), "model_id", "success", cat_col="geo", cov_col=None, mod_type="gam", n_draws=50)
+    own = {r.cat: r.weight_own for r in fit.weights.collect()}
+    assert fit.spec.first().converged and own["curved"] < 0.1 * min(own["flat a"], own["flat b"])
 
 
 def test_spline_follows_a_curve_and_flattens_noise(spark):
@@ -217,7 +295,7 @@ def test_frame_terms_and_patterns(spark, data):
 
 def test_solver_pieces():
     shape = layout(["A", "B"], 3, None)
-    assert shape.names == ["(Intercept)", "var", "use_cov", "catB", "var:catB"] and shape.spread.shape == (6, 5)
+    assert shape.labels == ["(Intercept)", "var", "use_cov"] and [x[2] for x in shape.own_names()] == ["catB", "var:catB"]
     bend = curvature(np.linspace(0, 10, 6))
     assert np.allclose(bend, bend.T) and np.linalg.eigvalsh(bend).min() > 0
     assert np.array_equal(normals(1, "a", (3,)), normals(1, "a", (3,))) and not np.array_equal(normals(1, "a", (3,)), normals(1, "b", (3,)))
