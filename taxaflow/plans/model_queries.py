@@ -18,6 +18,8 @@ from taxaflow.plans.record_queries import listed, occurrences
 from taxaflow.plans.trends import change_since, list_length_model, model_results, occupancy_model, reporting_rate_model
 
 DRAWS = 1000
+#: Draws where every level has rows of its own.
+FEW = 200
 
 # A binary time makes the logistic model saturated, so its coefficients have a closed form.
 _SATURATED = f"""{OCC}, x AS (SELECT taxa, region, CAST(quantity > 25 AS INTEGER) AS late, success FROM occ),
@@ -65,7 +67,7 @@ def _(spark, folder):
 
 def list_length_fit(spark, folder, **options):
     data = listed(spark, folder).where("list_length is not null")
-    return list_length_model(data, "taxa", "success", cat_col="region", n_draws=DRAWS, **options)
+    return list_length_model(data, "taxa", "success", cat_col="region", **{"n_draws": DRAWS, **options})
 
 
 def judged(fit, rows, name="converged"):
@@ -168,9 +170,9 @@ def _(spark, folder):
 @query("model_results_random")
 def _(spark, folder):
     """Predictions for every nation of a region with its own effect, and for a nation not seen yet."""
-    frame, fit = list_length_fit(spark, folder, random_col="nation", rand_slope=False)
-    known = model_results(frame, fit, ref=-3, n_draws=DRAWS, include_random=True, cov_val=[3])["res"]
-    unseen = model_results(frame, fit, ref=-3, n_draws=DRAWS, new_level=True, cov_val=[3])["res"]
+    frame, fit = list_length_fit(spark, folder, random_col="nation", rand_slope=False, n_draws=FEW)
+    known = model_results(frame, fit, ref=-3, n_draws=FEW, include_random=True, cov_val=[3])["res"]
+    unseen = model_results(frame, fit, ref=-3, n_draws=FEW, new_level=True, cov_val=[3])["res"]
     return known.unionByName(unseen.withColumn("rand", F.lit("a new level")), allowMissingColumns=True)
 
 
