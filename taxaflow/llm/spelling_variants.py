@@ -49,16 +49,17 @@ LETTERS, OCCURRENCES, TIMES = 6, 5, 5
 CHANGED = 199
 #: Lengths of grams; grams of the dictionary, about, at most.
 SHORT, LONG, GRAMS = 3, 6, 50_000
-#: Longest list that a task holds as it is, and code points compared at once.
-LIST, TOGETHER = 4096, 1 << 20
+#: Longest list that a task holds as it is, pairs compared at once, and pairs of a list that are compared one by one.
+LIST, TOGETHER, FEW = 4096, 1 << 18, 48
 #: Runs counted in a task before the counts are given to Spark.
 COUNTED = 200_000
 
-RUNS = re.compile("[a-zÀ-ÿ]+")
+#: Whole runs of enough code points; shorter ones can't become words.
+RUNS = re.compile(f"[a-zÀ-ÿ]{{{LETTERS},}}")
 
 
 def runs_of(doc_id: int | None, text: bytes) -> Counter:
-    """Numbers of the lower-cased runs of a text, those changed that the rule says."""
+    """Numbers of the lower-cased runs of a text that are long enough, those changed that the rule says."""
     start = crc32(b"" if doc_id is None else str(doc_id).encode())
     start = crc32(b":", start)
     out = Counter()
@@ -195,23 +196,70 @@ def _post(model):
     return stream
 
 
-def letters(words: list[str], size: int) -> np.ndarray:
-    """Code points of words of one length, a row each."""
-    return np.array(words, f"<U{size}").view(np.uint32).reshape(len(words), size)
+def is_near(short: str, long: str) -> bool:
+    """Whether two different words, of one length or one code point apart, are near."""
+    i = next((i for i, (x, y) in enumerate(zip(short, long)) if x != y), len(short))
+    return short[i + len(short) + 1 - len(long) :] == long[i + 1 :]
+
+
+def packed(words: list[str], size: int, right: bool = False) -> np.ndarray:
+    """Words of one length as rows of 64-bit numbers, a byte for each letter (all are below 256), filled with zeros at the end (``right``: in front)."""
+    width = -(-size // 8) * 8
+    fill = bytes(width - size)
+    rows = [fill + w.encode("latin-1") if right else w.encode("latin-1") + fill for w in words]
+    return np.frombuffer(b"".join(rows), "<u8").reshape(len(words), width // 8)
+
+
+def equal_first(differ: list[np.ndarray]) -> np.ndarray:
+    """Bytes before the first one that is not zero, of numbers that follow each other."""
+    out = np.zeros(differ[0].shape, np.int64)
+    for x in reversed(differ):
+        out = np.where(x == 0, 8 + out, np.bitwise_count((x & -x) - np.uint64(1)) // 8)
+    return out
+
+
+def equal_last(differ: list[np.ndarray]) -> np.ndarray:
+    """Bytes after the last one that is not zero."""
+    out = np.zeros(differ[0].shape, np.int64)
+    for x in differ:
+        seen = x.copy()
+        for shift in (1, 2, 4, 8, 16, 32):
+            seen |= seen >> np.uint64(shift)
+        out = np.where(x == 0, 8 + out, (64 - np.bitwise_count(seen).astype(np.int64)) // 8)
+    return out
+
+
+def unequal(differ: list[np.ndarray]) -> np.ndarray:
+    """Bytes that are not zero."""
+    out = np.zeros(differ[0].shape, np.int64)
+    for x in differ:
+        seen = x | x >> np.uint64(4)
+        seen |= seen >> np.uint64(2)
+        seen |= seen >> np.uint64(1)
+        out += np.bitwise_count(seen & np.uint64(0x0101010101010101))
+    return out
 
 
 def near_pairs(short: list[str], long: list[str]) -> Iterator[tuple[int, int]]:
     """Index pairs of different words that are near: those of one list, or a shorter and a longer one."""
     same = short is long
-    m, n = len(short[0]), len(long[0])
-    x, y = letters(short, m), letters(long, n)
-    step = max(1, int((TOGETHER / n) ** 0.5))
+    if len(short) * len(long) <= FEW:
+        yield from ((i, j) for i, a in enumerate(short) for j, b in enumerate(long) if (i < j or not same) and is_near(a, b))
+        return
+    size = len(short[0])
+    # a shorter word against the longer one without its last letter, and without its first
+    x, y = packed(short, size), packed(long if same else [w[:-1] for w in long], size)
+    if not same:
+        back, other = packed(short, size, True), packed([w[1:] for w in long], size, True)
+    words, step = range(x.shape[1]), max(1, int((TOGETHER / x.shape[1]) ** 0.5))
     for i in range(0, len(x), step):
         for j in range(i if same else 0, len(y), step):
-            a, b = x[i : i + step, None], y[None, j : j + step]
-            left = np.minimum.accumulate(a == b[:, :, :m], axis=2).sum(axis=2)
-            right = np.minimum.accumulate((a == b[:, :, n - m :])[:, :, ::-1], axis=2).sum(axis=2)
-            for p, q in zip(*np.nonzero(left + right >= n - 1)):
+            block = lambda a, b: [a[i : i + step, None, w] ^ b[None, j : j + step, w] for w in words]  # noqa: B023, E731
+            if same:
+                near = unequal(block(x, y)) == 1
+            else:
+                near = np.minimum(equal_first(block(x, y)), size) + np.minimum(equal_last(block(back, other)), size) >= size
+            for p, q in zip(*np.nonzero(near)):
                 if not same or i + p < j + q:
                     yield i + int(p), j + int(q)
 

@@ -102,3 +102,16 @@ def test_near_words_share_the_grams_that_an_edit_cannot_affect():
                 assert shared >= least, (word, other, often)
                 assert any(g == h and abs(p - q) <= 1 for g, p in keys for h, q in grams.keys(other)), (word, other, often)
     assert kept_some
+
+
+def test_near_pairs_of_all_lengths(monkeypatch):
+    rng = random.Random(9)
+    for few in (0, 10**9):
+        monkeypatch.setattr(sv, "FEW", few)
+        for size in (6, 7, 8, 9, 15, 16, 17, 30):
+            base = "".join(rng.choice("abÿ") for _ in range(size))
+            around = sorted(set(edits(base, "abc")) | {base} | {"".join(rng.choice("abÿ") for _ in range(size)) for _ in range(9)})
+            own, longer = [w for w in around if len(w) == size], [w for w in around if len(w) == size + 1]
+            near = lambda a, b: b in set(edits(a, "abcÿ"))
+            assert sorted(sv.near_pairs(own, own)) == [(i, j) for i, a in enumerate(own) for j, b in enumerate(own) if i < j and near(a, b)]
+            assert sorted(sv.near_pairs(own, longer)) == [(i, j) for i, a in enumerate(own) for j, b in enumerate(longer) if near(a, b)]
