@@ -50,8 +50,8 @@ from taxaflow.llm.components import components
 from taxaflow.session import discard, durable
 
 WIDTH = 5
-#: Members of a tile on either side.
-BLOCK, SLICE = 1024, 1 << 16
+#: Members of a tile on either side, and pairs of a tile that are compared one by one.
+BLOCK, SLICE, FEW = 1024, 1 << 16, 64
 #: Candidates of a member in each other component in the first round of tiles, and the factor from round to round.
 FIRST, MORE = 1, 8
 #: Ratio of the sizes of a band.
@@ -134,12 +134,22 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.counts[at], 0)
 
+    def first(self, keys: np.ndarray, n: int) -> np.ndarray:
+        """The first ``n`` keys in the order of their numbers, and of themselves where these are equal."""
+        if len(keys) <= n:
+            return keys
+        counts = self(keys)
+        rare = keys[counts == 0]
+        if len(rare) > n:
+            return np.partition(rare, n - 1)[:n]
+        return keys[np.lexsort((keys, counts))[:n]]
+
 
 def keys_of(elements: np.ndarray, frequent: Frequent) -> np.ndarray:
     """The first keys of a set in each of its bands, rare ones before frequent ones."""
     out = []
     for keys, differ, salt in parts(elements):
-        out.append(keys[np.lexsort((keys, frequent(keys)))[: differ + 1]])
+        out.append(frequent.first(keys, differ + 1))
         if len(keys) <= differ:
             prefix = elements[: len(elements) - ceil(0.8 * len(elements)) + 1]
             out.append(mixed(mixed(prefix) ^ salt) >> np.uint64(16))
@@ -163,6 +173,17 @@ def folded(words: np.ndarray, n: int) -> np.ndarray:
     return words
 
 
+def bits_between(one: bytes, other: bytes) -> int:
+    """Bits that differ between two signatures, the longer one brought to the length of the other."""
+    if len(one) < len(other):
+        one, other = other, one
+    x, size = int.from_bytes(one, "little"), 8 * len(one)
+    while size > 8 * len(other):
+        size //= 2
+        x = (x >> size) ^ (x & (1 << size) - 1)
+    return (x ^ int.from_bytes(other, "little")).bit_count()
+
+
 class Signatures:
     """Sizes and bitmaps of sets, by length of the bitmap."""
 
@@ -265,6 +286,18 @@ def _tiles(quota: int):
     """Rows of tiles (key, block, slice; probes first, which may be targets as well) to candidate pairs (a, b, more)."""
 
     def candidates(probes: list, targets: list) -> Iterator[tuple[int, int, bool]]:
+        if len(probes) * len(targets) <= FEW:
+            for node, n, bitmap, label in probes:
+                near = {}
+                for other, m, its, its_label in targets:
+                    if its_label != label and 4 * m <= 5 * n and 4 * n <= 5 * m:
+                        differ = bits_between(bitmap, its)
+                        if (n + m - differ) // 2 >= -(-4 * (n + m) // 9):
+                            near.setdefault(its_label, []).append((differ, other))
+                for found in near.values():
+                    for _, other in sorted(found)[:quota]:
+                        yield node, other, len(found) > quota
+            return
         nodes, sizes, bitmaps, labels = zip(*targets)
         nodes, labels, others = np.array(nodes, np.int64), np.array(labels, np.int64), Signatures(sizes, bitmaps)
         for node, n, bitmap, label in probes:
@@ -330,7 +363,8 @@ def _reaches(one: pa.Array, other: pa.Array) -> pa.Array:
 
 def _bounded(n: pa.Array, bitmap: pa.Array, m: pa.Array, other: pa.Array) -> pa.Array:
     rows = zip(n.to_pylist(), bitmap.to_pylist(), m.to_pylist(), other.to_pylist())
-    return pa.array([len(Signatures([y], [b]).bits(x, a)[0]) > 0 for x, a, y, b in rows], pa.bool_())
+    fits = lambda x, a, y, b: 4 * x <= 5 * y and 4 * y <= 5 * x and (x + y - bits_between(a, b)) // 2 >= -(-4 * (x + y) // 9)
+    return pa.array([fits(*row) for row in rows], pa.bool_())
 
 
 def _sets(width: int):

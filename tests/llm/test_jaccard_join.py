@@ -103,7 +103,12 @@ def test_linked_sets_share_a_key_and_pass_their_bitmaps():
         known = np.concatenate([k for k, _, _ in jac.parts(x)])[::2]
         frequent = jac.Frequent(known, np.full(len(known), 9))
         assert len(np.intersect1d(jac.keys_of(x, frequent), jac.keys_of(y, frequent)))
-        assert len(jac.Signatures([len(y)], [jac.signature(y)]).bits(len(x), jac.signature(x))[0]) == 1
+        hits, differ = jac.Signatures([len(y)], [jac.signature(y)]).bits(len(x), jac.signature(x))
+        assert len(hits) == 1 and differ[0] == jac.bits_between(jac.signature(x), jac.signature(y))
+        keys = np.unique(known) >> np.uint64(3)
+        for n in (1, 3, len(keys) // 2 + 1):
+            want = keys[np.lexsort((keys, frequent(keys)))[:n]]
+            assert set(frequent.first(keys, n)) == set(want)
         assert jac.overlap_reaches(x.tobytes(), y.tobytes())
 
 
