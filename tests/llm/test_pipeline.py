@@ -23,4 +23,4 @@ def test_stages_take_an_empty_table(spark, folder, empty):
 
 def test_entry_lists_all_operators():
     names = list(entry.queries())
-    assert all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 14)) and "pipeline" in names
