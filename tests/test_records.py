@@ -1,7 +1,9 @@
 """Semantics of list lengths, filters, rates and detection on hand-made records."""
 
 import math
+from decimal import Decimal
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pytest
@@ -230,7 +232,7 @@ def test_cooccurrence_against_full_enumeration(spark, monkeypatch):
     rows = [(t, f"s{s}", 2000) for t, sites in found.items() for s in sites] * 2
     df = spark.createDataFrame(rows, "taxa string, place string, year int")
     n = len(set().union(*found.values()))
-    for block, slab in ((512, 2048), (2, 4)):
+    for block in (512, 2):
         monkeypatch.setattr(C, "BLOCK", block)
         monkeypatch.setattr(C, "TASK_ROWS", 10)
         out = C.cooccur_test(df, "taxa", ["place", "year"], thresh=False).collect()
@@ -242,14 +244,55 @@ def test_cooccurrence_against_full_enumeration(spark, monkeypatch):
             assert r.p_lt == pytest.approx(le, abs=1e-12) and r.p_gt == pytest.approx(ge, abs=1e-12)
 
 
-def test_block_product_slabs():
+def test_shared_bits_equal_a_matrix_product():
     rng = np.random.default_rng(0)
-    x = rng.random((5000, 12)) < 0.3
-    site, rank = np.nonzero(x)
-    mix = rng.permutation(len(site))
-    a, b, count = C.block_product(site[mix], rank[mix], np.zeros(len(site), int), 0, 0)
-    want = x.astype(int).T @ x.astype(int)
-    assert all(want[i, j] == c for i, j, c in zip(a, b, count)) and len(a) == 66
+    x, y = rng.random((12, 5000)) < 0.3, rng.random((9, 5000)) < 0.001
+    y[4] = False
+    y[5, 4999] = True
+    rows = lambda m: [np.flatnonzero(line) for line in m if line.any()]
+    for left, right in ((x, x), (x, y), (y, x), (y, y)):
+        want = left[left.any(axis=1)].astype(int) @ right[right.any(axis=1)].astype(int).T
+        a, b, count = C.shared_bits(rows(left), rows(right))
+        assert len(a) == (want > 0).sum() and (want[a, b] == count).all()
+    assert len(C.shared_bits([], rows(x))[0]) == 0
+
+
+def test_extreme_tails_keep_their_digits(spark):
+    rows = [
+        (100_000, 30_000, 20_000, 12_000), (100_000, 30_000, 20_000, 1_000), (2_000, 900, 900, 900), (2_000, 900, 900, 0),
+        (50, 50, 20, 20), (50, 1, 1, 0), (50, 1, 1, 1), (1, 1, 1, 1), (40, 30, 30, 20), (1_000_000, 2_000, 3_000, 6),
+    ]
+    got = C.add_tail_probabilities(spark.createDataFrame(rows, "all_sites long, sites_a long, sites_b long, observed long")).collect()
+    for r in got:
+        big, a, b, x = r.all_sites, r.sites_a, r.sites_b, r.observed
+        low, high = max(0, a + b - big), min(a, b)
+        # Exact whole numbers, as far from the observed count as they matter.
+        term = comb(a, x) * comb(big - a, b - x)
+        up, w = term, term
+        for j in range(x, high):
+            w = w * (a - j) * (b - j) // ((j + 1) * (big - a - b + j + 1))
+            up += w
+            if w * 10**25 < up:
+                break
+        down, w = term, term
+        for j in range(x, low, -1):
+            w = w * j * (big - a - b + j) // ((a - j + 1) * (b - j + 1))
+            down += w
+            if w * 10**25 < down:
+                break
+        small, total = min(up, down), comb(big, b)
+        want = Decimal(small) / Decimal(total)
+        have = Decimal(r.p_gt if up <= down else r.p_lt)
+        if want > Decimal("1e-300"):
+            assert abs(have / want - 1) < Decimal("1e-9"), (r, want)
+        assert max(r.p_lt, r.p_gt) == pytest.approx(1 if want < 1e-12 else float(1 - want + Decimal(term) / Decimal(total)), abs=1e-11)
+
+
+def test_cooccurrence_never_meets_in_one_partition(spark):
+    df = spark.createDataFrame([("a", "s1"), ("b", "s1"), ("c", "s2"), (None, "s2")], "taxa string, place string")
+    out = C.cooccur_test(df, "taxa", ["place"], thresh=False)
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.taxon_a, r.taxon_b): r.observed for r in out.collect() if r.observed} == {("a", "b"): 1, (None, "c"): 1}
 
 
 def test_cooccurrence_threshold_drops_rare_pairs_only(spark):
