@@ -15,7 +15,7 @@ from taxaflow.functions.text import declining_text, interval_text, lower_text, p
 from taxaflow.operators import cooccur as C
 from taxaflow.operators.detection import detection_history, number_visits, slices_of, visits_wide
 from taxaflow.operators.lists import add_list_length
-from taxaflow.operators.occupancy import occupancy_fit
+from taxaflow.operators.occupancy import estimate, occupancy_fit
 from taxaflow.operators.quantiles import group_quantiles
 from taxaflow.operators.reporting import latest_time, reporting_rate
 from taxaflow.operators.sufficiency import filter_list_df, filter_reasons
@@ -220,6 +220,46 @@ def test_occupancy_is_the_likelihood_maximum(spark):
         assert r.occ == pytest.approx(grid[i], abs=2e-3) and r.det == pytest.approx(grid[j], abs=2e-3)
 
 
+def log_likelihood(cell, psi, p):
+    seen = cell["detected"] * np.log(psi) + cell["detections"] * np.log(p)
+    gone = cell["detected_visits"] - cell["detections"]
+    seen += gone * np.log1p(-p) if gone else 0
+    return seen + sum(c * np.log1p(-psi * (1 - (1 - p) ** n)) for n, c in cell["missed"])
+
+
+def test_profile_steps_reach_the_maximum_everywhere(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        visits = rng.integers(2, 9, size=rng.integers(3, 80))
+        psi, p = rng.choice([0.02, 0.3, 0.9, 1.0]), rng.choice([0.003, 0.05, 0.4, 0.97, 1.0])
+        found = [(int(n), int(rng.binomial(n, p)) if rng.random() < psi else 0) for n in visits]
+        rows.append(cell(i, found))
+    rows.append(cell(60, [(500, 1)] + [(500, 0)] * 4000))  # detections are rare: p near 0
+    rows.append(cell(61, [(4, 4)] * 5 + [(1, 0)] * 100))  # no miss at a detected site
+    rows.append(cell(62, [(3, 1), (2, 1)]))  # no undetected site
+    schema = "id int, n_sites long, detected long, detected_visits long, detections long, visits long, most_visits long, missed array<struct<n:double,c:double>>"
+    for r in estimate(spark.createDataFrame(rows, schema)).collect():
+        if r.detections == 0:
+            continue
+        assert (r.status, r.converged) == ("ok", True), r
+        c = r.asDict()
+        best = log_likelihood(c, r.psi, r.p) if r.p < 1 or c["detected_visits"] == c["detections"] else -np.inf
+        for dpsi in (0.9, 0.999, 1, 1.001, 1.1):
+            for dp in (0.9, 0.999, 1, 1.001, 1.1):
+                psi, p = min(r.psi * dpsi, 1.0), r.p * dp
+                if p < 1:
+                    assert log_likelihood(c, psi, p) <= best + 1e-9 * (1 + abs(best)), (r, dpsi, dp)
+
+
+def cell(i, found):
+    """Sufficient counts of a cell from ``(visits, detections)`` of its sites."""
+    hit, lost = [f for f in found if f[1]], [n for n, d in found if not d]
+    missed = [(float(n), float(lost.count(n))) for n in sorted(set(lost))]
+    visits = [n for n, _ in found]
+    return i, len(found), len(hit), sum(n for n, _ in hit), sum(d for _, d in hit), sum(visits), max(visits), missed
+
+
 def hypergeometric(n, a, b, obs):
     pmf = {j: math.comb(a, j) * math.comb(n - a, b - j) / math.comb(n, b) for j in range(max(0, a + b - n), min(a, b) + 1)}
     return sum(v for j, v in pmf.items() if j <= obs), sum(v for j, v in pmf.items() if j >= obs), pmf.get(obs, 0)
