@@ -15,6 +15,7 @@ columns need no rule.
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 from os.path import commonprefix
 
@@ -24,22 +25,18 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import Memo, claim, lists, ragged, remembers
+from taxaflow.llm.common import Memo, Recent, claim, lists, ragged, remembers
 
 #: Determinised states kept by a worker; beyond, they are made anew when reached.
 STATES = 150_000
+#: Pieces remembered by a worker.
+PIECES = 300_000
 #: A rank above all others.
 NEVER = 1 << 30
-
-
-class State:
-    """Hypotheses (last token, trie node, owed tokens), arcs by byte, and what is owed at the end."""
-
-    __slots__ = ("hypotheses", "arcs", "owed")
-
-    def __init__(self, hypotheses: tuple):
-        self.hypotheses, self.arcs = hypotheses, {}
-        self.owed = next((owed for _, node, owed in hypotheses if node == 0), ())
+#: Chain of a hypothesis without any token.
+NOTHING = -1
+#: Keys of a number and a byte: odd and over 255, so that they differ, and in their low bits too.
+SPREAD = 257
 
 
 class Transducer:
@@ -48,26 +45,54 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], most: int = STATES):
         self.ranks, self.most = ranks, most
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
+        self.below: dict[int, int] = {}  # place * SPREAD + byte to place
         self.ends: list[int] = [-1]
         for token, rank in ranks.items():
-            node = 0
+            place = 0
             for byte in token:
-                below = self.children[node].get(byte)
-                if below is None:
-                    below = self.children[node][byte] = len(self.children)
-                    self.children.append({})
+                place = self.below.setdefault(place * SPREAD + byte, len(self.ends))
+                if place == len(self.ends):
                     self.ends.append(-1)
-                node = below
-            self.ends[node] = rank
+            self.ends[place] = rank
+        self.inner = bytearray(len(self.ends))
+        for arc in self.below:
+            self.inner[arc // SPREAD] = 1
         self.own = Memo(lambda rank: self.merged(self.tokens[rank]) == [rank], 1 << 20)
         self.edges = Memo(self._edges, 1 << 18)
         self.pairs = Memo(self._apart, 1 << 18)
+        self.steps = Memo(self._step, 1 << 18)
+        self.shapes: dict[tuple, int] = {}
+        self.places: list[tuple] = []
         self.forget()
 
     def forget(self) -> None:
-        self.states: dict[tuple, State] = {}
-        self.start = self._state(((-1, 0, ()),))
+        """Drop all states; they are made anew when reached.  Shapes stay: the bytes of the longest open token tell them, so the trie bounds them."""
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.arcs: dict[int, int] = {}  # state * SPREAD + byte to the next state, or to the complement of a place in ``emitted``
+        self.emitted: list[tuple[int, tuple]] = []
+        self._state(self._shape((0,)), ((NOTHING,),))
+
+    def _shape(self, places: tuple) -> int:
+        number = self.shapes.setdefault(places, len(self.places))
+        if number == len(self.places):
+            self.places.append(places)
+        return number
+
+    def _step(self, key: int) -> tuple[tuple, tuple, int]:
+        """What a byte does to all hypotheses of a shape: those that go on, those that end a token with its rank, and the next shape."""
+        shape, byte = divmod(key, SPREAD)
+        stay, ended, places = [], [], []
+        for i, place in enumerate(self.places[shape]):
+            below = self.below.get(place * SPREAD + byte)
+            if below is None:
+                continue
+            if self.inner[below]:
+                stay.append(i)
+                places.append(below)
+            if self.ends[below] >= 0:
+                ended.append((i, self.ends[below]))
+        return tuple(stay), tuple(ended), self._shape((*places, 0))
 
     def _edges(self, rank: int) -> tuple[list, list]:
         """The growing first part and last part of a token while it is merged, each with the rank at which it grows next."""
@@ -107,44 +132,58 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _state(self, hypotheses: tuple) -> State:
-        state = self.states.get(hypotheses)
-        if state is None:
-            state = self.states[hypotheses] = State(hypotheses)
-        return state
-
-    def _arc(self, state: State, byte: int) -> tuple[State, tuple]:
-        reached, boundary = [], None
-        for last, node, owed in state.hypotheses:
-            below = self.children[node].get(byte)
-            if below is None:
-                continue
-            if self.children[below]:
-                reached.append((last, below, owed))
-            rank = self.ends[below]
-            if boundary is None and rank >= 0 and (self.own[rank] if last < 0 else self.pairs[last, rank]):
-                boundary = (rank, 0, (*owed, rank))
-        reached.append(boundary)
-        first = boundary[2]
-        shared = len(first) if len(reached) == 1 else len(commonprefix(owed)) if all(owed := [x[2] for x in reached]) else 0
-        arc = state.arcs[byte] = self._state(tuple((last, node, owed[shared:]) for last, node, owed in reached)), first[:shared]
+    def _state(self, shape: int, chains: tuple) -> int:
+        """Number of a state: a place in the trie and a chain, the tokens it owes, for each hypothesis.
+
+        A hypothesis that owes nothing has the chain of ``NOTHING`` less the last
+        token, or of ``NOTHING`` alone at the start.  The last hypothesis is the one
+        whose last token has just ended.
+        """
+        number = self.numbers.setdefault((shape, chains), len(self.states))
+        if number == len(self.states):
+            self.states.append((shape, chains))
+        return number
+
+    def _arc(self, state: int, byte: int) -> int:
+        shape, chains = self.states[state]
+        stay, ended, shape = self.steps[shape * SPREAD + byte]
+        for i, rank in ended:
+            last = chains[i][-1]
+            if self.own[rank] if last == NOTHING else self.pairs[last if last >= 0 else NOTHING - 1 - last, rank]:
+                break
+        reached = [chains[j] for j in stay]
+        reached.append((*chains[i], rank) if last >= 0 else (rank,))
+        first = reached[-1][0]
+        sure = len(commonprefix(reached)) if all([x[0] == first for x in reached]) else 0  # tokens that all chains begin with
+        if not sure:
+            arc = self._state(shape, tuple(reached))
+        else:
+            emitted, free = reached[0][:sure], (NOTHING - 1 - reached[0][sure - 1],)
+            arc = ~len(self.emitted)
+            self.emitted.append((self._state(shape, tuple([x[sure:] or free for x in reached])), emitted))
+        self.arcs[state * SPREAD + byte] = arc
         return arc
 
     def run(self, piece: bytes) -> list[int]:
         """Ranks of a piece of any length, byte by byte."""
         if len(self.states) > self.most:
             self.forget()
-        state, out = self.start, []
+        state, out, arcs = 0, [], self.arcs
         for byte in piece:
-            arc = state.arcs.get(byte)
+            arc = arcs.get(state * SPREAD + byte)
             if arc is None:
-                arc = self._arc(state, byte)
                 if len(self.states) > 2 * self.most:  # within one long piece: the present state goes on
+                    present = self.states[state]
                     self.forget()
-            state, emitted = arc
-            if emitted:
+                    state, arcs = self._state(*present), self.arcs
+                arc = self._arc(state, byte)
+            if arc < 0:
+                state, emitted = self.emitted[~arc]
                 out += emitted
-        return [*out, *state.owed]
+            else:
+                state = arc
+        owed = self.states[state][1][-1]
+        return [*out, *owed] if owed[0] >= 0 else out
 
 
 class Utf8Machine:
@@ -202,17 +241,17 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(self.ranks)
-        self.pieces = Memo(self._piece, 300_000)
+        self.pieces = Recent(self._piece, PIECES)
         self.bytes_of = self.transducer.tokens
 
     def _piece(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.ranks.get(data)  # a piece that is a token needs no merges
-        return np.array([whole] if whole is not None else self.transducer.run(data), "<i4").tobytes()
+        return array("i", [whole] if whole is not None else self.transducer.run(data)).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        return b"".join([self.pieces[x] for x in self.split(text)])
+        """Ids as 32-bit integers."""
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids, fed to the UTF-8 machine in blocks as a stream would."""
@@ -234,7 +273,7 @@ def _encoded(texts: pa.Array, path: str, pattern: str) -> tuple[np.ndarray, np.n
     claim("bpe")
     encode = codec(path, pattern).encode
     parts = [encode(x) if x else b"" for x in texts.to_pylist()]
-    return np.frombuffer(b"".join(parts), "<i4"), np.array([len(x) // 4 for x in parts], np.int64)
+    return np.frombuffer(b"".join(parts), "i4"), np.array([len(x) // 4 for x in parts], np.int64)
 
 
 def _decoded(ids: pa.ListArray, path: str, pattern: str) -> pa.Array:

@@ -102,3 +102,21 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+class Recent(Memo):
+    """A memo that, when half of ``most`` are new, keeps them and forgets the ones before that were not asked for since."""
+
+    def __init__(self, make, most: int = 400_000):
+        super().__init__(make, most)
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        if 2 * len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
