@@ -15,6 +15,7 @@ columns need no rule.
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
 from functools import lru_cache
 from os.path import commonprefix
@@ -33,6 +34,8 @@ STATES = 150_000
 PIECES = 300_000
 #: A rank above all others.
 NEVER = 1 << 30
+#: New objects of a worker between two searches for cycles.
+SELDOM = 200_000
 #: Chain of a hypothesis without any token.
 NOTHING = -1
 #: Keys of a number and a byte: odd and over 255, so that they differ, and in their low bits too.
@@ -263,6 +266,7 @@ class Codec:
 
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
+    gc.set_threshold(SELDOM)  # its many small tuples hold no cycles, and looking for some took about an eighth of the time
     return Codec(path, pattern)
 
 
