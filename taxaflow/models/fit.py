@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from taxaflow.functions.keys import attach, join_same
 from taxaflow.functions.links import inverse_link
 from taxaflow.models.design import NO_CAT, build_design, dot, width, with_features
-from taxaflow.models.solve import Solution, Weights, curvature, gather, layout, nearest_covariance, normals, solve_with_weights
+from taxaflow.models.solve import Solution, Weights, curvature, gather, layout, nearest_covariance, next_pace, normals, solve_with_weights
 from taxaflow.session import discard, durable
 
 LINKS = {"binomial": "logit", "gaussian": "identity", "beta": "logit"}
@@ -157,14 +157,14 @@ def _eliminate(stats: DataFrame, sigma: DataFrame, by: str, q: int, t: int) -> D
     )
 
 
-STATE = "cat string, beta array<double>, phi double, weight_all double, weight_own double, weights_settled boolean, delta double, message string"
+STATE = "cat string, beta array<double>, phi double, weight_all double, weight_own double, weights_settled boolean, delta double, pace double, step array<double>, step_phi double, message string"
 
 
 def _with_state(equations: DataFrame, info: DataFrame, state: DataFrame | None, by: str) -> DataFrame:
     rows = join_same(equations, info, [by], "inner")
     if state is None:
         return rows
-    kept = [F.col("cat").alias("cat_a"), F.col("beta").alias("old"), "weight_all", "weight_own", "weights_settled", "phi", F.col("message").alias("before")]
+    kept = [F.col("cat").alias("cat_a"), F.col("beta").alias("old"), "weight_all", "weight_own", "weights_settled", "phi", "pace", "step", "step_phi", F.col("message").alias("before")]
     return join_same(rows, state.select(by, *kept), [by, "cat_a"], "inner")
 
 
@@ -177,7 +177,8 @@ def _solve_models(equations: DataFrame, design: DataFrame, state: DataFrame | No
         fitted = solve_group(pdf, cats, q, k, family, prior_scale, True)
         out = pd.DataFrame(
             {"cat": cats, "beta": list(fitted["beta"]), "phi": fitted["phi"], "weight_all": fitted["weights"].shared,
-             "weight_own": fitted["weights"].own, "weights_settled": fitted["settled"], "delta": fitted["delta"], "message": fitted["message"]}
+             "weight_own": fitted["weights"].own, "weights_settled": fitted["settled"], "delta": fitted["delta"], "pace": fitted["pace"],
+             "step": fitted["step"], "step_phi": fitted["step_phi"], "message": fitted["message"]}
         )
         out.insert(0, by, pdf[by].iloc[0])
         return out
@@ -188,11 +189,14 @@ def _solve_models(equations: DataFrame, design: DataFrame, state: DataFrame | No
 def solve_group(pdf: pd.DataFrame, cats: list[str], q: int, k: int | None, family: str, prior_scale, update: bool) -> dict:
     """Solve one model; a failure becomes a message, and the model stays at its last good state.
 
-    Without ``update`` the penalty weights stay as they are.
+    Without ``update`` the penalty weights stay as they are.  ``delta`` is the length of
+    the whole step; with a Beta response, whose dispersion moves with the curve, only a
+    share of it is taken, so that rounds don't swing between two states.
     """
     n = len(cats)
     bend = None if k is None else curvature(np.asarray(pdf["knots"].iloc[0], float))
-    out = {"beta": np.zeros((n, q)), "phi": 1.0, "weights": Weights(1.0, np.ones(n)), "settled": k is None, "delta": 0.0, "message": None}
+    out = {"beta": np.zeros((n, q)), "phi": 1.0, "weights": Weights(1.0, np.ones(n)), "settled": k is None, "delta": 0.0, "message": None,
+           "pace": 1.0, "step": None, "step_phi": None}
     before = None
     if "old" in pdf:
         own = pdf[pdf["cat_a"] == pdf["cat_b"]].set_index("cat_a").loc[cats]
@@ -212,6 +216,13 @@ def solve_group(pdf: pd.DataFrame, cats: list[str], q: int, k: int | None, famil
         delta = 1.0 if before is None else max(equations.length(beta - before), abs(phi - out["phi"]) / phi)
         if not (np.isfinite(delta) and np.isfinite(beta).all()):
             raise ValueError("estimates are not finite")
+        if family == "beta" and update and before is not None:
+            step, pace = (beta - before, float(np.log(phi / out["phi"]))), float(first["pace"])
+            if first["step"] is not None:
+                last = np.array(list(own["step"]), float), float(first["step_phi"])
+                pace = next_pace(pace, step, last, equations, float(pdf["n_data"].iloc[0]))
+            beta, phi = before + pace * step[0], out["phi"] * float(np.exp(pace * step[1]))
+            out.update(pace=pace, step=list(step[0]), step_phi=step[1])
         out.update(solution=solution, beta=beta, phi=phi, weights=weights, settled=settled if update else out["settled"], delta=delta)
     except (np.linalg.LinAlgError, ValueError, FloatingPointError) as error:
         out["message"] = str(error)

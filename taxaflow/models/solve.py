@@ -13,6 +13,8 @@ LOOSE = 1e-12
 WEIGHTS, UPDATES, SETTLED = (1e-3, 1e8), 40, 1e-3
 #: Power of an update: a plain one goes part of the way, from the same side each time, so a power under two gets there sooner.
 EAGER = 1.7
+#: Bounds of the share of a step that is taken where the dispersion is estimated along with a curved response.
+PACES = (0.05, 2.0)
 
 
 @dataclass(frozen=True)
@@ -81,10 +83,13 @@ class Equations:
     g: np.ndarray
     between: dict[tuple[int, int], np.ndarray]
 
+    def inner(self, one: np.ndarray, two: np.ndarray) -> float:
+        """Product of two steps of the coefficients (category x q), in squared standard errors."""
+        return float(np.einsum("ci,cij,cj->", one, self.h, two) + sum(one[a] @ block @ two[b] for (a, b), block in self.between.items()))
+
     def length(self, step: np.ndarray) -> float:
-        """Size of a step of the coefficients (category x q) in standard errors."""
-        total = np.einsum("ci,cij,cj->", step, self.h, step) + sum(step[a] @ block @ step[b] for (a, b), block in self.between.items())
-        return float(np.sqrt(max(total, 0.0)))
+        """Size of a step of the coefficients in standard errors."""
+        return float(np.sqrt(max(self.inner(step, step), 0.0)))
 
 
 def gather(cats: list[str], q: int, rows) -> Equations:
@@ -246,6 +251,17 @@ def solve_with_weights(equations: Equations, shape: Layout, bend: np.ndarray | N
     return solution, weights, False
 
 
+def next_pace(pace: float, step: tuple[np.ndarray, float], last: tuple[np.ndarray, float], equations: Equations, n_data: float) -> float:
+    """Share of a step to take, given the step before; steps are of the coefficients and of the log dispersion.
+
+    Steps that turn back jump over their aim: half the share ends that.  Steps that go
+    on in one direction fall short of it and get a larger share.
+    """
+    product = lambda a, b: equations.inner(a[0], b[0]) + n_data / 2 * a[1] * b[1]
+    cosine = product(step, last) / max(np.sqrt(max(product(step, step) * product(last, last), 0.0)), 1e-300)
+    return float(np.clip(pace * (0.5 if cosine < -0.2 else 1.3 if cosine > 0.3 else 1.0), *PACES))
+
+
 def nearest_covariance(wanted: np.ndarray, information: np.ndarray) -> np.ndarray:
     """The covariance (s00, s01, s11) closest to ``wanted`` in the metric of ``information``; ``wanted`` itself if it is one."""
     if wanted[0] >= 0 and wanted[2] >= 0 and wanted[0] * wanted[2] >= wanted[1] ** 2:

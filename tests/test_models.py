@@ -337,3 +337,17 @@ def test_a_single_level_is_no_random_term(spark):
     spec = {r.model_id: r for r in fit.spec.collect()}
     assert spec["one"].n_level_effects == 0 and spec["one"].sigma == [0.0] and spec["m0"].n_level_effects > 1
     assert max(abs(r.b[0]) for r in fit.levels.where("model_id = 'one'").collect()) < 1e-6
+
+
+def test_pace_falls_where_steps_turn_back_and_grows_where_they_go_on():
+    from taxaflow.models.solve import PACES, Equations, next_pace
+
+    equations = Equations(np.array([[[2.0, 0.5], [0.5, 1.0]]]), np.zeros((1, 2)), {})
+    step = np.array([[1.0, -0.5]]), 0.2
+    back = -step[0], -step[1]
+    aside = np.array([[0.0, 0.0]]), 0.0
+    assert next_pace(1.0, step, back, equations, 9) == 0.5
+    assert next_pace(1.0, step, step, equations, 9) == 1.3
+    assert next_pace(1.0, step, aside, equations, 9) == 1.0
+    assert next_pace(PACES[0], step, back, equations, 9) == PACES[0]
+    assert next_pace(PACES[1], step, step, equations, 9) == PACES[1]
