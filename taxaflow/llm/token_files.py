@@ -64,7 +64,7 @@ class WordEncoder:
             stem = word.rstrip(CLOSING)
             if stem and len(stem) < len(word) and unicodedata.normalize("NFC", stem.decode()[-1]).lower()[-1].isalpha():
                 apart[word] = stem, word[len(stem) :]
-        own = list((new - apart.keys()).union(*apart.values()) - self.known.keys())
+        own = list(new.difference(apart).union(*apart.values()).difference(self.known))
         for i in range(0, len(own), 4096):
             part = own[i : i + 4096]
             for word, coded in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
@@ -76,7 +76,7 @@ class WordEncoder:
         """Ids of each text and the end id, as little-endian integers."""
         split = [x.lower().split() for x in texts]
         own = set().union(*split)
-        new = own - self.known.keys()
+        new = own.difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known = {word: self.known[word] for word in own - new}  # the present words are the likeliest to come back
         self._learn(new)
