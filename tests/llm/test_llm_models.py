@@ -237,3 +237,37 @@ def test_candidates_hold_what_verification_accepts():
                 got += any(sure(a - (b - a) // 4, b + (b - a) // 4) for _, a, b in decontaminate.candidates(codes, sizes, items))
         print(changed, wanted, got)
         assert wanted >= 70 and got >= 0.95 * wanted
+
+
+def test_latent_space_is_whitened_over_all_blocks(spark):
+    """With fewer distinct words than dimensions the decomposition is exact, so a block left out of it shows in the covariance."""
+    word = lambda j: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(j)), F.lit(110)))
+    docs = spark.range(70_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *map(word, range(4))).alias("text"))
+    space = decontaminate.latent_space(decontaminate.encoded(docs))
+    codes, sizes = decontaminate.coded([r.text.encode() for r in docs.collect()])
+    pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * decontaminate.BUCKETS + codes % decontaminate.BUCKETS)
+    block, bucket = pairs // decontaminate.BUCKETS, pairs % decontaminate.BUCKETS
+    weight = np.log((1 + len(sizes)) / (1 + np.bincount(bucket, minlength=decontaminate.BUCKETS)))
+    length = np.sqrt(np.bincount(block, weight[bucket] ** 2))
+    places = np.stack([np.bincount(block, column[bucket]) / length for column in space.T.astype(float)], axis=1)
+    covariance = places.T @ places
+    assert np.allclose(covariance / covariance[0, 0], np.eye(len(covariance)), atol=2e-3)
+
+
+def test_window_sums_and_word_bound_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    space = rng.standard_normal((decontaminate.BUCKETS, 16)).astype(np.float32)
+    items = decontaminate.items_of([(i, " ".join(f"w{x}" for x in rng.integers(0, 40, n))) for i, n in enumerate((9, 14, 30, 57, 230))], space)
+    codes, sizes = decontaminate.coded([" ".join(f"w{x}" for x in rng.integers(0, 40, n)).encode() for n in (700, 5, 0, 61)])
+    got, want, passed = set(decontaminate.candidates(codes, sizes, items)), set(), 0
+    for length, (numbers, vectors) in items.vectors.items():
+        for a, b in zip(*(x.tolist() for x in decontaminate._windows(sizes, length))):
+            place = space[codes[a:b] % decontaminate.BUCKETS].sum(axis=0)
+            for number, vector in zip(numbers.tolist(), vectors):
+                if vector @ place >= decontaminate.COSINE * np.linalg.norm(place):
+                    want.add((number, a, b))
+                enough = decontaminate.wide_enough(codes, np.array([number]), np.array([a]), np.array([b]), items)[0]
+                passed += enough
+                if decontaminate.common_subsequence(items.codes[number], codes[a:b].tolist())[0] >= decontaminate.LIKELY * len(items.codes[number]):
+                    assert enough
+    assert len(got ^ want) <= 0.001 * len(want) + 1 and passed
