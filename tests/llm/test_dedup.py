@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from taxaflow.llm import chaining, line_dedup, queries, simhash
@@ -208,3 +209,32 @@ def test_best_chain_equals_quadratic_search():
         value = lambda c: k + sum(min(k, a[j] - a[i], b[j] - b[i]) - gap * (a[j] - a[i] + b[j] - b[i]) for i, j in zip(c, c[1:]))
         if chains:
             assert value(chains[0]) > k
+
+
+def test_shared_passages_whose_seeds_have_many_heads(spark):
+    """Each piece of a passage occurs before, in a text of its own: no head holds enough of it."""
+    rng = np.random.default_rng(31)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    passage = words(62)
+    rows = [(i, " ".join(words(40) + passage[at : at + 18] + words(40))) for i, at in enumerate(range(0, 50, 4))]
+    rows += [(100, " ".join(words(70) + passage + words(30))), (101, " ".join(words(20) + passage + words(50))), (102, " ".join(words(200)))]
+    rows += [(103, rows[-2][1])]
+    line = words(14)  # a line of many texts that share nothing else
+    rows += [(200 + i, " ".join(words(60) + line + words(60))) for i in range(30)]
+    got = {r.doc_id: r for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert {k: (r.class_id, r.n_links) for k, r in got.items()} == {100: (100, 2), 101: (100, 2), 103: (100, 2)}
+    assert [(x.start, x.end) for x in got[100].passages] == [(70, 132)]
+
+
+def test_tiles_of_seeds_keep_what_can_be_a_passage():
+    rng = np.random.default_rng(32)
+    line, tail = rng.integers(0, 1 << 32, 14), rng.integers(0, 1 << 32, 60)
+    other = lambda n: rng.integers(0, 1 << 32, n)
+    texts = [np.concatenate(x).astype("<u4") for x in ((other(30), line, tail, other(9)), (other(80), line, tail[:40]), (other(50), line, other(50)), (other(3), line, other(70), line[:6], other(5)))]
+    places = [[{"seed": s, "pos": int(p), "n": 9 - s, "major": -1} for s, p in ((1, n), (2, n + 5), (3, n + 8))] for n in (30, 80, 50, 3)]
+    rows = {"key": [0, 1, 2, 3], "codes": [x.tobytes() for x in texts], "label": [0, 1, 2, 3], "places": places}
+    found = pa.Table.from_batches(chaining._around([pa.RecordBatch.from_pydict(rows)])).sort_by("seed").to_pylist()
+    tiles = [{"seed": r["seed"], "block": 0, "part": 0, "probe": True, "target": True, **{x: r[x] for x in ("key", "label", "around", "others")}} for r in found]
+    tiles.sort(key=lambda r: r["seed"])
+    out = pa.Table.from_batches(chaining._tiles(40)([pa.RecordBatch.from_pylist(tiles)])).to_pylist()
+    assert {(r["head"], r["key"]) for r in out} == {(0, 1)}
