@@ -17,8 +17,11 @@ to all fingerprints within two bits of it.
 positional bytes and differ in at most ``WIDE_BITS`` bits (at a similarity of 0.8 they
 differ in 38 on average).  Of any three positions two are even or two are odd, so the
 pairs of equal parity (240) find all candidates.  Documents are posted under single
-bytes; tasks cut these lists by each further byte.  Candidates are verified on their
-whole sets of shingle hashes.
+bytes; tasks cut these lists by each further byte.  A candidate is given by the first
+list that holds it only, and not if its bitmaps tell that the sets are too different:
+these hold the parity of the hashes of each bit, so the bits that differ count at least
+once for each hash in one set only.  Candidates are verified on their whole sets of
+shingle hashes.
 
 A list of two bytes gives all its candidates at any length, unless they are over
 ``CROWD`` for each member, as in large groups of copies.  Such a list first gives a
@@ -51,6 +54,8 @@ from taxaflow.session import discard, durable
 LIST = 1 << 15
 #: 64-bit words of a wide fingerprint, the most bits and the least positional bytes of two similar ones.
 WIDE, WIDE_BITS, WIDE_SHARED = 4, 60, 3
+#: Bits of the parities of a set of shingle hashes.
+MARKS = 512
 #: Candidates for each member that a list gives at most, bits that link the members of one with more at first, members of a list compared all together.
 CROWD, CLOSE_BITS, TOGETHER = 32, 36, 2048
 #: Members of a list of one byte that a task holds, members of a part of a crowded list.
@@ -113,6 +118,12 @@ def set_of(hashes: np.ndarray) -> bytes:
     return np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
 
 
+def marks_of(hashes: bytes) -> bytes:
+    """Bitmap of the parities of a set of hashes."""
+    at = np.frombuffer(hashes, "<u4") % MARKS
+    return np.packbits(np.bincount(at, minlength=MARKS) & 1, bitorder="little").tobytes()
+
+
 def similarities(one: bytes, others: list[bytes]) -> np.ndarray:
     """Jaccard similarity of a set to others; empty sets are equal."""
     x, flat = np.frombuffer(one, "<u4"), np.frombuffer(b"".join(others), "<u4")
@@ -134,16 +145,17 @@ def fingerprint(text: str | Column, width: int = 5) -> Column:
 
 
 def wide_fingerprint(text: str | Column, width: int = 5) -> Column:
-    """256-bit SimHash as longs ``f0`` to ``f3``, and ``hashes``, the set of shingle hashes, in a struct."""
+    """256-bit SimHash as longs ``f0`` to ``f3``, ``hashes``, the set of shingle hashes, and ``marks``, the bitmap of this set, in a struct."""
     names = [f"f{j}" for j in range(WIDE)]
 
     def of(texts: pa.Array) -> pa.Array:
         hashes = [shingle_hashes(x, width) for x in utf8(texts)]
         rows = np.array([wide_of(x) for x in hashes], np.uint64).reshape(-1, WIDE).view(np.int64)
         columns = [pa.array(np.ascontiguousarray(rows[:, j])) for j in range(WIDE)]
-        return pa.StructArray.from_arrays([*columns, pa.array([set_of(x) for x in hashes], pa.binary())], [*names, "hashes"])
+        sets = [set_of(x) for x in hashes]
+        return pa.StructArray.from_arrays([*columns, pa.array(sets, pa.binary()), pa.array(map(marks_of, sets), pa.binary())], [*names, "hashes", "marks"])
 
-    return F.arrow_udf(of, f"struct<{','.join(f'{x}:long' for x in names)},hashes:binary>")(text)
+    return F.arrow_udf(of, f"struct<{','.join(f'{x}:long' for x in names)},hashes:binary,marks:binary>")(text)
 
 
 def near(one: np.ndarray, others: np.ndarray, bits: int, shared: int) -> np.ndarray:
@@ -290,8 +302,16 @@ def _words(rows: pa.Table, first: int) -> np.ndarray:
     return np.stack([rows.column(first + j).to_numpy() for j in range(WIDE)], axis=1).view(np.uint64)
 
 
-def _candidates(bits: int, shared: int, longest: int, crowd: int):
-    """Rows (key, node, f0 to f3), ordered by key (position and byte), to candidates (a, b), or (a, null, key) for members of a crowded list of two bytes.
+def first_list(same: np.ndarray, place: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Whether the list of the bytes at ``place`` and ``place + step`` is the first one that holds a pair; ``same`` tells its shared bytes."""
+    at = np.arange(same.shape[1])
+    alike = (at & 1) == (place & 1)[:, None]
+    own, other = same & alike & (at < (place + step)[:, None]), same & ~alike
+    return (own.sum(axis=1) == 1) & ((other.argmax(axis=1) > place) | (other.sum(axis=1) < 2))
+
+
+def _candidates(bits: int, shared: int, longest: int, crowd: int, least: float):
+    """Rows (key, node, f0 to f3, n, marks), ordered by key (position and byte), to candidates (a, b), or (a, null, key) for members of a crowded list of two bytes.
 
     All members of a list that comes in pieces count as crowded.
     """
@@ -299,9 +319,17 @@ def _candidates(bits: int, shared: int, longest: int, crowd: int):
     def batch(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
         return pa.record_batch([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)], ["a", "b", "key"])
 
-    def lists(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, piece: bool) -> Iterator[pa.RecordBatch]:
+    def lists(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray, counts: np.ndarray, marks: np.ndarray, piece: bool) -> Iterator[pa.RecordBatch]:
         order = np.argsort(keys, kind="stable")
-        keys, nodes, prints = keys[order], nodes[order], prints[order]
+        keys, nodes, prints, counts, marks = keys[order], nodes[order], prints[order], counts[order], marks[order]
+
+        def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Which candidates are given by this list, and may have sets that are similar enough."""
+            same = np.ascontiguousarray(prints[a] ^ prints[b]).view(np.uint8) == 0
+            differ = np.bitwise_count(marks[a] ^ marks[b]).sum(axis=1, dtype=np.int64)
+            fits = (1 + least) * differ <= (1 - least) * (counts[a] + counts[b]) + 1e-6
+            return fits & first_list(same, keys[a] >> 24, keys[a] >> 8 & 255)
+
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
         number, end = np.repeat(np.arange(len(sizes)), sizes), np.repeat(starts + sizes, sizes)
@@ -314,6 +342,7 @@ def _candidates(bits: int, shared: int, longest: int, crowd: int):
                 differ = prints[first] ^ prints[first + step]
                 hits = np.flatnonzero(np.bitwise_count(differ).sum(axis=1) <= bits)
                 first = first[hits[(np.ascontiguousarray(differ[hits]).view(np.uint8) == 0).sum(axis=1) >= shared]]
+                first = first[likely(first, first + step)]
                 firsts.append(first)
                 steps.append(np.full(len(first), step))
                 found += np.bincount(number[first], minlength=len(sizes))
@@ -328,6 +357,7 @@ def _candidates(bits: int, shared: int, longest: int, crowd: int):
             total, a, b = 0, [], []
             for i in range(len(own) - 1):
                 hits = i + 1 + near(their[i], their[i + 1 :], bits, shared)
+                hits = hits[likely(np.full(len(hits), starts[n] + i), starts[n] + hits)]
                 total += len(hits)
                 a.append(np.full(len(hits), own[i]))
                 b.append(own[hits])
@@ -349,11 +379,12 @@ def _candidates(bits: int, shared: int, longest: int, crowd: int):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, piece in _grouped(batches, longest):
             keys, nodes, prints = rows.column(0).to_numpy(), rows.column(1).to_numpy(), _words(rows, 2)
+            sizes, marks = rows.column(6).to_numpy(), np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint64).reshape(len(keys), -1)
             octets = prints.view(np.uint8)
             for step in range(2, 8 * WIDE, 2):  # each further position of the same parity
                 at = np.flatnonzero((keys >> 8) + step < 8 * WIDE)
                 if len(at):
-                    yield from lists(keys[at] << 16 | step << 8 | octets[at, (keys[at] >> 8) + step], nodes[at], prints[at], piece)
+                    yield from lists(keys[at] << 16 | step << 8 | octets[at, (keys[at] >> 8) + step], nodes[at], prints[at], sizes[at], marks[at], piece)
 
     return stream
 
@@ -395,11 +426,12 @@ def _across(bits: int, shared: int, least: float):
 
 
 def wide_links(prints: DataFrame, least: float = 0.8, bits: int = WIDE_BITS, shared: int = WIDE_SHARED, longest: int = WIDE_LIST, crowd: int = CROWD, size: int = PART) -> DataFrame:
-    """True links (a, b) between rows (node, f0 to f3, hashes) that connect all candidates with a similarity of ``least`` or more."""
+    """True links (a, b) between rows (node, f0 to f3, hashes, marks) that connect all candidates with a similarity of ``least`` or more."""
     places, words = 8 * WIDE, [f"f{j}" for j in range(WIDE)]
     keys = [F.lit(p << 8).cast("long") + _byte(p) for p in range(places - 2)]
-    posted = prints.select(F.explode(F.array(*keys)).alias("key"), "node", *words).repartition("key").sortWithinPartitions("key", "node")
-    found = durable(posted.mapInArrow(_candidates(bits, shared, longest, crowd), "a long, b long, key long"))
+    posted = prints.select(F.explode(F.array(*keys)).alias("key"), "node", *words, F.expr("length(hashes) div 4").alias("n"), "marks")
+    posted = posted.repartition("key").sortWithinPartitions("key", "node")
+    found = durable(posted.mapInArrow(_candidates(bits, shared, longest, crowd, least), "a long, b long, key long"))
     links = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sets = prints.select(F.col("node"), "hashes")  # both joins read one shuffle of it
     with_a = links.join(sets, F.col("a") == F.col("node")).select("a", "b", F.col("hashes").alias("x"))
@@ -428,7 +460,7 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> Da
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), wide_fingerprint("text", width).alias("fp")).select("doc_id", "fp.*")
     # documents with the same shingles are one node
     full = durable(own.withColumn("node", F.xxhash64(*words, "hashes")))
-    nodes = durable(full.dropDuplicates(["node"]).select("node", *words, "hashes"))
+    nodes = durable(full.dropDuplicates(["node"]).select("node", *words, "hashes", "marks"))
     own = durable(full.select("doc_id", "node"))
     discard(full)
     labels = components(wide_links(nodes, least))

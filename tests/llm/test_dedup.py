@@ -145,6 +145,20 @@ def test_wide_links_are_whole_at_every_length_of_lists(spark):
         assert found <= want and components_of(range(len(texts)), found) == label, options
 
 
+def test_a_large_group_below_the_similarity_gives_few_candidates_each_once(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}x{rng.randrange(1000)}" for i in range(150)]
+    texts = near_texts(rng, words, 150, 3)
+    alike = [jaccard(x, y) for j, y in enumerate(texts) for x in texts[:j]]
+    assert sum(x < 0.72 for x in alike) > 5000
+    stored = []
+    monkeypatch.setattr(simhash, "durable", lambda df: stored.append(df.cache()) or stored[-1])
+    simhash.wide_links(wide_nodes(spark, texts)).collect()
+    pairs = [(r.a, r.b) for r in stored[0].collect()]
+    assert sum(x >= 0.8 for x in alike) <= len(pairs) <= sum(x >= 0.72 for x in alike)
+    assert len({tuple(sorted(x)) for x in pairs}) == len(pairs)
+
+
 def test_long_similar_texts_are_verified_on_their_whole_sets(spark):
     rng = random.Random(5)
     texts, want = [], set()
