@@ -15,6 +15,7 @@ follow each other in the order of their texts.  No documents give no file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -40,13 +41,16 @@ BLOCK_IDS = 1 << 21
 REMEMBERED = 700_000
 #: ASCII punctuation but for the apostrophe, which starts contractions.
 CLOSING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of ASCII and Latin-1 letters alone.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that lower-cases, and never joins characters across white space or a letter and ASCII punctuation.
 
     Words are encoded once and remembered, without their case and with their closing
-    punctuation apart; new ones of a batch go to the library together.
+    punctuation apart; new ones of a batch go to the library together.  Those of plain
+    letters go as one text, if the tokenizer marks the last token of a word.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED):
@@ -57,18 +61,44 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+
+    def _apart(self, words: list[bytes]) -> None:
+        """Remembers the ids of words that the library gets one by one."""
+        for word, coded in zip(words, self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)):
+            self.known[word] = np.array(coded.ids, self.kind).tobytes()
+
+    def _together(self, words: list[bytes]) -> None:
+        """Remembers the ids of plain words: one text of them has one last token for each."""
+        coded = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0]
+        ids = np.array(coded.ids, self.kind)
+        ends = (np.flatnonzero(self.last[ids]) + 1) * ids.itemsize
+        if len(ends) != len(words):
+            return self._apart(words)
+        data, ends = ids.tobytes(), ends.tolist()
+        self.known.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends)]))
 
     def _learn(self, new: set[bytes]) -> None:
-        apart = {}
+        apart, plain, other = {}, set(), set()
         for word in new:
             stem = word.rstrip(CLOSING)
-            if stem and len(stem) < len(word) and unicodedata.normalize("NFC", stem.decode()[-1]).lower()[-1].isalpha():
-                apart[word] = stem, word[len(stem) :]
-        own = list(new.difference(apart).union(*apart.values()).difference(self.known))
-        for i in range(0, len(own), 4096):
-            part = own[i : i + 4096]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                self.known[word] = np.array(coded.ids, self.kind).tobytes()
+            if stem.isalpha() or PLAIN.fullmatch(stem):
+                plain.add(stem)
+            elif not stem or len(stem) == len(word) or not unicodedata.normalize("NFC", stem.decode()[-1]).lower()[-1].isalpha():
+                other.add(word)
+                continue
+            else:
+                other.add(stem)
+            if len(stem) < len(word):
+                closing = word[len(stem) :]
+                apart[word] = stem, closing
+                other.add(closing)
+        for own, learn in ((plain, self._together if self.last.any() else self._apart), (other, self._apart)):
+            own = [word for word in own if word not in self.known]
+            for i in range(0, len(own), 4096):
+                learn(own[i : i + 4096])
         for word, (stem, closing) in apart.items():
             self.known[word] = self.known[stem] + self.known[closing]
 

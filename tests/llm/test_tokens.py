@@ -78,6 +78,25 @@ def test_word_encoder_equals_the_library():
     assert [np.frombuffer(x, own.kind).tolist() for x in coded] == [x.ids + [2] for x in library.encode_batch(sample, add_special_tokens=False)]
 
 
+def test_plain_words_go_to_the_library_as_one_text():
+    class Counting:
+        texts = 0
+
+        def __init__(self, tokenizer):
+            self.encode_batch_fast = lambda texts, **k: setattr(self, "texts", self.texts + len(texts)) or tokenizer.encode_batch_fast(texts, **k)
+
+    own, library = WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    own.tokenizer = Counting(own.tokenizer)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abzÀÖØÝÞßéöøÿ×÷ªAZ") for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", "$$$"]) for _ in range(3000)]
+    plain = [w for w in words if not set(w) & set("×÷ª")]
+    coded = own.encode([" ".join(plain).encode()], 2)[0]
+    assert np.frombuffer(coded, own.kind).tolist() == library.encode(" ".join(plain), add_special_tokens=False).ids + [2]
+    assert own.tokenizer.texts < 10
+    coded = own.encode([" ".join(words).encode()], 2)[0]
+    assert np.frombuffer(coded, own.kind).tolist() == library.encode(" ".join(words), add_special_tokens=False).ids + [2]
+
+
 def expected_files(rows):
     library, start, want = Tokenizer.from_file(WORDS), 0, []
     library.encode_special_tokens = True
