@@ -26,7 +26,9 @@ Sets that share a key are compared in three steps.
 A member first gives its best candidate of each other component only.  If it had more
 and is still apart from one of them, steps 2 and 3 are repeated for it with a larger
 number, until no such member is left: groups of copies become one component after the
-first steps and give no pairs, and no link between different components is lost.
+first steps and give no pairs, and no link between different components is lost.  A
+pair is verified once; the links of a round unite the components there are, which costs
+what the new links cost.
 
 Defined cases: shingles are compared as 64-bit hashes; fewer words than a shingle has
 are one shingle; no word gives the empty set, which is linked with nothing; equal sets
@@ -463,26 +465,45 @@ class _Join:
         discard(named, members, split, asked)
         return found
 
+    def united(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+        """``(node, label)`` with the components that ``links`` connect made one."""
+        if links.isEmpty():
+            return labels
+        ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        named = durable(labels.join(ends, "node", "full_outer").select("node", F.coalesce("label", "node").alias("label")))
+        a, b = (named.withColumnsRenamed({"node": x, "label": f"label_{x}"}) for x in "ab")
+        groups = components(links.join(a, "a").join(b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+        groups = groups.select(F.col("label").alias("least"), F.col("node").alias("label"))
+        new = durable(named.join(groups, "label", "left").select("node", F.coalesce("least", "label").alias("label")))
+        discard(labels, named)
+        return new
+
     def components(self, block: int, part: int) -> DataFrame:
         """``(node, label)`` of linked nodes."""
         links = self.first_links()
-        labels, apart, quota = durable(components(links)), None, FIRST
+        labels, apart, quota, tried = durable(components(links)), None, FIRST, None
+        discard(links)
         while True:
             pairs = self.candidates(labels, apart, quota, block, part)
-            if not pairs.isEmpty():
-                once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                old, links = links, durable(links.union(self.verified(once)))
-                new = durable(components(links))
-                discard(old, labels)
-                labels = new
+            once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            once = durable(once if tried is None else once.join(tried, ["a", "b"], "left_anti"))
+            if not once.isEmpty():
+                links = self.verified(once)
+                labels = self.united(labels, links)
+                discard(links)
             a, b = (labels.withColumnsRenamed({"node": x, "label": f"label_{x}"}) for x in "ab")
             open_pairs = pairs.where("more").join(a, "a", "left").join(b, "b", "left")
             left = open_pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select(F.col("a").alias("node")).distinct()
             before, apart = apart, durable(left)
             discard(pairs, before)
             if apart.isEmpty():
-                discard(links, apart)
+                discard(once, tried, apart)
                 return labels
+            # what was verified comes again among more candidates, unless it was a link
+            both = once if tried is None else durable(tried.union(once))
+            if both is not once:
+                discard(tried, once)
+            tried = both
             quota *= MORE
 
 

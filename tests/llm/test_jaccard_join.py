@@ -86,6 +86,16 @@ def test_all_links_are_found_also_in_small_tiles(spark, near_copies, sizes):
     assert rows_of(jac.similar_sets(clash, block=sizes[0], part=sizes[1])) == brute(near_copies)
 
 
+def test_no_pair_is_verified_again_in_later_rounds(spark, near_copies, monkeypatch):
+    rounds, verified = [], jac._Join.verified
+    monkeypatch.setattr(jac, "MORE", 2)
+    monkeypatch.setattr(jac._Join, "verified", lambda self, pairs: rounds.append([tuple(r) for r in pairs.collect()]) or verified(self, pairs))
+    docs = spark.createDataFrame(near_copies, "doc_id long, text string").repartition(5)
+    assert rows_of(jac.similar_sets(docs)) == brute(near_copies)
+    later = [pair for pairs in rounds[1:] for pair in pairs]  # the first round is that of the smallest members
+    assert len(rounds) > 2 and len(later) == len(set(later))
+
+
 def test_no_documents(spark, empty):
     assert jac.similar_sets(empty).collect() == []
 
