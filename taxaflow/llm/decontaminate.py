@@ -44,7 +44,7 @@ BUCKETS, RANK, SHARED = 1 << 15, 96, 8
 #: Spare dimensions and rounds of the decomposition; the last round gives the values as well.
 SPARE, ROUNDS = 8, 2
 #: Words in a block, and blocks whose matrix is multiplied at once.
-BLOCK, DENSE = 48, 48
+BLOCK, DENSE = 48, 16
 #: Lengths of windows; they start every quarter of their length.
 LENGTHS = (12, 18, 27, 40, 60, 90, 135, 200)
 #: Least cosine of a candidate: low enough for nearly all that ``LIKELY`` accepts.
@@ -170,16 +170,26 @@ def _summed(rows: DataFrame, make, size: int, width: int, kind: str) -> np.ndarr
 
 def add_gram(out: np.ndarray, buckets: np.ndarray, counts: np.ndarray, idf: np.ndarray, x: np.ndarray) -> None:
     """Adds the product of the transposed TF-IDF matrix of blocks (of length one), the matrix, and ``x``."""
-    ends, column = np.r_[0, np.cumsum(counts, dtype=np.int64)], np.zeros(len(idf), np.int64)
+    ends, column, seen = np.r_[0, np.cumsum(counts, dtype=np.int64)], np.zeros(len(idf), np.int64), np.zeros(len(idf), bool)
+    number = np.repeat(np.arange(len(counts)), counts)
+    # rows are taken into the same memory each time: fresh memory costs more than the products
+    most = DENSE * int(counts.max(initial=0))
+    taken, added = np.empty((most, x.shape[1]), x.dtype), np.empty((most, x.shape[1]), out.dtype)
     for i in range(0, len(counts), DENSE):
         n = counts[i : i + DENSE]
-        own = buckets[ends[i] : ends[i + len(n)]]
-        there = np.unique(own)
+        words = slice(ends[i], ends[i + len(n)])
+        own = buckets[words]
+        seen[own] = True
+        there = np.flatnonzero(seen)
+        seen[there] = False
         column[there] = np.arange(len(there))
         block = np.zeros((len(n), len(there)), np.float32)
-        block[np.repeat(np.arange(len(n)), n), column[own]] = idf[own]
+        block[number[words] - i, column[own]] = idf[own]
         block /= np.sqrt(np.maximum(np.einsum("ij,ij->i", block, block), 1e-12))[:, None]
-        out[there] += block.T @ (block @ x[there])
+        rows, sums = taken[: len(there)], added[: len(there)]
+        product = block @ np.take(x, there, axis=0, out=rows, mode="clip")
+        np.matmul(block.T, product, out=rows)
+        out[there] = np.add(np.take(out, there, axis=0, out=sums, mode="clip"), rows, out=sums)
 
 
 def _gram(shared: Broadcast):
@@ -325,14 +335,15 @@ def candidates(codes: np.ndarray, sizes: np.ndarray, items: Items, cosine: float
 
 def wide_enough(codes: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, items: Items) -> np.ndarray:
     """Which stretches (lo to hi) have as many words that may be of their item as the least common subsequence that counts."""
-    slots, reach = codes % SLOTS, np.arange(int((hi - lo).max(initial=0)))
+    slots, reach = (codes % SLOTS).astype(np.int64), np.arange(int((hi - lo).max(initial=0)))
+    marks, first = items.marks.ravel(), item * SLOTS
     least = LIKELY * np.array([len(x) for x in items.codes])[item]
     out = np.zeros(len(item), bool)
     for i in range(0, len(item), FEW):
         rows = slice(i, i + FEW)
         at = lo[rows, None] + reach
-        there = items.marks[item[rows, None], slots[np.minimum(at, len(slots) - 1)]] & (at < hi[rows, None])
-        out[rows] = there.sum(axis=1) >= least[rows]
+        there = marks.take(slots.take(at, mode="clip") + first[rows, None]) & (at < hi[rows, None])
+        out[rows] = there.sum(axis=1, dtype=np.int32) >= least[rows]
     return out
 
 

@@ -14,6 +14,19 @@ def fold(doc_id, n):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % n == 2
 
 
+def test_gram_of_blocks_equals_the_whole_product():
+    rng = np.random.default_rng(7)
+    blocks = [np.sort(rng.choice(400, n, replace=False)) for n in [*rng.integers(1, 48, 37), 0, 48]]
+    idf, x = rng.random(400).astype(np.float32) + 0.5, rng.standard_normal((400, 9)).astype(np.float32)
+    whole = np.zeros((len(blocks), 400))
+    for row, own in zip(whole, blocks):
+        row[own] = idf[own]
+    whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-6)
+    out = np.ones_like(x)
+    decontaminate.add_gram(out, np.concatenate(blocks).astype("<u2"), np.array([len(b) for b in blocks], np.uint8), idf, x)
+    assert np.allclose(out, 1 + whole.T @ (whole @ x), atol=1e-4)
+
+
 def test_op1_counts_and_base_score(spark, folder, rows, monkeypatch):
     for dictionary in (hmm.DICTIONARY, 40):
         own = hmm.score_documents(spark.read.parquet(f"{folder}/documents.parquet").withColumn("held_out", hmm_held(F.col("doc_id"))), rounds=2, dictionary=dictionary)
