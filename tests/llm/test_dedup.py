@@ -252,3 +252,44 @@ def test_tiles_of_seeds_keep_what_can_be_a_passage():
     tiles.sort(key=lambda r: r["seed"])
     out = pa.Table.from_batches(chaining._tiles(40)([pa.RecordBatch.from_pylist(tiles)])).to_pylist()
     assert {(r["head"], r["key"]) for r in out} == {(0, 1)}
+
+
+def tiled(texts):
+    """Candidate pairs of the tiles of all seeds that texts share."""
+    found = [chaining.seeds_of(x, np.array([len(x)])) for x in texts]
+    seeds, holders = np.unique(np.concatenate([np.unique(h) for _, _, h in found]), return_counts=True)
+    n = dict(zip(seeds.tolist(), holders.tolist()))
+    places = [[{"seed": s >> 10, "pos": p, "n": n[s], "major": -1} for s, p in dict(zip(h.tolist(), pos.tolist())).items() if n[s] > 1] for _, pos, h in found]
+    rows = {"key": list(range(len(texts))), "codes": [x.tobytes() for x in texts], "label": list(range(len(texts))), "places": places}
+    rows = pa.Table.from_batches(chaining._around([pa.RecordBatch.from_pydict(rows)])).sort_by("seed").to_pylist()
+    tiles = [{"seed": r["seed"], "block": 0, "part": 0, "probe": True, "target": True, **{x: r[x] for x in ("key", "label", "around", "others")}} for r in rows]
+    return [(r["head"], r["key"]) for b in chaining._tiles(40)([pa.RecordBatch.from_pylist(tiles)]) for r in b.to_pylist()]
+
+
+def test_holders_of_a_line_are_no_candidates_unless_they_share_a_passage():
+    rng = np.random.default_rng(33)
+    other = lambda n: rng.integers(0, 1 << 32, n)
+    line, tail, end = other(45), other(30), other(20)
+    join = lambda *x: np.concatenate(x).astype("<u4")
+    texts = [join(other(rng.integers(0, 90)), line, other(rng.integers(0, 90))) for _ in range(60)]
+    texts += [join(other(8), line, tail), join(other(70), line, tail, other(9))]  # longer than the line
+    texts += [join(other(5), line, end), join(other(30), line, other(3), end, other(50))]  # joined beyond a gap
+    texts += [join(other(5), line, end[::-1]), join(other(30), line, other(11), end[::-1], other(50))]  # the gap costs less than the line is worth
+    found = tiled(texts)
+    assert set(found) == {(60, 61), (62, 63), (64, 65)} and len(found) < 10
+
+
+def test_tiles_lose_no_passage_of_edited_texts():
+    rng = np.random.default_rng(34)
+    other = lambda n: rng.integers(0, 1 << 32, n).astype("<u4")
+    lost = passages = 0
+    for _ in range(150):
+        text = other(rng.integers(50, 200))
+        edits, share = rng.random(len(text)), rng.choice([0.01, 0.03, 0.06])
+        edited = [[x] if e > 3 * share else other(1) if e > 2 * share else [] if e > share else [x, *other(rng.integers(1, 12))] for x, e in zip(text, edits)]
+        a, b = np.concatenate([other(rng.integers(0, 90)), text, other(40)]), np.concatenate([other(rng.integers(0, 90)), *edited, other(40)]).astype("<u4")
+        pair = pa.RecordBatch.from_pydict({"head": [0], "key": [1], "a_codes": [a.tobytes()], "b_codes": [b.tobytes()]})
+        if any(x.num_rows for x in chaining._compared(50, 0.8)([pair])):
+            passages += 1
+            lost += (0, 1) not in tiled([a, b])
+    assert passages > 40 and lost <= 1  # two common seeds of which a text leaves one out, at most
