@@ -308,22 +308,25 @@ def near_windows(codes: np.ndarray, sizes: np.ndarray, items: Items, cosine: flo
     places = {length: np.zeros((len(starts), items.space.shape[1]), np.float32) for length, (starts, _) in spans.items()}
     at = {length: starts.copy() for length, (starts, _) in spans.items()}
     longest = max((int((ends - starts).max(initial=0)) for starts, ends in spans.values()), default=0)
-    stretch, size = items.space[codes % BUCKETS], 1
+    stretch, size = items.space.take(codes % BUCKETS, axis=0), 1
+    spare = np.empty_like(stretch)  # longer stretches are made in turn in two pieces of memory
     while size <= longest:
         for length, (starts, ends) in spans.items():
             rows = np.flatnonzero((ends - starts) & size)
             if len(rows) == len(starts):
-                places[length] += stretch[at[length]]
+                places[length] += stretch.take(at[length], axis=0)
                 at[length] += size
             elif len(rows):
-                places[length][rows] += stretch[at[length][rows]]
+                places[length][rows] += stretch.take(at[length][rows], axis=0)
                 at[length][rows] += size
-        stretch = stretch[:-size] + stretch[size:]
+        if 2 * size <= longest:
+            n = max(len(stretch) - size, 0)
+            stretch, spare = np.add(stretch[:n], stretch[size : size + n], out=spare[:n]), stretch
         size *= 2
     for length, (numbers, vectors) in items.vectors.items():
         place, (starts, ends) = places.pop(length), spans[length]
         bound = cosine * np.sqrt(np.einsum("ij,ij->i", place, place))
-        rows, columns = np.nonzero(place @ vectors.T >= np.maximum(bound, 1e-6)[:, None])
+        rows, columns = np.divmod(np.flatnonzero(place @ vectors.T >= np.maximum(bound, 1e-6)[:, None]), len(numbers))
         yield numbers[columns], starts[rows], ends[rows]
 
 
