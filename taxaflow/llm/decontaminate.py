@@ -25,9 +25,8 @@ ids, with the best match; an empty benchmark finds nothing.  Benchmarks of more
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +35,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.llm.common import Memo, batches_of, claim, portions, remembers, utf8
+from taxaflow.llm.common import BLANKS, batches_of, claim, portions, utf8
 from taxaflow.session import durable
 
 #: Hashed words, latent dimensions, and leading ones left out, which tell languages apart but not passages.
 BUCKETS, RANK, SHARED = 1 << 15, 96, 8
 #: Spare dimensions and rounds of the decomposition; the last round gives the values as well.
 SPARE, ROUNDS = 8, 2
-#: Words in a block, and blocks whose matrix is multiplied at once.
-BLOCK, DENSE = 48, 16
+#: Words in a block; a bucket is common if more than one of ``DENSE`` blocks holds it; rows summed at once; blocks of a product.
+BLOCK, DENSE, SIDE, BLOCKS = 48, 32, 512, 1 << 14
 #: Lengths of windows; they start every quarter of their length.
 LENGTHS = (12, 18, 27, 40, 60, 90, 135, 200)
 #: Least cosine of a candidate: low enough for nearly all that ``LIKELY`` accepts.
@@ -52,11 +51,21 @@ COSINE = 0.33
 SURE, LIKELY, ANSWER = 0.8, 0.6, 5
 #: Words projected at once, words of a piece of a long text, items in a block.
 TOGETHER, PIECE, ITEMS = 1 << 14, 1 << 14, 4096
+#: Words of a stretch of running sums.
+RUN = 32
 #: Slots that an item's words are marked in, and windows whose words are looked up there at once.
 SLOTS, FEW = 1 << 12, 1 << 13
 #: Buckets in a part of a matrix that tasks add to.
 PART = 1 << 12
+#: Bytes hashed at once.
+TEXT = 1 << 16
 _AROUND = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_BLANK = ord(" ")
+#: Lower case, one kind of blank; bytes that are neither blank nor punctuation.
+_LOWERED = bytes(_BLANK if i in BLANKS else i for i in range(256)).lower()
+_KEPT = np.array([i != _BLANK and i not in _AROUND for i in range(256)])
+#: Factors of xxHash, by their numbers.
+_PRIMES = dict(enumerate(map(np.uint32, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)), 1))
 
 
 def _code(word: bytes) -> int:
@@ -65,8 +74,40 @@ def _code(word: bytes) -> int:
     return (xxhash.xxh32_intdigest(word) or 1) if word else 0
 
 
-_codes = Memo(_code, 400_000)
-remembers("decontaminate", _codes.clear)
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return h << np.uint32(bits) | h >> np.uint32(32 - bits)
+
+
+def _hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the words of a lowered text that ends with a blank, and their codes as in ``_code``.
+
+    Words of less than 16 bytes, nearly all, are hashed at once: four bytes of each word a step, then those left over.
+    """
+    edges = np.flatnonzero(np.diff(text != _BLANK, prepend=False))
+    starts, ends = edges[::2], edges[1::2]
+    kept = _KEPT[text]
+    lo, hi = starts.copy(), ends.copy()
+    bare = np.flatnonzero(~(kept[starts] & kept[ends - 1]))
+    if len(bare):
+        places = np.flatnonzero(kept)
+        first, last = np.searchsorted(places, starts[bare]), np.searchsorted(places, ends[bare])
+        lo[bare] = hi[bare] = 0
+        real = first < last
+        lo[bare[real]], hi[bare[real]] = places[first[real]], places[last[real] - 1] + 1
+    size = hi - lo
+    one = np.r_[text, np.zeros(3, np.uint8)].astype(np.uint32)
+    four = one[:-3] | one[1:-2] << np.uint32(8) | one[2:-1] << np.uint32(16) | one[3:] << np.uint32(24)
+    h = size.astype(np.uint32) + _PRIMES[5]
+    for values, begin, steps, step, factors, bits in ((four, lo, size // 4, 4, (3, 4), 17), (one, lo + size // 4 * 4, size % 4, 1, (5, 1), 11)):
+        for i in range(3):
+            rows = np.flatnonzero(steps > i)
+            h[rows] = _turned(h[rows] + values[begin[rows] + i * step] * _PRIMES[factors[0]], bits) * _PRIMES[factors[1]]
+    for bits, factor in ((15, 2), (13, 3)):
+        h = (h ^ h >> np.uint32(bits)) * _PRIMES[factor]
+    h = np.where(size > 0, np.maximum(h ^ h >> np.uint32(16), 1), 0).astype(np.uint32)
+    for i in np.flatnonzero(size >= 16).tolist():
+        h[i] = _code(text[lo[i] : hi[i]].tobytes())
+    return ends, h
 
 
 def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,11 +118,17 @@ def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     claim("decontaminate")
-    words = [x.split() for x in texts]
-    sizes = np.array([len(x) for x in words], np.int64)
-    codes = np.fromiter(map(_codes.__getitem__, chain.from_iterable(words)), np.uint32, int(sizes.sum()))
-    some = codes > 0
-    return codes[some], np.bincount(np.repeat(np.arange(len(texts)), sizes)[some], minlength=len(texts))
+    whole = b" ".join([*texts, b""]).translate(_LOWERED)
+    data, at, ends, codes = np.frombuffer(whole, np.uint8), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    while at < len(whole):  # cut at blanks: long texts take no more memory than many short ones
+        stop = whole.find(b" ", at + TEXT - 1) + 1 if len(whole) - at > TEXT else len(whole)
+        own, found = _hashes(data[at:stop])
+        some = found > 0
+        ends.append(own[some] + at)
+        codes.append(found[some])
+        at = stop
+    until = np.cumsum(np.array([len(x) + 1 for x in texts], np.int64))
+    return np.concatenate(codes), np.diff(np.searchsorted(np.concatenate(ends), until), prepend=0)
 
 
 def _blocks(sizes: np.ndarray) -> np.ndarray:
@@ -109,7 +156,9 @@ def block_buckets(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text) to (doc_id, codes of the words, buckets, counts), as in ``block_buckets``."""
-    cut = lambda values, sizes: pa.array([values[e - n : e].tobytes() for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist())], pa.binary())
+    cut = lambda values, sizes: pa.BinaryArray.from_buffers(
+        pa.binary(), len(sizes), [None, pa.py_buffer((values.itemsize * np.cumsum(np.r_[0, sizes])).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))]
+    )
     for batch in batches:
         texts = utf8(batch.column(1))
         for rows in portions(texts):
@@ -168,28 +217,74 @@ def _summed(rows: DataFrame, make, size: int, width: int, kind: str) -> np.ndarr
     return out
 
 
+def _sum_rows(x: np.ndarray, entries: np.ndarray, first: np.ndarray, sizes: np.ndarray, out: np.ndarray, taken: np.ndarray) -> None:
+    """Sums of rows of ``x``, one for each list of entries; longer lists come first.  All lists take a step at once."""
+    out[...] = 0
+    for step, n in enumerate(np.cumsum(np.bincount(sizes)[::-1])[::-1][1:].tolist()):
+        rows = np.take(x, entries[first[:n] + step], axis=0, out=taken[:n], mode="clip")
+        np.add(out[:n], rows, out=out[:n])
+
+
+def _by_size(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of consecutive lists, longest first, with their first entries and sizes."""
+    order = np.argsort(-sizes, kind="stable")
+    return order, (np.cumsum(sizes) - sizes)[order], sizes[order]
+
+
 def add_gram(out: np.ndarray, buckets: np.ndarray, counts: np.ndarray, idf: np.ndarray, x: np.ndarray) -> None:
     """Adds the product of the transposed TF-IDF matrix of blocks (of length one), the matrix, and ``x``."""
-    ends, column, seen = np.r_[0, np.cumsum(counts, dtype=np.int64)], np.zeros(len(idf), np.int64), np.zeros(len(idf), bool)
-    number = np.repeat(np.arange(len(counts)), counts)
-    # rows are taken into the same memory each time: fresh memory costs more than the products
-    most = DENSE * int(counts.max(initial=0))
-    taken, added = np.empty((most, x.shape[1]), x.dtype), np.empty((most, x.shape[1]), out.dtype)
-    for i in range(0, len(counts), DENSE):
-        n = counts[i : i + DENSE]
-        words = slice(ends[i], ends[i + len(n)])
-        own = buckets[words]
-        seen[own] = True
-        there = np.flatnonzero(seen)
-        seen[there] = False
-        column[there] = np.arange(len(there))
-        block = np.zeros((len(n), len(there)), np.float32)
-        block[number[words] - i, column[own]] = idf[own]
-        block /= np.sqrt(np.maximum(np.einsum("ij,ij->i", block, block), 1e-12))[:, None]
-        rows, sums = taken[: len(there)], added[: len(there)]
-        product = block @ np.take(x, there, axis=0, out=rows, mode="clip")
-        np.matmul(block.T, product, out=rows)
-        out[there] = np.add(np.take(out, there, axis=0, out=sums, mode="clip"), rows, out=sums)
+    total = np.zeros(x.shape, out.dtype)
+    _add_gram(total, buckets, counts, idf, idf[:, None] * x)
+    out += idf[:, None] * total
+
+
+def _add_gram(out: np.ndarray, buckets: np.ndarray, counts: np.ndarray, idf: np.ndarray, scaled: np.ndarray) -> None:
+    """As ``add_gram``, but ``scaled`` is already multiplied by the weights, and what is added is not yet.
+
+    So the matrix holds ones, divided by the lengths of its rows.  Buckets that many blocks hold are multiplied as a
+    dense matrix; the others are summed by block, and the blocks by bucket.
+    """
+    if not len(buckets):
+        return
+    buckets, number = buckets.astype(np.intp), np.repeat(np.arange(len(counts)), counts)
+    squares = np.maximum(np.bincount(number, (idf * idf)[buckets], len(counts)), 1e-12)
+    holders = np.bincount(buckets, minlength=len(idf))
+    common = np.flatnonzero(holders * DENSE > len(counts))
+    column = np.full(len(idf), -1)
+    column[common] = np.arange(len(common))
+    column = column[buckets]
+    rare = column < 0
+    few, column = buckets[rare], column[~rare]
+    # blocks are numbered anew, those with most rare buckets first
+    order, first, sizes = _by_size(np.bincount(number[rare], minlength=len(counts)))
+    squares, renamed = squares[order, None].astype(np.float32), np.empty_like(order)
+    renamed[order] = np.arange(len(order))
+    number = renamed[number]
+    dense, number = number[~rare], number[rare]
+    turn = np.argsort(dense, kind="stable")
+    dense, column = dense[turn], column[turn]
+    ends = np.searchsorted(dense, np.arange(0, len(counts) + SIDE, SIDE))
+    places, taken = np.empty((len(counts), scaled.shape[1]), scaled.dtype), np.empty((SIDE, scaled.shape[1]), scaled.dtype)
+    top = scaled[common]
+    sums = np.zeros_like(top)
+    for k, i in enumerate(range(0, len(counts), SIDE)):
+        rows, place, words = slice(i, i + SIDE), places[i : i + SIDE], slice(ends[k], ends[k + 1])
+        _sum_rows(scaled, few, first[rows], sizes[rows], place, taken)
+        block = np.zeros((len(place), len(common)), np.float32)
+        block[dense[words] - i, column[words]] = 1
+        place += block @ top
+        place /= squares[rows]
+        sums += block.T @ place
+    out[common] += sums
+    number = number[np.argsort(few.astype(np.uint16), kind="stable")]
+    holders[common] = 0
+    order, first, sizes = _by_size(holders)
+    total = np.empty_like(taken)
+    for i in range(0, int(np.count_nonzero(sizes)), SIDE):
+        rows = order[i : i + SIDE][sizes[i : i + SIDE] > 0]
+        n = slice(i, i + len(rows))
+        _sum_rows(places, number, first[n], sizes[n], total[: len(rows)], taken)
+        out[rows] += total[: len(rows)]
 
 
 def _gram(shared: Broadcast):
@@ -197,16 +292,16 @@ def _gram(shared: Broadcast):
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, x = shared.value
-        out, some = np.zeros(x.shape), False
+        out, scaled, some = np.zeros(x.shape), idf[:, None] * x, False
         for batch in batches:
             counts = _joined(batch.column(1), np.uint8)
-            if len(counts):
-                own = np.zeros(x.shape, np.float32)
-                add_gram(own, _joined(batch.column(0), "<u2"), counts, idf, x)
-                out += own
+            buckets, ends = _joined(batch.column(0), "<u2"), np.r_[0, np.cumsum(counts, dtype=np.int64)]
+            for i in range(0, len(counts), BLOCKS):
+                n = counts[i : i + BLOCKS]
+                _add_gram(out, buckets[ends[i] : ends[i + len(n)]], n, idf, scaled)
                 some = True
         if some:
-            yield from _parts(out.astype("<f4"))
+            yield from _parts((idf[:, None] * out).astype("<f4"))
 
     return product
 
@@ -239,13 +334,15 @@ def latent_space(rows: DataFrame, seed: int = 5) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Items of a block of the benchmark: ids, codes, unit vectors by window length, the space (buckets x dimensions), and marks of the words (items x slots)."""
+    """Items of a block of the benchmark: ids, codes, unit vectors by window length, the space (buckets x dimensions), marks of the words (items x slots), and places of the words, in items and answers."""
 
     ids: list[int]
     codes: list[list[int]]
     vectors: dict[int, tuple[np.ndarray, np.ndarray]]
     space: np.ndarray
     marks: np.ndarray
+    places: list[dict[int, int]]
+    answers: list[dict[int, int]]
 
 
 def length_for(words: int) -> int:
@@ -266,25 +363,30 @@ def items_of(rows: list[tuple[int, str | None]], space: np.ndarray) -> Items:
     marks = np.zeros((len(own), SLOTS), bool)
     for n, (_, codes) in enumerate(own):
         marks[n, codes % SLOTS] = True
-    return Items([i for i, _ in own], [c.tolist() for _, c in own], vectors, space, marks)
+    return Items([i for i, _ in own], [c.tolist() for _, c in own], vectors, space, marks, [places_of(c.tolist()) for _, c in own], [places_of(c[-ANSWER:].tolist()) for _, c in own])
+
+
+def places_of(words: list[int]) -> dict[int, int]:
+    """The places of each word, as bits."""
+    places: dict[int, int] = {}
+    for i, code in enumerate(words):
+        places[code] = places.get(code, 0) | 1 << i
+    return places
+
+
+def _common(places: dict[int, int], n: int, window: list[int]) -> int:
+    """Length of the longest common subsequence with the ``n`` words of ``places`` (bit-parallel)."""
+    v = full = (1 << n) - 1
+    for m in map(places.get, window):
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
 
 
 def common_subsequence(item: list[int], window: list[int]) -> tuple[int, int]:
-    """Length of the longest common subsequence, of the whole item and of its answer (bit-parallel)."""
-    out = []
-    for part in (item, item[-ANSWER:]):
-        places: dict[int, int] = {}
-        for i, code in enumerate(part):
-            places[code] = places.get(code, 0) | 1 << i
-        full = (1 << len(part)) - 1
-        v = full
-        for code in window:
-            m = places.get(code)
-            if m:
-                u = v & m
-                v = ((v + u) | (v - u)) & full
-        out.append(len(part) - v.bit_count())
-    return out[0], out[1]
+    """Length of the longest common subsequence, of the whole item and of its answer."""
+    return tuple(_common(places_of(part), len(part), window) for part in (item, item[-ANSWER:]))
 
 
 def _windows(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -299,32 +401,37 @@ def _windows(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.minimum(starts + length, begin + sizes[piece])
 
 
+def running_sums(buckets: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """Sums of the places of the first 0, 1, ... words, and the rows they are in.
+
+    Stretches of ``RUN`` words are summed side by side, each step a whole matrix; then what was before each is added.
+    """
+    many = len(buckets) // RUN + 1
+    own = np.zeros(many * RUN, np.int64)
+    own[1 : len(buckets) + 1] = buckets
+    sums = np.empty((RUN, many, space.shape[1]), np.float32)
+    for i, now in enumerate(np.ascontiguousarray(own.reshape(many, RUN).T)):
+        np.take(space, now, axis=0, out=sums[i], mode="clip")
+        if i:
+            sums[i] += sums[i - 1]
+        else:
+            sums[0, 0] = 0
+    before = (np.cumsum(sums[-1], axis=0, dtype=np.float64) - sums[-1]).astype(np.float32)
+    for row in sums:
+        row += before
+    return sums.reshape(many * RUN, -1), lambda n: n % RUN * many + n // RUN
+
+
 def near_windows(codes: np.ndarray, sizes: np.ndarray, items: Items, cosine: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Item numbers, window starts and ends of windows of the pieces near an item, for each length.
 
-    A window is the sum of stretches of 1, 2, 4, ... words; those of one length start at every word.
+    A window is the difference of two running sums.
     """
-    spans = {length: _windows(sizes, length) for length in items.vectors}
-    places = {length: np.zeros((len(starts), items.space.shape[1]), np.float32) for length, (starts, _) in spans.items()}
-    at = {length: starts.copy() for length, (starts, _) in spans.items()}
-    longest = max((int((ends - starts).max(initial=0)) for starts, ends in spans.values()), default=0)
-    stretch, size = items.space.take(codes % BUCKETS, axis=0), 1
-    spare = np.empty_like(stretch)  # longer stretches are made in turn in two pieces of memory
-    while size <= longest:
-        for length, (starts, ends) in spans.items():
-            rows = np.flatnonzero((ends - starts) & size)
-            if len(rows) == len(starts):
-                places[length] += stretch.take(at[length], axis=0)
-                at[length] += size
-            elif len(rows):
-                places[length][rows] += stretch.take(at[length][rows], axis=0)
-                at[length][rows] += size
-        if 2 * size <= longest:
-            n = max(len(stretch) - size, 0)
-            stretch, spare = np.add(stretch[:n], stretch[size : size + n], out=spare[:n]), stretch
-        size *= 2
+    sums, at = running_sums(codes % BUCKETS, items.space)
     for length, (numbers, vectors) in items.vectors.items():
-        place, (starts, ends) = places.pop(length), spans[length]
+        starts, ends = _windows(sizes, length)
+        place = sums.take(at(ends), axis=0)
+        place -= sums.take(at(starts), axis=0)
         bound = cosine * np.sqrt(np.einsum("ij,ij->i", place, place))
         rows, columns = np.divmod(np.flatnonzero(place @ vectors.T >= np.maximum(bound, 1e-6)[:, None]), len(numbers))
         yield numbers[columns], starts[rows], ends[rows]
@@ -369,11 +476,14 @@ def _find(shared: Broadcast):
                     lo, hi = np.maximum((ends - n)[piece], a - margin), np.minimum(ends[piece], b + margin)
                     rows = np.flatnonzero(wide_enough(own, item, lo, hi, items))
                     for number, i, j, k in zip(*(x[rows].tolist() for x in (item, lo, hi, piece))):
-                        wanted = items.codes[number]
-                        common, answer = common_subsequence(wanted, own[i:j].tolist())
-                        if common >= SURE * len(wanted) or common >= LIKELY * len(wanted) and answer == min(ANSWER, len(wanted)):
+                        words, window = len(items.codes[number]), own[i:j].tolist()
+                        common = _common(items.places[number], words, window)
+                        if common < LIKELY * words:
+                            continue
+                        answer = _common(items.answers[number], min(ANSWER, words), window)
+                        if common >= SURE * words or answer == min(ANSWER, words):
                             key = ids[owner[k]], items.ids[number]
-                            best[key] = max(best.get(key, (0,)), (common, len(wanted), answer))
+                            best[key] = max(best.get(key, (0,)), (common, words, answer))
             if best:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (*key, *value))) for key, value in best.items()], schema=schema)
 

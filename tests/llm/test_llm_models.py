@@ -1,7 +1,10 @@
 import math
+import string
+import sys
 import zlib
 from collections import Counter
 from itertools import product
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,66 @@ def test_gram_of_blocks_equals_the_whole_product():
     assert np.allclose(out, 1 + whole.T @ (whole @ x), atol=1e-4)
 
 
+def test_gram_of_many_blocks_with_common_and_rare_buckets():
+    rng = np.random.default_rng(8)
+    blocks = [np.unique(rng.zipf(1.4, rng.integers(1, 48)) % 300) for _ in range(2 * decontaminate.SIDE + 7)] + [np.zeros(0, np.int64), np.arange(40)]
+    idf, x = rng.random(300).astype(np.float32) + 0.5, rng.standard_normal((300, 5)).astype(np.float32)
+    whole = np.zeros((len(blocks), 300))
+    for row, own in zip(whole, blocks):
+        row[own] = idf[own]
+    holders = (whole > 0).sum(axis=0) * decontaminate.DENSE > len(blocks)
+    assert 0 < holders.sum() < 300
+    whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-6)
+    out = np.zeros(x.shape)
+    decontaminate.add_gram(out, np.concatenate(blocks).astype("<u2"), np.array([len(b) for b in blocks], np.uint8), idf, x)
+    assert np.allclose(out, whole.T @ (whole @ x), rtol=1e-4, atol=1e-4)
+
+
+def test_gram_of_long_batches_is_made_in_parts(monkeypatch):
+    rng = np.random.default_rng(9)
+    blocks = [np.sort(rng.choice(decontaminate.BUCKETS, n, replace=False)) for n in rng.integers(0, 48, 150)]
+    idf, x = rng.random(decontaminate.BUCKETS).astype(np.float32) + 0.5, rng.standard_normal((decontaminate.BUCKETS, 3)).astype(np.float32)
+    batch = pa.record_batch([pa.array([b"", np.concatenate(blocks).astype("<u2").tobytes()]), pa.array([b"", bytes(map(len, blocks))])], ["buckets", "counts"])
+    shared, made = SimpleNamespace(value=(idf, x)), []
+    for most in (decontaminate.BLOCKS, 40):
+        monkeypatch.setattr(decontaminate, "BLOCKS", most)
+        made.append(np.frombuffer(b"".join(p.column(1)[0].as_py() for p in decontaminate._gram(shared)(iter([batch]))), "<f4"))
+    want = np.zeros(x.shape)
+    decontaminate.add_gram(want, np.concatenate(blocks).astype("<u2"), np.array(list(map(len, blocks)), np.uint8), idf, x)
+    assert np.allclose(made[0], want.ravel(), atol=1e-4) and np.allclose(made[1], want.ravel(), atol=1e-4)
+
+
+def test_codes_of_words_equal_those_of_split_words_without_a_call_for_each():
+    rng = np.random.default_rng(9)
+    bytes_ = np.frombuffer(b"  \n\t\x0b\x1c\x00aAbZ\xc3\xa4'.-_0", np.uint8)
+    texts = [rng.choice(bytes_, n).tobytes() for n in rng.integers(0, 80, 500)]
+    long = b"=" * (2 * decontaminate.TEXT)
+    texts += [b"", b"?!", long + b" (end) " + long, b"x" * (2 * decontaminate.TEXT), b" " * (2 * decontaminate.TEXT) + b"End,", b"one two " * decontaminate.TEXT]
+    words = [[w for x in t.lower().split() if (w := x.strip(bytes(string.punctuation, "ascii")))] for t in texts]
+    codes, sizes = decontaminate.coded(texts)
+    assert sizes.tolist() == [len(x) for x in words]
+    flat = [w for x in words for w in x]
+    assert codes.tolist() == [decontaminate._code(w) for w in flat] and codes.min() > 0 and max(map(len, flat)) > 16
+    calls = []
+    distinct = b" ".join(b"w%d" % i for i in range(20_000))
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        codes, _ = decontaminate.coded([distinct])
+    finally:
+        sys.setprofile(None)
+    assert len(codes) == 20_000 and len(calls) < 5_000
+
+
+def test_running_sums_stay_exact_in_long_texts():
+    rng = np.random.default_rng(10)
+    space = rng.standard_normal((50, 6)).astype(np.float32)
+    for buckets in (np.full(20_000, 7), rng.integers(0, 50, 20_001), np.array([3]), np.zeros(0, np.int64)):
+        sums, at = decontaminate.running_sums(buckets, space)
+        want = np.r_[np.zeros((1, 6)), np.cumsum(space[buckets].astype(np.float64), axis=0)]
+        got = sums.take(at(np.arange(len(buckets) + 1)), axis=0)
+        assert np.allclose(got[12:] - got[:-12], want[12:] - want[:-12], atol=5e-3) and np.allclose(got, want, rtol=1e-5, atol=1e-3)
+
+
 def test_op1_counts_and_base_score(spark, folder, rows, monkeypatch):
     for dictionary in (hmm.DICTIONARY, 40):
         own = hmm.score_documents(spark.read.parquet(f"{folder}/documents.parquet").withColumn("held_out", hmm_held(F.col("doc_id"))), rounds=2, dictionary=dictionary)
