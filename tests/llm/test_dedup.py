@@ -293,3 +293,28 @@ def test_tiles_lose_no_passage_of_edited_texts():
             passages += 1
             lost += (0, 1) not in tiled([a, b])
     assert passages > 40 and lost <= 1  # two common seeds of which a text leaves one out, at most
+
+
+def test_copies_whose_seeds_all_have_other_heads_are_of_one_class(spark):
+    """Every seed of a text occurs before, in pieces of it that are too short for a passage; its copies share it all."""
+    rng = np.random.default_rng(35)
+    words = lambda n: [f"c{x}" for x in rng.integers(0, 10**9, n)]
+    text, other, short = words(90), words(60), words(30)
+    rows = [(i, " ".join(words(30) + text[at : at + 40] + words(30))) for i, at in enumerate(range(0, 80, 4))]
+    rows += [(100 + i, " ".join(x)) for i, x in enumerate((text, text, text, words(20) + other, other + words(9), other + words(9), short, short))]
+    got = {r.doc_id: r for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert {k: (r.class_id, r.n_links) for k, r in got.items()} == {i: (100, 2) for i in (100, 101, 102)} | {i: (103, 2) for i in (103, 104, 105)}
+    assert all([tuple(x) for x in got[i].passages] == [(0, 90)] for i in (100, 101, 102))
+
+
+def test_passage_after_other_common_words_at_the_same_distance():
+    """A line is shared first, and a passage too far from it to be seen from there."""
+    rng = np.random.default_rng(36)
+    other = lambda n: rng.integers(0, 1 << 32, n)
+    join = lambda *x: np.concatenate(x).astype("<u4")
+    for _ in range(20):
+        line, passage, n = other(30), other(60), int(rng.integers(100, 150))
+        a, b = (join(other(m), line, other(n), passage, other(20)) for m in (7, 40))
+        pair = pa.RecordBatch.from_pydict({"head": [0], "key": [1], "a_codes": [a.tobytes()], "b_codes": [b.tobytes()]})
+        assert any(x.num_rows for x in chaining._compared(50, 0.8)([pair]))
+        assert set(tiled([a, b])) == {(0, 1)}
