@@ -23,17 +23,19 @@ def model_frame(
     random_col: str | None = None,
     log_cov: bool = True,
     beta: bool = False,
+    times: str | None = None,
 ) -> DataFrame:
     """Original columns plus ``y, y_total, var, cat, rand, cov, log_cov, use_cov``.
 
     ``var`` is centred on its median in the model.  The logarithm of a covariate
-    at or below zero is null.
+    at or below zero is null.  ``times`` names a column that says how many equal
+    records a row stands for.
     """
     by = names(by)
     chosen = {"y": y, "y_total": y_total, "cat": cat_col, "rand": random_col, "cov": cov_col}
     require(df, *by, *[c for c in [*chosen.values(), var_col] if c])
     if var_col:
-        centre = group_quantiles(df, by, var_col, [0.5], prefix="__centre_", few_values=True)
+        centre = group_quantiles(df, by, var_col, [0.5], prefix="__centre_", few_values=True, times=times)
         df = attach(df, centre, by).withColumn("__var", F.col(var_col) - F.col("__centre_q50")).drop("__centre_q50")
     out = df.withColumns({name: F.col(col) for name, col in chosen.items() if col})
     if var_col:
@@ -85,16 +87,18 @@ def term_selection(
     return model_levels(frame, by).withColumns({"terms": terms, "message": message})
 
 
-def compress_patterns(frame: DataFrame, by: str | Iterable[str]) -> DataFrame:
+def compress_patterns(frame: DataFrame, by: str | Iterable[str], times: str | None = None) -> DataFrame:
     """Sum successes and trials over rows with equal predictors: exact for binomial responses.
 
-    Squares are kept as well, which makes it exact for the other families too.
+    Squares are kept as well, which makes it exact for the other families too.  A row
+    counts ``times`` times.
     """
     predictors = [c for c in ("var", "use_cov", "cat", "rand") if c in frame.columns]
     trials = F.col("y_total") if "y_total" in frame.columns else F.lit(1.0)
+    n = F.col(times).cast("long") if times else F.lit(1).cast("long")
     return frame.groupBy(*names(by), *predictors).agg(
-        F.sum("y").alias("y"),
-        F.sum(trials).alias("y_total"),
-        F.sum(F.col("y") * F.col("y")).alias("y_sq"),
-        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(n * F.col("y")).alias("y"),
+        F.sum(n * trials).alias("y_total"),
+        F.sum(n * F.col("y") * F.col("y")).alias("y_sq"),
+        F.sum(n).alias("n_rows"),
     )

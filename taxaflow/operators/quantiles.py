@@ -26,18 +26,21 @@ def group_quantiles(
     probs: Sequence[float],
     prefix: str = "",
     few_values: bool = False,
+    times: str | None = None,
 ) -> DataFrame:
     """One row per group with one column per probability (linear interpolation, nulls skipped).
 
     ``few_values`` says that a group has few distinct values (years, list
     lengths), so counts per value fit in one aggregation buffer.  Otherwise no
-    task ever holds a whole group.
+    task ever holds a whole group.  ``times`` names a column that says how many
+    equal rows a row stands for.
     """
     by = names(by)
-    require(df, *by, value)
-    df = nan_to_null(df.select(*by, value), value)
+    require(df, *by, value, *names(times))
+    df = nan_to_null(df.select(*by, value, (F.col(times) if times else F.lit(1)).cast("long").alias("__times")), value)
     if few_values:
-        found = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("__q"))
+        often = [F.col("__times")] if times else []
+        found = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), *often).alias("__q"))
         return found.select(*by, *[F.col("__q")[i].alias(quantile_name(p, prefix)) for i, p in enumerate(probs)])
     if by:
         return _ranked_quantiles(df, by, value, probs, prefix)
@@ -52,7 +55,7 @@ def _ranked_quantiles(df: DataFrame, by: list[str], value: str, probs: Sequence[
     alone, so a recomputed task cuts at the same places.  Bin counts tell which
     bins hold the wanted ranks, and only those bins are put in order.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum("__times").alias("__c"))
     # Reading __c keeps this branch's shuffle equal to the other ones, so Spark reuses it.
     sizes = counts.groupBy(*by).agg(F.sum((F.col("__c") > 0).cast("long")).alias("__distinct"))
     chance = F.lit(float(SAMPLE)) / F.col("__distinct")

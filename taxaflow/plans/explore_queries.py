@@ -9,7 +9,7 @@ from taxaflow.operators import explore as X
 from taxaflow.operators.frame import compress_patterns, model_frame, model_levels, term_selection
 from taxaflow.operators.grid import cov_quantiles, cov_values, observed_contexts, prediction_grid, time_grid
 from taxaflow.plans.catalog import LISTED, OCC, query, r
-from taxaflow.plans.record_queries import listed, occurrences
+from taxaflow.plans.record_queries import counted, listed, occurrences
 
 NUMBERS = ("price", "quantity", "discount", "size")
 TEXTS = ("region", "nation", "kind")
@@ -255,8 +255,9 @@ def _(spark, folder):
         FROM grid JOIN centre USING (taxa) JOIN q USING (taxa)""",
 )
 def _(spark, folder):
-    data = frame(spark, folder)
-    grid = prediction_grid(data, ["taxa"], "year", covariates=cov_quantiles(data, ["taxa"], "cov", [0.1, 0.5, 0.9]), rand_col="rand")
+    data = counted(spark, folder).withColumns({"cat": F.col("region"), "cov": F.col("list_length").cast("double")})
+    covariates = cov_quantiles(data, ["taxa"], "cov", [0.1, 0.5, 0.9], "times")
+    grid = prediction_grid(data, ["taxa"], "year", covariates=covariates, rand_col="rand", times="times")
     return grid.drop("ord", "log_cov")
 
 

@@ -16,6 +16,7 @@ from taxaflow.operators.quantiles import group_quantiles
 from taxaflow.operators.reporting import attach_levels, edge_times, latest_time, reporting_rate
 from taxaflow.operators.sufficiency import RULES, filter_list_df, filter_reasons
 from taxaflow.plans.catalog import LISTED, OCC, query, r
+from taxaflow.session import durable
 from taxaflow.sources.model_store import pending_models
 from taxaflow.sources.occurrences import read_order_occurrences as occurrences
 
@@ -26,6 +27,13 @@ def listed(spark, folder) -> DataFrame:
     return add_list_length(occurrences(spark, folder), "taxa", ["list"])
 
 
+def counted(spark, folder, *others) -> DataFrame:
+    """Equal records of lists with a length, once each with their number (``times``): a stored table, so the records are joined once."""
+    cols = ["taxa", "year", "region", "success", "list_length", *others]
+    usable = listed(spark, folder).where("list_length is not null")
+    return durable(usable.groupBy(*cols).agg(F.count(F.lit(1)).alias("times")))
+
+
 @query("read_occurrences", f"WITH {OCC} SELECT taxa, list, year, region, success FROM occ")
 def _(spark, folder):
     return occurrences(spark, folder).select("taxa", "list", "year", "region", "success")

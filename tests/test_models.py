@@ -351,3 +351,64 @@ def test_pace_falls_where_steps_turn_back_and_grows_where_they_go_on():
     assert next_pace(1.0, step, aside, equations, 9) == 1.0
     assert next_pace(PACES[0], step, back, equations, 9) == PACES[0]
     assert next_pace(PACES[1], step, step, equations, 9) == PACES[1]
+
+
+def test_equal_levels_are_worked_on_once(spark):
+    """300 sites of one visit each are two kinds of levels, by success; the fit has all sites, with the effects of their kinds."""
+    from taxaflow.models import fit as module
+
+    rows = [(m, 2000 + i % 2, "A", 3, f"{m}{i}", int(i % 3 == 0)) for m in ("m0", "m1") for i in range(300)]
+    same = spark.createDataFrame(rows, "model_id string, year int, geo string, list_length int, site string, success int")
+    patterns = compress_patterns(model_frame(same, "model_id", "success", None, "year", "geo", "list_length", "site"), "model_id")
+    kinds, members = module._kinds(patterns, "model_id")
+    assert sorted((r.model_id, r.times) for r in kinds.collect()) == [(m, n) for m in ("m0", "m1") for n in (50, 50, 100, 100)]
+    assert members.count() == 600 and members.select("model_id", "rand").distinct().count() == 600
+    fit = fit_trend(patterns, rand_slope=False, n_draws=2, max_iter=2)
+    assert {(r.n_rand, r.n_data) for r in fit.spec.collect()} == {(300, 300)}
+    assert fit.levels.count() == 600 and len({(r.model_id, round(r.b[0], 9)) for r in fit.levels.collect()}) <= 8 and fit.links.count() == 600
+
+
+def test_counted_records_give_what_the_records_give(spark):
+    from taxaflow.operators.explore import residual_stats
+    from taxaflow.operators.grid import cov_quantiles, cov_values, prediction_grid
+
+    df = spark.createDataFrame(simulate(5, n=60))
+    df = df.unionByName(df).unionByName(df.where("year % 2 = 0")).withColumns({"cat": F.col("geo"), "cov": F.col("list_length").cast("double")})
+    often = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("often"))
+    out = []
+    for rows, times in ((df, None), (often, "often")):
+        grid = prediction_grid(rows, ["model_id"], "year", covariates=cov_quantiles(rows, ["model_id"], "cov", [0.1, 0.5], times), times=times)
+        named = cov_values(rows, ["model_id"], [2, 7], times=times)
+        frame = model_frame(rows, "model_id", "success", None, "year", "geo", "list_length", times=times)
+        stats = residual_stats(frame.withColumn("residual", F.col("y") - 0.3), ["model_id"], times=times)
+        out.append([sorted(t.collect(), key=str) for t in (grid, named, compress_patterns(frame, "model_id", times), stats)])
+    for one, other in zip(*out):
+        assert len(one) == len(other) > 0
+        assert all(y == (pytest.approx(x, rel=1e-9) if isinstance(x, float) else x) for a, b in zip(one, other) for x, y in zip(a, b))
+
+
+def test_queries_join_the_records_once(spark, tmp_path):
+    """Results of models and grids come from one stored table of counted records, not from a join of the records for each use."""
+    from taxaflow.plans import explore_queries, model_queries, record_queries
+
+    rng, n, read = np.random.default_rng(8), 2000, []
+    pdf = pd.DataFrame({"taxa": "t", "list": rng.integers(0, n // 4, n), "success": rng.integers(0, 2, n)})
+    pdf["year"], pdf["region"] = 1990 + pdf["list"] % 9, [f"r{x % 2}" for x in pdf["list"]]
+    path, real = str(tmp_path / "records"), record_queries.occurrences
+    spark.createDataFrame(pdf).write.parquet(path)
+
+    def records(*_):
+        read.append(1)
+        return spark.read.parquet(path)
+
+    record_queries.occurrences = records
+    try:
+        grid = explore_queries.query.__globals__["QUERIES"]["prediction_grid"](spark, "none")
+        frame, fit = model_queries.list_length_fit(spark, "none", n_draws=5)
+        res = model_results(frame, fit, ref=-3, n_draws=5, times="times")["res"]
+    finally:
+        record_queries.occurrences = real
+    assert len(read) == 2 and grid.count() > 0
+    assert not any(path in "".join(x.inputFiles()) for x in (grid, res, frame))
+    off = model_queries.scores(frame, fit).first().off
+    assert off < 0.01
