@@ -186,8 +186,14 @@ def cross_counts(df: DataFrame, cols: Iterable[str], by: Iterable[str] = ()) ->
     return df.select(*by, F.inline(pairs)).groupBy(*by, "var_a", "level_a", "var_b", "level_b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def residual_stats(df: DataFrame, by: Iterable[str] = (), residual_col: str = "residual") -> DataFrame:
-    """Mean and standard deviation for the normal curve over the residuals."""
+def residual_stats(df: DataFrame, by: Iterable[str] = (), residual_col: str = "residual", times: str | None = None) -> DataFrame:
+    """Mean and standard deviation for the normal curve over the residuals, of which each counts ``times`` times."""
+    if times:
+        x, n = F.col(residual_col), F.when(F.col(residual_col).isNotNull(), F.col(times).cast("long"))
+        sums = df.groupBy(*names(by)).agg(F.coalesce(F.sum(n), F.lit(0).cast("long")).alias("n"), F.try_divide(F.sum(n * x), F.sum(n)).alias("mean"), F.sum(n * x * x).alias("__sq"))
+        # residuals are about zero, so nothing is lost in the difference
+        variance = F.greatest(F.col("__sq") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0)) / (F.col("n") - 1)
+        return sums.select(*names(by), "n", "mean", F.when(F.col("n") > 1, F.sqrt(variance)).alias("sd"))
     return df.groupBy(*names(by)).agg(
         F.count(residual_col).alias("n"), F.avg(residual_col).alias("mean"), F.stddev_samp(residual_col).alias("sd")
     )

@@ -37,15 +37,19 @@ def list_length_model(
     mod_type: str = "glm",
     family: str = "binomial",
     k: int = K_LIST_LENGTH,
+    times: str | None = None,
     **fit_options,
 ) -> tuple[DataFrame, TrendFit]:
-    """List-length-corrected reporting rate of every model in ``by``: its frame and its fit."""
+    """List-length-corrected reporting rate of every model in ``by``: its frame and its fit.
+
+    ``times`` names a column that says how many equal records a row stands for.
+    """
     if mod_type not in ("glm", "gam"):
         raise ValueError(f"unknown model type {mod_type!r}")
     if family == "binomial" and y_total is None:
         df, y_total = df.withColumn("__one", F.lit(1)), "__one"
-    frame = model_frame(df, by, y, y_total, var_col, cat_col, cov_col, random_col, log_cov, beta=family == "beta")
-    patterns = compress_patterns(frame, by)
+    frame = model_frame(df, by, y, y_total, var_col, cat_col, cov_col, random_col, log_cov, beta=family == "beta", times=times)
+    patterns = compress_patterns(frame, by, times)
     return frame.drop("__one"), fit_trend(
         patterns, by, family, k if mod_type == "gam" else None, rand_slope, **fit_options
     )
@@ -65,6 +69,7 @@ def model_results(
     include_random: bool = False,
     new_level: bool = False,
     cov_val: Sequence[float] | None = None,
+    times: str | None = None,
 ) -> dict[str, DataFrame]:
     """Predictions on a grid, their contrast with ``ref``, and one summary row per prediction.
 
@@ -74,16 +79,17 @@ def model_results(
     rows of its own (column ``rand``), from its first to its last time, with its own
     effects; the fit must have levels then.  ``cov_val`` gives values of the covariate
     in place of the quantiles ``cov_q``; they are named by the percent of data up to them.
+    A row of the frame counts ``times`` times.
     """
     by = fit.by
     if include_random and (fit.levels is None or "rand" not in frame.columns):
         raise ValueError("the fit has no random levels to include")
     covariates = None
     if "cov" in frame.columns:
-        covariates = cov_quantiles(frame, [by], "cov", cov_q) if cov_val is None else cov_values(frame, [by], cov_val)
+        covariates = cov_quantiles(frame, [by], "cov", cov_q, times) if cov_val is None else cov_values(frame, [by], cov_val, times=times)
     data = frame if "cat" in frame.columns else frame.withColumn("cat", F.lit("all"))
     rand = ["rand"] if include_random else []
-    grid = prediction_grid(data, [by], var_col, "cat", covariates, pred_step, *rand, include_random=include_random, binomial=binomial)
+    grid = prediction_grid(data, [by], var_col, "cat", covariates, pred_step, *rand, include_random=include_random, binomial=binomial, times=times)
     pred = epred_draws(fit, grid, include_random, new_level)
     keys = [by, *rand, *(["cov"] if covariates is not None else [])]
     contrasted = contrast(pred, ref, var_col, "cat", keys)
