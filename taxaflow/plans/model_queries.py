@@ -7,15 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxaflow.functions.keys import join_same
+from taxaflow.functions.keys import join_same, names
 from taxaflow.models.predict import residuals
 from taxaflow.operators import summary as S
 from taxaflow.operators.contrast import year_diff_draws
 from taxaflow.operators.diagnostics import coefficient_counts
 from taxaflow.operators.explore import residual_stats
 from taxaflow.plans.catalog import LISTED, OCC, query, r
-from taxaflow.plans.record_queries import listed, occurrences
+from taxaflow.plans.record_queries import counted, occurrences
 from taxaflow.plans.trends import change_since, list_length_model, model_results, occupancy_model, reporting_rate_model
+from taxaflow.session import durable
 
 DRAWS = 1000
 #: Draws where every level has rows of its own.
@@ -66,8 +67,8 @@ def _(spark, folder):
 
 
 def list_length_fit(spark, folder, **options):
-    data = listed(spark, folder).where("list_length is not null")
-    return list_length_model(data, "taxa", "success", cat_col="region", **{"n_draws": DRAWS, **options})
+    data = counted(spark, folder, *names(options.get("random_col")))
+    return list_length_model(data, "taxa", "success", cat_col="region", times="times", **{"n_draws": DRAWS, **options})
 
 
 def judged(fit, rows, name="converged"):
@@ -104,50 +105,60 @@ def scores(frame, fit, prior_scale=2.5):
 
     It is made from the records and the table of estimates by name, not from the fit's
     own equations: at the estimates all scores are zero, of coefficients and levels.
+    Rows of the frame count ``times`` times; their sums per category and level are
+    stored, so each row meets its level once.
     """
     by = fit.by
     wide = fit.coef.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("term", "estimate"))).alias("beta"))
-    rows = join_same(join_same(frame, wide, [by], "inner"), fit.design.select(by, "var_scale", "cov_centre", "cov_scale"), [by], "inner")
+    models = durable(join_same(wide, fit.design.select(by, "var_scale", "cov_centre", "cov_scale"), [by], "inner"))
+    rand = [] if fit.levels is None else ["rand"]
+    rows = join_same(frame.select(by, "cat", *rand, "var", "use_cov", "y", "times"), models, [by], "inner")
     at = lambda name: F.coalesce(F.col("beta")[name], F.lit(0.0))
     cat = F.concat(F.lit("cat"), F.col("cat"))
     slope = at(F.lit("var")) + at(F.concat(F.lit("var:"), cat))
     eta = at(F.lit("(Intercept)")) + at(cat) + slope * F.col("var") + at(F.lit("use_cov")) * F.col("use_cov")
-    if fit.levels is not None:
-        levels = join_same(fit.levels, fit.spec.select(by, F.col("sigma")[0].alias("s")), [by]).select(by, "rand", F.col("b")[0].alias("b"), "s")
+    if rand:
+        levels = fit.levels.select(by, "rand", F.col("b")[0].alias("b"))
         rows, eta = join_same(rows, levels, [by, "rand"]), eta + F.col("b")
-    mu = 1 / (1 + F.exp(-eta))
-    rows = rows.withColumns({"left": F.col("y") - F.col("y_total") * mu, "info": F.col("y_total") * mu * (1 - mu), "x": F.col("var") / F.col("var_scale"), "z": (F.col("use_cov") - F.col("cov_centre")) / F.col("cov_scale")})
+    mu, n = 1 / (1 + F.exp(-eta)), F.col("times")
+    left, info = n * (F.col("y") - mu), n * mu * (1 - mu)
+    units = {"1": F.lit(1.0), "x": F.col("var") / F.col("var_scale"), "z": (F.col("use_cov") - F.col("cov_centre")) / F.col("cov_scale")}
+    sums = [f(part * u ** (1 + (name == "i"))).alias(f"{name}{k}") for k, u in units.items() for name, part, f in (("g", left, F.sum), ("i", info, F.sum))]
+    summed = durable(rows.groupBy(by, "cat", *rand).agg(*sums, *[F.first(x).alias(x) for x in (["b"] if rand else [])]))
+    rows = join_same(summed, models, [by], "inner")
+    if rand:
+        rows = join_same(rows, fit.spec.select(by, F.col("sigma")[0].alias("s")), [by])
     weak = prior_scale**-2
 
-    def score(groups, x, estimate):
-        grouped = rows.groupBy(*groups).agg(F.sum(F.col("left") * x).alias("g"), F.sum(F.col("info") * x * x).alias("i"), F.first(estimate).alias("e"))
+    def score(groups, x, estimate, known=F.lit(1.0)):
+        grouped = rows.groupBy(*groups).agg(F.sum(F.col(f"g{x}") * known).alias("g"), F.sum(F.col(f"i{x}") * known).alias("i"), F.first(estimate).alias("e"))
         off = F.coalesce(F.col("g") - F.col("e"), F.lit(0.0)) / F.sqrt(F.greatest(F.col("i"), F.lit(1e-6)))
         return grouped.select(by, F.abs(off).alias("off"))
 
     none = F.lit(0.0)
     pieces = [
-        score([by], F.lit(1.0), none),
-        score([by], F.col("x"), weak * at(F.lit("var")) * F.col("var_scale")),
-        score([by], F.col("z"), weak * at(F.lit("use_cov")) * F.col("cov_scale")),
+        score([by], "1", none),
+        score([by], "x", weak * at(F.lit("var")) * F.col("var_scale")),
+        score([by], "z", weak * at(F.lit("use_cov")) * F.col("cov_scale")),
     ]
     # the first category is the reference: what it leaves over belongs to the shared coefficients
-    for x, estimate in ((F.lit(1.0), at(cat)), (F.col("x"), at(F.concat(F.lit("var:"), cat)) * F.col("var_scale"))):
-        pieces.append(score([by, "cat"], F.when(F.col("beta")[cat].isNotNull(), x).otherwise(none), weak * estimate))
-    if fit.levels is not None:
-        pieces.append(score([by, "rand"], F.lit(1.0), F.when(F.col("s") > 0, F.col("b") / F.col("s"))))
+    for x, estimate in (("1", at(cat)), ("x", at(F.concat(F.lit("var:"), cat)) * F.col("var_scale"))):
+        pieces.append(score([by, "cat"], x, weak * estimate, F.when(F.col("beta")[cat].isNotNull(), F.lit(1.0)).otherwise(none)))
+    if rand:
+        pieces.append(score([by, "rand"], "1", F.when(F.col("s") > 0, F.col("b") / F.col("s"))))
     return reduce(DataFrame.unionByName, pieces).groupBy(by).agg(F.max("off").alias("off"))
 
 
 @query("model_results")
 def _(spark, folder):
     frame, fit = list_length_fit(spark, folder)
-    return model_results(frame, fit, ref=-3, n_draws=DRAWS)["res"]
+    return model_results(frame, fit, ref=-3, n_draws=DRAWS, times="times")["res"]
 
 
 @query("residuals_of_fit")
 def _(spark, folder):
     frame, fit = list_length_fit(spark, folder)
-    return residual_stats(residuals(fit, frame), ["taxa"])
+    return residual_stats(residuals(fit, frame), ["taxa"], times="times")
 
 
 _STATIONARY = f"WITH {LISTED} SELECT taxa, TRUE AS converged, 0e0 AS score FROM listed WHERE list_length IS NOT NULL GROUP BY taxa"
@@ -157,22 +168,22 @@ _STATIONARY = f"WITH {LISTED} SELECT taxa, TRUE AS converged, 0e0 AS score FROM
 def _(spark, folder):
     """The scores of the list-length models, which are zero where the fit has found the largest posterior."""
     frame, fit = list_length_fit(spark, folder)
-    return judged(fit, scores(frame.withColumn("y_total", F.lit(1.0)), fit).select("taxa", F.round("off", 3).alias("score")))
+    return judged(fit, scores(frame, fit).select("taxa", F.round("off", 3).alias("score")))
 
 
 @query("fit_random_score", _STATIONARY)
 def _(spark, folder):
     """The same with a random intercept for each site; the scores of the levels are among them."""
     frame, fit = list_length_fit(spark, folder, random_col="site", rand_slope=False)
-    return judged(fit, scores(frame.withColumn("y_total", F.lit(1.0)), fit).select("taxa", F.round("off", 3).alias("score")))
+    return judged(fit, scores(frame, fit).select("taxa", F.round("off", 3).alias("score")))
 
 
 @query("model_results_random")
 def _(spark, folder):
     """Predictions for every nation of a region with its own effect, and for a nation not seen yet."""
     frame, fit = list_length_fit(spark, folder, random_col="nation", rand_slope=False, n_draws=FEW)
-    known = model_results(frame, fit, ref=-3, n_draws=FEW, include_random=True, cov_val=[3])["res"]
-    unseen = model_results(frame, fit, ref=-3, n_draws=FEW, new_level=True, cov_val=[3])["res"]
+    known = model_results(frame, fit, ref=-3, n_draws=FEW, include_random=True, cov_val=[3], times="times")["res"]
+    unseen = model_results(frame, fit, ref=-3, n_draws=FEW, new_level=True, cov_val=[3], times="times")["res"]
     return known.unionByName(unseen.withColumn("rand", F.lit("a new level")), allowMissingColumns=True)
 
 
