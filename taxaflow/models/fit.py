@@ -7,6 +7,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,7 +107,24 @@ def _pass_over(patterns: DataFrame, coef: DataFrame | None, levels: DataFrame |
             rows = rows.withColumn("__eta", F.col("__eta") + extra)
         if family != "gaussian":
             rows = rows.withColumn("__eta", F.greatest(F.least("__eta", F.lit(30.0)), F.lit(-30.0)))
-    return rows.groupBy(*keys).agg(*_sums(family, q))
+    return rows.groupBy(*keys).agg(*_sums(family, q), *([F.first("times").alias("times")] if t else []))
+
+
+def _kinds(patterns: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Levels with equal patterns are one kind: patterns of one level of each kind, with how many there are (``times``), and all levels with their ``kind``.
+
+    Such levels have the same equations and the same effects in every round.  The kind
+    is named by its smallest level.  Levels are compared by 128 bits of hashes that are
+    summed up pattern by pattern, so no level meets in one row.
+    """
+    cols = [c for c in ("cat", "var", "use_cov", "y", "y_total", "y_sq", "n_rows") if c in patterns.columns]
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), *cols))
+    marks = ["__one", "__two", "__n"]
+    levels = durable(patterns.groupBy(by, "rand").agg(mark(1).alias("__one"), mark(2).alias("__two"), F.count(F.lit(1)).alias("__n")))
+    kinds = durable(levels.groupBy(by, *marks).agg(F.min("rand").alias("kind"), F.count(F.lit(1)).alias("times")))
+    first = kinds.select(by, F.col("kind").alias("rand"), "times")
+    members = join_same(levels, kinds.select(by, *marks, "kind"), [by, *marks], "inner").select(by, "rand", "kind")
+    return durable(join_same(patterns, first, [by, "rand"], "inner")), members
 
 
 def _eliminate(stats: DataFrame, sigma: DataFrame, by: str, q: int, t: int) -> DataFrame:
@@ -113,10 +132,10 @@ def _eliminate(stats: DataFrame, sigma: DataFrame, by: str, q: int, t: int) -> D
 
     A level adds a small block per pair of categories it occurs in (usually one);
     Spark sums the blocks of all levels, so a model with very many levels never
-    meets in one task.  All levels of a batch are done at once.
+    meets in one task.  All levels of a batch are done at once, those of a kind as one.
     """
-    per_level = stats.groupBy(by, "rand").agg(F.collect_list(F.struct("cat", "h", "g", "pearson")).alias("parts"))
-    rows = _spread(join_same(per_level, sigma.select(by, "sigma"), [by], "inner").select(by, "rand", "parts", "sigma"), by, "rand")
+    per_level = _spread(stats, by, "rand").groupBy(by, "rand").agg(F.first("times").alias("times"), F.collect_list(F.struct("cat", "h", "g", "pearson")).alias("parts"))
+    rows = join_same(per_level, sigma.select(by, "sigma"), [by], "inner").select(by, "times", "sigma", "parts")
     names = [f"h{i}" for i in range(q * q)] + [f"g{i}" for i in range(q)] + ["pearson"]
     key = stats.schema[by]
     schema = T.StructType(
@@ -125,13 +144,15 @@ def _eliminate(stats: DataFrame, sigma: DataFrame, by: str, q: int, t: int) -> D
 
     def reduce_levels(batches):
         for rows in batches:
-            sizes = rows["parts"].map(len).to_numpy()
-            parts = [part for level in rows["parts"] for part in level]
-            level = np.repeat(np.arange(len(rows)), sizes)
+            if not rows.num_rows:
+                continue
+            sizes = np.diff(rows.column("parts").offsets.to_numpy())
+            parts = rows.column("parts").flatten()
+            level = np.repeat(np.arange(rows.num_rows), sizes)
             first = np.r_[0, np.cumsum(sizes)[:-1]]
-            h = np.array([p["h"] for p in parts], float).reshape(-1, q, q)
-            g = np.array([p["g"] for p in parts], float)
-            cov = np.array(list(rows["sigma"]), float).reshape(-1, t, t)
+            h, g, cov = (_numbers(x) for x in (parts.field("h"), parts.field("g"), rows.column("sigma")))
+            h, g, cov = h.reshape(-1, q, q), g.reshape(-1, q), cov.reshape(-1, t, t)
+            times = rows.column("times").to_numpy().astype(float)
             inner = np.add.reduceat(h[:, :t, :t], first)
             middle = cov @ np.linalg.inv(np.eye(t) + inner @ cov)
             side = h[:, :, :t] @ middle[level]
@@ -141,22 +162,29 @@ def _eliminate(stats: DataFrame, sigma: DataFrame, by: str, q: int, t: int) -> D
             b = np.arange(len(a)) - np.repeat(np.cumsum(sizes[level]) - sizes[level], sizes[level]) + first[level[a]]
             same = a == b
             block = h[a] * same[:, None, None] - side[a] @ h[b][:, :, :t].transpose(0, 2, 1)
-            pearson = np.array([p["pearson"] for p in parts], float)
-            values = np.concatenate([block.reshape(len(a), -1), right[a] * same[:, None], (pearson[a] * same)[:, None]], axis=1)
-            cats = np.array([p["cat"] for p in parts], object)
-            out = pd.DataFrame(values, columns=names)
-            out.insert(0, "cat_b", cats[b])
-            out.insert(0, "cat_a", cats[a])
-            out.insert(0, by, rows[by].to_numpy()[level[a]])
-            yield out.groupby([by, "cat_a", "cat_b"], as_index=False, sort=False, dropna=False).sum()
-
-    blocks = rows.mapInPandas(reduce_levels, schema)
+            pearson = _numbers(parts.field("pearson"))
+            values = np.concatenate([block.reshape(len(a), -1), right[a] * same[:, None], (pearson[a] * same)[:, None]], axis=1) * times[level[a]][:, None]
+            models, cats = rows.column(by).dictionary_encode(), parts.field("cat").dictionary_encode()
+            model, cat = models.indices.to_pandas().fillna(-1).to_numpy(np.int64), cats.indices.to_numpy()
+            out = pd.DataFrame(values, columns=names).groupby([model[level[a]], cat[a], cat[b]], sort=False).sum()
+            which = [pa.array(out.index.get_level_values(i).to_numpy()) for i in range(3)]
+            none = pc.equal(which[0], -1)
+            keys = [models.dictionary.take(pc.if_else(none, pa.scalar(None, pa.int64()), which[0])), *(cats.dictionary.take(x) for x in which[1:])]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(out[n].to_numpy()) for n in names)], [by, "cat_a", "cat_b", *names])
+
+    blocks = rows.mapInArrow(reduce_levels, schema)
     summed = blocks.groupBy(by, "cat_a", "cat_b").agg(*[F.sum(n).alias(n) for n in names])
     return summed.select(
         by, "cat_a", "cat_b", F.array(*names[: q * q]).alias("h"), F.array(*names[q * q : -1]).alias("g"), "pearson"
     )
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Numbers of a column of numbers or of arrays of numbers, missing ones as NaN."""
+    flat = column.flatten() if pa.types.is_list(column.type) else column
+    return flat.to_numpy(zero_copy_only=False).astype(float)
+
+
 STATE = "cat string, beta array<double>, phi double, weight_all double, weight_own double, weights_settled boolean, delta double, pace double, step array<double>, step_phi double, message string"
 
 
@@ -246,11 +274,11 @@ def _update_levels(stats: DataFrame, coef: DataFrame, sigma: DataFrame, by: str,
 
     sums = [F.sum(left_over(i)).alias(f"r{i}") for i in range(t)]
     sums += [F.sum(F.col("h")[i * q + j]).alias(f"m{i}{j}") for i in range(t) for j in range(i, t)]
-    per_level = join_same(joined.groupBy(by, "rand").agg(*sums), sigma.select(by, "sigma"), [by], "inner")
+    per_level = join_same(joined.groupBy(by, "rand").agg(*sums, F.first("times").alias("times")), sigma.select(by, "sigma"), [by], "inner")
     s = F.col("sigma")
     if t == 1:
         rows = per_level.withColumn("__k", 1 + F.col("m00") * s[0]).withColumns({"w0": F.col("r0") / F.col("__k"), "p00": F.col("m00") / F.col("__k")})
-        return rows.select(by, "rand", F.array(s[0] * F.col("w0")).alias("b"), F.array(s[0] / F.col("__k")).alias("v"), "w0", "p00")
+        return rows.select(by, "rand", F.array(s[0] * F.col("w0")).alias("b"), F.array(s[0] / F.col("__k")).alias("v"), "w0", "p00", "times")
     m00, m01, m11 = (F.col(x) for x in ("m00", "m01", "m11"))
     k00, k01, k10, k11 = 1 + m00 * s[0] + m01 * s[1], m00 * s[1] + m01 * s[3], m01 * s[0] + m11 * s[1], 1 + m01 * s[1] + m11 * s[3]
     rows = per_level.withColumns({"k00": k00, "k01": k01, "k10": k10, "k11": k11, "__det": k00 * k11 - k01 * k10})
@@ -261,7 +289,7 @@ def _update_levels(stats: DataFrame, coef: DataFrame, sigma: DataFrame, by: str,
     })
     v00, v01, v11 = s[0] * i00 - s[1] * i10, s[1] * i11 - s[0] * i01, s[3] * i11 - s[1] * i01
     b = F.array(s[0] * F.col("w0") + s[1] * F.col("w1"), s[1] * F.col("w0") + s[3] * F.col("w1"))
-    return rows.select(by, "rand", b.alias("b"), F.array(v00, v01, v01, v11).alias("v"), "w0", "w1", "p00", "p01", "p11")
+    return rows.select(by, "rand", b.alias("b"), F.array(v00, v01, v01, v11).alias("v"), "w0", "w1", "p00", "p01", "p11", "times")
 
 
 def _update_sigma(levels: DataFrame, sigma: DataFrame, by: str, t: int) -> DataFrame:
@@ -271,10 +299,10 @@ def _update_sigma(levels: DataFrame, sigma: DataFrame, by: str, t: int) -> DataF
     nearest covariance, which may have no spread in a direction, or none at all.  A
     model with one level has no random term: its variances stay at zero.
     """
-    w0, p00 = F.col("w0"), F.col("p00")
-    many = F.count(F.lit(1)).alias("__levels")
+    w0, p00, n = F.col("w0"), F.col("p00"), F.col("times")
+    many = F.sum(n).alias("__levels")
     if t == 1:
-        sums = levels.groupBy(by).agg(F.sum(w0 * w0 - p00).alias("score"), F.sum(p00 * p00).alias("info"), F.sum(p00 * (2 * w0 * w0 - p00)).alias("curve"), many)
+        sums = levels.groupBy(by).agg(F.sum(n * (w0 * w0 - p00)).alias("score"), F.sum(n * p00 * p00).alias("info"), F.sum(n * p00 * (2 * w0 * w0 - p00)).alias("curve"), many)
         # Newton's step where the likelihood is curved as expected, at most three times as long as a scoring step elsewhere
         sums = sums.withColumn("info", F.greatest("curve", F.col("info") / 3))
         old = F.col("sigma")[0]
@@ -285,7 +313,7 @@ def _update_sigma(levels: DataFrame, sigma: DataFrame, by: str, t: int) -> DataF
         return found.withColumn("step", F.coalesce("step", F.lit(0.0)))
     w1, p01, p11 = F.col("w1"), F.col("p01"), F.col("p11")
     sums = levels.groupBy(by).agg(
-        *[F.sum(x).alias(n) for n, x in {
+        *[F.sum(n * x).alias(name) for name, x in {
             "g0": w0 * w0 - p00, "g1": 2 * (w0 * w1 - p01), "g2": w1 * w1 - p11,
             "i00": p00 * p00, "i01": 2 * p00 * p01, "i02": p01 * p01, "i11": 2 * (p00 * p11 + p01 * p01), "i12": 2 * p01 * p11, "i22": p11 * p11,
         }.items()], many,
@@ -345,7 +373,8 @@ def fit_trend(
     Each round is one aggregate over the stored patterns, and its small result is
     stored too, so a lost executor repeats at most that round.  When half of the models
     that a round works on are done, the patterns of the others are stored on their own:
-    a slow model doesn't make the rest be read again.
+    a slow model doesn't make the rest be read again.  Random levels with equal patterns
+    are worked on as one, which counts as often as there are such levels.
     """
     if family not in LINKS:
         raise ValueError(f"unknown family {family!r}")
@@ -358,8 +387,17 @@ def fit_trend(
     patterns = durable(patterns.dropna("any", subset=needed).withColumn("cat", F.col("cat").cast("string")))
     variance = (F.col("__y_sq") - F.col("__y") * F.col("__y") / F.col("n_data")) / F.col("n_data")
     phi0 = {"binomial": F.lit(1.0), "beta": F.lit(0.1), "gaussian": F.greatest(variance, F.lit(1e-12))}[family]
-    design = durable(build_design(patterns, by, k).withColumn("__phi0", phi0))
-    patterns = durable(with_features(patterns, design, by, k))
+    source, members = patterns, None
+    if t:
+        patterns, members = _kinds(source, by)
+        discard(source)
+        counts = members.groupBy(by).agg(F.count(F.lit(1)).alias("n_rand"))
+        source = patterns.groupBy(by, *[c for c in ("var", "use_cov", "cat") if c in patterns.columns])
+        source = source.agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n_rows", "y", "y_sq")])
+    found = build_design(source, by, k).withColumn("__phi0", phi0)
+    design = durable(join_same(found.drop("n_rand"), counts, [by]).select(*found.columns) if t else found)
+    source, patterns = patterns, durable(with_features(patterns, design, by, k))
+    discard(source)
     start_phi = design.select(by, F.col("__phi0").alias("__phi"))
 
     coef = levels = None
@@ -406,8 +444,11 @@ def fit_trend(
     if t:
         stats = durable(stats)
         equations = _eliminate(stats, sigma, by, q, t)
-        levels = durable(_update_levels(stats, coef, sigma, by, q, t).select(by, "rand", "b", "v"))
-        links = durable(_links(stats, levels, coef, by, q, t))
+        kinds = durable(_update_levels(stats, coef, sigma, by, q, t).select(by, "rand", "b", "v"))
+        moves = durable(_links(stats, kinds, coef, by, q, t))
+        # every level has what its kind has
+        of_all = lambda table: join_same(members, table.withColumnRenamed("rand", "kind"), [by, "kind"], "inner")
+        levels, links = of_all(kinds).select(*kinds.columns), of_all(moves).select(*moves.columns)
     else:
         equations = stats.select(by, F.col("cat").alias("cat_a"), F.col("cat").alias("cat_b"), "h", "g", "pearson")
     final = durable(_posterior(equations, design, coef, by, q, k, family, prior_scale, n_draws, seed))
